@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hazeloom.llm.mixing import mix_sources, words_taken
+from hazeloom.llm.quality import quality_rules
 from hazeloom.llm.urls import judge_urls
 from hazeloom.session import table
 
@@ -45,3 +46,45 @@ def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"op9_url_filters": op9_url_filters, "op2_source_mix": op2_source_mix}
 ORACLE_SQL = {"op9_url_filters": OP9_SQL}
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents"))
+
+
+OP5_SQL = r"""
+WITH base AS (
+  SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS t FROM documents),
+words AS (
+  SELECT r, doc_id, lang, source, t, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws,
+    list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS ls FROM base),
+places AS (SELECT r, ws, unnest(range(1, len(ws) - 6)) AS i FROM words WHERE len(ws) >= 8),
+twice AS (SELECT r, i, count(*) OVER (PARTITION BY r, list_slice(ws, i, i + 7)) AS c FROM places),
+covered AS (SELECT r, count(*) AS n FROM (SELECT DISTINCT r, unnest(range(i, i + 8)) AS j FROM twice WHERE c > 1) GROUP BY r),
+features AS (
+  SELECT w.r, doc_id, lang, source, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
+    length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, len(ls)::BIGINT AS n_lines,
+    (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words
+  FROM words w LEFT JOIN covered c ON w.r = c.r),
+measured AS (
+  SELECT *, word_chars * 100 // greatest(n_words, 1) AS m1, n_symbols * 1000 // greatest(n_words, 1) AS m2,
+    n_dup_lines * 1000 // greatest(n_lines, 1) AS m3, n_repeat_words * 1000 // greatest(n_words, 1) AS m4 FROM features),
+long AS (
+  SELECT lang, source, unnest([1, 2, 3, 4]) AS m, unnest([m1, m2, m3, m4]) AS v FROM measured),
+cut AS (
+  SELECT lang, source, m, v - v % (1::BIGINT << greatest(0, length(bin(v)) - 7)::BIGINT) AS low, count(*) AS n FROM long GROUP BY ALL),
+ranked AS (
+  SELECT *, sum(n) OVER (PARTITION BY lang, source, m ORDER BY low) AS upto, sum(n) OVER (PARTITION BY lang, source, m) AS whole FROM cut),
+quart AS (
+  SELECT lang, source, m, min(low) FILTER (upto * 4 >= whole) AS q1, min(low) FILTER (upto * 4 >= whole * 3) AS q3 FROM ranked GROUP BY ALL),
+lim AS (
+  SELECT lang, source, max(q3 + greatest((q3 - q1) * 6, 600)) FILTER (m = 1) AS x1, max(q3 + greatest((q3 - q1) * 6, 100)) FILTER (m = 2) AS x2,
+    max(q3 + greatest((q3 - q1) * 6, 500)) FILTER (m = 3) AS x3, max(q3 + greatest((q3 - q1) * 6, 300)) FILTER (m = 4) AS x4 FROM quart GROUP BY ALL)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+  (n_words < 20 OR n_repeat_words * 100 > n_words * 30) AS base_failed,
+  NOT (n_words < 20 OR n_repeat_words * 100 > n_words * 30) AND m1 <= x1 AND m2 <= x2 AND m3 <= x3 AND m4 <= x4 AS kept
+FROM measured f JOIN lim ON f.lang IS NOT DISTINCT FROM lim.lang AND f.source IS NOT DISTINCT FROM lim.source
+"""
+
+QUERIES["op5_quality_rules"] = op5_quality_rules
+ORACLE_SQL["op5_quality_rules"] = OP5_SQL
