@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hazeloom.llm.mixing import mix_sources, words_taken
+from hazeloom.llm.packing import pack
 from hazeloom.llm.quality import quality_rules
+from hazeloom.llm.tokens import token_counts
 from hazeloom.llm.urls import judge_urls
 from hazeloom.session import table
 
@@ -19,6 +21,17 @@ URL_RULES = [
     ("net", "/fr/", "block"),
 ]
 
+#: Folder of the public tokenizers; None: where the installed package says.
+TOKENIZERS: str | None = None
+
+
+def tokenizer_path(name: str) -> str:
+    if TOKENIZERS:
+        return f"{TOKENIZERS}/{name}"
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
 
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, action string")
@@ -88,3 +101,14 @@ FROM measured f JOIN lim ON f.lang IS NOT DISTINCT FROM lim.lang AND f.source IS
 
 QUERIES["op5_quality_rules"] = op5_quality_rules
 ORACLE_SQL["op5_quality_rules"] = OP5_SQL
+
+
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), keep_ids=False)
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
+QUERIES |= {"op6_best_fit_packing": op6_best_fit_packing, "op10_token_counts": op10_token_counts}
