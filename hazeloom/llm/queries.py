@@ -9,6 +9,7 @@ from hazeloom.llm.chat import as_events, format_conversations, read_back
 from hazeloom.llm.html import extract_pages
 from hazeloom.llm.licenses import scan_licenses
 from hazeloom.llm.mixing import mix_sources, words_taken
+from hazeloom.llm.ngram_join import ngram_join
 from hazeloom.llm.packing import pack
 from hazeloom.llm.quality import quality_rules
 from hazeloom.llm.tokens import token_counts
@@ -152,3 +153,10 @@ def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES |= {"op4_license_scan": op4_license_scan, "op7_chat_format": op7_chat_format, "op8_html_text": op8_html_text}
 ORACLE_SQL["op7_chat_format"] = OP7_SQL
+
+
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op1_ngram_jaccard"] = op1_ngram_jaccard
