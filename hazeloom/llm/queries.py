@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hazeloom.llm.ann import nearest
 from hazeloom.llm.chat import as_events, format_conversations, read_back
 from hazeloom.llm.html import extract_pages
 from hazeloom.llm.licenses import scan_licenses
@@ -160,3 +161,10 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op1_ngram_jaccard"] = op1_ngram_jaccard
+
+
+def op3_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES["op3_nearest_vectors"] = op3_nearest_vectors
