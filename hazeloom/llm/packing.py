@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -13,35 +15,75 @@ from pyspark.sql import functions as F
 from hazeloom.llm.common import cut
 
 #: Words kept with their ids in a task; beyond that the table starts anew.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 500_000
+
+
+#: Words of plain letters, digits and signs, whose lower case and composed form need no library.
+PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+#: The tokenizer's own cut of a word into pre-tokens (a fixed value), for plain lower-case words.
+CUTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+
+
+def byte_characters() -> dict[int, str]:
+    """The printable character for each byte in byte-level vocabularies: itself, or the next free one from U+0100."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
 class WordIds:
     """Token ids of texts, a text's ASCII-separated words at a time.
 
     For tokenizers that drop white space between words, a text's ids are its words' ids one
-    after another, so each distinct word is encoded once. Added tokens inside words are left
-    to the library, as they hold no white space.
+    after another, so each distinct word is encoded once. Plain words are lowered and cut here
+    and only their distinct pre-tokens go to the library's model; all other words, and those
+    that could hold an added token, go through the whole library.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.characters = {b: c for b, c in byte_characters().items() if b >= 128}
         self.known: dict[bytes, bytes] = {}
-
-    def ids(self, text: bytes) -> bytes:
-        """Little-endian unsigned 32-bit ids of a UTF-8 text."""
-        words, known = text.split(), self.known  # bytes.split() parts at ASCII white space only
-        missing = [w for w in set(words) if w not in known]
-        if len(known) + len(missing) > CACHE_WORDS:
+        self.parts: dict[str, bytes] = {}
+
+    def part(self, text: str) -> bytes:
+        """Ids of a plain pre-token."""
+        if (found := self.parts.get(text)) is None:
+            plain = text if text.isascii() else "".join(self.characters.get(b) or chr(b) for b in text.encode())
+            found = self.parts[text] = struct.pack(f"<{len(ids)}I", *ids) if (ids := [t.id for t in self.model.tokenize(plain)]) else b""
+        return found
+
+    def learn(self, words: list[bytes]) -> None:
+        known, part, other = self.known, self.part, []
+        if len(known) > CACHE_WORDS:
             known.clear()
-            missing = list(set(words))
-        for at in range(0, len(missing), 4096):
-            some = missing[at : at + 4096]
+        if len(self.parts) > CACHE_WORDS:
+            self.parts.clear()
+        for w in words:
+            text = w.decode()
+            if PLAIN.fullmatch(text) and "<|" not in text and len(text) < 1000:
+                known[w] = b"".join(map(part, CUTS.findall(text.lower())))
+            else:
+                other.append(w)
+        for at in range(0, len(other), 4096):
+            some = other[at : at + 4096]
             found = self.tokenizer.encode_batch([w.decode() for w in some], add_special_tokens=False)
             known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(some, found, strict=True))
-        return b"".join(map(known.__getitem__, words))
+
+    def ids(self, text: bytes) -> bytes:
+        """Little-endian unsigned 32-bit ids of a UTF-8 text."""
+        words = text.split()  # bytes.split() parts at ASCII white space only
+        try:
+            return b"".join(map(self.known.__getitem__, words))
+        except KeyError:
+            if len(self.known) > CACHE_WORDS:
+                self.learn(list(set(words)))
+            else:
+                self.learn([w for w in set(words) if w not in self.known])
+            return b"".join(map(self.known.__getitem__, words))
 
 
 PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary())])

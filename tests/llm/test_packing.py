@@ -68,3 +68,11 @@ def test_pack_round_trip(spark):
     assert len(places) <= total / 2048 * 1.02 + 4
     assert sorted(map(str, got)) == sorted(map(str, pack(docs.repartition(3), PATH, shard_pieces=120).collect()))
     assert pack(docs.limit(0), PATH).count() == 0
+
+
+def test_every_plain_character_as_the_library():
+    library, own = Tokenizer.from_file(PATH), WordIds(PATH)
+    plain = [chr(c) for c in (*range(33, 127), *range(0xC0, 0x100)) if c not in (0xD7, 0xF7)]
+    rng = random.Random(6)
+    for t in plain + ["".join(rng.choice(plain) for _ in range(rng.randrange(1, 12))) for _ in range(6000)] + ["don'tell", "'S'LL", "<|ENDOFTEXT|>", "x<|endoftext|>'s"]:
+        assert np.frombuffer(own.ids(t.encode()), "<u4").tolist() == library.encode(t, add_special_tokens=False).ids, repr(t)
