@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Pre-tokens kept with their counts in a task; beyond that the table starts anew.
 CACHE_WORDS = 500_000
+#: Bytes of text whose new pre-tokens are merged together.
+CHUNK_BYTES = 3_000_000
 #: Symbols that one merge works on at a time, unless one pre-token has more.
 BATCH_SYMBOLS = 400_000
 SPACE = "▁"
@@ -53,11 +55,9 @@ class PieceMerger:
         self.keys, self.ranks, self.made = (np.array(x, np.int64)[by] for x in (keys, ranks, made))
         self.safe = np.ones(n, bool)
         self.safe[list(unsafe)] = False
-        self.symbol: dict[str, int] = dict(self.single)
-
-    def symbols(self, word: str) -> list[int]:
-        known = self.symbol
-        return [known[c] if c in known else self.base + len(c.encode()) for c in word]
+        points = np.arange(0x110000)
+        self.symbol = n + 1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000)  # by code point
+        self.symbol[[ord(c) for c in self.single]] = list(self.single.values())
 
     def pair_ranks(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         key = left * self.base + right
@@ -70,7 +70,7 @@ class PieceMerger:
         """Tokens of each word; every round merges each word's pairs of its own lowest rank."""
         lengths = np.array([len(w) for w in words], np.int64)
         total = np.zeros(len(words), np.int64)
-        sym = np.fromiter((s for w in words for s in self.symbols(w)), np.int64, int(lengths.sum()))
+        sym = self.symbol[np.frombuffer("".join(words).encode("utf-32-le"), "<u4")]
         own = np.repeat(np.arange(len(words)), lengths)
         while len(sym) > 1:
             rank, made = self.pair_ranks(sym[:-1], sym[1:])
@@ -138,23 +138,26 @@ class TokenCounter:
         for i, n in zip(batch, self.merger.counts([words[i] for i in batch]).tolist(), strict=True):
             self.known[parts[i]] = n
 
-    def count(self, text: bytes) -> int:
-        """Tokens of a text, a blank put before it as the model does; an empty text has none."""
+    def parts(self, text: bytes) -> list[bytes]:
+        """A text's pre-tokens, a blank put before it as the model does; an empty text has none."""
         if not text:
-            return 0
+            return []
         # Keys hold their leading blank; splitting at blanks is faster than finding parts, and right unless blanks meet.
         if b"  " in text or b" \n" in text or text[:1] in (b" ", b"\n") or text[-1:] == b" " or b"\xe2\x96\x81" in text:
-            parts = PARTS.findall(b" " + text.replace(SPACE.encode(), b" "))
-        else:
-            parts = [p if p[:1] == b"\n" else b" " + p for p in text.replace(b"\n", b" \n").split(b" ")]
-        known = self.known
-        missing = [p for p in set(parts) if p not in known]
-        if missing:
-            if len(known) + len(missing) > CACHE_WORDS:
+            return PARTS.findall(b" " + text.replace(SPACE.encode(), b" "))
+        return (b" " + text.replace(b"\n", b"\x00\n").replace(b" ", b"\x00 ")).split(b"\x00") if b"\x00" not in text else PARTS.findall(b" " + text)
+
+    def count_all(self, texts: list[bytes]) -> list[int]:
+        """Tokens of each text; new pre-tokens of all of them are merged together."""
+        known, cut = self.known, [self.parts(t) for t in texts]
+        try:
+            return [sum(map(known.__getitem__, parts)) for parts in cut]
+        except KeyError:
+            if len(known) > CACHE_WORDS:
                 known.clear()
-                missing = list(set(parts))
-            self.learn(missing)
-        return sum(map(known.__getitem__, parts))
+            missing = set().union(*cut)
+            self.learn([p for p in missing if p not in known])
+            return [sum(map(known.__getitem__, parts)) for parts in cut]
 
 
 def token_counts(docs: DataFrame, model: str, *, id_col: str = "doc_id", text_col: str = "text", limit: int = 4096) -> DataFrame:
@@ -170,11 +173,15 @@ def token_counts(docs: DataFrame, model: str, *, id_col: str = "doc_id", text_co
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = TokenCounter(model)
         for batch in batches:
-            sizes, counts = [], []
+            sizes, counts, wait, size = [], [], [], 0
             for text in batch.column(1):
-                data = text.as_buffer().to_pybytes() if text.is_valid else b""
-                sizes.append(len(data))
-                counts.append(counter.count(data))
+                wait.append(text.as_buffer().to_pybytes() if text.is_valid else b"")
+                sizes.append(len(wait[-1]))
+                size += sizes[-1]
+                if size > CHUNK_BYTES:
+                    counts += counter.count_all(wait)
+                    wait, size = [], 0
+            counts += counter.count_all(wait)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64()), pa.array([n > limit for n in counts], pa.bool_())], schema=schema)
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

@@ -24,7 +24,8 @@ def texts(n=400):
 def test_every_text_as_the_library(library):
     counter = TokenCounter(MODEL)
     for t in texts():
-        assert counter.count(t.encode()) == len(library.encode(t)), repr(t)
+        assert counter.count_all([t.encode()]) == [len(library.encode(t))], repr(t)
+    assert counter.count_all([t.encode() for t in texts()]) == [len(library.encode(t)) for t in texts()]
 
 
 def test_words_in_one_batch_as_one_by_one():
