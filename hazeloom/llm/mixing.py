@@ -183,3 +183,25 @@ def words_taken(sized: DataFrame, sources: DataFrame, parts: DataFrame) -> DataF
     )
     target = sources.select(F.col("source").alias("t_source"), "source_size", "target")
     return taken.unionByName(rest).join(target, F.col("source").eqNullSafe(F.col("t_source"))).select("doc_id", "source", "size", "source_size", "target", "taken")
+
+
+def mixed_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The rows of docs as often as the mix takes them: taken / size times, to the nearest whole number.
+
+    Rows with equal id, source and size share their words taken evenly. Documents without
+    words, and those that the mix leaves out, go.
+    """
+    taken = words_taken(*mix_sources(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options))
+    times = (
+        taken.where("size > 0")
+        .groupBy(F.col("doc_id").alias("t_id"), F.col("source").alias("t_source"), F.col("size").alias("t_size"))
+        .agg(F.floor(F.sum("taken") / (F.first("size") * F.count("*")) + 0.5).cast("int").alias("t_times"))
+        .where("t_times > 0")
+    )
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    key = (
+        F.col(f"row.`{id_col}`").eqNullSafe(F.col("t_id"))
+        & F.col(f"row.`{source_col}`").eqNullSafe(F.col("t_source"))
+        & (n_words_of(F.col(f"row.`{text_col}`")) == F.col("t_size"))
+    )
+    return rows.join(times, key).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("t_times")))).select("row.*")

@@ -1,4 +1,4 @@
-from hazeloom.llm.mixing import mix_sources, slot_schedule, source_targets, words_taken
+from hazeloom.llm.mixing import mix_sources, mixed_documents, slot_schedule, source_targets, words_taken
 
 
 def fill(sizes, weights, most):
@@ -50,3 +50,13 @@ def test_empty(spark):
     assert words_taken(*mix_sources(docs)).count() == 0
     docs = spark.createDataFrame([(1, None, None), (2, " ", "a")], "doc_id long, text string, source string")
     assert {(r.doc_id, r.taken, r.target) for r in words_taken(*mix_sources(docs)).collect()} == {(1, 0, 0.0), (2, 0, 0.0)}
+
+
+def test_mixed_documents(spark):
+    rows = [(i, "w " * 10, "a", "x") for i in range(30)] + [(i, "w " * 10, "b", "y") for i in range(100, 130)] + [(1, None, "a", "z"), (200, "w", None, "n")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, t_id string")
+    got = mixed_documents(docs, block_words=10)
+    assert got.columns == docs.columns
+    n = {s: sum(r.source == s for r in got.collect()) for s in ("a", "b", None)}
+    assert n[None] == 3 and 18 <= n["a"] <= 21 and 38 <= n["b"] <= 41
+    assert mixed_documents(docs.limit(0)).count() == 0
