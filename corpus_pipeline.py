@@ -1,10 +1,39 @@
-"""The corpus pipeline: quality rules, near copies, mixing, packing."""
+"""The corpus pipeline: quality rules, near copies, mixing to target weights, packing into sequences."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES = []
+from hazeloom.llm.mixing import mixed_documents
+from hazeloom.llm.ngram_join import keep_one_of_each
+from hazeloom.llm.packing import pack
+from hazeloom.llm.quality import keep_good
+from hazeloom.llm.queries import tokenizer_path
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep."""
+    return keep_good(docs)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return keep_one_of_each(docs)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as their source's target takes them, 0 to 3 times."""
+    return mixed_documents(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' pieces with their places in sequences of at most 2048 tokens."""
+    return pack(docs, tokenizer_path("word_bpe_49k.json"), keep_ids=False)
+
+
+STAGES = [("quality", quality), ("near_copies", near_copies), ("mixing", mixing), ("packing", packing)]
+
+#: Shingle hashes and the seeded shuffle are not SQL's; tests/llm compares with a brute-force version.
 ORACLE_SQL = None
 
 
