@@ -1 +1,3 @@
 """Imports the modules that register queries."""
+
+from hazeloom.plans import scalars  # noqa: F401
