@@ -41,4 +41,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return queries()["F7_great_circle_km"](spark, sf_dir)
+    return queries()["W10_event_objects"](spark, sf_dir)
