@@ -375,9 +375,9 @@ def p25(spark, sf_dir):
     return table(spark, sf_dir, "orders").withColumn("k", k).where("k % 4 = 0").select("o_custkey", "o_orderkey")
 
 
-@register("W22_pre_event_baseline", f"WITH {ONSET}, e AS (SELECT unit, event, min(day) AS a0 FROM ev GROUP BY 1, 2), p AS (SELECT e.unit, event, d.day - e.a0 AS rel, v FROM e JOIN daily d ON d.unit = e.unit AND d.day BETWEEN e.a0 - 14 AND e.a0 + 7) SELECT unit, event::BIGINT AS event, round(avg(v) FILTER (rel BETWEEN 0 AND 7) / avg(v) FILTER (rel BETWEEN -14 AND -5) - 1, 4) AS change FROM p GROUP BY 1, 2")
+@register("W22_pre_event_baseline", f"WITH {ONSET}, e AS (SELECT unit, event, min(day) AS a0 FROM ev GROUP BY 1, 2), p AS (SELECT e.unit, event, d.day - e.a0 AS rel, v FROM e JOIN daily d ON d.unit = e.unit AND d.day BETWEEN e.a0 - 14 AND e.a0 + 7) SELECT unit, event::BIGINT AS event, round(avg(v) FILTER (rel BETWEEN 0 AND 7) / avg(v) FILTER (rel BETWEEN -14 AND -5) - 1, 7) AS change FROM p GROUP BY 1, 2")
 def w22(spark, sf_dir):
     e = ts.onsets(flagged(spark, sf_dir), 2).groupBy("unit", "event").agg(F.min("day").alias("day"))
     p = mt.event_window(e, -14, 7).join(daily(spark, sf_dir), ["unit", "day"])
     mean = lambda a, b: F.avg(F.when(F.col("rel").between(a, b), F.col("v")))
-    return p.groupBy("unit", "event").agg(F.round(mean(0, 7) / mean(-14, -5) - 1, 4).alias("change"))
+    return p.groupBy("unit", "event").agg(F.round(mean(0, 7) / mean(-14, -5) - 1, 7).alias("change"))
