@@ -1,3 +1,3 @@
 """Imports the modules that register queries."""
 
-from hazeloom.plans import aggregates, joins, scalars, series  # noqa: F401
+from hazeloom.plans import aggregates, calibrate, joins, scalars, series  # noqa: F401
