@@ -27,7 +27,8 @@ def permutation_test(df: DataFrame, group: str, value: str, key: str, *, replica
     sums = reps.withColumn("_in", rank <= F.col("_n1")).groupBy("_r").agg(F.sum(F.when(F.col("_in"), F.col("_v"))).alias("_s"), F.first("_n1").alias("_n1"), F.first("_n").alias("_n"), F.first("_all").alias("_all"))
     shuffled = sums.select((F.col("_s") / F.col("_n1") - (F.col("_all") - F.col("_s")) / (F.col("_n") - F.col("_n1"))).alias("d"))
     own = df.agg((F.avg(F.when(F.col(group) == 1, F.col(value))) - F.avg(F.when(F.col(group) == 0, F.col(value)))).alias("diff"))
-    return shuffled.join(F.broadcast(own)).agg(F.first("diff").alias("diff"), ((F.count_if(F.abs("d") >= F.abs("diff")) + 1) / (F.count("*") + 1)).alias("p"))  # own has one row
+    diff = F.lit(own.first()[0])
+    return shuffled.agg(F.first(diff).alias("diff"), ((F.count_if(F.abs("d") >= F.abs(diff)) + 1) / (F.count("*") + 1)).alias("p"))
 
 
 def poisson_weight(u: Column, most: int = 8) -> Column:

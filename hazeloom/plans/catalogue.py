@@ -1,3 +1,3 @@
 """Imports the modules that register queries."""
 
-from hazeloom.plans import aggregates, calibrate, files_and_streams, joins, scalars, series, stats  # noqa: F401
+from hazeloom.plans import aggregates, calibrate, composed, files_and_streams, joins, scalars, series, stats  # noqa: F401

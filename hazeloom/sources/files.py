@@ -55,8 +55,8 @@ def write_stamped(df: DataFrame, path: str, definition: dict[str, str], producer
     df.write.mode("errorifexists").parquet(f"{path}/data")
     keys = sorted(definition)
     one = spark.createDataFrame([(*[definition[k] for k in keys], producer, list(pending))], ", ".join([*(f"{k} string" for k in keys), "producer string", "pending array<string>"]))
-    n = spark.read.parquet(f"{path}/data").agg(F.count("*").alias("rows"))
-    one.join(F.broadcast(n)).withColumn("stamp", stamp_of(F.struct(*keys))).write.parquet(f"{path}/_stamp_table")  # one row each
+    n = spark.read.parquet(f"{path}/data").count()
+    one.withColumn("rows", F.lit(n)).withColumn("stamp", stamp_of(F.struct(*keys))).write.parquet(f"{path}/_stamp_table")
 
 
 def read_stamped(spark: SparkSession, path: str, definition: dict[str, str], producer: str) -> DataFrame:
