@@ -14,11 +14,11 @@ from hazeloom.plans.series import DAILY, DOY, daily, text_day
 from hazeloom.session import ensure_checkpoint_dir, table
 
 PAIR = DAILY + ", pair AS (SELECT unit, day, v AS pred, price / 1500 AS obs, (month(day) % 12) // 3 AS season, year(day) AS yr FROM daily)"
-SEASON = F.floor((F.month("day") % 12) / 3)
+SEASON = "cast(floor((month(day) % 12) / 3) as long)"
 
 
 def pair(spark, sf_dir):
-    return daily(spark, sf_dir).select("unit", "day", F.col("v").alias("pred"), (F.col("price") / 1500).alias("obs"), SEASON.alias("season"), F.year("day").alias("yr"))
+    return daily(spark, sf_dir).select("unit", "day", F.col("v").alias("pred"), (F.col("price") / 1500).alias("obs"), F.expr(SEASON).alias("season"), F.year("day").alias("yr"))
 
 
 POINTS = cal.quantile_points(5)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from types import SimpleNamespace
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,40 +21,47 @@ V = "(l_discount * 100 - 4.0)"
 LAT = "(25 + ((l_suppkey * 37) % 2400) / 100.0)"
 LON = "(-120 + ((l_suppkey * 53) % 5000) / 100.0)"
 LAT2 = "(25 + ((l_partkey * 37) % 2400) / 100.0)"
+DOY, HOUR = "dayofyear(l_shipdate)", "(l_orderkey % 24)"
 LON2 = "(-120 + ((l_partkey * 53) % 5000) / 100.0)"
 
 
-def item_query(name: str, spark_value: Column, sql_value: str, digits: int = 4) -> None:
+def stand_ins() -> SimpleNamespace:
+    """The stand-in weather as columns; built when a query runs, as columns need a session."""
+    c = SimpleNamespace(**{k: F.expr(x) for k, x in dict(t=T, p=P, q=Q, u=U, v=V, lat=LAT, lon=LON, lat2=LAT2, lon2=LON2).items()})
+    c.es, c.e, c.tc, c.kt = ph.vapour_pressure_bolton(c.t, pascal=False), ph.vapour_pressure(c.q, c.p), c.t - 273.15, F.col("l_quantity") / 50.0
+    c.rh = ph.relative_humidity(c.e, c.es)
+    c.sun = ph.sun(F.expr(DOY), F.expr(HOUR), c.lat, c.lon)
+    return c
+
+
+def item_query(name: str, spark_value: Callable[[SimpleNamespace], Column], sql_value: str, digits: int = 4) -> None:
     """Registers a query that gives (l_orderkey, l_linenumber, l_partkey, value) for every line item."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.round(spark_value, digits).alias("value"))
+        return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.round(spark_value(stand_ins()), digits).alias("value"))
 
     register(name, f"SELECT l_orderkey, l_linenumber, l_partkey, round({sql_value}, {digits}) AS value FROM lineitem")(run)
 
 
-def text_query(name: str, spark_value: Column, sql_value: str) -> None:
+def text_query(name: str, spark_value: Callable[[SimpleNamespace], Column], sql_value: str) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", spark_value.alias("value"))
+        return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", spark_value(stand_ins()).alias("value"))
 
     register(name, f"SELECT l_orderkey, l_linenumber, l_partkey, {sql_value} AS value FROM lineitem")(run)
 
 
-t, p, q, u, v, lat, lon, lat2, lon2 = (F.expr(x) for x in (T, P, Q, U, V, LAT, LON, LAT2, LON2))
 es_sql = f"(6.112 * exp(17.67 * ({T} - 273.15) / ({T} - 29.65)))"
 e_sql = f"({Q} * {P} / (0.622 + 0.378 * {Q}))"
 rh_sql = f"greatest(1.0, least(100.0, 100.0 * {e_sql} / {es_sql}))"
-es, e = ph.vapour_pressure_bolton(t, pascal=False), ph.vapour_pressure(q, p)
-rh = ph.relative_humidity(e, es)
-tc, tc_sql = t - 273.15, f"({T} - 273.15)"
-
-item_query("F1_vapour_pressure_bolton", ph.vapour_pressure_bolton(t), f"611.2 * exp(17.67 * ({T} - 273.15) / ({T} - 29.65))")
-item_query("F2_vapour_deficit_tetens", ph.vapour_deficit(tc, e / 10), f"greatest(0.6108 * exp(17.27 * {tc_sql} / ({tc_sql} + 237.3)) - {e_sql} / 10, 0.0)")
-item_query("F3_relative_humidity", rh, rh_sql)
-item_query("F4_hot_dry_windy", ph.hot_dry_windy(es, e, F.hypot(u, v)), f"greatest({es_sql} - {e_sql}, 0.0) * sqrt({U} * {U} + {V} * {V})", 3)
+tc_sql = f"({T} - 273.15)"
+
+item_query("F1_vapour_pressure_bolton", lambda c: ph.vapour_pressure_bolton(c.t), f"611.2 * exp(17.67 * ({T} - 273.15) / ({T} - 29.65))")
+item_query("F2_vapour_deficit_tetens", lambda c: ph.vapour_deficit(c.tc, c.e / 10), f"greatest(0.6108 * exp(17.27 * {tc_sql} / ({tc_sql} + 237.3)) - {e_sql} / 10, 0.0)")
+item_query("F3_relative_humidity", lambda c: c.rh, rh_sql)
+item_query("F4_hot_dry_windy", lambda c: ph.hot_dry_windy(c.es, c.e, F.hypot(c.u, c.v)), f"greatest({es_sql} - {e_sql}, 0.0) * sqrt({U} * {U} + {V} * {V})", 3)
 item_query(
     "F5_wet_bulb",
-    ph.wet_bulb_stull(tc, rh),
+    lambda c: ph.wet_bulb_stull(c.tc, c.rh),
     f"{tc_sql} * atan(0.151977 * pow({rh_sql} + 8.313659, 0.5)) + atan({tc_sql} + {rh_sql}) - atan({rh_sql} - 1.676331) + 0.00391838 * pow({rh_sql}, 1.5) * atan(0.023101 * {rh_sql}) - 4.686035",
 )
 r_sql = f"(greatest({Q}, 1e-8) / (1 - greatest({Q}, 1e-8)))"
@@ -59,7 +69,7 @@ el_sql = f"({P} * {r_sql} / (0.622 + {r_sql}))"
 lcl_sql = f"(2840.0 / (3.5 * ln({T}) - ln({el_sql}) - 4.805) + 55.0)"
 item_query(
     "F6_theta_e",
-    ph.theta_e_bolton(t, p, q),
+    lambda c: ph.theta_e_bolton(c.t, c.p, c.q),
     f"{T} * pow(1000.0 / {P}, 0.2854 * (1 - 0.28 * {r_sql})) * exp((3.376 / {lcl_sql} - 0.00254) * 1000.0 * {r_sql} * (1 + 0.81 * {r_sql}))",
     3,
 )
@@ -69,49 +79,46 @@ def haversine_sql(a: str, b: str, c: str, d: str, radius: float) -> str:
     return f"2 * {radius} * asin(least(1.0, sqrt(pow(sin(radians({c} - {a}) / 2), 2.0) + cos(radians({a})) * cos(radians({c})) * pow(sin(radians({d} - {b}) / 2), 2.0))))"
 
 
-item_query("F7_great_circle_km", ph.great_circle(lat, lon, lat2, lon2), haversine_sql(LAT, LON, LAT2, LON2, ph.KM_RADIUS), 3)
-item_query("F7_great_circle_nm", ph.great_circle(lat, lon, lat2, lon2, ph.NM_RADIUS), haversine_sql(LAT, LON, LAT2, LON2, ph.NM_RADIUS), 3)
-item_query("F8_speed", F.hypot(u, v), f"sqrt({U} * {U} + {V} * {V})")
+item_query("F7_great_circle_km", lambda c: ph.great_circle(c.lat, c.lon, c.lat2, c.lon2), haversine_sql(LAT, LON, LAT2, LON2, ph.KM_RADIUS), 3)
+item_query("F7_great_circle_nm", lambda c: ph.great_circle(c.lat, c.lon, c.lat2, c.lon2, ph.NM_RADIUS), haversine_sql(LAT, LON, LAT2, LON2, ph.NM_RADIUS), 3)
+item_query("F8_speed", lambda c: F.hypot(c.u, c.v), f"sqrt({U} * {U} + {V} * {V})")
 dir_sql = f"degrees(atan2({V}, {U}))"
 diff_sql = f"({dir_sql} - l_quantity * 7 + 180.0)"
-item_query("F8_direction_difference", ph.circular_difference(ph.direction(u, v), F.col("l_quantity") * 7), f"(({diff_sql} % 360.0) + 360.0) % 360.0 - 180.0", 3)
-item_query("F9_vapour_transport", F.hypot(u * q * 1000, v * q * 1000), f"sqrt(pow({U} * {Q} * 1000, 2) + pow({V} * {Q} * 1000, 2))", 3)
-item_query("F15_wind_power_law", ph.wind_power_law(F.hypot(u, v), F.lit(80.0) + F.col("l_linenumber")), f"sqrt({U} * {U} + {V} * {V}) * pow((80.0 + l_linenumber) / 10.0, 0.14)")
+item_query("F8_direction_difference", lambda c: ph.circular_difference(ph.direction(c.u, c.v), F.col("l_quantity") * 7), f"(({diff_sql} % 360.0) + 360.0) % 360.0 - 180.0", 3)
+item_query("F9_vapour_transport", lambda c: F.hypot(c.u * c.q * 1000, c.v * c.q * 1000), f"sqrt(pow({U} * {Q} * 1000, 2) + pow({V} * {Q} * 1000, 2))", 3)
+item_query("F15_wind_power_law", lambda c: ph.wind_power_law(F.hypot(c.u, c.v), F.lit(80.0) + F.col("l_linenumber")), f"sqrt({U} * {U} + {V} * {V}) * pow((80.0 + l_linenumber) / 10.0, 0.14)")
 item_query(
     "F16_wind_at_distance",
-    ph.storm_wind_at(F.lit(34.0) + F.col("l_quantity"), F.lit(150.0), F.expr("cast(l_partkey % 200 as double)")),
+    lambda c: ph.storm_wind_at(F.lit(34.0) + F.col("l_quantity"), F.lit(150.0), F.expr("cast(l_partkey % 200 as double)")),
     "CASE WHEN l_partkey % 200 <= 25 THEN 34.0 + l_quantity WHEN l_partkey % 200 <= 150 THEN 34.0 + l_quantity * pow((150.0 - l_partkey % 200) / 125.0, 0.6) END",
 )
 KNOTS = [(34.0, 0.1), (50.0, 0.8), (64.0, 1.9), (83.0, 3.0)]
 x_sql = "(l_quantity * 2.1)"
 knots_sql = f"CASE WHEN {x_sql} < 34 THEN 0.0 WHEN {x_sql} <= 50 THEN 0.1 + 0.7 * ({x_sql} - 34) / 16 WHEN {x_sql} <= 64 THEN 0.8 + 1.1 * ({x_sql} - 50) / 14 WHEN {x_sql} <= 83 THEN 1.9 + 1.1 * ({x_sql} - 64) / 19 ELSE 3.0 END"
-item_query("F17_dose", ph.dose_with_floor(F.col("l_quantity") * 2.1, KNOTS, 34.0), knots_sql)
-item_query("F18_rescaled_share", ph.rescaled_share(F.col("l_quantity"), 1 + F.col("l_discount") * 5), "100.0 * (l_quantity / 100.0) * (1 + l_discount * 5) / (1 + (l_quantity / 100.0) * (l_discount * 5))")
-item_query("F20_combined_removal", ph.combined_removal(F.col("l_discount") * 5, F.col("l_quantity") / 60, 0.9), "least(0.9, 1 - (1 - l_discount * 5) * (1 - l_quantity / 60))")
-item_query("F22_safe_ratio", F.try_divide(F.col("l_extendedprice"), F.col("l_tax")), "l_extendedprice / nullif(l_tax, 0)", 2)
+item_query("F17_dose", lambda c: ph.dose_with_floor(F.col("l_quantity") * 2.1, KNOTS, 34.0), knots_sql)
+item_query("F18_rescaled_share", lambda c: ph.rescaled_share(F.col("l_quantity"), 1 + F.col("l_discount") * 5), "100.0 * (l_quantity / 100.0) * (1 + l_discount * 5) / (1 + (l_quantity / 100.0) * (l_discount * 5))")
+item_query("F20_combined_removal", lambda c: ph.combined_removal(F.col("l_discount") * 5, F.col("l_quantity") / 60, 0.9), "least(0.9, 1 - (1 - l_discount * 5) * (1 - l_quantity / 60))")
+item_query("F22_safe_ratio", lambda c: F.try_divide(F.col("l_extendedprice"), F.col("l_tax")), "l_extendedprice / nullif(l_tax, 0)", 2)
 text_query(
     "F23_quadrant",
-    ph.quadrant(lat2 - lat, lon2 - lon, lat),
+    lambda c: ph.quadrant(c.lat2 - c.lat, c.lon2 - c.lon, c.lat),
     f"CASE WHEN {LAT2} - {LAT} >= 0 AND ({LON2} - {LON}) * cos(radians({LAT})) >= 0 THEN 'NE' WHEN {LAT2} - {LAT} < 0 AND ({LON2} - {LON}) * cos(radians({LAT})) >= 0 THEN 'SE' WHEN {LAT2} - {LAT} < 0 THEN 'SW' ELSE 'NW' END",
 )
 
-DOY, HOUR = "dayofyear(l_shipdate)", "(l_orderkey % 24)"
-s = ph.sun(F.expr(DOY), F.expr(HOUR), lat, lon)
 b_sql = f"(2 * pi() * ({DOY} - 81) / 364.0)"
 eot_sql = f"(9.87 * sin(2 * {b_sql}) - 7.53 * cos({b_sql}) - 1.5 * sin({b_sql}))"
 decl_sql = f"radians(23.45 * sin(2 * pi() * (284 + {DOY}) / 365.0))"
 cosz_sql = f"(sin(radians({LAT})) * sin({decl_sql}) + cos(radians({LAT})) * cos({decl_sql}) * cos(radians(15.0 * ({HOUR} + {LON} / 15.0 + {eot_sql} / 60.0 - 12.0))))"
-item_query("F13_cos_zenith", s["cos_zenith"], cosz_sql)
+item_query("F13_cos_zenith", lambda c: c.sun["cos_zenith"], cosz_sql)
 kt_sql = "(l_quantity / 50.0)"
-kt = F.col("l_quantity") / 50.0
 beam_sql = f"(1 - CASE WHEN {kt_sql} <= 0.22 THEN 1.0 - 0.09 * {kt_sql} WHEN {kt_sql} <= 0.80 THEN 0.9511 - 0.1604 * {kt_sql} + 4.388 * {kt_sql} * {kt_sql} - 16.638 * pow({kt_sql}, 3.0) + 12.336 * pow({kt_sql}, 4.0) ELSE 0.165 END)"
 item_query(
     "F14_direct_normal",
-    ph.direct_normal(F.col("l_quantity") * 20, kt, s["cos_zenith"]),
+    lambda c: ph.direct_normal(F.col("l_quantity") * 20, c.kt, c.sun["cos_zenith"]),
     f"CASE WHEN {cosz_sql} > 0.05233595624294383 THEN l_quantity * 20 * {beam_sql} * least(1.0 / {cosz_sql}, 12.0) ELSE 0.0 END",
     3,
 )
-item_query("F19_scaled_clearness", ph.scaled_clearness(F.col("l_quantity") * 20, s["cos_zenith"], 1 + F.col("l_tax")), f"CASE WHEN {cosz_sql} > 0 THEN least(1.2, (1 + l_tax) * l_quantity * 20 / (1361.0 * {cosz_sql})) END")
+item_query("F19_scaled_clearness", lambda c: ph.scaled_clearness(F.col("l_quantity") * 20, c.sun["cos_zenith"], 1 + F.col("l_tax")), f"CASE WHEN {cosz_sql} > 0 THEN least(1.2, (1 + l_tax) * l_quantity * 20 / (1361.0 * {cosz_sql})) END")
 
 
 @register(
