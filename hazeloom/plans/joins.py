@@ -111,7 +111,7 @@ def j11(spark, sf_dir):
 @register("J12_point_in_polygon")
 def j12(spark, sf_dir):
     """Customers inside a ring around each region's suppliers (bounding box as a pre-join filter, then a ray cast)."""
-    s = points(spark, sf_dir, "supplier", "r_id").withColumn("area", F.col("r_id") % 10)
+    s = points(spark, sf_dir, "supplier", "r_id").withColumn("area", F.col("r_id") % 3)
     box = s.groupBy("area").agg(F.min("lat").alias("y0"), F.max("lat").alias("y1"), F.min("lon").alias("x0"), F.max("lon").alias("x1"))
     ring = F.expr("array(struct(x0 as x, (y0 + y1) / 2 as y), struct((x0 + x1) / 2 as x, y1 as y), struct(x1 as x, (y0 + y1) / 2 as y), struct((x0 + x1) / 2 as x, y0 as y), struct(x0 as x, (y0 + y1) / 2 as y))")
     cells = box.withColumn("ring", ring).withColumn("band", F.explode(F.expr("sequence(cast(floor(y0) as int), cast(floor(y1) as int))")))
