@@ -69,6 +69,28 @@ def stacked(column: pa.ListArray, d: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
 
 
+def equal_vectors(ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """one, copies, some: a row of each distinct vector, the least ids that have it (a row each, as many as can be among k nearest), which of them are filled.
+
+    Rows come sorted by id. At most k rows of an id count, so of 2 k rows k are not the query's own.
+    """
+    _, one, of = np.unique(np.ascontiguousarray(x).view(f"V{x.shape[1] * 8}").ravel(), return_index=True, return_inverse=True)
+    order = np.argsort(of, kind="stable")
+    new_vector = np.concatenate(([True], of[order][1:] != of[order][:-1]))
+    new_id = new_vector | np.concatenate(([True], ids[order][1:] != ids[order][:-1]))
+    at = np.arange(len(order))
+    order = order[at - np.maximum.accumulate(np.where(new_id, at, 0)) < k]
+    new_vector = np.concatenate(([True], of[order][1:] != of[order][:-1]))
+    at = np.arange(len(order))
+    place = at - np.maximum.accumulate(np.where(new_vector, at, 0))
+    copies = np.zeros((len(one), min(2 * k, int(place.max()) + 1)), np.int64)
+    some = np.zeros(copies.shape, bool)
+    fits = place < copies.shape[1]
+    copies[of[order[fits]], place[fits]] = ids[order[fits]]
+    some[of[order[fits]], place[fits]] = True
+    return one, copies, some
+
+
 def nearest(
     vectors: DataFrame,
     *,
@@ -92,7 +114,8 @@ def nearest(
     rows. Lists are gathered into (or, where larger, split over) blocks of about
     ``block_rows`` rows, queries into blocks of ``block_queries``; every pair of blocks is a
     task of bounded size that scores by asymmetric tables, keeps each query's ``shortlist``
-    best and ranks those by exact products of the original vectors in double precision.
+    best vectors with all that tie with the last of them, and ranks those by exact products
+    of the original vectors in double precision. Rows with equal vectors are scored as one.
 
     Null ids and vectors that are null, empty, zero, or hold nulls or non-finite numbers take no
     part, nor do those whose length is not the sample's most frequent. Ties go to the smaller
@@ -169,9 +192,29 @@ def nearest(
         if not mine.num_rows or not theirs.num_rows:
             return empty
         mine = mine.sort_by("vec_id")
-        ids, of_list = mine["vec_id"].to_numpy(), mine["list"].to_numpy()
         x = stacked(mine["v"].combine_chunks(), d)
-        codes = np.frombuffer(b"".join(mine["codes"].to_pylist()), np.uint8).reshape(len(ids), -1)
+        one, copies, some = equal_vectors(mine["vec_id"].to_numpy(), x, k)
+        first = copies[:, 0]
+        differs = some & (copies != first[:, None])
+        has_second, second = differs.any(1), copies[np.arange(len(copies)), differs.argmax(1)]
+        x, of_list = x[one], mine["list"].to_numpy()[one]
+        codes = np.frombuffer(b"".join(mine["codes"].to_pylist()), np.uint8).reshape(mine.num_rows, -1)[one]
+
+        def ranked(q: np.ndarray, q_ids: np.ndarray, best: np.ndarray, score: np.ndarray) -> pa.Table:
+            """The k rows of largest exact product, least id first on ties, of each query's best vectors."""
+            exact = np.einsum("qnd,qd->qn", x[best], q)
+            exact[~np.isfinite(np.take_along_axis(score, best, 1))] = -np.inf
+            least = np.where(first[best] == q_ids[:, None], second[best], first[best])
+            order = np.lexsort((least, -exact))[:, :k]
+            exact, best = np.take_along_axis(exact, order, 1), np.take_along_axis(best, order, 1)
+            of = copies[best]
+            ok = some[best] & (of != q_ids[:, None, None]) & np.isfinite(exact)[:, :, None]
+            exact, of = np.where(ok, exact[:, :, None], -np.inf).reshape(len(q), -1), of.reshape(len(q), -1)
+            order = np.lexsort((of, -exact))[:, :k]
+            exact, of = np.take_along_axis(exact, order, 1), np.take_along_axis(of, order, 1)
+            ok = np.isfinite(exact)
+            return pa.table([np.repeat(q_ids, ok.sum(1)), of[ok], exact[ok]], schema=kept)
+
         q_ids, q = theirs["query_id"].to_numpy(), stacked(theirs["q"].combine_chunks(), d)
         out = []
         for at in range(0, len(q), 256):
@@ -180,17 +223,14 @@ def nearest(
             for m, t in enumerate(index.value.tables(part)):
                 score += t[:, codes[:, m]]
             score[~probed(part)[:, of_list]] = -np.inf
-            score[part_ids[:, None] == ids] = -np.inf
-            n = min(shortlist, len(ids))
+            score[(first == part_ids[:, None]) & ~has_second] = -np.inf  # the query's own rows only
+            n = min(shortlist, len(x))
             best = np.argpartition(-score, n - 1, 1)[:, :n]
-            best.sort(1)  # by id, so that ties stay in the order of ids
-            ok = np.isfinite(np.take_along_axis(score, best, 1))
-            exact = np.einsum("qnd,qd->qn", x[best], part)
-            exact[~ok] = -np.inf
-            order = np.argsort(-exact, 1, kind="stable")[:, :k]
-            exact, best = np.take_along_axis(exact, order, 1), np.take_along_axis(best, order, 1)
-            ok = np.isfinite(exact)
-            out.append(pa.table([np.repeat(part_ids, ok.sum(1)), ids[best[ok]], exact[ok]], schema=kept))
+            last = np.take_along_axis(score, best, 1).min(1)
+            tied = np.isfinite(last) & ((score >= last[:, None]).sum(1) > n)
+            out.append(ranked(part[~tied], part_ids[~tied], best[~tied], score[~tied]))
+            for i in np.flatnonzero(tied):
+                out.append(ranked(part[i : i + 1], part_ids[i : i + 1], np.flatnonzero(score[i] >= last[i])[None], score[i : i + 1]))
         return pa.concat_tables(out) if out else empty
 
     found = stored.groupBy("block", "part").cogroup(queries.groupBy("block", "part")).applyInArrow(search, result)

@@ -58,3 +58,21 @@ def test_many_copies_of_one_vector(spark):
         got.setdefault(r.query_id, []).append(r.vec_id)
     assert all(len(v) == 20 for v in got.values())
     assert sum(len(set(got[q]) & {w[0] for w in want[q]}) for q in want) >= 0.9 * 20 * len(want)
+
+
+def test_more_ties_than_the_shortlist_in_one_block(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(900, 8))
+    x[300:700] = x[300]
+    x[700:] = x[700] * (1 + 1e-12 * rng.permutation(200)[:, None])  # distinct vectors with equal codes
+    ids = rng.permutation(900).tolist()
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<double>")
+    want, got = brute(ids, x, 20, 20), {}
+    for r in nearest(table, probe_share=1.0).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id))
+    copied = {i: sorted(j for j in ids[300:700] if j != i)[:20] for i in ids[300:700] if i % 20 == 0}
+    for q, first in copied.items():
+        if want[q][0][0] in first:
+            assert [v for _, v in sorted(got[q])] == first
+    for q in (i for i in ids[700:] if i % 20 == 0):
+        assert len({v for _, v in got[q]} & {w[0] for w in want[q]}) >= 18
