@@ -34,15 +34,24 @@ FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <
 
 
 def parse_expression(text: str) -> list[str]:
-    """A licence expression in postfix order; empty if it isn't one.
+    """A licence expression in postfix order; empty if it isn't one, or if a further word or bracket follows.
 
     What follows the longest leading run of tokens (such as an end of comment) is ignored.
     """
+    postfix, end = leading_expression(text)
+    return [] if TOKEN.match(text, end) else postfix
+
+
+def leading_expression(text: str) -> tuple[list[str], int]:
+    """The licence expression that a text begins with, in postfix order (empty if it has none), and where it ends.
+
+    It ends before a word that is no operator, where none is due, and before a bracket that closes nothing.
+    """
     out: list[str] = []
     wait: list[str] = []
     operand, at = True, 0  # operand: one is due next
     while m := TOKEN.match(text, at):
-        word, at = m[1], m.end()
+        word = m[1]
         op = word.upper()
         if operand and word == "(":
             wait.append(word)
@@ -58,13 +67,14 @@ def parse_expression(text: str) -> list[str]:
             while wait and wait[-1] != "(":
                 out.append(wait.pop())
             if not wait:
-                return []
+                break
             wait.pop()
         else:
-            return []
+            break
+        at = m.end()
     if operand or "(" in wait:
-        return []
-    return out + wait[::-1]
+        return [], at
+    return out + wait[::-1], at
 
 
 def permits(postfix: list[str], allowed: frozenset[str]) -> bool | None:
@@ -122,8 +132,9 @@ class Scanner:
         found, permitted = [], None
         if tags:
             for m in TAG.finditer(text.decode()):
-                if postfix := parse_expression(m[1]):
-                    found.append(m[1].strip())
+                postfix, end = leading_expression(m[1])
+                if postfix:
+                    found.append(m[1][:end].strip())
                     labels.update(identifiers(postfix))
                     permitted = permits(postfix, self.allowed) and permitted is not False
                     hits += 1

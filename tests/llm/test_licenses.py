@@ -43,3 +43,14 @@ def test_expressions():
     assert permits(parse_expression("MIT OR x"), ALLOWED) and not permits(parse_expression("MIT AND x"), ALLOWED)
     assert permits(parse_expression("MIT WITH x"), ALLOWED) and permits([], ALLOWED) is None
     assert identifiers(parse_expression("A WITH e OR B")) == ["a", "b"]
+
+
+def test_tags_followed_by_words(spark):
+    texts = [
+        "SPDX-License-Identifier: MIT License for all of it", "see (SPDX-License-Identifier: MIT) there", "SPDX-License-Identifier: (MIT OR x) AND Apache-2.0 text of one line",
+        "SPDX-License-Identifier: GPL-2.0-only", "SPDX-License-Identifier: (MIT", "SPDX-License-Identifier: MIT OR", "// SPDX-License-Identifier: MIT */",
+    ]
+    got = scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert [(r.labels, r.expressions, r.permitted) for r in sorted(got)] == [
+        ("mit", ["MIT"], True), ("mit", ["MIT"], True), ("apache-2.0,mit,x", ["(MIT OR x) AND Apache-2.0"], True), ("gpl-2.0-only", ["GPL-2.0-only"], False), ("", [], None), ("", [], None), ("mit", ["MIT"], True),
+    ]
