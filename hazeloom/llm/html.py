@@ -136,13 +136,12 @@ def blocks(html: str) -> list[tuple[str, int, tuple[tuple[int, str, str], ...]]]
     return out
 
 
-def best_container(found: list) -> tuple[str, float] | None:
-    """Path and score of a page's main container.
+def own_score(text: str, linked: int) -> float:
+    return max(0, len(text) - 2 * linked)
 
-    A block scores its characters outside links. From the outermost container the choice
-    goes inward as long as one container inside has three quarters of the score, up to an
-    `article`.
-    """
+
+def article_container(found: list) -> tuple[str, float] | None:
+    """Path and score of a page's main `article`, where containers with three quarters of the score lead to one."""
     score: dict[int, float] = defaultdict(float)
     inside: dict[int, set[int]] = defaultdict(set)
     what: dict[int, tuple[str, str]] = {}
@@ -150,7 +149,7 @@ def best_container(found: list) -> tuple[str, float] | None:
     for text, linked, holders in found:
         before = None
         for number, tag, path in holders:
-            score[number] += max(0, len(text) - 2 * linked)
+            score[number] += own_score(text, linked)
             what[number] = (tag, path)
             (inside[before] if before is not None else outer).add(number)
             before = number
@@ -162,7 +161,42 @@ def best_container(found: list) -> tuple[str, float] | None:
         if score[best] < 0.75 * score[here]:
             break
         here = best
-    return what[here][1], score[here]
+    return (what[here][1], score[here]) if what[here][0] == "article" else None
+
+
+def best_container(found: list) -> tuple[str, float] | None:
+    """Path and score of a page's main container; None if only the whole page holds its text.
+
+    A block scores its characters outside links (twice those inside count against it). A
+    page's main `article` is chosen if it has one. Else the choice goes from the whole page
+    inward as long as no block that scores is left out, except that a `div` next to one with
+    three quarters of the score may be where both are parts of the page's frame (in the body
+    or in no container).
+    """
+    if article := article_container(found):
+        return article
+    rows, here, tag, level = found, None, "body", 0
+    while True:
+        score: dict[str, float] = defaultdict(float)
+        tags: dict[str, str] = {}
+        for text, linked, holders in rows:
+            if len(holders) > level:
+                _, inner_tag, path = holders[level]
+                score[path] += own_score(text, linked)
+                tags[path] = inner_tag
+        total = sum(own_score(text, linked) for text, linked, _ in rows)
+        best = max(score, key=score.__getitem__, default=None)
+        if best is None or not score[best]:
+            break
+        inner, left = [], []
+        for row in rows:
+            at = row[2][level] if len(row[2]) > level else None
+            (inner if at and at[2] == best else left).append((row, at))
+        left = [at for row, at in left if own_score(*row[:2])]
+        if left and not (tag == "body" and score[best] >= 0.75 * total and all(at and at[1] == "div" for at in left)):
+            break
+        rows, here, tag, level = [row for row, _ in inner], best, tags[best], level + 1
+    return None if here is None else (here, total)
 
 
 def main_text(found: list, path: str | None) -> str:

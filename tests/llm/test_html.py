@@ -25,6 +25,20 @@ def test_pages_without_article_and_broken_markup():
     assert text("<body><p>" + "<b>" * 3000 + "deep</body>") == "deep"
 
 
+def test_title_and_lead_beside_the_body_without_article(spark):
+    body, menu = "<p>" + "story " * 60 + "</p>", "<div class='top'><a href='/'>home page of the site</a></div>"
+    inside = "<h1>Title here</h1><p>A lead of some words.</p><div class='text'><div class='inner'>" + body + "</div></div>"
+    want = "Title here\nA lead of some words.\n" + ("story " * 60).strip()
+    pages = [f"<body>{menu}<{a}>{inside}</{b}></body>" for a, b in (("main", "main"), ("div class='post'", "div"), ("section", "section"))] + [inside, f"<body>{menu}{inside}</body>"]
+    for html in pages[:4]:
+        assert text(html) == want
+    assert text(pages[4]) == "home page of the site\n" + want
+    nested = f"<body>{menu}<main><section><h2>One</h2>{body}</section><section><div><p>Two is short.</p></div></section></main></body>"
+    assert text(nested) == "One\n" + ("story " * 60).strip() + "\nTwo is short."
+    got = extract_pages(spark.createDataFrame([(i, "http://a.b/x", pages[1]) for i in range(3)], "page_id long, url string, html string")).collect()
+    assert [r.text for r in got] == [want] * 3
+
+
 def test_hosts_vote(spark):
     good = "<body><div class='main'><p>" + "story " * 40 + "</p></div><div class='more'><p>" + "x " * 9 + "</p></div></body>"
     odd = "<body><div class='main'><p>short</p></div><div class='more'><p>" + "y " * 400 + "</p></div></body>"
