@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from hazeloom.llm.common import cut, words_of
 
-#: What is measured, how far above the upper quartile a document may lie in quartile distances,
-#: and the least distance that counts at all (in the measure's unit).
+#: What is measured, how far above the upper quartile a document may lie in quartile distances
+#: (of one bucket of the sketch at least), and the least fence, for groups whose quartiles are
+#: near 0 (in the measure's unit; that of repeats lies below the base rule's 300).
 #: length: code points per 100 words; symbols, lines, repeats: per mille of words or lines.
-FENCES = {"length": (6, 600), "symbols": (6, 100), "lines": (6, 500), "repeats": (6, 300)}
+FENCES = {"length": (6, 0), "symbols": (6, 50), "lines": (6, 150), "repeats": (6, 100)}
 
 
 def text_features(docs: DataFrame, text_col: str, *, window: int = 8) -> DataFrame:
@@ -60,11 +61,15 @@ def measures() -> dict[str, Column]:
     }
 
 
-def bucket(value: Column, *, bits: int = 7) -> Column:
-    """The lower end of a sketch's bucket: whole numbers cut to their ``bits`` leading bits (at most 1.6 % low)."""
+def bucket_width(value: Column, *, bits: int = 7) -> Column:
+    """The width of the sketch's bucket that a whole number lies in."""
     shift = F.greatest(F.lit(0), F.length(F.bin(value)) - bits)
-    power = F.pow(F.lit(2.0), shift).cast("long")
-    return value - value % power
+    return F.pow(F.lit(2.0), shift).cast("long")
+
+
+def bucket(value: Column) -> Column:
+    """The lower end of a sketch's bucket: whole numbers cut to their leading bits (at most 1.6 % low)."""
+    return value - value % bucket_width(value)
 
 
 def quantile_sketches(features: DataFrame, groups: list[str]) -> DataFrame:
@@ -78,7 +83,7 @@ def quantile_sketches(features: DataFrame, groups: list[str]) -> DataFrame:
 
 
 def fences(sketches: DataFrame, groups: list[str]) -> DataFrame:
-    """groups and one column max_<measure> each: upper quartile + factor * max(quartile distance, least)."""
+    """groups and one column max_<measure> each: upper quartile + factor * max(quartile distance, a bucket's width), or the least fence."""
     upto = Window.partitionBy(*groups, "measure").orderBy("low").rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy(*groups, "measure")
     ranked = sketches.withColumn("upto", F.sum("n").over(upto)).withColumn("all", F.sum("n").over(whole))
@@ -86,9 +91,9 @@ def fences(sketches: DataFrame, groups: list[str]) -> DataFrame:
         F.min(F.when(F.col("upto") * 4 >= F.col("all"), F.col("low"))).alias("q1"),
         F.min(F.when(F.col("upto") * 4 >= F.col("all") * 3, F.col("low"))).alias("q3"),
     )
-    spread = F.col("q3") - F.col("q1")
+    spread = F.greatest(F.col("q3") - F.col("q1"), bucket_width(F.col("q3")))
     limits = [
-        F.max(F.when(F.col("measure") == name, F.col("q3") + F.greatest(spread * factor, F.lit(least)))).alias(f"max_{name}")
+        F.max(F.when(F.col("measure") == name, F.greatest(F.col("q3") + spread * factor, F.lit(least)))).alias(f"max_{name}")
         for name, (factor, least) in FENCES.items()
     ]
     return quartiles.groupBy(*groups).agg(*limits)

@@ -43,3 +43,21 @@ def test_keep_good_returns_whole_rows(spark):
     assert good.columns == docs.columns
     assert {r.n_words for r in good.collect()} == {-1} and good.count() % 2 == 0
     assert keep_good(docs.limit(0)).count() == 0
+
+
+def test_each_fence_rejects_below_the_base_rule(spark):
+    rng = random.Random(4)
+    words = lambda n, c=6: [f"{rng.randrange(10 ** (c - 1), 10**c)}" for _ in range(n)]
+    lines = lambda w, n: "\n".join(" ".join(w[i : i + n]) for i in range(0, len(w), n))
+    again = words(24)
+    odd = {
+        "length": lines(words(100, 8), 5),
+        "symbols": lines([w + "%" * (i % 10 == 0) for i, w in enumerate(words(100))], 5),
+        "lines": lines(words(60), 5) + "\nsame" * 6,
+        "repeats": " ".join(words(40) + again + words(50) + again + words(40)),
+    }
+    texts = [lines(words(100), 5) for _ in range(80)] + list(odd.values())
+    docs = spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
+    got = sorted(quality_rules(docs).collect())
+    assert not any(r.base_failed for r in got)
+    assert [r.doc_id for r in got if not r.kept] == list(range(80, 84))
