@@ -38,14 +38,20 @@ def redistribute(df: DataFrame, group: Sequence[str], share: str, total: str, fi
     return df.withColumn("allotted", F.coalesce(F.col(fixed), rest * F.col(share) / open_share))
 
 
-def proportional_fit(cells: DataFrame, rows: DataFrame, columns: DataFrame, *, sweeps: int, cut_every: int = 10) -> DataFrame:
-    """cells(i, j, x) scaled in turn to rows(i, r) and columns(j, c); lineage is cut by checkpoint() every few sweeps."""
-    for k in range(sweeps):
+def proportional_fit(cells: DataFrame, rows: DataFrame, columns: DataFrame, *, sweeps: int = 200, tolerance: float = 1e-9) -> DataFrame:
+    """cells(i, j, x) scaled in turn to rows(i, r) and columns(j, c), until no row is off by ``tolerance`` of all rows' total.
+
+    It is an error if ``sweeps`` do not get there (as with margins of unequal totals). Lineage is cut in each.
+    """
+    total = rows.agg(F.sum("r")).first()[0] or 0.0
+    for _ in range(sweeps):
         cells = cells.join(rows, "i").withColumn("x", F.col("x") * F.coalesce(F.try_divide(F.col("r"), F.sum("x").over(Window.partitionBy("i"))), F.lit(0.0))).drop("r")
         cells = cells.join(columns, "j").withColumn("x", F.col("x") * F.coalesce(F.try_divide(F.col("c"), F.sum("x").over(Window.partitionBy("j"))), F.lit(0.0))).drop("c")
-        if k % cut_every == cut_every - 1:
-            cells = cells.checkpoint()
-    return cells
+        cells = cells.checkpoint()
+        off = cells.groupBy("i").agg(F.sum("x").alias("x")).join(rows, "i").agg(F.max(F.abs(F.col("x") - F.col("r")))).first()[0] or 0.0
+        if off <= tolerance * total:
+            return cells
+    raise RuntimeError(f"no convergence to {tolerance} in {sweeps} sweeps: {off} of {total}")
 
 
 def anchor_to_totals(df: DataFrame, by: str, year: Column, value: str, base_year: int, control: DataFrame) -> DataFrame:

@@ -90,23 +90,33 @@ def ols_hc1(df: DataFrame, xs: Sequence[str], y: str) -> DataFrame:
     return spark.createDataFrame([("intercept" if x == "_one" else x, float(c), float(s)) for x, c, s in zip(names, beta, se, strict=True)], "term string, beta double, se double")
 
 
-def within(df: DataFrame, columns: Sequence[str], g1: str, g2: str, *, sweeps: int, weight: str | None = None, cut_every: int = 4) -> DataFrame:
-    """Columns less their (weighted) means by two groupings in turn: alternating projections, lineage cut every few sweeps."""
+def within(df: DataFrame, columns: Sequence[str], g1: str, g2: str, *, sweeps: int = 400, tolerance: float = 1e-11, weight: str | None = None) -> DataFrame:
+    """Columns less their (weighted) means by two groupings in turn: alternating projections.
+
+    Sweeps go on until none changes a column by more than ``tolerance`` of its largest value;
+    it is an error if ``sweeps`` of them do not get there. Lineage is cut in each.
+    """
     w = F.col(weight) if weight else F.lit(1.0)
-    for k in range(sweeps):
+    largest = lambda df, of: [x or 0.0 for x in df.agg(*[F.max(F.abs(of(c))) for c in columns]).first()]
+    scale = largest(df, F.col)
+    for _ in range(sweeps):
+        df = df.withColumns({f"_b_{c}": F.col(c) for c in columns})
         for g in (g1, g2):
             means = df.groupBy(g).agg(*[(F.sum(w * F.col(c)) / F.sum(w)).alias(f"_m_{c}") for c in columns])
             df = df.join(means, g)
             df = df.withColumns({c: F.col(c) - F.col(f"_m_{c}") for c in columns}).drop(*[f"_m_{c}" for c in columns])
-        if k % cut_every == cut_every - 1:
-            df = df.checkpoint()
-    return df
+        df = df.checkpoint()
+        change = largest(df, lambda c: F.col(c) - F.col(f"_b_{c}"))
+        df = df.drop(*[f"_b_{c}" for c in columns])
+        if all(x <= tolerance * y for x, y in zip(change, scale, strict=True)):
+            return df
+    raise RuntimeError(f"no convergence to {tolerance} in {sweeps} sweeps: {change} of {scale}")
 
 
-def two_way_effects(df: DataFrame, xs: Sequence[str], y: str, g1: str, g2: str, *, sweeps: int = 8) -> DataFrame:
+def two_way_effects(df: DataFrame, xs: Sequence[str], y: str, g1: str, g2: str, *, sweeps: int = 400) -> DataFrame:
     """term, beta, se: slopes with both groupings absorbed, errors clustered by the first grouping."""
     spark = df.sparkSession
-    flat = within(df.select(g1, g2, *xs, y), [*xs, y], g1, g2, sweeps=sweeps).checkpoint()
+    flat = within(df.select(g1, g2, *xs, y), [*xs, y], g1, g2, sweeps=sweeps)
     a, b, n = gramian(flat, xs, y)
     beta = np.linalg.solve(a, b)
     e = F.col(y) - sum((F.lit(float(c)) * F.col(x) for c, x in zip(beta, xs, strict=True)), F.lit(0.0))
@@ -117,24 +127,52 @@ def two_way_effects(df: DataFrame, xs: Sequence[str], y: str, g1: str, g2: str,
     return spark.createDataFrame([(x, float(c), float(s)) for x, c, s in zip(xs, beta, se, strict=True)], "term string, beta double, se double")
 
 
-def poisson_effects(df: DataFrame, xs: Sequence[str], y: str, g1: str, g2: str, *, steps: int = 6, sweeps: int = 4) -> DataFrame:
-    """term, beta: Poisson pseudo-likelihood with both groupings absorbed.
+def poisson_effects(df: DataFrame, xs: Sequence[str], y: str, g1: str, g2: str, *, steps: int = 20, sweeps: int = 400, tolerance: float = 1e-4) -> DataFrame:
+    """term, beta, se: Poisson pseudo-likelihood with both groupings absorbed, errors clustered by both.
 
     Each step makes working response and weights by expression, takes weighted group means
-    out, and solves the k x k system; the linear predictor is z less its residual.
+    out, and solves the k x k system; the linear predictor is z less its residual. A step is
+    halved while the deviance rises against the fit before. Steps end when the slopes change by
+    less than ``tolerance``, after the fifth at the earliest; it is an error if ``steps`` do not
+    get there.
     """
     spark = df.sparkSession
+    flats = [f"_x_{x}" for x in xs]
+
+    def projected(now: DataFrame) -> DataFrame:
+        work = now.withColumn("_w", F.greatest(F.exp("_eta"), F.lit(1e-10))).withColumn("_z", F.col("_eta") + (F.col(y) - F.exp("_eta")) / F.col("_w"))
+        kept = work.withColumns({f: F.col(x) for f, x in zip(flats, xs, strict=True)}).withColumn("_zr", F.col("_z"))
+        return within(kept, [*flats, "_zr"], g1, g2, sweeps=sweeps, weight="_w")
+
+    def fitted(flat: DataFrame, beta: np.ndarray) -> DataFrame:
+        residual = F.col("_zr") - sum((F.lit(float(c)) * F.col(f) for c, f in zip(beta, flats, strict=True)), F.lit(0.0))
+        eta = F.least(F.greatest(F.col("_z") - residual, F.lit(-50.0)), F.lit(25.0))
+        return flat.withColumn("_eta", eta).select(g1, g2, *xs, y, "_eta")
+
+    deviance = F.sum(2 * (F.when(F.col(y) > 0, F.col(y) * (F.log(F.col(y)) - F.col("_eta"))).otherwise(0.0) - (F.col(y) - F.exp("_eta"))))
     now = df.select(g1, g2, *xs, y).withColumn("_eta", F.log(F.col(y) + 0.1)).checkpoint()
-    beta = np.zeros(len(xs))
-    for _ in range(steps):
-        work = now.withColumn("_w", F.exp("_eta")).withColumn("_z", F.col("_eta") + (F.col(y) - F.col("_w")) / F.col("_w"))
-        kept = work.withColumns({f"_x_{x}": F.col(x) for x in xs}).withColumn("_zr", F.col("_z"))
-        flat = within(kept, [*[f"_x_{x}" for x in xs], "_zr"], g1, g2, sweeps=sweeps, weight="_w").checkpoint()
-        a, b, _ = gramian(flat, [f"_x_{x}" for x in xs], "_zr", "_w")
-        beta = np.linalg.solve(a, b)
-        residual = F.col("_zr") - sum((F.lit(float(c)) * F.col(f"_x_{x}") for c, x in zip(beta, xs, strict=True)), F.lit(0.0))
-        now = flat.withColumn("_eta", F.col("_z") - residual).select(g1, g2, *xs, y, "_eta").checkpoint()
-    return spark.createDataFrame([(x, float(c)) for x, c in zip(xs, beta, strict=True)], "term string, beta double")
+    beta, before = np.zeros(len(xs)), math.inf
+    for step in range(steps):
+        flat = projected(now)
+        a, b, _ = gramian(flat, flats, "_zr", "_w")
+        move = np.linalg.solve(a, b) - beta
+        for half in range(12):
+            to = beta + move / 2**half
+            now = fitted(flat, to).checkpoint()
+            dev = now.agg(deviance).first()[0]
+            if dev <= before * (1 + 1e-12):
+                break
+        change, beta, before = np.abs(to - beta).max() / max(1.0, np.abs(to).max()), to, dev
+        if change < tolerance and step >= 4:
+            break
+    else:
+        raise RuntimeError(f"no convergence to {tolerance} in {steps} steps: {change}")
+    flat = projected(now)
+    scores = flat.withColumns({f: F.col(f) * (F.col(y) - F.exp("_eta")) for f in flats}).select(g1, g2, *flats)
+    meat = [gramian(scores.groupBy(*g).agg(*[F.sum(f).alias(f) for f in flats]).withColumn("_z", F.lit(0.0)), flats, "_z")[0] for g in ([g1], [g2], [g1, g2])]
+    bread = np.linalg.inv(gramian(flat, flats, "_zr", "_w")[0])
+    se = np.sqrt(np.maximum(np.diag(bread @ (meat[0] + meat[1] - meat[2]) @ bread), 0.0))
+    return spark.createDataFrame([(x, float(c), float(e)) for x, c, e in zip(xs, beta, se, strict=True)], "term string, beta double, se double")
 
 
 def t_tail(t: float, df: float) -> float:

@@ -98,7 +98,7 @@ def c10(spark, sf_dir):
     ensure_checkpoint_dir(spark)
     li = table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("i"), F.col("l_linenumber").alias("j")).agg(F.sum("l_quantity").alias("x"), F.sum("l_extendedprice").alias("p")).checkpoint()
     r, c = li.groupBy("i").agg(F.sum("p").alias("r")), li.groupBy("j").agg(F.sum("p").alias("c"))
-    return cal.proportional_fit(li.select("i", "j", "x"), r, c, sweeps=5, cut_every=1).select("i", "j", F.round("x", 2).alias("x"))
+    return cal.proportional_fit(li.select("i", "j", "x"), r, c).select("i", "j", F.round("x", 2).alias("x"))
 
 
 @register("C11_sector_split", "WITH h AS (SELECT event_type AS k, hour(ts) AS h, sum(value) AS v FROM events GROUP BY ALL), f AS (SELECT *, v / sum(v) OVER (PARTITION BY k) AS shape FROM h), a AS (SELECT event_type AS k, count(*) / (SELECT count(*) FROM events)::DOUBLE AS frac FROM events GROUP BY 1) SELECT f.k, h::BIGINT AS h, round(frac * shape / sum(frac * shape) OVER (PARTITION BY h), 6) AS share FROM f JOIN a ON f.k = a.k")

@@ -88,7 +88,7 @@ def t9(spark, sf_dir):
     """Slopes with supplier and month effects; variance by supplier, by month, less by both."""
     ensure_checkpoint_dir(spark)
     li = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("unit"), F.trunc("l_shipdate", "month").alias("month"), F.col("l_quantity").alias("x"), F.col("l_extendedprice").alias("y"))
-    flat = st.within(li, ["x", "y"], "unit", "month", sweeps=4).checkpoint()
+    flat = st.within(li, ["x", "y"], "unit", "month")
     a, b, _ = st.gramian(flat, ["x"], "y")
     beta = float(b[0] / a[0, 0])
     score = flat.withColumn("s", F.col("x") * (F.col("y") - beta * F.col("x")))

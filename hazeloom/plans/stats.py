@@ -81,7 +81,7 @@ def t8(spark, sf_dir):
 def t10(spark, sf_dir):
     ensure_checkpoint_dir(spark)
     li = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("unit"), F.date_format("l_shipdate", "yyyy-MM").alias("month"), F.col("l_quantity").alias("q"), F.col("l_discount").alias("d"), F.col("l_extendedprice").alias("y"))
-    return st.two_way_effects(li, ["q", "d"], "y", "unit", "month", sweeps=4).select("term", F.round("beta", 3).alias("beta"), F.round("se", 3).alias("se"))
+    return st.two_way_effects(li, ["q", "d"], "y", "unit", "month").select("term", F.round("beta", 3).alias("beta"), F.round("se", 3).alias("se"))
 
 
 @register("T11_event_study")
@@ -98,7 +98,7 @@ def t11(spark, sf_dir):
 def t12(spark, sf_dir):
     ensure_checkpoint_dir(spark)
     rows = daily(spark, sf_dir).groupBy("unit", F.trunc("day", "month").alias("month")).agg(F.sum("n").alias("y"), (F.avg("v") / 50).alias("x"))
-    return st.poisson_effects(rows, ["x"], "y", "unit", "month", steps=4, sweeps=3).select("term", F.round("beta", 5).alias("beta"))
+    return st.poisson_effects(rows, ["x"], "y", "unit", "month").select("term", F.round("beta", 5).alias("beta"), F.round("se", 5).alias("se"))
 
 
 @register("T14_design_screening", f"WITH {DAILY} SELECT unit, count(*) FILTER (v > 60)::BIGINT AS cells, sum(CASE WHEN v > 60 THEN price ELSE 0 END) > 0 AND count(*) FILTER (v > 60) >= 30 AS kept FROM daily GROUP BY 1")
