@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 from html import unescape
 
 import pyarrow as pa
@@ -15,198 +16,316 @@ from hazeloom.llm.common import cut
 from hazeloom.llm.urls import url_host
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe template svg math".split())
+#: Elements whose content is no markup, up to their end tag.
+RAW = frozenset("script style textarea title iframe noembed noframes".split())
+#: Elements that a slash at the end of the start tag closes.
+FOREIGN = frozenset("svg math path g circle rect line polygon polyline ellipse use defs stop mi mo mn mtext mspace mrow".split())
 BLOCK = frozenset(
     "address article aside blockquote body canvas center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 "
     "head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 CONTAINER = frozenset("article main section div td body".split())
-#: Elements that are never main text, and words of classes, ids and roles that mark such elements.
-SKIP = frozenset("head script style textarea title noscript iframe template svg math nav header footer aside form button select menu dialog".split())
+#: Elements that are never main text.
+SKIP = frozenset("head script style textarea title noscript iframe noembed noframes template svg annotation annotation-xml nav header footer aside form button select menu dialog".split())
+#: What a class, id or role says an element is: its last word, after words that only say that it is a part of the page.
 SKIP_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments complementary contentinfo cookie cookies disqus footer header "
+    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies disqus footer header "
     "masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo promoted related search share sharing sidebar signup social sponsor sponsored subscribe widget".split()
 )
+PART_WORDS = frozenset(
+    "area articles bar block body box button buttons col container content form group holder inner item items link links list outer panel posts row section slot stories text thread unit wrap wrapper".split()
+)
+#: A header of these is the head of the text, not of the page.
+TEXT_WORDS = frozenset("article chapter content entry post section story".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: What a start tag closes if it is open: (open element, at most up to).
 CLOSES = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr", "table tbody thead tfoot"), "td": ("td th", "tr"), "th": ("td th", "tr"), "option": ("option", "select")}
-CLOSES = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in CLOSES.items()}
-
-PIECE = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S)
-MARK = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-RAW_END = {t: re.compile(rf"</{t}\s*>|\Z", re.I) for t in RAW}
-
-
-class Element:
-    __slots__ = ("tag", "step", "path", "skip", "link", "id")
-
-    def __init__(self, tag: str, step: str, parent: Element | None, number: int):
-        self.tag, self.step, self.id = tag, step, number
-        self.path = f"{parent.path}>{step}" if parent and tag in CONTAINER else step if parent is None else parent.path
-        self.skip = bool(parent and parent.skip)
-        self.link = tag == "a" or bool(parent and parent.link)
-
-
-def blocks(html: str) -> list[tuple[str, int, tuple[tuple[int, str, str], ...]]]:
-    """(text, characters in links, containers around it from outside in: number, tag, generalised path) of each main-text block.
-
-    A generalised path has the tags and first classes of the containers around, digits as #.
+CLOSES = {k: (a.split(), b.split()) for k, (a, b) in CLOSES.items()}
+
+NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+#: The attributes and the end of a tag, where they are written well.
+PLAIN = re.compile(r"((?:\s++[^\s\"'<>/=]++(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s\"'=<>`]++))?+)*+)\s*+(/?)>")
+ATTRIBUTE = re.compile(r"[\s/]*+(?:(=?[^\s/>=]*+)(\s*+=\s*+)?+)?+")
+MARK = re.compile(r"(?<![^\s\"'])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+COMMENT_END = re.compile(r"--!?>")
+RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*+>|\Z", re.I) for t in RAW}
+HUMP = re.compile(r"([a-z])([A-Z])")
+
+
+@lru_cache(100_000)
+def says_skip(tag: str, names: str) -> bool:
+    """Whether classes, ids or roles name a part of the page that is no main text."""
+    for name in names.split():
+        words = re.findall(r"[a-z]+", HUMP.sub(r"\1-\2", name).lower())
+        while len(words) > 1 and words[-1] in PART_WORDS:
+            words.pop()
+        if words and words[-1] in SKIP_WORDS and not (words[-1] == "header" and (tag in HEADINGS or TEXT_WORDS & set(words[:-1]))):
+            return True
+    return False
+
+
+def tag_end(html: str, at: int) -> tuple[str, str, bool]:
+    """(end, class, id and role, whether a slash closes it) of the tag whose name ends at ``at``, by HTML's rules for attributes.
+
+    A quoted value without its second quote counts as unquoted. A tag that nothing closes is left out (end 0).
     """
-    out = []
-    stack = [Element("", "", None, 0)]
-    text: list[str] = []
-    linked = 0
-    number = 0
-    holders: dict[int, tuple] = {}
-
-    def around() -> tuple:
-        top = stack[-1].id
-        if top not in holders:
-            holders[top] = tuple((e.id, e.tag, e.path) for e in stack if e.tag in CONTAINER)
-        return holders[top]
-
-    def flush() -> None:
-        nonlocal linked
-        if text:
-            if words := " ".join("".join(text).split()):
-                out.append((words, linked, around()))
-            text.clear()
-        linked = 0
-
-    def add(raw: str) -> None:
-        nonlocal linked
-        top = stack[-1]
-        if not top.skip and raw:
-            text.append(unescape(raw) if "&" in raw else raw)
-            if top.link:
-                linked += len(raw)
-
-    def close(to: int) -> None:
-        if any(e.tag in BLOCK for e in stack[to:]):
-            flush()
-        del stack[to:]
-
-    at = 0
-    while m := PIECE.search(html, at):
-        add(html[at : m.start()])
-        at = m.end()
-        if not m[2]:
-            continue
-        tag = m[2].lower()
-        if m[1]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    close(i)
-                    break
-                if tag not in BLOCK and stack[i].tag in BLOCK:
-                    break
-            continue
-        if tag in BLOCK:
-            for i in range(len(stack) - 1, 0, -1):  # a paragraph ends where a block begins
-                if stack[i].tag == "p":
+    marks, closed, n = [], False, len(html)
+    while at < n:
+        m = ATTRIBUTE.match(html, at)
+        closed = m.end() > at and html[m.end() - 1] == "/"
+        at, value = m.end(), ""
+        if at < n and m[2]:
+            quote = html[at]
+            to = html.find(quote, at + 1) if quote in "\"'" else -1
+            if to >= 0:
+                value, at = html[at + 1 : to], to + 1
+            else:
+                start = at
+                while at < n and html[at] != ">" and not html[at].isspace():
+                    at += 1
+                value = html[start:at]
+        if m[1] and m[1].lower() in ("class", "id", "role"):
+            marks.append((m[1].lower(), value))
+        if at < n and html[at] == ">":
+            return at + 1, marks, closed
+    return 0, marks, closed
+
+
+class Page:
+    """A page's blocks of text and the containers around them.
+
+    Containers are numbered from 0, the whole page, parents before children; each has its
+    tag, its parent and the number of its generalised path: the tags and first classes of the
+    containers around, digits as #. Every start and end tag is handled in constant time.
+    """
+
+    def __init__(self, html: str):
+        self.tag, self.parent, self.path = [""], [-1], [0]
+        self.paths: dict[tuple[int, str], int] = {}
+        self.steps: list[tuple[int, str]] = [(-1, "")]
+        self.raw_blocks: list[tuple[list[tuple[str, int, bool]], int]] = []
+        self.marks: list[tuple[int, bool]] = [(0, False)]
+        self._read(html)
+        self._settle()
+
+    def _read(self, html: str) -> None:
+        # An open element: tag, skip, in a link, mark, container.
+        stack: list[tuple[str, bool, bool, int, int]] = [("", False, False, 0, 0)]
+        open_at: dict[str, list[int]] = defaultdict(list)
+        blocks_at = [0]
+        parts: list[tuple[str, int, bool]] = []
+        last = html.rfind(">")
+
+        def flush() -> None:
+            if parts:
+                self.raw_blocks.append((parts.copy(), stack[-1][4]))
+                parts.clear()
+
+        def add(raw: str) -> None:
+            _, skip, link, mark, _ = stack[-1]
+            if raw and not skip:
+                parts.append((unescape(raw) if "&" in raw else raw, mark, link))
+
+        def close(to: int) -> None:
+            if blocks_at[-1] >= to:
+                flush()
+            while len(stack) > to:
+                tag = stack.pop()[0]
+                open_at[tag].pop()
+                if blocks_at[-1] == len(stack):
+                    blocks_at.pop()
+
+        def newest(tags: list[str]) -> int:
+            return max((open_at[t][-1] for t in tags if open_at[t]), default=0)
+
+        at = 0
+        while True:
+            here = html.find("<", at)
+            if here < 0 or (here > last and not html.startswith("<!--", here)):
+                add(html[at:])
+                break
+            name = NAME.match(html, here) if here < last else None
+            if not name:
+                if html.startswith("<!--", here):
+                    add(html[at:here])
+                    end = COMMENT_END.search(html, here + 2)
+                    at = end.end() if end else len(html)
+                elif html[here + 1 : here + 2] in ("!", "?", "/"):
+                    add(html[at:here])
+                    at = html.find(">", here) + 1
+                else:
+                    add(html[at : here + 1])
+                    at = here + 1
+                continue
+            add(html[at:here])
+            tag = name[2].lower()
+            plain = PLAIN.match(html, name.end())
+            if plain:
+                at, closed = plain.end(), bool(plain[2])
+                marks = [(k.lower(), a or b or c) for k, a, b, c in MARK.findall(plain[1])] if plain[1] else []
+            else:
+                end, marks, closed = tag_end(html, name.end())
+                at = end or html.find(">", here) + 1
+            if name[1]:
+                i = open_at[tag][-1] if open_at[tag] else 0
+                if i and (tag in BLOCK or i > blocks_at[-1]):
                     close(i)
-                    break
-                if stack[i].tag in BLOCK:
-                    break
-            flush()
-        if tag in CLOSES:
-            ends, within = CLOSES[tag]
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in ends:
+                continue
+            if tag in BLOCK:
+                if stack[blocks_at[-1]][0] == "p":  # a paragraph ends where a block begins
+                    close(blocks_at[-1])
+                flush()
+            if tag in CLOSES:
+                ends, within = CLOSES[tag]
+                i = newest(ends)
+                if i > newest(within):
                     close(i)
-                    break
-                if stack[i].tag in within:
-                    break
-        if tag in VOID:
-            if tag == "br":
-                add(" ")
-            continue
-        if tag in RAW:
-            at = RAW_END[tag].search(html, at).end()
-            continue
-        marks = {k.lower(): a or b or c for k, a, b, c in MARK.findall(m[3])} if m[3] else {}
-        step = re.sub(r"\d+", "#", ".".join([tag, *marks.get("class", "").split()[:1]]))
-        number += 1
-        e = Element(tag, step, stack[-1], number)
-        if tag in SKIP or (marks and tag not in ("html", "body", "article", "main") and SKIP_WORDS & set(re.findall(r"[a-z]+", " ".join(marks.values()).lower()))):
-            e.skip = True
-        if not m[3].rstrip().endswith("/") or tag in BLOCK:
-            stack.append(e)
-    add(html[at:])
-    flush()
-    return out
-
-
-def own_score(text: str, linked: int) -> float:
+            if tag in VOID:
+                if tag == "br":
+                    add(" ")
+                continue
+            if tag in RAW:
+                at = RAW_END[tag].search(html, at).end()
+                continue
+            _, skip, link, mark, container = stack[-1]
+            skip = skip or tag in SKIP
+            if tag in ("article", "main"):
+                self._holds_text(mark)
+            elif marks and tag not in ("html", "body") and says_skip(tag, " ".join(v for _, v in marks)):
+                self.marks.append((mark, False))
+                mark = len(self.marks) - 1
+            if tag in CONTAINER:
+                first = next((v.split() for k, v in marks if k == "class"), [])[:1]
+                step = re.sub(r"\d+", "#", ".".join([tag, *first])).replace(">", "")
+                key = (self.path[container], step)
+                if key not in self.paths:
+                    self.paths[key] = len(self.steps)
+                    self.steps.append(key)
+                self.tag.append(tag)
+                self.parent.append(container)
+                self.path.append(self.paths[key])
+                container = len(self.tag) - 1
+            if not (closed and tag in FOREIGN):
+                open_at[tag].append(len(stack))
+                if tag in BLOCK:
+                    blocks_at.append(len(stack))
+                stack.append((tag, skip, link or tag == "a", mark, container))
+        flush()
+
+    def _holds_text(self, mark: int) -> None:
+        while mark and not self.marks[mark][1]:
+            self.marks[mark] = (self.marks[mark][0], True)
+            mark = self.marks[mark][0]
+
+    def _settle(self) -> None:
+        """Blocks without the elements that their names mark as no main text.
+
+        A mark does not count where the element holds an `article` or `main`, or more than half
+        of the page's characters outside links.
+        """
+        weight = [0] * len(self.marks)
+        for parts, _ in self.raw_blocks:
+            for raw, mark, link in parts:
+                weight[mark] += 0 if link else len(raw)
+        total = sum(weight)
+        for i in range(len(weight) - 1, 0, -1):
+            weight[self.marks[i][0]] += weight[i]
+        gone = [False] * len(weight)
+        for i in range(1, len(weight)):
+            up, holds = self.marks[i]
+            gone[i] = gone[up] or not (holds or 2 * weight[i] > total)
+        #: (text, characters in links, container)
+        self.blocks: list[tuple[str, int, int]] = []
+        for parts, container in self.raw_blocks:
+            kept = [(raw, link) for raw, mark, link in parts if not gone[mark]]
+            if words := " ".join("".join(raw for raw, _ in kept).split()):
+                self.blocks.append((words, sum(len(raw) for raw, link in kept if link), container))
+        self.raw_blocks = []
+
+    def path_name(self, path: int) -> str:
+        steps = []
+        while path > 0:
+            path, step = self.steps[path]
+            steps.append(step)
+        return ">".join(reversed(steps))
+
+    def path_number(self, name: str) -> int:
+        """The number of a generalised path, -1 if the page has none such."""
+        at = 0
+        for step in name.split(">"):
+            at = self.paths.get((at, step), -1)
+            if at < 0:
+                break
+        return at
+
+    def scores(self) -> list[int]:
+        """The characters of each container's blocks, those inside links counting against them twice."""
+        score = [0] * len(self.tag)
+        for text, linked, container in self.blocks:
+            score[container] += own_score(text, linked)
+        for i in range(len(score) - 1, 0, -1):
+            score[self.parent[i]] += score[i]
+        return score
+
+    def best(self) -> tuple[str, int] | None:
+        """Path and score of the main container; None if only the whole page holds its text.
+
+        The main `article` is chosen if containers with three quarters of the score lead to
+        one. Else the choice goes from the whole page inward as long as no block that scores is
+        left out, except that a `div` next to one with three quarters of the score may be where
+        both are parts of the page's frame (in the body or in no container).
+        """
+        score = self.scores()
+        inner: list[list[int]] = [[] for _ in score]
+        for i in range(1, len(score)):
+            inner[self.parent[i]].append(i)
+        here = 0
+        while inner[here] and self.tag[here] != "article":
+            most = max(inner[here], key=lambda i: (score[i], -i))
+            if here and score[most] < 0.75 * score[here]:
+                break
+            here = most
+        if self.tag[here] == "article":
+            return self.path_name(self.path[here]), score[here]
+        group, path, tag, total = [0], 0, "body", score[0]
+        own = [0] * len(score)
+        for text, linked, container in self.blocks:
+            own[container] += own_score(text, linked)
+        while True:
+            by_path: dict[int, list[int]] = defaultdict(list)
+            for i in group:
+                for child in inner[i]:
+                    if score[child]:
+                        by_path[self.path[child]].append(child)
+            if not by_path:
+                break
+            sums = {p: sum(score[i] for i in children) for p, children in by_path.items()}
+            most = max(sums, key=lambda p: (sums[p], -p))
+            beside = [self.tag[children[0]] for p, children in by_path.items() if p != most]
+            bare = any(own[i] for i in group)
+            if (beside or bare) and not (tag == "body" and not bare and sums[most] >= 0.75 * total and all(t == "div" for t in beside)):
+                break
+            group, path, tag, total = by_path[most], most, self.tag[by_path[most][0]], sums[most]
+        return (self.path_name(path), total) if path else None
+
+    def main_text(self, path: str | None) -> str:
+        """The blocks inside containers of the path, or of the page's own if it has none such; all blocks without containers."""
+        number = self.path_number(path) if path is not None else -1
+        if number < 0:
+            own = self.best()
+            if own is None:
+                return "\n".join(text for text, _, _ in self.blocks)
+            number = self.path_number(own[0])
+        inside = [False] * len(self.tag)
+        for i in range(1, len(inside)):
+            inside[i] = inside[self.parent[i]] or self.path[i] == number
+        return "\n".join(text for text, _, container in self.blocks if inside[container])
+
+
+def own_score(text: str, linked: int) -> int:
     return max(0, len(text) - 2 * linked)
 
 
-def article_container(found: list) -> tuple[str, float] | None:
-    """Path and score of a page's main `article`, where containers with three quarters of the score lead to one."""
-    score: dict[int, float] = defaultdict(float)
-    inside: dict[int, set[int]] = defaultdict(set)
-    what: dict[int, tuple[str, str]] = {}
-    outer: set[int] = set()
-    for text, linked, holders in found:
-        before = None
-        for number, tag, path in holders:
-            score[number] += own_score(text, linked)
-            what[number] = (tag, path)
-            (inside[before] if before is not None else outer).add(number)
-            before = number
-    if not outer:
-        return None
-    here = max(outer, key=lambda i: (score[i], -i))
-    while what[here][0] != "article" and inside[here]:
-        best = max(inside[here], key=lambda i: (score[i], -i))
-        if score[best] < 0.75 * score[here]:
-            break
-        here = best
-    return (what[here][1], score[here]) if what[here][0] == "article" else None
-
-
-def best_container(found: list) -> tuple[str, float] | None:
-    """Path and score of a page's main container; None if only the whole page holds its text.
-
-    A block scores its characters outside links (twice those inside count against it). A
-    page's main `article` is chosen if it has one. Else the choice goes from the whole page
-    inward as long as no block that scores is left out, except that a `div` next to one with
-    three quarters of the score may be where both are parts of the page's frame (in the body
-    or in no container).
-    """
-    if article := article_container(found):
-        return article
-    rows, here, tag, level = found, None, "body", 0
-    while True:
-        score: dict[str, float] = defaultdict(float)
-        tags: dict[str, str] = {}
-        for text, linked, holders in rows:
-            if len(holders) > level:
-                _, inner_tag, path = holders[level]
-                score[path] += own_score(text, linked)
-                tags[path] = inner_tag
-        total = sum(own_score(text, linked) for text, linked, _ in rows)
-        best = max(score, key=score.__getitem__, default=None)
-        if best is None or not score[best]:
-            break
-        inner, left = [], []
-        for row in rows:
-            at = row[2][level] if len(row[2]) > level else None
-            (inner if at and at[2] == best else left).append((row, at))
-        left = [at for row, at in left if own_score(*row[:2])]
-        if left and not (tag == "body" and score[best] >= 0.75 * total and all(at and at[1] == "div" for at in left)):
-            break
-        rows, here, tag, level = [row for row, _ in inner], best, tags[best], level + 1
-    return None if here is None else (here, total)
-
-
-def main_text(found: list, path: str | None) -> str:
-    """The blocks inside containers of the path, or of the page's own if it has none such; all blocks without containers."""
-    if path is None or not any(p == path for _, _, holders in found for _, _, p in holders):
-        own = best_container(found)
-        path = own[0] if own else None
-    return "\n".join(text for text, _, holders in found if path is None or any(p == path for _, _, p in holders))
-
-
 def extract_pages(
     pages: DataFrame,
     *,
@@ -225,7 +344,8 @@ def extract_pages(
     ``broadcast_hosts`` hosts; beyond, the join is shuffled with every host in ``salts`` parts.
 
     Null, empty and textless pages have an empty text. Pages without a host vote as one.
-    Repeated rows keep a row each; other columns are not read.
+    Repeated rows keep a row each; null ids stay null; empty tables give no rows; other columns
+    are not read. Pages are read in time proportional to their length, however long or deep.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), url_host(F.col(url_col)).alias("host"))
     votes_schema = pa.schema([("host", pa.string()), ("path", pa.string()), ("score", pa.float64())])
@@ -234,7 +354,7 @@ def extract_pages(
         for batch in batches:
             sums: dict[tuple[str, str], float] = defaultdict(float)
             for host, html in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if html.is_valid and (best := best_container(blocks(html.as_py()))):
+                if html.is_valid and (best := Page(html.as_py()).best()):
                     sums[host, best[0]] += best[1]
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in sums], pa.string()), pa.array([k[1] for k in sums], pa.string()), pa.array(list(sums.values()), pa.float64())], schema=votes_schema)
 
@@ -257,7 +377,7 @@ def extract_pages(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(blocks(h.as_py()), p) if h.is_valid else "" for h, p in zip(batch.column(2), batch.column(3).to_pylist(), strict=True)]
+            texts = [Page(h.as_py()).main_text(p) if h.is_valid else "" for h, p in zip(batch.column(2), batch.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], schema=out)
 
     return joined.select("page_id", "url", "html", "path").mapInArrow(run, "page_id long, url string, text string, n_chars long")

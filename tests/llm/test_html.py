@@ -1,4 +1,9 @@
-from hazeloom.llm.html import best_container, blocks, extract_pages, main_text
+import random
+import time
+
+import pytest
+
+from hazeloom.llm.html import Page, extract_pages
 
 PAGE = (
     "<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t='</p><p>no';</script></head><body><nav><ul><li><a href='/x'>x</a></li></ul></nav>"
@@ -8,9 +13,7 @@ PAGE = (
 
 
 def text(html):
-    found = blocks(html)
-    best = best_container(found)
-    return main_text(found, best and best[0])
+    return Page(html).main_text(None)
 
 
 def test_article():
@@ -49,3 +52,78 @@ def test_hosts_vote(spark):
         got = extract_pages(pages, broadcast_hosts=limit).collect()
         assert sorted((r.page_id, r.text) for r in got) == want and all(r.n_chars == len(r.text) for r in got)
     assert extract_pages(pages.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        ("<p title=it's>hello world</p><p>second</p><p>don't lose me</p><p>tail</p>", "hello world\nsecond\ndon't lose me\ntail"),
+        ("<p>x<svg/>y</p><p>z</p>", "xy\nz"),
+        ("<p>x<svg><text>no</text></svg>y<math><mi>n</mi><mo>+</mo></math></p><p>z</p>", "xyn+\nz"),
+        ("<article><p>a</p><div class='share-price'>b</div><div class='search-results'>c</div><div class='article-header'>d</div></article>", "a\nb\nc\nd"),
+        ("<article><p>long text of the page here</p><div class='ad-slot'>b</div><div id=siteFooter>c</div><p class='cookie notice'>d</p><span role=search>e</span></article>", "long text of the page here"),
+        ("<div class='sidebar-wrapper'><p>all of the text</p></div>", "all of the text"),
+        ("<p a=\"x>y</p><p>z</p>", "y\nz"),
+        ("<p a=\"x>y\" b='>'/>q</p><!--><p>z</p><!-- -- >no--!><p>e<!- x>f</p>", "q\nz\nef"),
+        ("<p>a</p x='>'><p/>b<p>c</", "a\nb\nc</"),
+        ("<ul><li>a<div>b<li>c</ul><dl><dt>d<dd>e</dl><table><tr><td>f<td>g<tr><td>h</table>", "a\nb\nc\nd\ne\nf\ng\nh"),
+        ("<b>a<p>b</b>c</p>d", "a\nbc\nd"),
+        ("<p>1 < 2 > 0 &amp;lt; &#x41;&nbsp;&#66</p>", "1 < 2 > 0 &lt; A B"),
+    ],
+)
+def test_odd_markup(html, want):
+    assert text(html) == want
+
+
+def test_random_pages_of_known_blocks():
+    """Pages built from blocks and page parts in random frames; what comes back is the blocks, no more, no less."""
+    rng = random.Random(3)
+    words = ["alpha", "beta", "gamma", "don't", "x", "naïve", "&amp;", "&lt;b&gt;", "漢字", "3 > 2"]
+    plain = {"&amp;": "&", "&lt;b&gt;": "<b>"}
+    sep = lambda: rng.choice([" ", "\n ", "\t", "<br>", " <i>", "</i> ", "<!-- c --> "])
+    parts = ["<nav><a href=/>home</a></nav>", "<aside>aside text</aside>", "<div class='ad'>buy it</div>", "<form><input>send<select><option>o</select></form>",
+             "<script>if (a<b) '<p>no</p>'</script>", "<style>p{}</style>", "<section id=comments><p>me too</p></section>", "<div class='cookie-notice'><p>we use</p></div>"]
+    for k in range(300):
+        want, inside = [], []
+        for _ in range(rng.randrange(4, 12)):
+            some = [rng.choice(words) for _ in range(rng.randrange(8, 30))]
+            gaps = [sep() for _ in some]
+            want.append(" ".join(plain.get(w, w) for w in some))
+            open_tag, close_tag = rng.choice([("<p>", "</p>"), ("<p class=lead>", ""), ("<h2>", "</h2>"), ("<blockquote><p>", "</p></blockquote>"), ("<ul><li>", "</ul>"), ("<div data-x='>'><p>", "</div>")])
+            inside.append(open_tag + "".join(w + (" " if "<" in g and g.strip() not in ("<br>", "</i>") else "") + g for w, g in zip(some[:-1], gaps, strict=False)) + some[-1] + "</i>" + close_tag)
+            inside += rng.choices(["", *parts], k=1)
+        frame = rng.choice(["<body>{t}<article>{x}</article>{f}</body>", "<body>{t}<main>{x}</main>{f}", "{t}<div id=wrap><div class='post'>{x}</div></div>{f}", "<html><body>{t}<div class=a><article><section>{x}</section></article></div>{f}"])
+        page = frame.format(t="<header>top</header>" + rng.choice(parts), x="".join(inside), f=rng.choice(parts) + "<footer>end</footer>")
+        assert text(page) == "\n".join(want), (k, page)
+
+
+@pytest.mark.parametrize(
+    "html",
+    [
+        "<div>" * 50_000 + "deep",
+        "<div class=a1>" * 20_000 + "".join(f"<p>{i} text</p></div>" for i in range(20_000)),
+        "<a '" * 300_000,
+        "<p x=\"" * 200_000 + ">",
+        "<b>" * 50_000 + "</i>" * 50_000 + "<div>" + "</b>" * 50_000 + "t",
+        "<ul>" + "<div>" * 30_000 + "<li></li>" * 30_000,
+        "<script>" + "</scrip" * 100_000,
+        "<!--" * 200_000,
+        "<p>" + "word " * 250_000,
+        "<td>" * 60_000 + "</tr>" * 60_000,
+        "<p " + "=" * 300_000,
+        "<p " + "a " * 300_000 + "b=c>t",
+        "<div class=ad>" * 50_000 + "text",
+    ],
+    ids=range(13),
+)
+def test_time_in_proportion_to_length(html):
+    began = time.time()
+    text(html)
+    assert time.time() - began < 8
+
+
+def test_rows_with_nulls_and_an_empty_table(spark):
+    pages = spark.createDataFrame([(None, "http://a.b/", "<p>a</p>"), (None, None, None), (1, "", "<p></p>")], "page_id long, url string, html string")
+    got = sorted((str(r.page_id), str(r.url), r.text, r.n_chars) for r in extract_pages(pages).collect())
+    assert got == [("1", "", "", 0), ("None", "None", "", 0), ("None", "http://a.b/", "a", 1)]
+    assert extract_pages(pages.limit(0)).collect() == []
