@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from hazeloom.llm.common import cut, words_of
 
-#: What is measured, how far above the upper quartile a document may lie in quartile distances
-#: (of one bucket of the sketch at least), and the least fence, for groups whose quartiles are
-#: near 0 (in the measure's unit; that of repeats lies below the base rule's 300).
-#: length: code points per 100 words; symbols, lines, repeats: per mille of words or lines.
-FENCES = {"length": (6, 0), "symbols": (6, 50), "lines": (6, 150), "repeats": (6, 100)}
+#: The measures (length: code points per 100 words; symbols, lines, repeats: per mille of words or
+#: lines). For each: the percentile whose distance from the median is its usual tail; how many
+#: percent of a spread its fence lies from the median; and how many occurrences are forgiven, so
+#: that a short text does not fail for one or two.
+MEASURES = {"length": (90, 300, 0), "symbols": (90, 300, 3), "lines": (99, 150, 1), "repeats": (99, 150, 16)}
+#: Documents of the whole language that every group's sketch is merged with.
+PRIOR = 20
 
 
 def text_features(docs: DataFrame, text_col: str, *, window: int = 8) -> DataFrame:
@@ -50,14 +52,12 @@ def text_features(docs: DataFrame, text_col: str, *, window: int = 8) -> DataFra
     )
 
 
-def measures() -> dict[str, Column]:
-    """The measures of FENCES, as whole numbers, from the features."""
-    words = F.greatest(F.col("n_words"), F.lit(1))
+def measures(forgive: bool = False) -> dict[str, Column]:
+    """The measures, as whole numbers, from the features; with ``forgive`` without the occurrences that are forgiven."""
+    words, lines = F.greatest(F.col("n_words"), F.lit(1)), F.greatest(F.col("n_lines"), F.lit(1))
+    parts = {"length": ("word_chars", 100, words), "symbols": ("n_symbols", 1000, words), "lines": ("n_dup_lines", 1000, lines), "repeats": ("n_repeat_words", 1000, words)}
     return {
-        "length": (F.col("word_chars") * 100 / words).cast("long"),
-        "symbols": (F.col("n_symbols") * 1000 / words).cast("long"),
-        "lines": (F.col("n_dup_lines") * 1000 / F.greatest(F.col("n_lines"), F.lit(1))).cast("long"),
-        "repeats": (F.col("n_repeat_words") * 1000 / words).cast("long"),
+        name: (F.greatest(F.col(count) - (MEASURES[name][2] if forgive else 0), F.lit(0)) * scale / by).cast("long") for name, (count, scale, by) in parts.items()
     }
 
 
@@ -82,21 +82,58 @@ def quantile_sketches(features: DataFrame, groups: list[str]) -> DataFrame:
     return features.select(*groups, F.explode(pairs).alias("m")).select(*groups, "m.measure", "m.low").groupBy(*groups, "measure", "low").agg(F.count("*").alias("n"))
 
 
-def fences(sketches: DataFrame, groups: list[str]) -> DataFrame:
-    """groups and one column max_<measure> each: upper quartile + factor * max(quartile distance, a bucket's width), or the least fence."""
-    upto = Window.partitionBy(*groups, "measure").orderBy("low").rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*groups, "measure")
-    ranked = sketches.withColumn("upto", F.sum("n").over(upto)).withColumn("all", F.sum("n").over(whole))
-    quartiles = ranked.groupBy(*groups, "measure").agg(
-        F.min(F.when(F.col("upto") * 4 >= F.col("all"), F.col("low"))).alias("q1"),
-        F.min(F.when(F.col("upto") * 4 >= F.col("all") * 3, F.col("low"))).alias("q3"),
+def percentiles(counts: DataFrame, keys: list[str], wanted: list[int]) -> DataFrame:
+    """keys and p<k> for each k: the lowest bucket up to which k percent of the counts lie; counts has keys, low, n."""
+    upto = Window.partitionBy(*keys).orderBy("low").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counts.withColumn("upto", F.sum("n").over(upto)).withColumn("all", F.sum("n").over(Window.partitionBy(*keys)))
+    return ranked.groupBy(*keys).agg(*[F.min(F.when(F.col("upto") * 100 >= F.col("all") * k, F.col("low"))).alias(f"p{k}") for k in wanted])
+
+
+def fences(sketches: DataFrame, language: str, source: str) -> DataFrame:
+    """l_lang, l_source and min_length, max_length, max_symbols, max_lines, max_repeats.
+
+    A fence is the group's median and some spreads (MEASURES). The median and quartiles come from the
+    group's sketch merged with PRIOR documents' worth of its language's, so that a small group
+    leans on its language. The spread is twice the distance from the median to the quartile on
+    the other side, which up to half of bad documents leave as it is, or where that is more the
+    median of the usual tails of the group, its language and all documents: neither a
+    group that is small nor one full of bad documents sets it alone. It is one bucket at least.
+    """
+    total = sketches.groupBy("measure", "low").agg(F.sum("n").alias("n"))
+    by_language = cut(sketches.groupBy(F.col(language).alias("m_lang"), "measure", "low").agg(F.sum("n").alias("n")))
+    tails = []
+    for level, counts, keys in (("g", sketches, [language, source]), ("l", by_language, ["m_lang"]), ("a", total, [])):
+        found = percentiles(counts, [*keys, "measure"], [1, 10, 50, 90, 99])
+        high = F.coalesce(*[F.when(F.col("measure") == name, F.col(f"p{k}")) for name, (k, _, _) in MEASURES.items()])
+        low = F.coalesce(*[F.when(F.col("measure") == name, F.col(f"p{100 - k}")) for name, (k, _, _) in MEASURES.items()])
+        tails.append(found.select(*[F.col(k).alias(f"{level}_{i}") for i, k in enumerate(keys)], F.col("measure").alias(f"{level}_m"), (high - F.col("p50")).alias(f"{level}_up"), (F.col("p50") - low).alias(f"{level}_down")))
+    sizes = sketches.where("measure = 'length'").groupBy(F.col(language).alias("s_lang")).agg(F.sum("n").alias("n_lang"))
+    groups = sketches.select(F.col(language).alias("x_lang"), F.col(source).alias("x_source")).distinct().join(sizes, F.col("x_lang").eqNullSafe(F.col("s_lang")))
+    own = sketches.join(sizes, F.col(language).eqNullSafe(F.col("s_lang"))).select(
+        F.col(language).alias("l_lang"), F.col(source).alias("l_source"), "measure", "low", (F.col("n").cast("decimal(19,0)") * F.col("n_lang")).alias("n")
     )
-    spread = F.greatest(F.col("q3") - F.col("q1"), bucket_width(F.col("q3")))
-    limits = [
-        F.max(F.when(F.col("measure") == name, F.greatest(F.col("q3") + spread * factor, F.lit(least)))).alias(f"max_{name}")
-        for name, (factor, least) in FENCES.items()
-    ]
-    return quartiles.groupBy(*groups).agg(*limits)
+    prior = groups.join(by_language, F.col("x_lang").eqNullSafe(F.col("m_lang"))).select(
+        F.col("x_lang").alias("l_lang"), F.col("x_source").alias("l_source"), "measure", "low", (F.col("n").cast("decimal(19,0)") * PRIOR).alias("n")
+    )
+    merged = own.unionByName(prior).groupBy("l_lang", "l_source", "measure", "low").agg(F.sum("n").alias("n"))
+    found = percentiles(merged, ["l_lang", "l_source", "measure"], [25, 50, 75])
+    g, l, a = tails
+    found = (
+        found.join(g, F.col("l_lang").eqNullSafe(F.col("g_0")) & F.col("l_source").eqNullSafe(F.col("g_1")) & (F.col("measure") == F.col("g_m")))
+        .join(l, F.col("l_lang").eqNullSafe(F.col("l_0")) & (F.col("measure") == F.col("l_m")))
+        .join(a, F.col("measure") == F.col("a_m"))
+    )
+
+    def middle(side: str) -> Column:
+        x, y, z = (F.col(f"{level}_{side}") for level in "gla")
+        return F.greatest(F.least(x, y), F.least(F.greatest(x, y), z))
+
+    width = bucket_width(F.col("p50"))
+    up = F.greatest(2 * (F.col("p50") - F.col("p25")), middle("up"), width)
+    down = F.greatest(2 * (F.col("p75") - F.col("p50")), middle("down"), width)
+    limits = [F.max(F.when(F.col("measure") == name, F.expr("p50") + F.floor(up * factor / 100))).alias(f"max_{name}") for name, (_, factor, _) in MEASURES.items()]
+    least = F.max(F.when(F.col("measure") == "length", F.col("p50") - F.floor(down * MEASURES["length"][1] / 100))).alias("min_length")
+    return found.groupBy("l_lang", "l_source").agg(least, *limits)
 
 
 def quality_rules(
@@ -113,28 +150,27 @@ def quality_rules(
     """doc_id, the features, base_failed and kept per document; with keep_row also the whole row as a struct.
 
     base_failed: under ``min_words`` words, or more than ``max_repeat_percent`` of them in
-    repeated windows. Else a document is kept if no measure lies above the fence that the
-    sketches give for its language and source; these replace fixed cutoffs. Fences are joined
-    by (language, source), nulls being groups of their own, and filter after that join. A
-    hot source costs one count per bucket and task, as counts are added up before the shuffle.
+    repeated windows. Else a document is kept if no measure lies beyond the fences that the
+    sketches of such documents give for its language and source; these replace fixed cutoffs.
+    Fences are joined by (language, source), nulls being groups of their own, and filter after
+    that join. A hot source costs one count per bucket and task, as counts are added up before
+    the shuffle.
 
-    Null or blank texts fail by having no words. Repeated rows and ids are judged each for
+    Null or blank texts fail by having no words. Empty tables give no rows. Repeated rows and ids are judged each for
     itself. Other columns are not read unless keep_row, and then only carried in the struct,
     so their names cannot clash.
     """
     wanted = [F.col(id_col).alias("doc_id"), F.col(lang_col).alias("_lang"), F.col(source_col).alias("_source"), F.col(text_col).alias("_text")]
     rows = docs.select(*wanted, *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if keep_row else []))
-    scored = cut(text_features(rows, "_text").drop("_text"))
-    groups = ["_lang", "_source"]
-    limits = fences(quantile_sketches(scored, groups), groups).withColumnsRenamed({"_lang": "l_lang", "_source": "l_source"})
     base_failed = (F.col("n_words") < min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * max_repeat_percent)
-    above = F.lit(False)
-    for name, value in measures().items():
+    scored = cut(text_features(rows, "_text").drop("_text").withColumn("base_failed", base_failed))
+    limits = fences(cut(quantile_sketches(scored.where("NOT base_failed"), ["_lang", "_source"])), "_lang", "_source")
+    above = measures()["length"] < F.col("min_length")
+    for name, value in measures(forgive=True).items():
         above = above | (value > F.col(f"max_{name}"))
     return (
-        scored.join(limits, F.col("_lang").eqNullSafe(F.col("l_lang")) & F.col("_source").eqNullSafe(F.col("l_source")))
-        .withColumn("base_failed", base_failed)
-        .withColumn("kept", ~F.col("base_failed") & ~above)
+        scored.join(limits, F.col("_lang").eqNullSafe(F.col("l_lang")) & F.col("_source").eqNullSafe(F.col("l_source")), "left")
+        .withColumn("kept", ~F.col("base_failed") & ~F.coalesce(above, F.lit(False)))
         .select(
             "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
             *(["row"] if keep_row else []),

@@ -85,23 +85,56 @@ features AS (
     (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words
   FROM words w LEFT JOIN covered c ON w.r = c.r),
 measured AS (
-  SELECT *, word_chars * 100 // greatest(n_words, 1) AS m1, n_symbols * 1000 // greatest(n_words, 1) AS m2,
-    n_dup_lines * 1000 // greatest(n_lines, 1) AS m3, n_repeat_words * 1000 // greatest(n_words, 1) AS m4 FROM features),
+  SELECT *, (n_words < 20 OR n_repeat_words * 100 > n_words * 30) AS bad, greatest(n_words, 1) AS w, greatest(n_lines, 1) AS l FROM features),
 long AS (
-  SELECT lang, source, unnest([1, 2, 3, 4]) AS m, unnest([m1, m2, m3, m4]) AS v FROM measured),
-cut AS (
-  SELECT lang, source, m, v - v % (1::BIGINT << greatest(0, length(bin(v)) - 7)::BIGINT) AS low, count(*) AS n FROM long GROUP BY ALL),
+  SELECT lang, source, unnest(['length', 'symbols', 'lines', 'repeats']) AS m,
+    unnest([word_chars * 100 // w, n_symbols * 1000 // w, n_dup_lines * 1000 // l, n_repeat_words * 1000 // w]) AS v
+  FROM measured WHERE NOT bad),
+cells AS (
+  SELECT lang, source, m, v - v % (1::BIGINT << greatest(0, length(bin(v)) - 7)::BIGINT) AS low, count(*)::HUGEINT AS n FROM long GROUP BY ALL),
+sizes AS (SELECT lang, sum(n) AS n_lang FROM cells WHERE m = 'length' GROUP BY lang),
+by_lang AS (SELECT lang, m, low, sum(n) AS n FROM cells GROUP BY ALL),
+levels AS (
+  SELECT 'g' AS level, lang, source, m, low, n FROM cells
+  UNION ALL SELECT 'l', lang, NULL, m, low, n FROM by_lang
+  UNION ALL SELECT 'a', NULL, NULL, m, low, sum(n) FROM cells GROUP BY m, low
+  UNION ALL SELECT 'x', lang, source, m, low, sum(n) FROM (
+    SELECT c.lang, source, m, low, n * n_lang AS n FROM cells c JOIN sizes s ON c.lang IS NOT DISTINCT FROM s.lang
+    UNION ALL
+    SELECT g.lang, g.source, b.m, b.low, b.n * 20
+    FROM (SELECT DISTINCT lang, source FROM cells) g JOIN by_lang b ON g.lang IS NOT DISTINCT FROM b.lang) GROUP BY ALL),
 ranked AS (
-  SELECT *, sum(n) OVER (PARTITION BY lang, source, m ORDER BY low) AS upto, sum(n) OVER (PARTITION BY lang, source, m) AS whole FROM cut),
-quart AS (
-  SELECT lang, source, m, min(low) FILTER (upto * 4 >= whole) AS q1, min(low) FILTER (upto * 4 >= whole * 3) AS q3 FROM ranked GROUP BY ALL),
+  SELECT *, sum(n) OVER (PARTITION BY level, lang, source, m ORDER BY low) * 100 AS upto,
+    sum(n) OVER (PARTITION BY level, lang, source, m) AS whole
+  FROM levels),
+p AS (
+  SELECT level, lang, source, m, min(low) FILTER (WHERE upto >= whole) AS p1, min(low) FILTER (WHERE upto >= whole * 10) AS p10,
+    min(low) FILTER (WHERE upto >= whole * 25) AS p25, min(low) FILTER (WHERE upto >= whole * 50) AS p50,
+    min(low) FILTER (WHERE upto >= whole * 75) AS p75, min(low) FILTER (WHERE upto >= whole * 90) AS p90,
+    min(low) FILTER (WHERE upto >= whole * 99) AS p99
+  FROM ranked GROUP BY ALL),
+tails AS (
+  SELECT level, lang, source, m, CASE WHEN m IN ('length', 'symbols') THEN p90 ELSE p99 END - p50 AS up,
+    p50 - CASE WHEN m IN ('length', 'symbols') THEN p10 ELSE p1 END AS down
+  FROM p WHERE level <> 'x'),
+spread AS (
+  SELECT x.lang, x.source, x.m, p50,
+    greatest(2 * (p50 - p25), list_sort([g.up, l.up, a.up])[2], 1::BIGINT << greatest(0, length(bin(p50)) - 7)::BIGINT) AS up,
+    greatest(2 * (p75 - p50), list_sort([g.down, l.down, a.down])[2], 1::BIGINT << greatest(0, length(bin(p50)) - 7)::BIGINT) AS down
+  FROM p x
+  JOIN tails g ON g.level = 'g' AND g.m = x.m AND g.lang IS NOT DISTINCT FROM x.lang AND g.source IS NOT DISTINCT FROM x.source
+  JOIN tails l ON l.level = 'l' AND l.m = x.m AND l.lang IS NOT DISTINCT FROM x.lang
+  JOIN tails a ON a.level = 'a' AND a.m = x.m
+  WHERE x.level = 'x'),
 lim AS (
-  SELECT lang, source, max(q3 + greatest((q3 - q1) * 6, 600)) FILTER (m = 1) AS x1, max(q3 + greatest((q3 - q1) * 6, 100)) FILTER (m = 2) AS x2,
-    max(q3 + greatest((q3 - q1) * 6, 500)) FILTER (m = 3) AS x3, max(q3 + greatest((q3 - q1) * 6, 300)) FILTER (m = 4) AS x4 FROM quart GROUP BY ALL)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-  (n_words < 20 OR n_repeat_words * 100 > n_words * 30) AS base_failed,
-  NOT (n_words < 20 OR n_repeat_words * 100 > n_words * 30) AND m1 <= x1 AND m2 <= x2 AND m3 <= x3 AND m4 <= x4 AS kept
-FROM measured f JOIN lim ON f.lang IS NOT DISTINCT FROM lim.lang AND f.source IS NOT DISTINCT FROM lim.source
+  SELECT lang, source, max(p50 - down * 300 // 100) FILTER (WHERE m = 'length') AS x0, max(p50 + up * 300 // 100) FILTER (WHERE m = 'length') AS x1,
+    max(p50 + up * 300 // 100) FILTER (WHERE m = 'symbols') AS x2, max(p50 + up * 150 // 100) FILTER (WHERE m = 'lines') AS x3,
+    max(p50 + up * 150 // 100) FILTER (WHERE m = 'repeats') AS x4
+  FROM spread GROUP BY ALL)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, bad AS base_failed,
+  NOT bad AND word_chars * 100 // w BETWEEN x0 AND x1 AND greatest(n_symbols - 3, 0) * 1000 // w <= x2
+    AND greatest(n_dup_lines - 1, 0) * 1000 // l <= x3 AND greatest(n_repeat_words - 16, 0) * 1000 // w <= x4 AS kept
+FROM measured f LEFT JOIN lim ON f.lang IS NOT DISTINCT FROM lim.lang AND f.source IS NOT DISTINCT FROM lim.source
 """
 
 QUERIES["op5_quality_rules"] = op5_quality_rules

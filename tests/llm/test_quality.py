@@ -56,8 +56,28 @@ def test_each_fence_rejects_below_the_base_rule(spark):
         "lines": lines(words(60), 5) + "\nsame" * 6,
         "repeats": " ".join(words(40) + again + words(50) + again + words(40)),
     }
-    texts = [lines(words(100), 5) for _ in range(80)] + list(odd.values())
+    texts = [lines(words(100), 5) for _ in range(300)] + list(odd.values()) + [lines(words(100, 3), 5)]
     docs = spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
     got = sorted(quality_rules(docs).collect())
     assert not any(r.base_failed for r in got)
-    assert [r.doc_id for r in got if not r.kept] == list(range(80, 84))
+    assert [r.doc_id for r in got if not r.kept] == list(range(300, 305))
+
+
+def test_fences_follow_their_group(spark):
+    """A source whose documents are all different keeps them; one full of bad documents does not set its own fence."""
+    rng = random.Random(6)
+
+    def text(symbols, length):
+        return " ".join(f"{rng.randrange(10 ** (length - 1), 10**length)}" + "%" * (rng.random() < symbols) for _ in range(60))
+
+    usual = [(text(0, 5), "en", f"s{i % 5}") for i in range(900)]
+    code = [(text(0.3, 5), "en", "code") for _ in range(40)]
+    long_words = [(text(0, 12), "de", "s0") for _ in range(100)]
+    junk = [(text(0.3 if i % 5 < 2 else 0, 5), "en", "junk") for i in range(40)]
+    strange = [(text(0.3, 5), "en", "s1"), (text(0, 12), "en", "s2"), (text(0, 5), "de", "s0"), (text(0.3, 5), "en", "tiny")]
+    rows = usual + code + long_words + junk + strange
+    docs = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, text string, lang string, source string")
+    kept = {r.doc_id for r in quality_rules(docs).collect() if r.kept}
+    assert len(set(range(1040)) - kept) <= 2
+    assert {i for i in range(1040, 1080) if i % 5 >= 2} == {i for i in kept if 1040 <= i < 1080}
+    assert not kept & set(range(1080, 1084))
