@@ -101,31 +101,63 @@ def rescaled_share(share_percent: Column, ratio: Column) -> Column:
     return 100.0 * b * ratio / (1 + b * (ratio - 1))
 
 
-def sun(day_of_year: Column, hour_utc: Column, lat: Column, lon: Column) -> dict[str, Column]:
-    """Equation of time (minutes), declination (radians) and cosine of the zenith angle."""
-    b = 2 * 3.141592653589793 * (day_of_year - 81) / 364.0
-    eot = 9.87 * F.sin(2 * b) - 7.53 * F.cos(b) - 1.5 * F.sin(b)
-    decl = F.radians(23.45 * F.sin(2 * 3.141592653589793 * (284 + day_of_year) / 365.0))
-    solar = hour_utc + lon / 15.0 + eot / 60.0
-    angle = F.radians(15.0 * (solar - 12.0))
-    phi = F.radians(lat)
-    return {"eot": eot, "declination": decl, "cos_zenith": F.sin(phi) * F.sin(decl) + F.cos(phi) * F.cos(decl) * F.cos(angle)}
+def _harmonic(g: Column, terms: list[tuple[float, str, int]]) -> Column:
+    return sum((c * (F.cos(k * g) if f == "cos" else F.sin(k * g)) for c, f, k in terms), F.lit(0.0))
 
 
-def beam_fraction(kt: Column) -> Column:
-    """Diffuse fraction by clearness index (piecewise polynomial) turned into the beam's share."""
-    diffuse = (
-        F.when(kt <= 0.22, 1.0 - 0.09 * kt)
-        .when(kt <= 0.80, 0.9511 - 0.1604 * kt + 4.388 * kt * kt - 16.638 * F.pow(kt, F.lit(3.0)) + 12.336 * F.pow(kt, F.lit(4.0)))
-        .otherwise(F.lit(0.165))
-    )
-    return 1 - diffuse
+#: Fourier series of the sun's position by the year's angle (fixed values): equation of time in radians-like units, declination in radians.
+TIME_TERMS = [(0.001868, "cos", 1), (-0.032077, "sin", 1), (-0.014615, "cos", 2), (-0.040849, "sin", 2)]
+DECLINATION_TERMS = [(-0.399912, "cos", 1), (0.070257, "sin", 1), (-0.006758, "cos", 2), (0.000907, "sin", 2), (-0.002697, "cos", 3), (0.00148, "sin", 3)]
 
 
-def direct_normal(ghi: Column, kt: Column, cos_zenith: Column, *, zenith_limit_cos: float = 0.05233595624294383, air_mass_cap: float = 12.0) -> Column:
-    """Direct normal irradiance from global irradiance; 0 for zenith angles over 87 degrees, 1/cos capped as the air mass is."""
-    mass = F.least(1.0 / cos_zenith, F.lit(air_mass_cap))
-    return F.when(cos_zenith > zenith_limit_cos, ghi * beam_fraction(kt) * mass).otherwise(F.lit(0.0))
+def sun(day_of_year: Column, hour_utc: Column, lat: Column, lon: Column) -> dict[str, Column]:
+    """Equation of time (minutes), declination (radians) and cosine of the zenith angle, by Fourier series of the year's angle."""
+    g = 2 * 3.141592653589793 / 365.0 * (day_of_year - 1 + (hour_utc - 12) / 24.0)
+    eot = 229.18 * (0.000075 + _harmonic(g, TIME_TERMS))
+    decl = 0.006918 + _harmonic(g, DECLINATION_TERMS)
+    angle = F.radians((hour_utc * 60.0 + eot + 4.0 * lon) / 4.0 - 180.0)
+    phi = F.radians(lat)
+    cosine = F.sin(phi) * F.sin(decl) + F.cos(phi) * F.cos(decl) * F.cos(angle)
+    return {"eot": eot, "declination": decl, "cos_zenith": F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine))}
+
+
+#: Polynomials of the clearness index up to 0.6 and beyond (fixed values): a, b, c of the beam's transmittance, and the clear sky's of the air mass.
+BEAM = {
+    "a": ([0.512, -1.560, 2.286, -2.222], [-5.743, 21.77, -27.49, 11.56]),
+    "b": ([0.370, 0.962], [41.40, -118.5, 66.05, 31.90]),
+    "c": ([-0.280, 0.932, -2.048], [-47.01, 184.2, -222.0, 73.81]),
+}
+CLEAR = [0.866, -0.122, 0.0121, -0.000653, 0.000014]
+
+
+def polynomial(x: Column, terms: list[float]) -> Column:
+    out = F.lit(terms[-1])
+    for c in reversed(terms[:-1]):
+        out = out * x + c
+    return out
+
+
+def direct_normal(ghi: Column, cos_zenith: Column, day_of_year: Column, pressure_hpa: Column) -> Column:
+    """Direct normal irradiance from global irradiance by Maxwell's quasi-physical model.
+
+    Clearness index against the distance-corrected solar constant; relative air mass, corrected
+    for pressure, at most 12; 0 from a zenith angle of 87 degrees on and without irradiance.
+    """
+    zenith = F.degrees(F.acos(cos_zenith))
+    cosine = F.greatest(cos_zenith, F.lit(0.0))
+    above = 1370.0 * (1.0 + 0.033 * F.cos(F.radians(360.0 * day_of_year / 365.0)))
+    kt = F.greatest(F.lit(0.0), F.least(F.lit(1.0), ghi / F.greatest(above * cosine, F.lit(1e-6))))
+    mass = 1.0 / F.greatest(cosine + 0.15 * F.pow(F.greatest(93.885 - zenith, F.lit(1e-3)), F.lit(-1.253)), F.lit(1e-6))
+    mass = F.greatest(F.lit(0.0), F.least(F.lit(12.0), mass * pressure_hpa / 1013.25))
+    a, b, c = (F.when(kt <= 0.6, polynomial(kt, low)).otherwise(polynomial(kt, high)) for low, high in BEAM.values())
+    beam = F.greatest(polynomial(mass, CLEAR) - (a + b * F.exp(c * mass)), F.lit(0.0)) * above
+    return F.when((zenith < 87.0) & (ghi > 0) & (cos_zenith > 0), F.greatest(F.lit(0.0), F.least(F.lit(1400.0), beam))).otherwise(F.lit(0.0))
+
+
+def corrected_irradiance(ghi: Column, cos_zenith: Column, ratio: Column, *, solar: float = 1361.0, cap: float = 1.2, day_cosine: float = 0.15) -> Column:
+    """Irradiance whose clearness index is multiplied by a ratio and clipped to 0..cap, by day; as it is by night."""
+    kt = F.greatest(F.lit(0.0), F.least(F.lit(cap), ghi / (solar * cos_zenith) * ratio))
+    return F.when(cos_zenith > day_cosine, kt * solar * cos_zenith).otherwise(ghi)
 
 
 def scaled_clearness(ghi: Column, cos_zenith: Column, factor: Column, *, solar: float = 1361.0, cap: float = 1.2) -> Column:

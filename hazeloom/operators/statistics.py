@@ -1,52 +1,71 @@
 """Statistical jobs. Replicates are rows; draws come from hashes of (seed, replicate, id), so results do not depend on partitions.
 
-Only small systems (k x k, k terms) are solved on the driver.
+Panels are absorbed by effects per group, found on sums per pair of groups. Only small systems
+(k x k, k terms) are solved on the driver.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from typing import NamedTuple
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from hazeloom.session import kept
+
 
 def draw(seed: int, *parts: str | Column) -> Column:
-    """A uniform number in [0, 1) from a hash."""
-    return F.pmod(F.xxhash64(F.lit(seed), *parts), F.lit(2**53)) / float(2**53)
+    """A uniform number in [0, 1) from the first 32 bits of an MD5."""
+    text = F.concat_ws("|", F.lit(str(seed)), *[(F.col(p) if isinstance(p, str) else p).cast("string") for p in parts])
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / 4294967296.0
+
+
+def draw_sql(seed: int, *parts: str) -> str:
+    """draw() as DuckDB SQL."""
+    return f"(('0x' || substr(md5(concat_ws('|', '{seed}', {', '.join(parts)})), 1, 8))::BIGINT / 4294967296.0)"
 
 
 def permutation_test(df: DataFrame, group: str, value: str, key: str, *, replicates: int, seed: int = 1) -> DataFrame:
-    """diff, p: difference of means of group 1 and 0, two-sided by ``replicates`` shuffles of the labels; (c + 1) / (B + 1)."""
-    n1 = F.sum(group).over(Window.partitionBy())
-    rows = df.select(F.col(key).alias("_k"), F.col(group).alias("_g"), F.col(value).alias("_v"), n1.alias("_n1"), F.count("*").over(Window.partitionBy()).alias("_n"), F.sum(value).over(Window.partitionBy()).alias("_all"))
-    reps = rows.withColumn("_r", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    rank = F.row_number().over(Window.partitionBy("_r").orderBy(F.xxhash64(F.lit(seed), "_r", "_k"), "_k"))
-    sums = reps.withColumn("_in", rank <= F.col("_n1")).groupBy("_r").agg(F.sum(F.when(F.col("_in"), F.col("_v"))).alias("_s"), F.first("_n1").alias("_n1"), F.first("_n").alias("_n"), F.first("_all").alias("_all"))
-    shuffled = sums.select((F.col("_s") / F.col("_n1") - (F.col("_all") - F.col("_s")) / (F.col("_n") - F.col("_n1"))).alias("d"))
-    own = df.agg((F.avg(F.when(F.col(group) == 1, F.col(value))) - F.avg(F.when(F.col(group) == 0, F.col(value)))).alias("diff"))
-    diff = F.lit(own.first()[0])
-    return shuffled.agg(F.first(diff).alias("diff"), ((F.count_if(F.abs("d") >= F.abs(diff)) + 1) / (F.count("*") + 1)).alias("p"))
-
-
-def poisson_weight(u: Column, most: int = 8) -> Column:
+    """diff, p: difference of means of group 1 and 0, two-sided by ``replicates`` shuffles of the labels; (c + 1) / (B + 1).
+
+    Each replicate is ranked by itself, so the work is dealt by replicate; the totals are one row.
+    """
+    one = df.agg(F.sum(group), F.count("*"), F.sum(value), F.sum(F.when(F.col(group) == 1, F.col(value)))).first()
+    n1, n, total, own = (float(x or 0) for x in one)
+    diff = own / n1 - (total - own) / (n - n1)
+    reps = df.select(F.col(key).alias("_k"), F.col(value).cast("double").alias("_v"), F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("_r"))
+    text = F.concat_ws("|", F.lit(str(seed)), F.col("_r").cast("string"), F.col("_k").cast("string"))
+    rank = F.row_number().over(Window.partitionBy("_r").orderBy(F.md5(text), "_k"))
+    sums = reps.withColumn("_in", rank <= n1).groupBy("_r").agg(F.sum(F.when(F.col("_in"), F.col("_v"))).alias("_s"))
+    shuffled = sums.select(F.abs(F.col("_s") / n1 - (total - F.col("_s")) / (n - n1)).alias("d"))
+    return shuffled.agg(F.lit(diff).alias("diff"), ((F.count_if(F.col("d") >= abs(diff) - 1e-9) + 1) / (F.count("*") + 1)).alias("p"))
+
+
+#: Distribution function of Poisson(1) at 0, 1, 2, ...
+POISSON = [sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) for k in range(8)]
+
+
+def poisson_weight(u: Column) -> Column:
     """A Poisson(1) count from a uniform number, by its distribution function."""
-    p, total, out = math.exp(-1), 0.0, F.lit(0)
-    for k in range(most):
-        total += p
-        out = out + F.when(u >= total, 1).otherwise(0)
-        p /= k + 1
-    return out
+    return sum((F.when(u >= c, 1).otherwise(0) for c in POISSON), F.lit(0))
+
+
+def poisson_weight_sql(u: str) -> str:
+    return "(" + " + ".join(f"({u} >= {c!r})::INT" for c in POISSON) + ")"
+
+
+def interval(df: DataFrame, value: str, points: Sequence[float] = (0.05, 0.5, 0.95), names: Sequence[str] = ("lo", "mid", "hi")) -> DataFrame:
+    return df.agg(F.percentile(value, list(points)).alias("q")).select(*[F.col("q")[i].alias(n) for i, n in enumerate(names)])
 
 
 def bootstrap_ratio(df: DataFrame, group: str, value: str, key: str, *, replicates: int, seed: int = 2) -> DataFrame:
     """lo, mid, hi: 5, 50 and 95 % of the ratio of group means over Poisson resamples; one pass adds weighted sums per replicate."""
     reps = df.withColumn("_r", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("_w", poisson_weight(draw(seed, "_r", key)))
-    mean = lambda g: F.sum(F.when(F.col(group) == g, F.col("_w") * F.col(value))) / F.nullif(F.sum(F.when(F.col(group) == g, F.col("_w"))), F.lit(0))
-    ratios = reps.groupBy("_r").agg(F.try_divide(mean(1), mean(0)).alias("x"))
-    return ratios.agg(F.percentile("x", [0.05, 0.5, 0.95]).alias("q")).select(*[F.col("q")[i].alias(n) for i, n in enumerate(("lo", "mid", "hi"))])
+    mean = lambda g: F.try_divide(F.sum(F.when(F.col(group) == g, F.col("_w") * F.col(value))), F.sum(F.when(F.col(group) == g, F.col("_w"))))
+    return interval(reps.groupBy("_r").agg(F.try_divide(mean(1), mean(0)).alias("x")), "x")
 
 
 def cluster_bootstrap_mean(df: DataFrame, cluster: str, value: str, *, replicates: int, seed: int = 3) -> DataFrame:
@@ -54,15 +73,85 @@ def cluster_bootstrap_mean(df: DataFrame, cluster: str, value: str, *, replicate
     sums = df.groupBy(cluster).agg(F.sum(value).alias("_s"), F.count(value).alias("_c"))
     reps = sums.withColumn("_r", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("_w", poisson_weight(draw(seed, "_r", cluster)))
     means = reps.groupBy("_r").agg(F.try_divide(F.sum(F.col("_w") * F.col("_s")), F.sum(F.col("_w") * F.col("_c"))).alias("x"))
-    return means.agg(F.percentile("x", [0.05, 0.5, 0.95]).alias("q")).select(*[F.col("q")[i].alias(n) for i, n in enumerate(("lo", "mid", "hi"))])
+    return interval(means, "x")
 
 
 def benjamini_hochberg(df: DataFrame, family: str, p: str, *, q: float) -> DataFrame:
-    """Rows with rejected: ranks up to the largest that passes p <= q * rank / m within the family."""
+    """Rows with rejected: ranks up to the largest that passes p <= q * rank / m within the family; rows without p are not tested."""
     w = Window.partitionBy(family)
-    ranked = df.withColumn("_k", F.row_number().over(w.orderBy(p))).withColumn("_m", F.count(p).over(w))
+    ranked = df.withColumn("_k", F.row_number().over(w.orderBy(F.col(p).asc_nulls_last()))).withColumn("_m", F.count(p).over(w))
     last = F.max(F.when(F.col(p) <= q * F.col("_k") / F.col("_m"), F.col("_k"))).over(w)
-    return ranked.withColumn("rejected", F.coalesce(F.col("_k") <= last, F.lit(False))).drop("_k", "_m")
+    return ranked.withColumn("rejected", F.coalesce((F.col("_k") <= last) & F.col(p).isNotNull(), F.lit(False))).drop("_k", "_m")
+
+
+def shift_null(df: DataFrame, *, unit: str, place: str, value: str, tag: str, shifts: Sequence[int]) -> DataFrame:
+    """unit, shift, mean: the mean of the tagged places after the unit's series is turned by each shift (0: as it is).
+
+    Places are 0, 1, ... within a unit. Tagged rows are copied once per shift and joined by (unit, place).
+    """
+    sized = df.join(df.groupBy(unit).agg(F.count("*").alias("_n")), unit)
+    turned = sized.where(tag).select(unit, F.explode(F.array(*[F.lit(s) for s in (0, *shifts)])).alias("shift"), place, "_n")
+    turned = turned.select(unit, "shift", F.pmod(F.col(place) - F.col("shift"), F.col("_n")).alias(place))
+    return turned.join(df.select(unit, place, value), [unit, place]).groupBy(unit, "shift").agg(F.avg(value).alias("mean"))
+
+
+def field_significance(means: DataFrame, *, unit: str) -> DataFrame:
+    """unit, obs, centre, p, local, field_obs, field_95 from shift_null().
+
+    p is two-sided around the null's mean; local: further from it than 95 % of the shifts;
+    field_obs and field_95 count local rejections of the data, and their 95th percentile over shifts.
+    """
+    null = means.where("shift <> 0")
+    centre = null.groupBy(unit).agg(F.avg("mean").alias("centre"), F.count("*").alias("_b"))
+    far = null.join(centre, unit).withColumn("_d", F.abs(F.col("mean") - F.col("centre")))
+    edge = far.groupBy(unit).agg(F.percentile("_d", 0.95).alias("_q"))
+    own = means.where("shift = 0").select(unit, F.col("mean").alias("obs")).join(centre, unit).join(edge, unit).withColumn("_own", F.abs(F.col("obs") - F.col("centre")))
+    counts = far.join(own.select(unit, "_own"), unit).groupBy(unit).agg(F.count_if(F.col("_d") >= F.col("_own") - 1e-9).alias("_c"))
+    told = own.join(counts, unit).withColumn("p", (1 + F.col("_c")) / (1 + F.col("_b"))).withColumn("local", F.col("_own") > F.col("_q") + 1e-9)
+    fields = far.join(edge, unit).groupBy("shift").agg(F.count_if(F.col("_d") > F.col("_q") + 1e-9).alias("_r")).agg(F.percentile("_r", 0.95).alias("field_95"))
+    rejected = told.agg(F.count_if("local").alias("field_obs"))
+    return told.select(unit, "obs", "centre", "p", "local", F.lit(rejected.first()[0]).alias("field_obs"), F.lit(fields.first()[0]).alias("field_95"))
+
+
+SIMPSON = 512
+
+
+def t_tail(t: Column, df: Column) -> Column:
+    """Two-sided tail of Student's t: a share of the integral of cos^(df - 1), by Simpson's rule."""
+
+    def integral(a: Column) -> Column:
+        h = (math.pi / 2 - a) / SIMPSON
+        weight = lambda i: F.when((i == 0) | (i == SIMPSON), 1.0).when(i % 2 == 1, 4.0).otherwise(2.0)
+        return F.aggregate(F.sequence(F.lit(0), F.lit(SIMPSON)), F.lit(0.0), lambda s, i: s + weight(i) * F.pow(F.greatest(F.cos(a + h * i), F.lit(0.0)), df - 1)) * h
+
+    return integral(F.atan(F.abs(t) / F.sqrt(df))) / integral(F.lit(0.0))
+
+
+def t_tail_sql(t: str, df: str) -> str:
+    """t_tail() as DuckDB SQL."""
+    weight = f"(CASE WHEN i IN (0, {SIMPSON}) THEN 1.0 WHEN i % 2 = 1 THEN 4.0 ELSE 2.0 END)"
+    sum_ = lambda a: f"((pi() / 2 - {a}) / {SIMPSON} * list_sum(list_transform(range(0, {SIMPSON + 1}), lambda i: {weight} * pow(greatest(cos({a} + (pi() / 2 - {a}) / {SIMPSON} * i), 0.0), {df} - 1))))"
+    return f"({sum_(f'atan(abs({t}) / sqrt({df}))')} / {sum_('0.0')})"
+
+
+class Fit(NamedTuple):
+    """Coefficients and their covariance; groups: how many clusters the smaller clustering has."""
+
+    terms: list[str]
+    beta: np.ndarray
+    covariance: np.ndarray
+    groups: int
+
+    def rows(self) -> list[tuple[str, float, float]]:
+        return [(x, float(b), float(s)) for x, b, s in zip(self.terms, self.beta, np.sqrt(np.maximum(np.diag(self.covariance), 0.0)), strict=True)]
+
+    def combined(self, weights: Sequence[float]) -> tuple[float, float]:
+        """A weighted sum of the coefficients and its error."""
+        w = np.asarray(weights, float)
+        return float(w @ self.beta), float(np.sqrt(max(0.0, w @ self.covariance @ w)))
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        return spark.createDataFrame(self.rows(), "term string, beta double, se double")
 
 
 def gramian(df: DataFrame, xs: Sequence[str], y: str, weight: str | None = None) -> tuple[np.ndarray, np.ndarray, int]:
@@ -76,89 +165,171 @@ def gramian(df: DataFrame, xs: Sequence[str], y: str, weight: str | None = None)
     return a, np.array([v or 0.0 for v in row[len(pairs) : len(pairs) + len(xs)]], float), row[-1]
 
 
-def ols_hc1(df: DataFrame, xs: Sequence[str], y: str) -> DataFrame:
-    """term, beta, se: least squares with an intercept and HC1 errors."""
-    spark = df.sparkSession
-    df = df.withColumn("_one", F.lit(1.0))
-    names = ["_one", *xs]
+def minus(y: Column, beta: Sequence[float], xs: Sequence[str]) -> Column:
+    """y less what the terms explain."""
+    return y - sum((F.lit(float(c)) * F.col(x) for c, x in zip(beta, xs, strict=True)), F.lit(0.0))
+
+
+def standardised(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Columns less their mean, over their population standard deviation; the moments are one row."""
+    row = df.agg(*[f(c) for c in columns for f in (F.avg, F.stddev_pop)]).first()
+    return df.withColumns({c: (F.col(c) - F.lit(row[2 * i])) / F.lit(row[2 * i + 1]) for i, c in enumerate(columns)})
+
+
+def ols_hc1(df: DataFrame, xs: Sequence[str], y: str, *, groups: str | None = None) -> Fit:
+    """Least squares with HC1 errors, with an intercept or, if named, an effect of each group."""
+    levels = 1
+    if groups:
+        columns = [*xs, y]
+        means = df.groupBy(F.col(groups).alias("_g")).agg(*[F.avg(c).alias(f"_m_{c}") for c in columns])
+        levels = means.count()
+        df = df.join(means, F.col(groups).eqNullSafe(F.col("_g"))).select(*[(F.col(c) - F.col(f"_m_{c}")).alias(c) for c in columns])
+        names = list(xs)
+    else:
+        df = df.select(F.lit(1.0).alias("_one"), *xs, y)
+        names = ["_one", *xs]
     a, b, n = gramian(df, names, y)
     beta = np.linalg.solve(a, b)
-    fit = sum((F.lit(float(c)) * F.col(x) for c, x in zip(beta, names, strict=True)), F.lit(0.0))
-    meat, _, _ = gramian(df.withColumn("_e2", F.pow(F.col(y) - fit, F.lit(2.0))), names, y, "_e2")
+    meat, _, _ = gramian(df.withColumn("_e2", F.pow(minus(F.col(y), beta, names), F.lit(2.0))), names, y, "_e2")
     bread = np.linalg.inv(a)
-    se = np.sqrt(np.diag(bread @ meat @ bread) * n / (n - len(names)))
-    return spark.createDataFrame([("intercept" if x == "_one" else x, float(c), float(s)) for x, c, s in zip(names, beta, se, strict=True)], "term string, beta double, se double")
+    cov = bread @ meat @ bread * n / (n - len(xs) - levels)
+    return Fit(["intercept" if x == "_one" else x for x in names], beta, cov, n)
+
+
+#: Up to this many groups, the effects of the smaller grouping are solved for at once.
+SOLVED_GROUPS = 256
 
 
-def within(df: DataFrame, columns: Sequence[str], g1: str, g2: str, *, sweeps: int = 400, tolerance: float = 1e-11, weight: str | None = None) -> DataFrame:
-    """Columns less their (weighted) means by two groupings in turn: alternating projections.
+def absorbed(df: DataFrame, columns: Sequence[str], g1: str, g2: str, *, sweeps: int = 400, tolerance: float = 1e-11, weight: str | None = None, solved_groups: int = SOLVED_GROUPS) -> DataFrame:
+    """df with the columns less additive effects of two groupings (weighted least squares); null is a group.
 
-    Sweeps go on until none changes a column by more than ``tolerance`` of its largest value;
-    it is an error if ``sweeps`` of them do not get there. Lineage is cut in each.
+    The effects are found on the sums per pair of groups, so rows are read once before and once
+    after. If a grouping has up to ``solved_groups`` groups, its effects solve one small system,
+    whose terms are summed over the other grouping's groups. Else, by turns, each grouping's
+    effects are the mean of what the other's leave; every second turn is carried on along the
+    last two differences; turns go on until none moves an effect by more than ``tolerance`` of
+    the column's largest value, and it is an error if ``sweeps`` do not get there.
     """
     w = F.col(weight) if weight else F.lit(1.0)
-    largest = lambda df, of: [x or 0.0 for x in df.agg(*[F.max(F.abs(of(c))) for c in columns]).first()]
-    scale = largest(df, F.col)
-    for _ in range(sweeps):
-        df = df.withColumns({f"_b_{c}": F.col(c) for c in columns})
-        for g in (g1, g2):
-            means = df.groupBy(g).agg(*[(F.sum(w * F.col(c)) / F.sum(w)).alias(f"_m_{c}") for c in columns])
-            df = df.join(means, g)
-            df = df.withColumns({c: F.col(c) - F.col(f"_m_{c}") for c in columns}).drop(*[f"_m_{c}" for c in columns])
-        df = df.checkpoint()
-        change = largest(df, lambda c: F.col(c) - F.col(f"_b_{c}"))
-        df = df.drop(*[f"_b_{c}" for c in columns])
+    k = range(len(columns))
+    few = df.agg(F.approx_count_distinct(g1).alias("a"), F.approx_count_distinct(g2).alias("b")).first()
+    if few["a"] < few["b"]:
+        g1, g2 = g2, g1
+    cells = kept(df.groupBy(F.col(g1).alias("_i"), F.col(g2).alias("_j")).agg(F.sum(w).alias("_w"), *[F.sum(w * F.col(c)).alias(f"_s{n}") for n, c in enumerate(columns)]))
+
+    def effects(other: DataFrame, key: str, other_key: str, name: str, other_name: str) -> DataFrame:
+        joined = cells.join(other.withColumnRenamed(other_key, "_o"), F.col(other_key).eqNullSafe(F.col("_o")))
+        return joined.groupBy(key).agg(*[((F.sum(f"_s{n}") - F.sum(F.col("_w") * F.col(f"{other_name}{n}"))) / F.sum("_w")).alias(f"{name}{n}") for n in k])
+
+    first = lambda b: effects(b, "_i", "_j", "_a", "_b")
+    turn = lambda b: kept(effects(first(b), "_j", "_i", "_b", "_a"))
+    levels = cells.select("_j").distinct().orderBy("_j").limit(solved_groups + 1).collect()
+    if len(levels) <= solved_groups:
+        b2 = solved(cells, [r["_j"] for r in levels], len(columns))
+        return without_effects(df, columns, g1, g2, kept(first(b2)), b2)
+    scale = [x or 0.0 for x in df.agg(*[F.max(F.abs(c)) for c in columns]).first()]
+    b0 = cells.select("_j").distinct().select("_j", *[F.lit(0.0).alias(f"_b{n}") for n in k])
+    for _ in range(0, sweeps, 2):
+        b1 = turn(b0)
+        b2 = turn(b1)
+        named = [b.select(F.col("_j").alias(f"_j{m}"), *[F.col(f"_b{n}").alias(f"_b{n}_{m}") for n in k]) for m, b in enumerate((b0, b1, b2))]
+        three = kept(named[2].join(named[1], F.col("_j2").eqNullSafe(F.col("_j1"))).join(named[0], F.col("_j2").eqNullSafe(F.col("_j0"))))
+        last = [F.col(f"_b{n}_2") - F.col(f"_b{n}_1") for n in k]
+        bend = [last[n] - F.col(f"_b{n}_1") + F.col(f"_b{n}_0") for n in k]
+        row = three.agg(*[F.max(F.abs(x)) for x in last], *[F.sum(x * y) for x, y in zip(last, bend, strict=True)], *[F.sum(y * y) for y in bend]).first()
+        change, cross, square = (row[len(columns) * m : len(columns) * (m + 1)] for m in range(3))
         if all(x <= tolerance * y for x, y in zip(change, scale, strict=True)):
-            return df
+            return without_effects(df, columns, g1, g2, kept(first(b2)), b2)
+        ahead = [cross[n] / square[n] if square[n] > (1e-14 * scale[n]) ** 2 else 0.0 for n in k]
+        b0 = three.select(F.col("_j2").alias("_j"), *[(F.col(f"_b{n}_2") - F.lit(float(ahead[n])) * last[n]).alias(f"_b{n}") for n in k])
     raise RuntimeError(f"no convergence to {tolerance} in {sweeps} sweeps: {change} of {scale}")
 
 
-def two_way_effects(df: DataFrame, xs: Sequence[str], y: str, g1: str, g2: str, *, sweeps: int = 400) -> DataFrame:
-    """term, beta, se: slopes with both groupings absorbed, errors clustered by the first grouping."""
-    spark = df.sparkSession
-    flat = within(df.select(g1, g2, *xs, y), [*xs, y], g1, g2, sweeps=sweeps)
-    a, b, n = gramian(flat, xs, y)
-    beta = np.linalg.solve(a, b)
-    e = F.col(y) - sum((F.lit(float(c)) * F.col(x) for c, x in zip(beta, xs, strict=True)), F.lit(0.0))
-    scores = flat.groupBy(g1).agg(*[F.sum(F.col(x) * e).alias(x) for x in xs]).withColumn("_z", F.lit(0.0))
-    meat, _, groups = gramian(scores, xs, "_z")
-    bread = np.linalg.inv(a)
-    se = np.sqrt(np.diag(bread @ meat @ bread) * groups / (groups - 1))
-    return spark.createDataFrame([(x, float(c), float(s)) for x, c, s in zip(xs, beta, se, strict=True)], "term string, beta double, se double")
-
-
-def poisson_effects(df: DataFrame, xs: Sequence[str], y: str, g1: str, g2: str, *, steps: int = 20, sweeps: int = 400, tolerance: float = 1e-4) -> DataFrame:
-    """term, beta, se: Poisson pseudo-likelihood with both groupings absorbed, errors clustered by both.
-
-    Each step makes working response and weights by expression, takes weighted group means
+def without_effects(df: DataFrame, columns: Sequence[str], g1: str, g2: str, a: DataFrame, b: DataFrame) -> DataFrame:
+    left = df.join(a.withColumnRenamed("_i", "_ai"), F.col(g1).eqNullSafe(F.col("_ai"))).join(b.withColumnRenamed("_j", "_bj"), F.col(g2).eqNullSafe(F.col("_bj")))
+    return left.withColumns({c: F.col(c) - F.col(f"_a{n}") - F.col(f"_b{n}") for n, c in enumerate(columns)}).drop("_ai", "_bj", *[f"_{x}{n}" for x in "ab" for n in range(len(columns))])
+
+
+def solved(cells: DataFrame, levels: list, n_columns: int) -> DataFrame:
+    """_j, _b0, ...: effects of the smaller grouping once the other's are out; sums per pair of its groups are all that reaches the driver."""
+    k = range(n_columns)
+    totals = cells.groupBy(F.col("_i").alias("_ti")).agg(F.sum("_w").alias("_tw"), *[F.sum(f"_s{n}").alias(f"_t{n}") for n in k])
+    both = cells.join(totals, F.col("_i").eqNullSafe(F.col("_ti")))
+    right = both.groupBy("_j").agg(F.sum("_w").alias("_w"), *[F.sum(F.col(f"_s{n}") - F.col("_w") * F.col(f"_t{n}") / F.col("_tw")).alias(f"_r{n}") for n in k])
+    other = both.select(F.col("_i").alias("_i2"), F.col("_j").alias("_j2"), (F.col("_w") / F.col("_tw")).alias("_w2"))
+    pairs = cells.join(other, F.col("_i").eqNullSafe(F.col("_i2"))).groupBy("_j", "_j2").agg(F.sum(F.col("_w") * F.col("_w2")).alias("_x"))
+    place = {j: n for n, j in enumerate(levels)}
+    system, known = np.zeros((len(levels), len(levels))), np.zeros((len(levels), n_columns))
+    for r in right.collect():  # at most SOLVED_GROUPS rows
+        system[place[r["_j"]], place[r["_j"]]] += r["_w"]
+        known[place[r["_j"]]] = [r[f"_r{n}"] for n in k]
+    for r in pairs.collect():  # at most their square
+        system[place[r["_j"]], place[r["_j2"]]] -= r["_x"]
+    found = np.linalg.pinv(system, rcond=1e-12, hermitian=True) @ known
+    kind = cells.schema["_j"].dataType.simpleString()
+    return cells.sparkSession.createDataFrame([(j, *map(float, found[n])) for n, j in enumerate(levels)], f"_j {kind}, " + ", ".join(f"_b{n} double" for n in k))
+
+
+def sandwich(scores: DataFrame, xs: Sequence[str], bread: np.ndarray, clusters: Sequence[str]) -> tuple[np.ndarray, int]:
+    """Covariance of slopes with scores summed by one clustering, or by each of two less by both; and the fewest clusters."""
+    ways = [[c] for c in clusters] + ([list(clusters)] if len(clusters) == 2 else [])
+    meat, counts = np.zeros_like(bread), []
+    for way in ways:
+        part, _, n = gramian(scores.groupBy(*way).agg(*[F.sum(x).alias(x) for x in xs]).withColumn("_z", F.lit(0.0)), xs, "_z")
+        meat += part if len(way) == 1 else -part
+        counts.append(n)
+    return bread @ meat @ bread, min(counts[: len(clusters)])
+
+
+def two_way_effects(df: DataFrame, xs: Sequence[str], y: str, g1: str, g2: str, *, clusters: Sequence[str] | None = None, sweeps: int = 400) -> Fit:
+    """Slopes with both groupings absorbed; errors clustered by the groupings, or by one or two columns named."""
+    clusters = list(clusters or (g1, g2))
+    flat = kept(absorbed(df.select(*dict.fromkeys([g1, g2, *clusters]), *xs, y), [*xs, y], g1, g2, sweeps=sweeps))
+    a, b, _ = gramian(flat, xs, y)
+    bread = np.linalg.pinv(a)
+    beta = bread @ b
+    e = minus(F.col(y), beta, xs)
+    cov, groups = sandwich(flat.select(*clusters, *[(F.col(x) * e).alias(x) for x in xs]), xs, bread, clusters)
+    return Fit(list(xs), beta, cov, groups)
+
+
+def poisson_effects(
+    df: DataFrame, xs: Sequence[str], y: str, g1: str, g2: str, *, clusters: Sequence[str] | None = None, steps: int = 30, sweeps: int = 400, tolerance: float = 1e-5
+) -> Fit:
+    """Poisson pseudo-likelihood with both groupings absorbed, errors clustered by them or by the columns named.
+
+    Each step makes working response and weights by expression, takes weighted group effects
     out, and solves the k x k system; the linear predictor is z less its residual. A step is
     halved while the deviance rises against the fit before. Steps end when the slopes change by
     less than ``tolerance``, after the fifth at the earliest; it is an error if ``steps`` do not
-    get there.
+    get there. Groups without any outcome have no finite effect and are left out first.
     """
-    spark = df.sparkSession
-    flats = [f"_x_{x}" for x in xs]
+    clusters = list(clusters or (g1, g2))
+    keys = list(dict.fromkeys([g1, g2, *clusters]))
+    flats = [f"_x_{n}" for n in range(len(xs))]
+    rows = df.select(*keys, *xs, y)
+    for g in (g1, g2):
+        rows = rows.join(rows.groupBy(F.col(g).alias("_g")).agg(F.sum(y).alias("_y")).where("_y > 0").select("_g"), F.col(g).eqNullSafe(F.col("_g"))).drop("_g")
 
     def projected(now: DataFrame) -> DataFrame:
         work = now.withColumn("_w", F.greatest(F.exp("_eta"), F.lit(1e-10))).withColumn("_z", F.col("_eta") + (F.col(y) - F.exp("_eta")) / F.col("_w"))
-        kept = work.withColumns({f: F.col(x) for f, x in zip(flats, xs, strict=True)}).withColumn("_zr", F.col("_z"))
-        return within(kept, [*flats, "_zr"], g1, g2, sweeps=sweeps, weight="_w")
+        both = work.withColumns({f: F.col(x).cast("double") for f, x in zip(flats, xs, strict=True)}).withColumn("_zr", F.col("_z"))
+        return kept(absorbed(both, [*flats, "_zr"], g1, g2, sweeps=sweeps, weight="_w", tolerance=1e-9))
 
     def fitted(flat: DataFrame, beta: np.ndarray) -> DataFrame:
-        residual = F.col("_zr") - sum((F.lit(float(c)) * F.col(f) for c, f in zip(beta, flats, strict=True)), F.lit(0.0))
-        eta = F.least(F.greatest(F.col("_z") - residual, F.lit(-50.0)), F.lit(25.0))
-        return flat.withColumn("_eta", eta).select(g1, g2, *xs, y, "_eta")
+        eta = F.least(F.greatest(F.col("_z") - minus(F.col("_zr"), beta, flats), F.lit(-50.0)), F.lit(25.0))
+        return flat.withColumn("_eta", eta).select(*keys, *xs, y, "_eta")
 
     deviance = F.sum(2 * (F.when(F.col(y) > 0, F.col(y) * (F.log(F.col(y)) - F.col("_eta"))).otherwise(0.0) - (F.col(y) - F.exp("_eta"))))
-    now = df.select(g1, g2, *xs, y).withColumn("_eta", F.log(F.col(y) + 0.1)).checkpoint()
+    now = kept(rows.withColumn("_eta", F.log(F.col(y) + 0.1)))
     beta, before = np.zeros(len(xs)), math.inf
     for step in range(steps):
         flat = projected(now)
         a, b, _ = gramian(flat, flats, "_zr", "_w")
-        move = np.linalg.solve(a, b) - beta
-        for half in range(12):
+        move = np.linalg.pinv(a) @ b - beta
+        for half in range(14):
             to = beta + move / 2**half
-            now = fitted(flat, to).checkpoint()
+            now = fitted(flat, to)
             dev = now.agg(deviance).first()[0]
             if dev <= before * (1 + 1e-12):
                 break
@@ -168,31 +339,6 @@ def poisson_effects(df: DataFrame, xs: Sequence[str], y: str, g1: str, g2: str,
     else:
         raise RuntimeError(f"no convergence to {tolerance} in {steps} steps: {change}")
     flat = projected(now)
-    scores = flat.withColumns({f: F.col(f) * (F.col(y) - F.exp("_eta")) for f in flats}).select(g1, g2, *flats)
-    meat = [gramian(scores.groupBy(*g).agg(*[F.sum(f).alias(f) for f in flats]).withColumn("_z", F.lit(0.0)), flats, "_z")[0] for g in ([g1], [g2], [g1, g2])]
-    bread = np.linalg.inv(gramian(flat, flats, "_zr", "_w")[0])
-    se = np.sqrt(np.maximum(np.diag(bread @ (meat[0] + meat[1] - meat[2]) @ bread), 0.0))
-    return spark.createDataFrame([(x, float(c), float(e)) for x, c, e in zip(xs, beta, se, strict=True)], "term string, beta double, se double")
-
-
-def t_tail(t: float, df: float) -> float:
-    """Two-sided tail of Student's t, by the continued fraction of the incomplete beta function."""
-    x, a, b = df / (df + t * t), df / 2, 0.5
-    if x in (0.0, 1.0):
-        return x
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log(1 - x))
-    flip = x > (a + 1) / (a + b + 2)
-    p, q, z = (b, a, 1 - x) if flip else (a, b, x)
-    c, d = 1.0, 1 / (1 - (p + q) * z / (p + 1))
-    h = d
-    for m in range(1, 300):
-        k = m * (q - m) * z / ((p + 2 * m - 1) * (p + 2 * m))
-        d, c = 1 / (1 + k * d), 1 + k / c
-        h *= d * c
-        k = -(p + m) * (p + q + m) * z / ((p + 2 * m) * (p + 2 * m + 1))
-        d, c = 1 / (1 + k * d), 1 + k / c
-        h *= d * c
-        if abs(d * c - 1) < 1e-13:
-            break
-    tail = front * h / p
-    return 1 - tail if flip else tail
+    scores = flat.select(*clusters, *[(F.col(f) * (F.col(y) - F.exp("_eta"))).alias(f) for f in flats])
+    cov, groups = sandwich(scores, flats, np.linalg.pinv(gramian(flat, flats, "_zr", "_w")[0]), clusters)
+    return Fit(list(xs), beta, cov, groups)

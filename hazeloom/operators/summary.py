@@ -19,13 +19,39 @@ def majority(df: DataFrame, unit: str, label: str) -> DataFrame:
     return counts.withColumn("_k", best).where("_k = 1").select(unit, label)
 
 
+def in_ranges(df: DataFrame, value: str, name: str = "_b", ranges: int = 64) -> DataFrame:
+    """df with the number of the range that a value lies in, 0 upwards; ranges hold about equally many rows.
+
+    Their edges come from an approximate percentile: they say where the work is cut, not what comes out.
+    """
+    edges = df.agg(F.percentile_approx(value, [k / ranges for k in range(1, ranges)], 1000)).first()[0]
+    edges = sorted({e for e in edges or [] if e is not None})
+    place = F.size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: e < F.col(value))) if edges else F.lit(0)
+    return df.withColumn(name, F.when(F.col(value).isNull(), -1).otherwise(place))
+
+
+def running(df: DataFrame, value: str, order: Sequence[str | Column], columns: dict[str, Column]) -> DataFrame:
+    """df with running sums of columns over all rows by ``value``, then ``order``: within ranges, plus the sums of the ranges before."""
+    parts = in_ranges(df, value)
+    totals = parts.groupBy("_b").agg(*[F.sum(c).alias(f"_t_{n}") for n, c in columns.items()])
+    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # over one row a range
+    offsets = totals.select(F.col("_b").alias("_o"), *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_t_{n}") for n in columns])
+    here = Window.partitionBy("_b").orderBy(value, *order).rowsBetween(Window.unboundedPreceding, 0)
+    summed = parts.withColumns({f"_r_{n}": F.sum(c).over(here) for n, c in columns.items()}).join(F.broadcast(offsets), F.col("_b") == F.col("_o"))
+    return summed.withColumns({n: F.col(f"_r_{n}") + F.col(f"_t_{n}") for n in columns}).drop("_b", "_o", *[f"_{x}_{n}" for n in columns for x in "rt"])
+
+
+def mean_ranks(df: DataFrame, value: str, name: str) -> DataFrame:
+    """df with the 1-based rank of a value among all rows, ties sharing their mean; from counts of distinct values."""
+    counts = df.groupBy(F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
+    ranks = running(counts, "_v", [], {"_upto": F.col("_c")}).select("_v", (F.col("_upto") - (F.col("_c") - 1) / 2.0).alias(name))
+    return df.join(ranks, F.col(value).eqNullSafe(F.col("_v"))).drop("_v")
+
+
 def rank_groups(df: DataFrame, value: str, groups: int, *, tie: str) -> DataFrame:
     """Rows with g, 1..groups: equal parts of the ranks (ties by ``tie``), the first group up to rank 1 + (n - 1) / groups."""
-    rank = F.row_number().over(Window.orderBy(value, tie))
-    n = F.count("*").over(Window.partitionBy())
-    return df.withColumn("_r", rank).withColumn("_n", n).withColumn(
-        "g", F.greatest(F.lit(1), F.ceil((F.col("_r") - 1) * groups / F.greatest(F.col("_n") - 1, F.lit(1)))).cast("long")
-    ).drop("_r", "_n")
+    n = df.count()
+    return running(df, value, [tie], {"_rank": F.lit(1)}).withColumn("g", F.greatest(F.lit(1), F.ceil((F.col("_rank") - 1) * groups / max(n - 1, 1))).cast("long")).drop("_rank")
 
 
 def fixed_bins(value: Column, edges: Sequence[float]) -> Column:
@@ -61,12 +87,11 @@ def average_rank(value: str, over: Sequence[str]) -> Column:
 
 
 def ks_distance(df: DataFrame, group: str, value: str, a: str, b: str) -> DataFrame:
-    """ks: the largest gap between the two groups' distribution functions, from counts per distinct value."""
+    """ks: the largest gap between the two groups' distribution functions, from running counts per distinct value."""
     counts = df.groupBy(value).agg(F.count_if(F.col(group) == a).alias("na"), F.count_if(F.col(group) == b).alias("nb"))
-    upto = Window.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    every = Window.partitionBy()
-    gap = F.abs(F.sum("na").over(upto) / F.sum("na").over(every) - F.sum("nb").over(upto) / F.sum("nb").over(every))
-    return counts.withColumn("gap", gap).agg(F.max("gap").alias("ks"))
+    na, nb = counts.agg(F.sum("na"), F.sum("nb")).first()
+    upto = running(counts, value, [], {"ua": F.col("na"), "ub": F.col("nb")})
+    return upto.agg(F.max(F.abs(F.try_divide("ua", F.lit(na)) - F.try_divide("ub", F.lit(nb)))).alias("ks"))
 
 
 def between_share(df: DataFrame, factors: Sequence[str], value: str) -> DataFrame:

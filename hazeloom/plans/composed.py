@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
 import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -12,12 +10,11 @@ from hazeloom.operators import calibration as cal
 from hazeloom.operators import spatial as sp
 from hazeloom.operators import statistics as st
 from hazeloom.operators import timeseries as ts
-from hazeloom.operators.matching import event_window
 from hazeloom.plans.files_and_streams import DEFINITION, event_files
 from hazeloom.plans.joins import PAIRS, points
 from hazeloom.plans.registry import register
 from hazeloom.plans.series import DAILY, daily, text_day
-from hazeloom.session import ensure_checkpoint_dir, table
+from hazeloom.session import kept, table
 from hazeloom.sources import files as fl
 from hazeloom.streaming import daily as sd
 
@@ -83,45 +80,71 @@ def c24(spark, sf_dir):
     return sp.nearest_within(sites, points(spark, sf_dir, "supplier", "r_id"), 1500.0).select("l_id", "r_id").where("r_id IS NOT NULL")
 
 
-@register("T9_dummies_and_two_way_clusters")
-def t9(spark, sf_dir):
-    """Slopes with supplier and month effects; variance by supplier, by month, less by both."""
-    ensure_checkpoint_dir(spark)
-    li = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("unit"), F.trunc("l_shipdate", "month").alias("month"), F.col("l_quantity").alias("x"), F.col("l_extendedprice").alias("y"))
-    flat = st.within(li, ["x", "y"], "unit", "month")
-    a, b, _ = st.gramian(flat, ["x"], "y")
-    beta = float(b[0] / a[0, 0])
-    score = flat.withColumn("s", F.col("x") * (F.col("y") - beta * F.col("x")))
-    meat = [score.groupBy(*g).agg(F.sum("s").alias("s")).agg(F.sum(F.col("s") * F.col("s"))).first()[0] for g in (["unit"], ["month"], ["unit", "month"])]
-    se = float(np.sqrt(max(0.0, meat[0] + meat[1] - meat[2])) / a[0, 0])
-    return spark.createDataFrame([("x", round(beta, 3), round(se, 3))], "term string, beta double, se double")
+#: Edges of exposure for the dose bins, open upwards.
+BINS = (40, 60, 80, 120)
+REFERENCE = -7
 
 
 @register("T13_stacked_event_study")
 def t13(spark, sf_dir):
-    """Windows of +/- 14 days around each unit's three largest days, stacked; effects by relative day against day -7."""
-    d = daily(spark, sf_dir)
-    top = F.row_number().over(Window.partitionBy("unit").orderBy(F.desc("v"), "day"))
-    events = d.withColumn("event", top).where("event <= 3").select("unit", "event", "day")
-    panel = event_window(events, -14, 14).join(d.select("unit", "day", "v"), ["unit", "day"])
-    flat = panel.withColumn("e", F.col("v") - F.avg("v").over(Window.partitionBy("unit", "event")))
-    effects = flat.groupBy("rel").agg(F.avg("e").alias("m"), F.count("*").alias("n"))
-    base = F.max(F.when(F.col("rel") == -7, F.col("m"))).over(Window.partitionBy())  # over 29 rows
-    return effects.select("rel", F.round(F.col("m") - base, 5).alias("effect"), "n")
+    """Four events' windows stacked: Poisson fits with effects of event x unit and event x day.
+
+    Treated are the units over the least exposure in the event's week; the others of the event
+    are the controls. One fit has an effect for each week relative to the event but the
+    reference, the other one for each bin of exposure from the event on. Errors are clustered by
+    unit and event.
+    """
+    weekly = daily(spark, sf_dir).groupBy("unit", F.floor(ts.days_number("day") / 7).alias("week")).agg(F.sum("v").alias("v"), F.sum("n").alias("n"))
+    totals = weekly.groupBy("week").agg(F.sum("v").alias("total"))
+    events = totals.withColumn("k", F.row_number().over(Window.partitionBy(F.pmod("week", F.lit(4))).orderBy(F.desc("total"), "week"))).where("k = 1").select(F.col("week").alias("event"))
+    exposed = events.join(weekly, F.col("event") == F.col("week")).select("event", "unit", F.col("v").alias("dose"))
+    spine = events.join(weekly.select("unit").distinct().hint("broadcast"), how="full").withColumn("rel", F.explode(F.sequence(F.lit(-8), F.lit(5))))  # four events
+    rows = kept(
+        spine.withColumn("week", F.col("event") + F.col("rel")).join(weekly.select("unit", "week", "n"), ["unit", "week"], "left").join(exposed, ["event", "unit"], "left")
+        .select("event", "unit", "rel", F.coalesce("n", F.lit(0)).alias("y"), F.coalesce("dose", F.lit(0.0)).alias("dose"))
+        .withColumn("pair", F.concat_ws(" ", "event", "unit")).withColumn("time", F.concat_ws(" ", "event", "rel"))
+    )
+    treated = F.col("dose") >= BINS[0]
+    one = lambda c: c.cast("double")
+    weeks = {f"k{k:+d}": one(treated & (F.col("rel") == k)) for k in range(-8, 6) if k != REFERENCE}
+    bins = {f"dose {a}": one((F.col("dose") >= a) & (F.col("dose") < (b or 1e9)) & (F.col("rel") >= 0)) for a, b in zip(BINS, (*BINS[1:], None), strict=True)}
+    fits = [st.poisson_effects(rows.withColumns(x), list(x), "y", "pair", "time", clusters=["unit", "event"]).table(spark) for x in (weeks, bins)]
+    both = fits[0].unionByName(fits[1])
+    return both.select("term", F.round("beta", 5).alias("beta"), F.round("se", 5).alias("se"), F.round(F.exp("beta"), 5).alias("times"))
+
+
+#: One draw: two standard normal numbers (Box-Muller), correlated by the factor of the covariance.
+T18_DRAWS = 400
 
 
-@register("T18_coefficient_draws")
+@register(
+    "T18_coefficient_draws",
+    f"""WITH m AS (SELECT avg(l_discount) AS ma, avg(l_tax) AS mb, avg(l_quantity) AS my FROM lineitem),
+    d AS (SELECT l_discount - ma AS a, l_tax - mb AS b, l_quantity - my AS y FROM lineitem, m),
+    s AS (SELECT sum(a * a) AS aa, sum(a * b) AS ab, sum(b * b) AS bb, sum(a * y) AS ay, sum(b * y) AS by_, count(*) AS n FROM d),
+    c AS (SELECT *, aa * bb - ab * ab AS det, (ay * bb - by_ * ab) / (aa * bb - ab * ab) AS ba, (by_ * aa - ay * ab) / (aa * bb - ab * ab) AS bb_ FROM s),
+    w AS (SELECT (bb * a - ab * b) / det * (y - ba * a - bb_ * b) AS ia, (aa * b - ab * a) / det * (y - ba * a - bb_ * b) AS ib FROM d, c),
+    v AS (SELECT sum(ia * ia) * max(n) / (max(n) - 3) AS vaa, sum(ia * ib) * max(n) / (max(n) - 3) AS vab, sum(ib * ib) * max(n) / (max(n) - 3) AS vbb FROM w, c),
+    l AS (SELECT ba, bb_, sqrt(vaa) AS l11, vab / sqrt(vaa) AS l21, sqrt(vbb - vab * vab / vaa) AS l22 FROM c, v),
+    u AS (SELECT r, sqrt(-2 * ln(1 - {st.draw_sql(7, "r", "'a'")})) AS size, 2 * pi() * {st.draw_sql(7, "r", "'b'")} AS angle FROM range(0, {T18_DRAWS}) t(r)),
+    z AS (SELECT r, ba + l11 * size * cos(angle) AS a, bb_ + l21 * size * cos(angle) + l22 * size * sin(angle) AS b FROM u, l),
+    g AS (SELECT l_discount, l_tax, sum(l_extendedprice) AS y FROM lineitem GROUP BY ALL),
+    x AS (SELECT r, sum(y * (1 - exp(-(a * l_discount + b * l_tax) / 100))) AS t FROM g, z GROUP BY r), q AS (SELECT quantile_cont(t, [0.025, 0.5, 0.975]) AS q, max(abs(t)) AS top FROM x)
+    SELECT round(q[1] / top, 7) AS lo, round(q[2] / top, 7) AS mid, round(q[3] / top, 7) AS hi FROM q""",
+)
 def t18(spark, sf_dir):
-    """Normal draws of the slopes through a nonlinear total: one row per draw, one sum each."""
+    """Draws of two slopes with their covariance through a nonlinear total: one row per draw, one sum each; as parts of the largest."""
     li = table(spark, sf_dir, "lineitem")
-    fit = st.ols_hc1(li, ["l_discount", "l_tax"], "l_quantity").where("term <> 'intercept'").collect()  # two rows
-    rng = np.random.default_rng(7)
-    draws = rng.normal([r.beta for r in fit], [r.se for r in fit], size=(200, 2))
+    fit = st.ols_hc1(li, ["l_discount", "l_tax"], "l_quantity")
+    lower = np.linalg.cholesky(fit.covariance[1:, 1:])
+    size, angle = F.sqrt(-2 * F.log(1 - st.draw(7, "draw", F.lit("a")))), 2 * np.pi * st.draw(7, "draw", F.lit("b"))
+    z = [size * F.cos(angle), size * F.sin(angle)]
+    slopes = [float(fit.beta[i + 1]) + sum((float(lower[i, j]) * z[j] for j in range(i + 1)), F.lit(0.0)) for i in range(2)]
     by = li.groupBy("l_discount", "l_tax").agg(F.sum("l_extendedprice").alias("y"))
-    drawn = F.from_json(F.lit(json.dumps(draws.tolist())), "array<array<double>>")
-    each = by.select("*", F.posexplode(drawn).alias("draw", "ab")).select("*", F.col("ab")[0].alias("a"), F.col("ab")[1].alias("b"))
-    sums = each.groupBy("draw").agg(F.sum(F.expr("y * (1 - exp(-(a * l_discount + b * l_tax)))")).alias("t"))
-    return sums.agg(F.percentile("t", [0.025, 0.5, 0.975]).alias("q")).select(*[F.round(F.col("q")[i], 2).alias(n) for i, n in enumerate(("lo", "mid", "hi"))])
+    each = by.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(T18_DRAWS - 1)))).select("*", slopes[0].alias("a"), slopes[1].alias("b"))
+    sums = each.groupBy("draw").agg(F.sum(F.expr("y * (1 - exp(-(a * l_discount + b * l_tax) / 100))")).alias("t"))
+    q = sums.agg(F.percentile("t", [0.025, 0.5, 0.975]).alias("q"), F.max(F.abs("t")).alias("top"))
+    return q.select(*[F.round(F.col("q")[i] / F.col("top"), 7).alias(n) for i, n in enumerate(("lo", "mid", "hi"))])
 
 
 @register("S15_stamp_refusal", "SELECT 'another definition' AS why, 0 AS n UNION ALL SELECT 'agrees', count(*)::INT FROM region")

@@ -105,19 +105,31 @@ text_query(
     f"CASE WHEN {LAT2} - {LAT} >= 0 AND ({LON2} - {LON}) * cos(radians({LAT})) >= 0 THEN 'NE' WHEN {LAT2} - {LAT} < 0 AND ({LON2} - {LON}) * cos(radians({LAT})) >= 0 THEN 'SE' WHEN {LAT2} - {LAT} < 0 THEN 'SW' ELSE 'NW' END",
 )
 
-b_sql = f"(2 * pi() * ({DOY} - 81) / 364.0)"
-eot_sql = f"(9.87 * sin(2 * {b_sql}) - 7.53 * cos({b_sql}) - 1.5 * sin({b_sql}))"
-decl_sql = f"radians(23.45 * sin(2 * pi() * (284 + {DOY}) / 365.0))"
-cosz_sql = f"(sin(radians({LAT})) * sin({decl_sql}) + cos(radians({LAT})) * cos({decl_sql}) * cos(radians(15.0 * ({HOUR} + {LON} / 15.0 + {eot_sql} / 60.0 - 12.0))))"
+g_sql = f"(2 * pi() / 365.0 * ({DOY} - 1 + ({HOUR} - 12) / 24.0))"
+eot_sql = f"(229.18 * (0.000075 + 0.001868 * cos({g_sql}) - 0.032077 * sin({g_sql}) - 0.014615 * cos(2 * {g_sql}) - 0.040849 * sin(2 * {g_sql})))"
+decl_sql = f"(0.006918 - 0.399912 * cos({g_sql}) + 0.070257 * sin({g_sql}) - 0.006758 * cos(2 * {g_sql}) + 0.000907 * sin(2 * {g_sql}) - 0.002697 * cos(3 * {g_sql}) + 0.00148 * sin(3 * {g_sql}))"
+angle_sql = f"radians(({HOUR} * 60.0 + {eot_sql} + 4.0 * {LON}) / 4.0 - 180.0)"
+cosz_sql = f"greatest(-1.0, least(1.0, sin(radians({LAT})) * sin({decl_sql}) + cos(radians({LAT})) * cos({decl_sql}) * cos({angle_sql})))"
 item_query("F13_cos_zenith", lambda c: c.sun["cos_zenith"], cosz_sql)
-kt_sql = "(l_quantity / 50.0)"
-beam_sql = f"(1 - CASE WHEN {kt_sql} <= 0.22 THEN 1.0 - 0.09 * {kt_sql} WHEN {kt_sql} <= 0.80 THEN 0.9511 - 0.1604 * {kt_sql} + 4.388 * {kt_sql} * {kt_sql} - 16.638 * pow({kt_sql}, 3.0) + 12.336 * pow({kt_sql}, 4.0) ELSE 0.165 END)"
-item_query(
+
+
+@register(
     "F14_direct_normal",
-    lambda c: ph.direct_normal(F.col("l_quantity") * 20, c.kt, c.sun["cos_zenith"]),
-    f"CASE WHEN {cosz_sql} > 0.05233595624294383 THEN l_quantity * 20 * {beam_sql} * least(1.0 / {cosz_sql}, 12.0) ELSE 0.0 END",
-    3,
+    f"""WITH r AS (SELECT l_orderkey, l_linenumber, l_partkey, l_quantity * 20 AS ghi, {P} AS p, {cosz_sql} AS cz, 1370.0 * (1 + 0.033 * cos(radians(360.0 * {DOY} / 365.0))) AS i0 FROM lineitem),
+    k AS (SELECT *, degrees(acos(cz)) AS z, greatest(0.0, least(1.0, ghi / greatest(i0 * greatest(cz, 0.0), 1e-6))) AS k FROM r),
+    m AS (SELECT *, greatest(0.0, least(12.0, p / 1013.25 / greatest(greatest(cz, 0.0) + 0.15 * pow(greatest(93.885 - z, 1e-3), -1.253), 1e-6))) AS m FROM k),
+    t AS (SELECT *, CASE WHEN k <= 0.6 THEN 0.512 - 1.560 * k + 2.286 * k * k - 2.222 * k * k * k ELSE -5.743 + 21.77 * k - 27.49 * k * k + 11.56 * k * k * k END AS a,
+      CASE WHEN k <= 0.6 THEN 0.370 + 0.962 * k ELSE 41.40 - 118.5 * k + 66.05 * k * k + 31.90 * k * k * k END AS b,
+      CASE WHEN k <= 0.6 THEN -0.280 + 0.932 * k - 2.048 * k * k ELSE -47.01 + 184.2 * k - 222.0 * k * k + 73.81 * k * k * k END AS c FROM m)
+    SELECT l_orderkey, l_linenumber, l_partkey, round(CASE WHEN z < 87 AND ghi > 0 AND cz > 0 THEN greatest(0.0, least(1400.0,
+      greatest(0.0, 0.866 - 0.122 * m + 0.0121 * m * m - 0.000653 * m * m * m + 0.000014 * m * m * m * m - a - b * exp(c * m)) * i0)) ELSE 0.0 END, 3) AS value FROM t""",
 )
+def f14(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = stand_ins()
+    value = ph.direct_normal(F.col("l_quantity") * 20, c.sun["cos_zenith"], F.expr(DOY), c.p)
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.round(value, 3).alias("value"))
+
+
 item_query("F19_scaled_clearness", lambda c: ph.scaled_clearness(F.col("l_quantity") * 20, c.sun["cos_zenith"], 1 + F.col("l_tax")), f"CASE WHEN {cosz_sql} > 0 THEN least(1.2, (1 + l_tax) * l_quantity * 20 / (1361.0 * {cosz_sql})) END")
 
 
@@ -170,8 +182,13 @@ def delimited_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words.where("word <> ''").groupBy("word").agg(F.count("*").alias("n"))
 
 
-@register("F21_definition_hash")
+@register(
+    "F21_definition_hash",
+    """WITH l AS (SELECT p_brand, CASE WHEN p_brand LIKE '%1' THEN NULL ELSE min(p_size) END AS least, max(p_size) AS most, max(p_retailprice) AS top FROM part GROUP BY 1)
+    SELECT p_brand, substr(sha256('{"least":' || coalesce(least::VARCHAR, 'null') || ',"most":' || most::VARCHAR || ',"p_brand":"' || p_brand || '","top":' || top::VARCHAR || '}'), 1, 12) AS stamp FROM l""",
+)
 def definition_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first 12 hex digits of the SHA-256 of each brand's limits as JSON with its keys in order."""
-    limits = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.min("p_size").alias("least"), F.max("p_size").alias("most"), F.max("p_retailprice").alias("top"))
-    return limits.select("p_brand", F.substring(F.sha2(F.to_json(F.struct("least", "most", "p_brand", "top")), 256), 1, 12).alias("stamp"))
+    """The first 12 hex digits of the SHA-256 of each brand's limits as JSON with its keys in order; a limit that is null counts."""
+    least = F.when(F.col("p_brand").like("%1"), None).otherwise(F.min("p_size"))
+    limits = table(spark, sf_dir, "part").groupBy("p_brand").agg(least.alias("least"), F.max("p_size").alias("most"), F.max("p_retailprice").alias("top"))
+    return limits.select("p_brand", F.substring(F.sha2(F.to_json(F.struct("least", "most", "p_brand", "top"), {"ignoreNullFields": "false"}), 256), 1, 12).alias("stamp"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from hazeloom.operators import summary as sm
 from hazeloom.operators import timeseries as ts
 from hazeloom.plans.registry import register
 from hazeloom.session import table
@@ -251,7 +252,8 @@ def w29(spark, sf_dir):
 @register("W30_rank_table", "SELECT l_suppkey AS unit, sum(l_quantity) AS total, row_number() OVER (ORDER BY sum(l_quantity) DESC, l_suppkey)::BIGINT AS place FROM lineitem GROUP BY 1")
 def w30(spark, sf_dir):
     totals = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("unit")).agg(F.sum("l_quantity").alias("total"))
-    return totals.withColumn("place", F.row_number().over(Window.orderBy(F.desc("total"), "unit")).cast("long"))
+    placed = sm.running(totals.withColumn("_minus", -F.col("total")), "_minus", ["unit"], {"place": F.lit(1).cast("long")})
+    return placed.drop("_minus")
 
 
 @register("W31_running_count", f"WITH {FLAGGED} SELECT unit, strftime(day, '%Y-%m-%d') AS day, (sum(flag::INT) OVER (PARTITION BY unit ORDER BY day))::BIGINT AS so_far FROM flags")

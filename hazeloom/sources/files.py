@@ -45,8 +45,8 @@ def range_midpoint(text: Column) -> Column:
 
 
 def stamp_of(definition: Column) -> Column:
-    """First 12 hex digits of the SHA-256 of a definition's JSON."""
-    return F.substring(F.sha2(F.to_json(definition), 256), 1, 12)
+    """First 12 hex digits of the SHA-256 of a definition's JSON, null limits included."""
+    return F.substring(F.sha2(F.to_json(definition, {"ignoreNullFields": "false"}), 256), 1, 12)
 
 
 def write_stamped(df: DataFrame, path: str, definition: dict[str, str], producer: str, pending: tuple[str, ...] | list[str] = ()) -> None:

@@ -3,8 +3,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from hazeloom.operators import calibration as cal
-from hazeloom.plans import calibrate, composed, stats
-from hazeloom.session import ensure_checkpoint_dir
+from hazeloom.operators import statistics as st
+from hazeloom.operators import summary as sm
+from hazeloom.plans import calibrate
 
 
 def dummies(*groups):
@@ -12,48 +13,63 @@ def dummies(*groups):
     return np.hstack([columns[0], *[c[:, 1:] for c in columns[1:]]])
 
 
-def test_registered_slopes_against_dense_dummies(spark, tmp_path):
-    """A skewed panel: suppliers sell in different months, so that projections need many sweeps."""
-    rng = np.random.default_rng(5)
-    rows = []
+@pytest.mark.parametrize("solved_groups", [256, 0])
+def test_slopes_against_dense_dummies(spark, monkeypatch, solved_groups):
+    """A skewed panel with a null group: units sell in different months, so that turns need many rounds."""
+    rng, rows = np.random.default_rng(5), []
     for unit in range(12):
         for _ in range(30):
             month = int(min(11, max(0, unit // 2 + rng.integers(-4, 8))))
-            q = float(rng.integers(1, 50) + 3 * month)
-            d = float(rng.integers(0, 10)) / 100
-            rows.append((unit, f"1995-{month + 1:02d}-15", q, d, q * 20 + d * 900 + 300 * month - 50 * unit + float(rng.normal()) * 100))
-    table = spark.createDataFrame(rows, "l_suppkey long, l_shipdate string, l_quantity double, l_discount double, l_extendedprice double").withColumn("l_shipdate", F.to_date("l_shipdate"))
-    table.write.parquet(f"{tmp_path}/lineitem.parquet")
+            q, d = float(rng.integers(1, 50) + 3 * month), float(rng.integers(0, 10)) / 100
+            rows.append((unit, month, q, d, q * 20 + d * 900 + 300 * month - 50 * unit + float(rng.normal()) * 100))
+    df = spark.createDataFrame([(*r[:1], None if r[1] == 5 else r[1], *r[2:]) for r in rows], "unit long, month long, q double, d double, y double")
     unit, month, q, d, y = (np.array(c) for c in zip(*rows, strict=True))
-    fixed = dummies(unit, month)
-    want = np.linalg.lstsq(np.column_stack([q, d, fixed]), y, rcond=None)[0]
-    got = {r.term: r.beta for r in stats.t10(spark, str(tmp_path)).collect()}
-    assert abs(got["q"] - want[0]) < 1e-3 and abs(got["d"] - want[1]) < 1e-3
-    alone = np.linalg.lstsq(np.column_stack([q, fixed]), y, rcond=None)[0][0]
-    assert abs(composed.t9(spark, str(tmp_path)).first().beta - alone) < 1e-3
+    design = np.column_stack([q, d, dummies(unit, month)])
+    inverse = np.linalg.pinv(design.T @ design)
+    want = inverse @ design.T @ y
+    scores = design * (y - design @ want)[:, None]
+    of = lambda k: sum(np.outer(s, s) for s in (scores[k == i].sum(0) for i in np.unique(k)))
+    cov = inverse @ (of(unit) + of(month) - of(unit * 100 + month)) @ inverse
+    plain = st.absorbed
+    monkeypatch.setattr(st, "absorbed", lambda *a, **k: plain(*a, **k, solved_groups=solved_groups))
+    fit = st.two_way_effects(df, ["q", "d"], "y", "unit", "month")
+    assert np.allclose(fit.beta, want[:2], rtol=1e-6) and np.allclose(fit.covariance, cov[:2, :2], rtol=1e-6)
+    assert fit.groups == 12 and np.isclose(fit.combined([1, -1])[1], np.sqrt(cov[0, 0] + cov[1, 1] - 2 * cov[0, 1]))
 
 
 def test_poisson_against_a_dense_fit(spark):
-    from hazeloom.operators import statistics as st
-
-    ensure_checkpoint_dir(spark)
     rng = np.random.default_rng(6)
     g, t = (a.ravel() for a in np.meshgrid(np.arange(10), np.arange(8), indexing="ij"))
     x = rng.normal(size=len(g)) + 0.4 * t
-    y = rng.poisson(np.exp(0.5 * x + 0.1 * g - 0.2 * t + 1)).astype(float)
-    design = np.column_stack([x, dummies(g, t)])
-    b = np.linalg.lstsq(design, np.log(y + 0.1), rcond=None)[0]
+    z = x * (g < 4)
+    y = rng.poisson(np.exp(0.5 * x - 0.2 * z + 0.1 * g - 0.2 * t + 1)).astype(float)
+    y[g == 9] = 0  # a group without any outcome leaves
+    design = np.column_stack([x, z, dummies(g, t)])[g < 9][:, [k for k in range(2 + 10 + 7) if k != 2 + 9]]
+    gg, tt, yy = g[g < 9], t[g < 9], y[g < 9]
+    b = np.linalg.lstsq(design, np.log(yy + 0.1), rcond=None)[0]
     for _ in range(60):
         mu = np.exp(design @ b)
-        b = b + np.linalg.solve(design.T @ (mu[:, None] * design), design.T @ (y - mu))
+        b = b + np.linalg.solve(design.T @ (mu[:, None] * design), design.T @ (yy - mu))
     mu = np.exp(design @ b)
-    scores = design * (y - mu)[:, None]
+    scores = design * (yy - mu)[:, None]
     of = lambda k: sum(np.outer(s, s) for s in (scores[k == i].sum(0) for i in np.unique(k)))
     bread = np.linalg.inv(design.T @ (mu[:, None] * design))
-    se = np.sqrt(max(0.0, (bread @ (of(g) + of(t) - of(np.arange(len(g)))) @ bread)[0, 0]))
-    df = spark.createDataFrame(list(zip(g.tolist(), t.tolist(), x.tolist(), y.tolist(), strict=True)), "g long, t long, x double, y double")
-    got = st.poisson_effects(df, ["x"], "y", "g", "t").first()
-    assert abs(got.beta - b[0]) < 1e-6 and abs(got.se - se) < 1e-6
+    cov = bread @ (of(gg) + of(tt) - of(np.arange(len(gg)))) @ bread
+    df = spark.createDataFrame(list(zip(g.tolist(), t.tolist(), x.tolist(), z.tolist(), y.tolist(), strict=True)), "g long, t long, x double, z double, y double")
+    fit = st.poisson_effects(df, ["x", "z"], "y", "g", "t")
+    assert np.allclose(fit.beta, b[:2], atol=1e-6) and np.allclose(fit.covariance, cov[:2, :2], atol=1e-6)
+
+
+def test_running_sums_and_ranks_over_ranges(spark):
+    rng = np.random.default_rng(3)
+    values = [None, *rng.integers(0, 40, 300).astype(float).tolist()]
+    df = spark.createDataFrame(list(enumerate(values)), "id long, v double")
+    got = {r.id: r.at for r in sm.running(df, "v", ["id"], {"at": F.lit(1)}).collect()}
+    order = sorted(range(len(values)), key=lambda i: (values[i] is not None, values[i] or 0.0, i))
+    assert got == {i: k + 1 for k, i in enumerate(order)}
+    few = df.where("v IS NOT NULL")
+    ranks = {r.id: r.r for r in sm.mean_ranks(few, "v", "r").collect()}
+    assert all(ranks[i] == 1 + sum(w < values[i] for w in values[1:]) + (values.count(values[i]) - 1) / 2 for i in ranks)
 
 
 def test_registered_margins_are_met(spark, tmp_path):
