@@ -98,9 +98,9 @@ def nearest(
     vector_col: str = "embedding",
     query_every: int = 20,
     k: int = 20,
-    lists: int = 256,
+    lists: int | None = None,
     parts: int = 16,
-    probe_share: float = 0.7,
+    probe_share: float = 0.65,
     shortlist: int = 128,
     sample_rows: int = 20_000,
     block_rows: int = 8192,
@@ -109,18 +109,20 @@ def nearest(
     """query_id, rank, vec_id, score: the k rows of largest inner product found for each query, of all rows but its own id's.
 
     Queries are the rows whose id is divisible by ``query_every``. Centres and codebooks are
-    fitted on the ``sample_rows`` rows of least hashed id; every row is indexed. Each query
-    probes the lists of largest inner product with it until they hold ``probe_share`` of all
-    rows. Lists are gathered into (or, where larger, split over) blocks of about
-    ``block_rows`` rows, queries into blocks of ``block_queries``; every pair of blocks is a
-    task of bounded size that scores by asymmetric tables, keeps each query's ``shortlist``
+    fitted on the ``sample_rows`` rows of least hashed id; every row is indexed. There are as
+    many lists as the root of the number of rows, unless ``lists`` says otherwise, but at most one
+    for 16 rows of the sample. Each query probes the lists of largest inner product with it until
+    they hold ``probe_share`` of all rows. Lists are gathered into (or, where larger, split over)
+    blocks of about ``block_rows`` rows. Queries go to the blocks they probe; only a block that
+    more than ``block_queries`` of them probe has its rows copied, once for each so many. Every
+    block with such a part of its queries is a task of bounded size that scores by asymmetric tables, keeps each query's ``shortlist``
     best vectors with all that tie with the last of them, and ranks those by exact products
     of the original vectors in double precision. Rows with equal vectors are scored as one.
 
     Null ids and vectors that are null, empty, zero, or hold nulls or non-finite numbers take no
     part, nor do those whose length is not the sample's most frequent. Ties go to the smaller
     id. A repeated id is one query (the vector that sorts first) but a candidate in each of its
-    rows. Where fewer than k candidates exist, all are returned. Other columns are not read.
+    rows. Where fewer than k candidates exist, all are returned; empty tables give no rows. Other columns are not read.
     """
     spark = vectors.sparkSession
     rows = usable(vectors, id_col, vector_col)
@@ -130,7 +132,8 @@ def nearest(
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     d = Counter(some.value_lengths().to_pylist()).most_common(1)[0][0]
     sample = stacked(some.filter(pa.compute.equal(some.value_lengths(), d)), d)
-    index = spark.sparkContext.broadcast(fit(sample, lists=max(1, min(lists, len(sample) // 64)), parts=parts))  # at most sample_rows rows make it
+    wanted = lists or round(rows.count() ** 0.5)
+    index = spark.sparkContext.broadcast(fit(sample, lists=max(1, min(wanted, len(sample) // 16)), parts=parts))  # at most sample_rows rows make it
     n_lists = len(index.value.centres)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,7 +168,6 @@ def nearest(
         return out
 
     asked = held.where(F.pmod("vec_id", F.lit(query_every)) == 0).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("v").alias("q"))
-    q_parts = max(1, -(-asked.count() // block_queries))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -178,12 +180,15 @@ def nearest(
             taken = batch.take(pa.array(rows_, pa.int64()))
             yield pa.RecordBatch.from_arrays([taken.column(0), taken.column(1), pa.array(blocks, pa.int64())], names=["query_id", "q", "block"])
 
-    queries = asked.mapInArrow(spread, "query_id long, q array<double>, block long").withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(q_parts)))
+    probing = cut(asked.mapInArrow(spread, "query_id long, q array<double>, block long"))
+    busy = probing.groupBy(F.col("block").alias("b_block")).agg(F.ceil(F.count("*") / block_queries).alias("q_parts"))
+    queries = probing.join(busy, F.col("block") == F.col("b_block")).select("query_id", "q", "block", F.pmod(F.xxhash64("query_id"), "q_parts").alias("part"))
     where = spark.createDataFrame([(i, int(first[i]), int(split[i])) for i in range(n_lists)], "list int, first long, split long")
     stored = (
         held.join(F.broadcast(where), "list")  # a row per list
         .select("vec_id", "v", "list", "codes", (F.col("first") + F.pmod(F.xxhash64("vec_id"), "split")).alias("block"))
-        .withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(q_parts - 1).cast("long"))))
+        .join(busy, F.col("block") == F.col("b_block"))
+        .select("vec_id", "v", "list", "codes", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("q_parts") - 1)).alias("part"))
     )
     kept = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 

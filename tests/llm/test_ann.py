@@ -35,6 +35,21 @@ def test_recall_and_scores(spark, sf):
         assert hits >= 0.9 * 20 * len(want)
 
 
+def test_recall_at_a_larger_size(spark):
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = table.select("vec_id", "embedding").collect()
+    ids, x = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], np.float64)
+    got = {}
+    for r in nearest(table).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = 0
+    for i in np.flatnonzero(ids % 20 == 0):
+        s = x @ x[i]
+        s[i] = -np.inf
+        hits += len(got[ids[i]] & set(ids[np.lexsort((ids, -s))[:20]].tolist()))
+    assert hits >= 0.9 * 20 * len(got) and len(got) == (ids % 20 == 0).sum()
+
+
 def test_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, [1.0, 1.0]), (2, [1.0, 1.0]), (3, [0.0, 0.0]), (4, None), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, [None, 1.0]), (8, [-1.0, 0.5]), (8, [-1.0, 0.5]), (9, [1.0]), (20, [1.0, 1.0]), (None, [1.0, 1.0]), (40, None), (10, [])]
