@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hazeloom.functions.physics import on_curve
+from hazeloom.session import kept
 
 
 def quantile_points(n: int, low: float = 0.005, high: float = 0.995) -> list[float]:
@@ -47,7 +48,7 @@ def proportional_fit(cells: DataFrame, rows: DataFrame, columns: DataFrame, *, s
     for _ in range(sweeps):
         cells = cells.join(rows, "i").withColumn("x", F.col("x") * F.coalesce(F.try_divide(F.col("r"), F.sum("x").over(Window.partitionBy("i"))), F.lit(0.0))).drop("r")
         cells = cells.join(columns, "j").withColumn("x", F.col("x") * F.coalesce(F.try_divide(F.col("c"), F.sum("x").over(Window.partitionBy("j"))), F.lit(0.0))).drop("c")
-        cells = cells.checkpoint()
+        cells = kept(cells)
         off = cells.groupBy("i").agg(F.sum("x").alias("x")).join(rows, "i").agg(F.max(F.abs(F.col("x") - F.col("r")))).first()[0] or 0.0
         if off <= tolerance * total:
             return cells

@@ -41,15 +41,59 @@ def as_of(left: DataFrame, right: DataFrame, *, by: str, at: str, value: str) ->
     return both.withColumn(value, F.last("_v", ignorenulls=True).over(w)).where("_left = 1").drop("_v", "_left")
 
 
-def fuzzy_match(left: DataFrame, right: DataFrame, *, block: str, name: str, key: str, cut: float) -> DataFrame:
+def nearest_controls(events: DataFrame, controls: DataFrame, *, by: str, key: str, value: str, k: int) -> DataFrame:
+    """event, control, k: the k controls of the same group whose value is nearest (ties to the smaller key).
+
+    Controls are numbered upwards and downwards by value within the group, and an event meets only
+    the k that follow its own place in either order, so no group's pairs are formed.
+    """
+    both = controls.select(by, key, value, F.lit(1).alias("_c")).unionByName(events.select(by, key, value, F.lit(0).alias("_c")))
+    numbered = None
+    for up in (True, False):
+        order = F.col(value).asc() if up else F.col(value).desc()
+        # Upwards an event stands before the controls of its own value, downwards behind them.
+        tie = F.col("_c").asc() if up else F.col("_c").desc()
+        n = F.sum("_c").over(Window.partitionBy(by).orderBy(order, tie, key).rowsBetween(Window.unboundedPreceding, 0))
+        part = both.withColumn("_n", n).withColumn("_up", F.lit(up))
+        numbered = part if numbered is None else numbered.unionByName(part)
+    held = numbered.where("_c = 1").select(by, "_up", "_n", F.col(key).alias("control"), F.col(value).alias("_y"))
+    asked = numbered.where("_c = 0").select(by, "_up", F.explode(F.sequence(F.col("_n") + 1, F.col("_n") + k)).alias("_n"), F.col(key).alias("event"), F.col(value).alias("_x"))
+    place = F.row_number().over(Window.partitionBy("event").orderBy(F.abs(F.col("_x") - F.col("_y")), "control"))
+    return asked.join(held, [by, "_up", "_n"]).withColumn("k", place.cast("long")).where(F.col("k") <= k).select("event", "control", "k")
+
+
+def fuzzy_match(left: DataFrame, right: DataFrame, *, block: str, name: str, key: str, cut: float, gram: int = 3) -> DataFrame:
     """Each left row's best right key in its block: the exact normalised name, else the best Levenshtein ratio >= cut.
 
-    left(l_key, block, name), right(key, block, name).
+    left(l_key, block, name), right(key, block, name). A name of n characters can be within the
+    cut only of names up to n / cut long, so by at most d = (1 - cut) n / cut edits, each of which
+    changes at most ``gram`` of its distinct substrings of that length. So two such names share one
+    of their first gram * d + 1 substrings in any fixed order (rare ones first), which is the
+    equi-join key; names with no more substrings than that also meet by block alone, with all.
     """
     clean = lambda c: F.trim(F.regexp_replace(F.regexp_replace(F.lower(c), "[^a-z0-9 ]", " "), " +", " "))
-    a = left.withColumn("_a", clean(F.col(name))).drop(name)
+    a = left.select("l_key", block, clean(F.col(name)).alias("_a"))
     b = right.select(block, key, clean(F.col(name)).alias("_b"))
+
+    def grams(df: DataFrame, text: str) -> DataFrame:
+        starts = F.sequence(F.lit(1), F.greatest(F.length(text) - gram + 1, F.lit(1)))
+        return df.withColumn("_gs", F.array_distinct(F.transform(starts, lambda i: F.substr(F.col(text), i, F.lit(gram)))))
+
+    a, b = grams(a, "_a"), grams(b, "_b")
+    counts = a.select(block, F.explode("_gs").alias("_g")).unionByName(b.select(block, F.explode("_gs").alias("_g"))).groupBy(block, "_g").agg(F.count("*").alias("_often"))
+
+    def first(df: DataFrame, text: str, own: list[str]) -> DataFrame:
+        n = F.floor(gram * (1 - cut) / cut * F.length(text) + 1e-9).cast("int") + 1
+        rare = df.select(block, *own, text, n.alias("_first"), F.explode("_gs").alias("_g")).join(counts, [block, "_g"])
+        ordered = rare.groupBy(block, *own, text, "_first").agg(F.sort_array(F.collect_list(F.struct("_often", "_g"))).alias("_ts"))
+        return ordered.withColumn("_few", F.size("_ts") < F.col("_first")).withColumn("_g", F.explode(F.slice("_ts", F.lit(1), F.col("_first")))).withColumn("_g", F.col("_g._g")).drop("_ts", "_first")
+
+    fa, fb = first(a, "_a", ["l_key"]), first(b, "_b", [key])
+    pairs = fa.drop("_few").join(fb.drop("_few"), [block, "_g"]).drop("_g")
+    short_a, short_b = fa.where("_few").drop("_few", "_g").distinct(), fb.where("_few").drop("_few", "_g").distinct()
+    pairs = pairs.unionByName(short_a.join(b.drop("_gs"), block)).unionByName(a.drop("_gs").join(short_b, block)).distinct()
     longest = F.greatest(F.length("_a"), F.length("_b"), F.lit(1))
+    fits = F.least(F.length("_a"), F.length("_b")) >= longest * cut - 1e-9
     ratio = F.when(F.col("_a") == F.col("_b"), 1.0).otherwise(1 - F.levenshtein("_a", "_b") / longest)
-    scored = a.join(b, block).withColumn("ratio", ratio).where(F.col("ratio") >= cut)
+    scored = pairs.where(fits).withColumn("ratio", ratio).where(F.col("ratio") >= cut)
     return scored.groupBy("l_key").agg(F.max(F.struct("ratio", (-F.col(key)).alias("k"))).alias("m")).select("l_key", (-F.col("m.k")).alias(key), F.col("m.ratio").alias("ratio"))

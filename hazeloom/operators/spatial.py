@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hazeloom.functions.physics import KM_RADIUS, great_circle
+from hazeloom.session import kept
 
 
 def grid_cell(x: Column, first: float, step: float, n: int) -> Column:
@@ -27,14 +28,25 @@ def around(cell: Column) -> Column:
 def within_km(left: DataFrame, right: DataFrame, km: float) -> DataFrame:
     """Pairs of left(l_id, lat, lon) and right(r_id, lat, lon) at most km apart, with dist.
 
-    Latitude bands of the radius' height are the equi-join key; the smaller side is copied to
-    the bands above and below. Longitudes prune pairs before the distance is computed.
+    Cells are bands of latitude as high as the radius, cut by longitude into parts at least as
+    wide as the radius reaches there; right points are copied to the cells around theirs, so cells
+    are the equi-join key. Parts go round the globe; near a pole a band is one part.
     """
     band = km / (KM_RADIUS * math.pi / 180)
+
+    def parts(b: Column) -> Column:
+        top = F.radians(F.least(F.lit(90.0), F.greatest(F.abs(b), F.abs(b + 1)) * band + band))
+        reach = F.degrees(F.asin(F.least(F.lit(1.0), math.sin(min(km / KM_RADIUS, math.pi / 2)) / F.greatest(F.cos(top), F.lit(1e-9)))))
+        return F.greatest(F.lit(1), F.floor(360.0 / F.greatest(reach * 1.001, F.lit(1e-6))).cast("int"))
+
+    part = lambda lon, n: F.least(F.floor(F.pmod(lon + 180.0, F.lit(360.0)) / 360.0 * n).cast("int"), n - 1)
     a = left.select("l_id", F.col("lat").alias("lat1"), F.col("lon").alias("lon1"), F.floor(F.col("lat") / band).alias("band"))
-    b = right.select("r_id", F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), around(F.floor(F.col("lat") / band)).alias("band"))
+    a = a.withColumn("part", part(F.col("lon1"), parts(F.col("band"))))
+    b = right.select("r_id", F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), around(F.floor(F.col("lat") / band)).alias("band")).withColumn("_n", parts(F.col("band")))
+    here = part(F.col("lon2"), F.col("_n"))
+    b = b.withColumn("part", F.explode(F.array_distinct(F.array(*[F.pmod(here + k, F.col("_n")) for k in (-1, 0, 1)])))).drop("_n")
     dist = great_circle(F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2"))
-    return a.join(b, "band").withColumn("dist", dist).where(F.col("dist") <= km).select("l_id", "r_id", "dist", "lat1", "lon1", "lat2", "lon2")
+    return a.join(b, ["band", "part"]).withColumn("dist", dist).where(F.col("dist") <= km).select("l_id", "r_id", "dist", "lat1", "lon1", "lat2", "lon2")
 
 
 def nearest_within(left: DataFrame, right: DataFrame, km: float) -> DataFrame:
@@ -43,6 +55,19 @@ def nearest_within(left: DataFrame, right: DataFrame, km: float) -> DataFrame:
     return left.select("l_id").join(best, "l_id", "left")
 
 
+def nearest_widening(left: DataFrame, right: DataFrame, km: float, most: float) -> DataFrame:
+    """nearest_within() of ``most``, by rings: only points without one within km go on to the double."""
+    found, rest = None, left
+    while True:
+        near = kept(nearest_within(rest, right, km))
+        last = km >= most
+        done = near if last else near.where("r_id IS NOT NULL")
+        found = done if found is None else found.unionByName(done)
+        if last:
+            return found
+        rest, km = kept(rest.join(near.where("r_id IS NULL").select("l_id"), "l_id", "left_semi")), min(most, 2 * km)
+
+
 def in_ring(x: Column, y: Column, ring: Column) -> Column:
     """Whether a point lies in a closed ring array<struct<x, y>> (ray cast, as an expression)."""
     n = F.size(ring)

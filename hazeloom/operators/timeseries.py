@@ -24,12 +24,13 @@ def target_days(doy: Column, half: int) -> Column:
 def doy_percentile(df: DataFrame, q: float, *, unit: str = "unit", day: str = "day", value: str = "v", half: int = 15, base: tuple[int, int] | None = None) -> DataFrame:
     """unit, doy, threshold: the exact percentile of all days within +/- half days of year.
 
-    Base years are taken before each day is copied to its 2 * half + 1 targets; the copies
-    are three narrow columns.
+    Base years are taken and equal values of a day of year counted before each is copied to its
+    2 * half + 1 targets.
     """
     rows = df.where(F.year(day).between(*base)) if base else df
-    spread = rows.select(unit, F.explode(target_days(clipped_doy(F.col(day)), half)).alias("doy"), F.col(value).alias("_v"))
-    return spread.groupBy(unit, "doy").agg(F.percentile("_v", F.lit(q)).alias("threshold"))
+    counts = rows.groupBy(unit, clipped_doy(F.col(day)).alias("_d"), F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
+    spread = counts.select(unit, F.explode(target_days(F.col("_d"), half)).alias("doy"), "_v", "_n")
+    return spread.groupBy(unit, "doy").agg(F.percentile("_v", F.lit(q), F.col("_n")).alias("threshold"))
 
 
 def doy_mean(df: DataFrame, *, unit: str = "unit", day: str = "day", value: str = "v", half: int = 15) -> DataFrame:
@@ -133,9 +134,16 @@ def circular_shift(df: DataFrame, steps: int, *, unit: str = "unit", place: str
     return df.select(unit, F.pmod(F.col(place) + steps, n).alias(place), value)
 
 
-def greedy_trim(df: DataFrame, target: Column, *, group: str, order: list[Column], size: str) -> DataFrame:
-    """Rows with kept: sizes in order until the group's target is reached, the marginal one in part, none after."""
+def greedy_trim(df: DataFrame, target: Column, *, group: str, order: list[Column], size: str, unit_size: float = 0.0) -> DataFrame:
+    """Rows with kept: sizes in order until the group's target is reached, the marginal one in part, none after.
+
+    Where all sizes fall short of the target by less than ``unit_size``, the first row is topped up to it; a larger shortfall stays.
+    """
+    whole = Window.partitionBy(group)
+    short = target - F.sum(size).over(whole)
+    top_up = F.when((short > 0) & (short < unit_size) & (F.row_number().over(whole.orderBy(*order)) == 1), short).otherwise(F.lit(0.0))
+    df = df.withColumn("_top_up", top_up)
     before = F.coalesce(F.sum(size).over(Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     return df.withColumn("_before", before).withColumn(
         "kept", F.when(F.col("_before") >= target, F.lit(0.0)).when(F.col("_before") + F.col(size) <= target, F.col(size)).otherwise(target - F.col("_before"))
-    ).drop("_before")
+    ).withColumn("kept", F.col("kept") + F.col("_top_up")).drop("_before", "_top_up")

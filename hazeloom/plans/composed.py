@@ -10,6 +10,7 @@ from hazeloom.operators import calibration as cal
 from hazeloom.operators import spatial as sp
 from hazeloom.operators import statistics as st
 from hazeloom.operators import timeseries as ts
+from hazeloom.plans.calibrate import interpolated_sql
 from hazeloom.plans.files_and_streams import DEFINITION, event_files
 from hazeloom.plans.joins import PAIRS, points
 from hazeloom.plans.registry import register
@@ -31,37 +32,76 @@ def p16(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", label.otherwise("unknown").alias("label"))
 
 
+def between_sql(v: str) -> str:
+    """Linear between the known values around, ends held."""
+    return f"CASE WHEN ct0 IS NULL THEN {v}1 WHEN ct1 IS NULL OR ct0 = ct1 THEN {v}0 ELSE {v}0 + ({v}1 - {v}0) * (t - ct0) / (ct1 - ct0) END"
+
+
+AROUND = ", ".join(f"last_value({v} IGNORE NULLS) OVER b AS {v}0, first_value({v} IGNORE NULLS) OVER a AS {v}1" for v in ("ct", "hub", "low"))
+
+
 @register(
     "W24_ratio_refinement",
-    f"WITH {DAILY}, w AS (SELECT unit, day, v, avg(v) OVER (PARTITION BY unit ORDER BY day ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS smooth, price FROM daily) SELECT unit, strftime(day, '%Y-%m-%d') AS day, round(price * greatest(0.3, least(3.0, v / smooth)), 4) AS refined FROM w",
+    f"""WITH {DAILY}, n AS (SELECT unit, day, day - DATE '1970-01-01' AS t, v, price, (row_number() OVER (PARTITION BY unit ORDER BY day) - 1) % 3 = 0 AS coarse FROM daily),
+    k AS (SELECT *, CASE WHEN coarse THEN t END AS ct, CASE WHEN coarse THEN price END AS hub, CASE WHEN coarse THEN v END AS low FROM n),
+    e AS (SELECT *, {AROUND} FROM k WINDOW b AS (PARTITION BY unit ORDER BY t ROWS UNBOUNDED PRECEDING), a AS (PARTITION BY unit ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
+    SELECT unit, strftime(day, '%Y-%m-%d') AS day, round(({between_sql("hub")}) * greatest(0.3, least(3.0, v / greatest({between_sql("low")}, 0.1))), 4) AS refined FROM e""",
 )
 def w24(spark, sf_dir):
-    smooth = F.avg("v").over(Window.partitionBy("unit").orderBy("day").rowsBetween(-3, 3))
-    ratio = F.greatest(F.lit(0.3), F.least(F.lit(3.0), F.col("v") / smooth))
-    return daily(spark, sf_dir).select("unit", text_day(), F.round(F.col("price") * ratio, 4).alias("refined"))
+    """A series known at every third time, interpolated, times the fine series over its own values at these times interpolated, within 0.3 to 3."""
+    w = Window.partitionBy("unit").orderBy("day")
+    n = daily(spark, sf_dir).withColumns({"t": ts.days_number("day"), "coarse": (F.row_number().over(w) - 1) % 3 == 0})
+    k = n.withColumns({"hub": F.when(F.col("coarse"), F.col("price")), "low": F.when(F.col("coarse"), F.col("v"))})
+    both = k.withColumns({"wide": ts.interpolated("hub", "t"), "back": ts.interpolated("low", "t")})
+    ratio = F.greatest(F.lit(0.3), F.least(F.lit(3.0), F.col("v") / F.greatest("back", F.lit(0.1))))
+    return both.select("unit", text_day(), F.round(F.col("wide") * ratio, 4).alias("refined"))
+
+
+#: Heights on a grid of 11 latitudes (35 to 85) and longitudes, by month, in place of geopotential.
+GRID = "z AS (SELECT (l_suppkey // 11) * 5 AS lon, 35 + 5 * (l_suppkey % 11) AS lat, date_trunc('month', l_shipdate)::DATE AS t, avg(l_quantity) * 20 AS z FROM lineitem GROUP BY ALL)"
+AT = "max(z) FILTER (lat = {}) AS z{}"
+NORTH, SOUTH = "(z{n} - z{m}) / 20.0 < -2", "(z{m} - z{s}) / 20.0 > 0"
+BLOCKED = " OR ".join(f"({NORTH.format(n=80 + d, m=60 + d)} AND {SOUTH.format(m=60 + d, s=40 + d)})" for d in (-5, 0, 5))
+LATITUDES = [b + d for b in (40, 60, 80) for d in (-5, 0, 5)]
 
 
 @register(
     "W34_sector_blocking",
-    f"WITH {DAILY}, s AS (SELECT a.day, avg((a.v - b.v > 5)::INT) AS share FROM daily a JOIN daily b ON a.day = b.day AND b.unit = a.unit + 10 GROUP BY 1), f AS (SELECT day FROM s WHERE share >= 0.4), n AS (SELECT day, day - CAST(row_number() OVER (ORDER BY day) AS INT) AS isl FROM f), c AS (SELECT day, count(*) OVER (PARTITION BY isl) AS k FROM n) SELECT strftime(day, '%Y-%m-%d') AS day, k::BIGINT AS run_days FROM c WHERE k >= 5",
+    f"""WITH {GRID}, p AS (SELECT lon, t, {", ".join(AT.format(x, x) for x in LATITUDES)} FROM z GROUP BY ALL),
+    f AS (SELECT t, avg(coalesce({BLOCKED}, false)::INT) AS share FROM p GROUP BY 1), m AS (SELECT t, year(t) * 12 + month(t) AS no FROM f WHERE share >= 0.2),
+    n AS (SELECT t, no - row_number() OVER (ORDER BY no) AS isl FROM m), c AS (SELECT t, count(*) OVER (PARTITION BY isl) AS k FROM n)
+    SELECT strftime(t, '%Y-%m-%d') AS day, k::BIGINT AS run FROM c WHERE k >= 2""",
 )
 def w34(spark, sf_dir):
-    d = daily(spark, sf_dir)
-    north = d.select((F.col("unit") - 10).alias("unit"), "day", F.col("v").alias("w"))
-    share = d.join(north, ["unit", "day"]).groupBy("day").agg(F.avg((F.col("v") - F.col("w") > 5).cast("int")).alias("share"))
-    flags = share.select(F.lit(0).alias("sector"), "day", (F.col("share") >= 0.4).alias("flag"))
-    return ts.persistent(flags, 5, unit="sector").select(text_day(), "run_days")
+    """Longitudes whose height gradients say blocked at any of three offsets; times whose share of them is enough, in runs of two at least."""
+    z = table(spark, sf_dir, "lineitem").groupBy((F.floor(F.col("l_suppkey") / 11) * 5).alias("lon"), (35 + 5 * (F.col("l_suppkey") % 11)).alias("lat"), F.trunc("l_shipdate", "month").alias("t")).agg((F.avg("l_quantity") * 20).alias("z"))
+    p = z.groupBy("lon", "t").agg(*[F.max(F.when(F.col("lat") == x, F.col("z"))).alias(f"z{x}") for x in LATITUDES])
+    share = p.groupBy("t").agg(F.avg(F.coalesce(F.expr(BLOCKED), F.lit(False)).cast("int")).alias("share"))
+    no = (F.year("t") * 12 + F.month("t")).cast("int")
+    flags = share.select(F.lit(0).alias("sector"), "t", F.date_add(F.lit("1900-01-01").cast("date"), no).alias("day"), (F.col("share") >= 0.2).alias("flag"))  # months numbered as days
+    return ts.persistent(flags, 2, unit="sector").select(F.date_format("t", "yyyy-MM-dd").alias("day"), F.col("run_days").alias("run"))
+
 
+C5_POINTS = "[" + ", ".join(map(repr, cal.quantile_points(28))) + "]"
 
-@register("C5_speed_map_and_direction_offset")
+
+@register(
+    "C5_speed_map_and_direction_offset",
+    f"""WITH r AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey AS unit, l_quantity - 20 AS u, l_discount * 100 - 4 AS v, l_tax * 400 - 10 AS u2, l_linenumber - 3.0 AS v2 FROM lineitem),
+    s AS (SELECT *, sqrt(u * u + v * v) AS pred, sqrt(u2 * u2 + v2 * v2) AS other, CASE WHEN u * u + v * v > 1e-9 AND u2 * u2 + v2 * v2 > 1e-9 THEN atan2(v2 * u - u2 * v, u2 * u + v2 * v) END AS turn FROM r),
+    f AS (SELECT unit, quantile_cont(pred, {C5_POINTS}) AS xs, quantile_cont(other, {C5_POINTS}) AS ys FROM s GROUP BY 1 HAVING count(*) >= 50),
+    o AS (SELECT unit, atan2(avg(sin(turn)), avg(cos(turn))) AS offset_ FROM s GROUP BY 1),
+    m AS (SELECT l_orderkey, l_linenumber, l_partkey, {interpolated_sql(28)} AS mapped, atan2(v, u) + offset_ AS angle FROM s JOIN o ON s.unit = o.unit LEFT JOIN f ON s.unit = f.unit)
+    SELECT l_orderkey, l_linenumber, l_partkey, round(mapped * cos(angle), 4) AS u, round(mapped * sin(angle), 4) AS v FROM m""",
+)
 def c5(spark, sf_dir):
-    """Wind speed through a quantile map per supplier, direction by the mean circular offset, components put together again."""
-    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_suppkey").alias("unit"), F.expr("l_quantity - 20").alias("u"), F.expr("l_discount * 100 - 4").alias("v"), F.expr("l_tax * 400 - 10").alias("u2"), F.expr("l_linenumber - 3.0D").alias("v2"))
-    li = li.withColumns({"speed": F.hypot("u", "v"), "other": F.hypot("u2", "v2"), "turn": F.atan2(F.expr("v2 * u - u2 * v"), F.expr("u2 * u + v2 * v"))})
+    """Wind speed through a quantile map per supplier, direction by the mean circular offset (a calm has none), components put together again."""
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.col("l_suppkey").alias("unit"), F.expr("l_quantity - 20").alias("u"), F.expr("l_discount * 100 - 4").alias("v"), F.expr("l_tax * 400 - 10").alias("u2"), F.expr("l_linenumber - 3.0D").alias("v2"))
+    li = li.withColumns({"speed": F.hypot("u", "v"), "other": F.hypot("u2", "v2"), "turn": F.expr("CASE WHEN u * u + v * v > 1e-9 AND u2 * u2 + v2 * v2 > 1e-9 THEN atan2(v2 * u - u2 * v, u2 * u + v2 * v) END")})
     maps = cal.fit_quantile_map(li, ["unit"], "speed", "other", cal.quantile_points(28))
     offset = li.groupBy("unit").agg(F.atan2(F.avg(F.sin("turn")), F.avg(F.cos("turn"))).alias("offset"))
     fixed = cal.apply_quantile_map(li, maps, ["unit"], "speed", "mapped").join(offset, "unit").withColumn("angle", F.atan2("v", "u") + F.col("offset"))
-    return fixed.select("l_orderkey", "l_linenumber", F.round(F.col("mapped") * F.cos("angle"), 4).alias("u"), F.round(F.col("mapped") * F.sin("angle"), 4).alias("v"))
+    return fixed.select("l_orderkey", "l_linenumber", "l_partkey", F.round(F.col("mapped") * F.cos("angle"), 4).alias("u"), F.round(F.col("mapped") * F.sin("angle"), 4).alias("v"))
 
 
 @register("C19_monotone_dose")
@@ -77,7 +117,7 @@ def c19(spark, sf_dir):
 @register("C24_site_union_and_template", f"WITH {PAIRS}, m AS (SELECT l_id, arg_min(r_id, (dist, r_id)) AS r_id FROM pairs WHERE dist <= 1500 GROUP BY 1), u AS (SELECT DISTINCT round(lat1, 6) AS lat, round(lon1, 6) AS lon, min(l_id) OVER (PARTITION BY round(lat1, 6), round(lon1, 6)) AS l_id FROM pairs) SELECT u.l_id, r_id FROM u JOIN m ON u.l_id = m.l_id")
 def c24(spark, sf_dir):
     sites = points(spark, sf_dir, "customer", "l_id").groupBy(F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon")).agg(F.min("l_id").alias("l_id"))
-    return sp.nearest_within(sites, points(spark, sf_dir, "supplier", "r_id"), 1500.0).select("l_id", "r_id").where("r_id IS NOT NULL")
+    return sp.nearest_widening(sites, points(spark, sf_dir, "supplier", "r_id"), 100.0, 1500.0).select("l_id", "r_id").where("r_id IS NOT NULL")
 
 
 #: Edges of exposure for the dose bins, open upwards.
@@ -168,3 +208,17 @@ def r6(spark, sf_dir):
         spark.read.schema(schema).parquet(path).where(F.pmod("user_id", F.lit(2)) == k).write.mode("append").parquet(landing)
         sd.finish(sd.arrivals(spark, landing, schema), out, at)
     return spark.read.parquet(out).groupBy("user_id").agg(F.count("*").alias("n"))
+
+
+@register("S19_arrivals_ingest", "SELECT user_id, count(*)::BIGINT AS n, round(sum(value), 2) AS v FROM events GROUP BY 1")
+def s19(spark, sf_dir):
+    """A drop folder polled twice: each complete file is taken once, one still being written (a name that begins with _) only when it has its own name."""
+    path, schema = event_files(spark, sf_dir, parts=4)
+    landing, out, at = fl.scratch(spark, "drop"), fl.scratch(spark, "ingested"), fl.scratch(spark, "progress")
+    rows = spark.read.schema(schema).parquet(path)
+    for k in range(2):
+        rows.where(F.pmod("user_id", F.lit(2)) == k).write.mode("append").parquet(landing)
+        if not k:
+            rows.where("user_id % 2 = 1").write.parquet(f"{landing}/_writing")
+        sd.finish(sd.arrivals(spark, landing, schema, files_per_trigger=2), out, at)
+    return spark.read.parquet(out).groupBy("user_id").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("v"))

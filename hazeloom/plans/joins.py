@@ -104,19 +104,28 @@ def j11(spark, sf_dir):
     left, right = points(spark, sf_dir, "customer", "l_id"), points(spark, sf_dir, "supplier", "r_id")
     near = sp.nearest_within(left, right, 100.0)
     missed = left.join(near.where("r_id IS NULL").select("l_id"), "l_id", "left_semi")
-    far = sp.nearest_within(missed, right, 1200.0).select("l_id", "r_id", F.lit(True).alias("fallback"))
+    far = sp.nearest_widening(missed, right, 200.0, 1200.0).select("l_id", "r_id", F.lit(True).alias("fallback"))
     return near.where("r_id IS NOT NULL").select("l_id", "r_id", F.lit(False).alias("fallback")).unionByName(far)
 
 
-@register("J12_point_in_polygon")
+@register(
+    "J12_point_in_polygon",
+    f"""WITH a AS (SELECT r_id AS area, lat, lon, 0.3037 + (r_id % 5) * 0.1011 AS r FROM {points_sql('supplier', 'r_id')}),
+    i AS (SELECT area, l_id FROM a JOIN {points_sql('customer', 'l_id')} c ON abs(c.lat - a.lat) / r + abs(c.lon - a.lon) / (2 * r) < 1),
+    {PAIRS}, n AS (SELECT r_id AS area, arg_min(l_id, (dist, l_id)) AS l_id FROM pairs WHERE dist <= 1600 GROUP BY 1)
+    SELECT area, l_id, false AS fallback FROM i UNION ALL SELECT n.area, n.l_id, true FROM n WHERE n.area NOT IN (SELECT area FROM i)""",
+)
 def j12(spark, sf_dir):
-    """Customers inside a ring around each region's suppliers (bounding box as a pre-join filter, then a ray cast)."""
-    s = points(spark, sf_dir, "supplier", "r_id").withColumn("area", F.col("r_id") % 3)
-    box = s.groupBy("area").agg(F.min("lat").alias("y0"), F.max("lat").alias("y1"), F.min("lon").alias("x0"), F.max("lon").alias("x1"))
-    ring = F.expr("array(struct(x0 as x, (y0 + y1) / 2 as y), struct((x0 + x1) / 2 as x, y1 as y), struct(x1 as x, (y0 + y1) / 2 as y), struct((x0 + x1) / 2 as x, y0 as y), struct(x0 as x, (y0 + y1) / 2 as y))")
-    cells = box.withColumn("ring", ring).withColumn("band", F.explode(F.expr("sequence(cast(floor(y0) as int), cast(floor(y1) as int))")))
-    c = points(spark, sf_dir, "customer", "l_id").withColumn("band", F.floor("lat").cast("int"))
-    return c.join(cells, "band").where("lon BETWEEN x0 AND x1").where(sp.in_ring(F.col("lon"), F.col("lat"), F.col("ring"))).groupBy("area").agg(F.count("*").alias("n"))
+    """Customers inside each supplier's polygon (cells of its box are the equi-join key, then a ray cast); an area without any takes its nearest."""
+    a = points(spark, sf_dir, "supplier", "area").withColumn("r", 0.3037 + (F.col("area") % 5) * 0.1011)
+    ring = F.expr("array(struct(lon - 2 * r as x, lat as y), struct(lon as x, lat + r as y), struct(lon + 2 * r as x, lat as y), struct(lon as x, lat - r as y), struct(lon - 2 * r as x, lat as y))")
+    box = lambda c, w: F.explode(F.sequence(F.floor(F.col(c) - w).cast("int"), F.floor(F.col(c) + w).cast("int")))
+    cells = a.withColumn("ring", ring).withColumn("row", box("lat", F.col("r"))).withColumn("col", box("lon", 2 * F.col("r"))).select("area", "ring", "row", "col")
+    c = points(spark, sf_dir, "customer", "l_id").withColumns({"row": F.floor("lat").cast("int"), "col": F.floor("lon").cast("int")})
+    inside = c.join(cells, ["row", "col"]).where(sp.in_ring(F.col("lon"), F.col("lat"), F.col("ring"))).select("area", "l_id")
+    empty = a.join(inside, "area", "left_anti").select(F.col("area").alias("l_id"), "lat", "lon")
+    near = sp.nearest_widening(empty, points(spark, sf_dir, "customer", "r_id"), 100.0, 1600.0).where("r_id IS NOT NULL").select(F.col("l_id").alias("area"), F.col("r_id").alias("l_id"))
+    return inside.withColumn("fallback", F.lit(False)).unionByName(near.withColumn("fallback", F.lit(True)))
 
 
 @register("J13_distance_join", f"WITH {PAIRS} SELECT l_id, r_id, round(dist, 3) AS dist FROM pairs WHERE dist <= 150")
@@ -185,18 +194,21 @@ def j20(spark, sf_dir):
     "WITH s AS (SELECT c_nationkey, c_custkey, c_acctbal FROM customer), p AS (SELECT a.c_custkey AS event, b.c_custkey AS control, row_number() OVER (PARTITION BY a.c_custkey ORDER BY abs(a.c_acctbal - b.c_acctbal), b.c_custkey) AS k FROM s a JOIN s b ON a.c_nationkey = b.c_nationkey AND a.c_custkey % 10 = 0 AND b.c_custkey % 10 <> 0) SELECT event, control, k::BIGINT AS k FROM p WHERE k <= 20",
 )
 def j21(spark, sf_dir):
-    c = table(spark, sf_dir, "customer")
-    e = c.where("c_custkey % 10 = 0").select("c_nationkey", F.col("c_custkey").alias("event"), F.col("c_acctbal").alias("x"))
-    o = c.where("c_custkey % 10 <> 0").select("c_nationkey", F.col("c_custkey").alias("control"), F.col("c_acctbal").alias("y"))
-    place = F.row_number().over(Window.partitionBy("event").orderBy(F.abs(F.col("x") - F.col("y")), "control"))
-    return e.join(o, "c_nationkey").withColumn("k", place.cast("long")).where("k <= 20").select("event", "control", "k")
+    c = table(spark, sf_dir, "customer").select("c_nationkey", "c_custkey", F.col("c_acctbal").alias("x"))
+    return mt.nearest_controls(c.where("c_custkey % 10 = 0"), c.where("c_custkey % 10 <> 0"), by="c_nationkey", key="c_custkey", value="x", k=20)
 
 
-@register("J22_fuzzy_match")
+@register(
+    "J22_fuzzy_match",
+    """WITH p AS (SELECT p_brand AS block, trim(regexp_replace(regexp_replace(lower(p_name), '[^a-z0-9 ]', ' ', 'g'), ' +', ' ', 'g')) AS name, p_partkey FROM part),
+    m AS (SELECT a.p_partkey AS l_key, b.p_partkey, 1.0 - levenshtein(a.name, b.name)::DOUBLE / greatest(length(a.name), length(b.name), 1) AS ratio
+      FROM p a JOIN p b ON a.block = b.block AND a.p_partkey % 7 = 0 AND b.p_partkey % 7 <> 0)
+    SELECT l_key, arg_min(p_partkey, (-ratio, p_partkey)) AS p_partkey, round(max(ratio), 9) AS ratio FROM m WHERE ratio >= 0.7 GROUP BY 1""",
+)
 def j22(spark, sf_dir):
     p = table(spark, sf_dir, "part").select(F.col("p_brand").alias("block"), F.col("p_name").alias("name"), "p_partkey")
     left = p.where("p_partkey % 7 = 0").select("block", F.concat(F.col("name"), F.lit(".")).alias("name"), F.col("p_partkey").alias("l_key"))
-    return mt.fuzzy_match(left, p.where("p_partkey % 7 <> 0"), block="block", name="name", key="p_partkey", cut=0.86)
+    return mt.fuzzy_match(left, p.where("p_partkey % 7 <> 0"), block="block", name="name", key="p_partkey", cut=0.7).withColumn("ratio", F.round("ratio", 9))
 
 
 @register("J23_two_source_agreement", f"WITH {DAILY}, a AS (SELECT unit, day FROM daily WHERE v > 60), b AS (SELECT unit, day FROM daily WHERE price > 90000) SELECT count(*) FILTER (a.unit IS NOT NULL AND b.unit IS NOT NULL)::BIGINT AS n_both, count(*) FILTER (b.unit IS NULL)::BIGINT AS only_a, count(*) FILTER (a.unit IS NULL)::BIGINT AS only_b FROM a FULL JOIN b ON a.unit = b.unit AND a.day = b.day")

@@ -262,14 +262,23 @@ def w31(spark, sf_dir):
     return flagged(spark, sf_dir).select("unit", text_day(), F.sum(F.col("flag").cast("long")).over(w).alias("so_far"))
 
 
+TARGET = "CASE WHEN p_brand LIKE '%2' THEN 0.25 + {all} WHEN p_brand LIKE '%3' THEN 7.5 + {all} ELSE 0.6 * {all} END"
+
+
 @register(
     "W33_greedy_trim",
-    "WITH c AS (SELECT p_brand, p_partkey, p_retailprice, p_size::DOUBLE AS mw FROM part), t AS (SELECT *, 0.6 * sum(mw) OVER (PARTITION BY p_brand) AS target, coalesce(sum(mw) OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM c) SELECT p_brand, p_partkey, round(CASE WHEN before >= target THEN 0 WHEN before + mw <= target THEN mw ELSE target - before END, 4) AS kept FROM t",
+    f"""WITH c AS (SELECT p_brand, p_partkey, p_retailprice, p_size::DOUBLE AS mw FROM part), a AS (SELECT *, sum(mw) OVER (PARTITION BY p_brand) AS all_ FROM c),
+    t AS (SELECT *, {TARGET.format(all="all_")} AS target, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS k,
+      coalesce(sum(mw) OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM a)
+    SELECT p_brand, p_partkey, round(CASE WHEN before >= target THEN 0 WHEN before + mw <= target THEN mw ELSE target - before END
+      + CASE WHEN k = 1 AND target - all_ > 0 AND target - all_ < 1 THEN target - all_ ELSE 0 END, 4) AS kept FROM t""",
 )
 def w33(spark, sf_dir):
+    """Brands over their target lose their least valued parts; those short by under one unit get it at the best."""
     c = table(spark, sf_dir, "part").select("p_brand", "p_partkey", "p_retailprice", F.col("p_size").cast("double").alias("mw"))
-    c = c.withColumn("target", 0.6 * F.sum("mw").over(Window.partitionBy("p_brand")))
-    return ts.greedy_trim(c, F.col("target"), group="p_brand", order=[F.desc("p_retailprice"), F.col("p_partkey")], size="mw").select("p_brand", "p_partkey", F.round("kept", 4).alias("kept"))
+    c = c.withColumn("_all", F.sum("mw").over(Window.partitionBy("p_brand"))).withColumn("target", F.expr(TARGET.format(all="_all")).cast("double"))
+    kept = ts.greedy_trim(c, F.col("target"), group="p_brand", order=[F.desc("p_retailprice"), F.col("p_partkey")], size="mw", unit_size=1.0)
+    return kept.select("p_brand", "p_partkey", F.round("kept", 4).alias("kept"))
 
 
 @register(

@@ -45,41 +45,70 @@ def enriched(stream: DataFrame, fixed: DataFrame, key: str) -> DataFrame:
     return stream.join(fixed, key, "left")
 
 
-def run_events(stream: DataFrame, *, unit: str, ts: str, value: str, cut: float) -> DataFrame:
+def _in_order(stream: DataFrame, unit: str, ts: str, value: str, late: str) -> DataFrame:
+    at = F.col(ts).cast("timestamp")
+    marked = stream.select(F.col(unit).cast("long").alias("unit"), at.alias("_ts"), F.unix_micros(at).alias("_t"), F.col(value).cast("double").alias("_v"))
+    return marked.withWatermark("_ts", late)
+
+
+def _due(frames: Iterator[pd.DataFrame], state: GroupState, wait_t: list[int], wait_v: list[float]) -> tuple[list[tuple[int, float]], list[tuple[int, float]]]:
+    """(rows up to the watermark in time order, rows that wait): no row older than the watermark comes any more."""
+    rows = list(zip(wait_t, wait_v, strict=True))
+    if not state.hasTimedOut:
+        for frame in frames:
+            rows += zip(frame["_t"].tolist(), frame["_v"].tolist(), strict=True)
+    rows.sort()
+    limit = state.getCurrentWatermarkMs() * 1000
+    n = sum(1 for t, _ in rows if t <= limit)
+    return rows[:n], rows[n:]
+
+
+def _wait(state: GroupState, rows: list[tuple[int, float]]) -> None:
+    """Wakes the unit when the watermark has passed its oldest waiting row."""
+    if rows:
+        state.setTimeoutTimestamp(max(rows[0][0] // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+
+
+def run_events(stream: DataFrame, *, unit: str, ts: str, value: str, cut: float, late: str = "2 hours") -> DataFrame:
     """unit, first, last, n: runs of rows over the cut, given out when a row at or under it closes them.
 
-    Rows are taken in time order within each batch; the state of a unit is its open run.
+    A unit's state is its open run and the rows that the watermark has not passed yet, so rows may
+    come out of order by up to ``late``, in whatever batches.
     """
 
     def step(key: tuple[Any, ...], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        first, last, n = state.get if state.exists else (None, None, 0)
+        first, last, n, wait_t, wait_v = state.get if state.exists else (0, 0, 0, [], [])
+        now, later = _due(frames, state, wait_t, wait_v)
         done = []
-        for t, v in pd.concat(list(frames)).sort_values("_t")[["_t", "_v"]].itertuples(index=False):
+        for t, v in now:
             if v > cut:
                 first, last, n = (t if n == 0 else first), t, n + 1
             elif n:
                 done.append((key[0], first, last, n))
-                first, last, n = None, None, 0
-        state.update((first, last, n))
-        yield pd.DataFrame(done, columns=["unit", "first", "last", "n"]).astype({"n": "int64"})
+                first, last, n = 0, 0, 0
+        state.update((first, last, n, [t for t, _ in later], [v for _, v in later]))
+        _wait(state, later)
+        yield pd.DataFrame(done, columns=["unit", "first", "last", "n"]).astype("int64")
 
-    rows = stream.select(F.col(unit).cast("long").alias("unit"), F.unix_micros(F.col(ts).cast("timestamp")).alias("_t"), F.col(value).alias("_v"))
-    return rows.groupBy("unit").applyInPandasWithState(step, "unit long, first long, last long, n long", "first long, last long, n long", "append", GroupStateTimeout.NoTimeout)
+    kind = "first long, last long, n long, wait_t array<long>, wait_v array<double>"
+    return _in_order(stream, unit, ts, value, late).groupBy("unit").applyInPandasWithState(step, "unit long, first long, last long, n long", kind, "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def fill_forward(stream: DataFrame, *, unit: str, ts: str, value: str) -> DataFrame:
-    """unit, hour, v: the latest value at or before each hour between a unit's rows, the state being the last one."""
+def fill_forward(stream: DataFrame, *, unit: str, ts: str, value: str, late: str = "2 hours") -> DataFrame:
+    """unit, hour, v: the latest value at or before each hour between a unit's rows; state as in run_events(), with the last row."""
     hour = 3_600_000_000
 
     def step(key: tuple[Any, ...], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        at, v = state.get if state.exists else (None, None)
+        at, v, wait_t, wait_v = state.get if state.exists else (-1, 0.0, [], [])
+        now, later = _due(frames, state, wait_t, wait_v)
         out = []
-        for t, x in pd.concat(list(frames)).sort_values("_t")[["_t", "_v"]].itertuples(index=False):
-            if at is not None:
-                out += [(key[0], h * hour, v) for h in range(-(-(at) // hour), -(-t // hour))]
+        for t, x in now:
+            if at >= 0:
+                out += [(key[0], h * hour, v) for h in range(-(-at // hour), -(-t // hour))]
             at, v = t, x
-        state.update((int(at), float(v)))
+        state.update((at, v, [t for t, _ in later], [x for _, x in later]))
+        _wait(state, later)
         yield pd.DataFrame(out, columns=["unit", "hour", "v"]).astype({"unit": "int64", "hour": "int64", "v": "float64"})
 
-    rows = stream.select(F.col(unit).cast("long").alias("unit"), F.unix_micros(F.col(ts).cast("timestamp")).alias("_t"), F.col(value).alias("_v"))
-    return rows.groupBy("unit").applyInPandasWithState(step, "unit long, hour long, v double", "at long, v double", "append", GroupStateTimeout.NoTimeout)
+    kind = "at long, v double, wait_t array<long>, wait_v array<double>"
+    return _in_order(stream, unit, ts, value, late).groupBy("unit").applyInPandasWithState(step, "unit long, hour long, v double", kind, "append", GroupStateTimeout.EventTimeTimeout)
