@@ -61,6 +61,22 @@ def test_mixing_repeats_whole_documents(stages):
     assert abs(words(after.items()) - total) < 0.15 * total
 
 
+def test_stages_on_odd_tables(spark, sf):
+    """Nulls in every column, repeated rows, names that the stages use themselves, and no rows at all."""
+    good = " ".join(f"word{i}" for i in range(60))
+    rows = [(1, good, "en", "s", 1, "a"), (1, good, "en", "s", 1, "a"), (None, good + " x", None, None, None, None), (2, None, "en", None, 0, "b"), (3, "", None, "s", 0, "c"), (4, "short", "en", "s", 5, "d")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, k_id int, root string")
+    for table, sizes in ((docs, [3, 1, 1]), (docs.limit(0), [0, 0, 0])):
+        for (name, stage), size in zip(corpus_pipeline.STAGES, [*sizes, sizes[-1]], strict=True):
+            out = stage(spark, table, sf)
+            if name != "packing":
+                assert out.columns == docs.columns
+                table = spark.createDataFrame(out.collect(), docs.schema)
+                assert table.count() == size, name
+            else:
+                assert out.count() == size
+
+
 def test_packing_holds_every_token(stages):
     library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     tokens = sum(len(library.encode(t or "", add_special_tokens=False).ids) + 1 for _, t in rows(stages["mixing"]))
