@@ -83,3 +83,17 @@ def test_registered_margins_are_met(spark, tmp_path):
     one = lambda name, v: spark.createDataFrame([(1, v)], f"{'i' if name == 'r' else 'j'} int, {name} double")
     with pytest.raises(RuntimeError):
         cal.proportional_fit(spark.createDataFrame([(1, 1, 1.0)], "i int, j int, x double"), one("r", 1.0), one("c", 2.0), sweeps=2)
+
+
+def test_monotone_dose_against_pooled_neighbours(spark, sf):
+    from hazeloom.plans import composed
+
+    got = {r.x: r.dose for r in composed.c19(spark, sf).collect()}
+    bands = spark.read.parquet(f"{sf}/lineitem.parquet").groupBy("l_quantity").agg(F.avg("l_discount"), F.count("*")).orderBy("l_quantity").collect()
+    blocks = []
+    for x, y, w in bands:
+        blocks.append([y, w, [x]])
+        while len(blocks) > 1 and blocks[-2][0] >= blocks[-1][0]:
+            b, a = blocks.pop(), blocks.pop()
+            blocks.append([(a[0] * a[1] + b[0] * b[1]) / (a[1] + b[1]), a[1] + b[1], a[2] + b[2]])
+    assert all(abs(got[x] - y) < 1e-5 for y, _, xs in blocks for x in xs) and len(got) == len(bands)
