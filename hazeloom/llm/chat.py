@@ -7,7 +7,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Kinds of events. open: a message starts; delta: text is added; edit: the text is replaced;
@@ -149,19 +149,40 @@ def read_back(turns: DataFrame) -> DataFrame:
     return turns.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
-def as_events(rows: DataFrame) -> DataFrame:
-    """The event log of finished conversations(conv_id, turn, role, text): each row opens a message and streams its text.
+#: Code points of text that an event of as_events() carries.
+DELTA_CHARS = 1024
+
+
+def as_events(rows: DataFrame, *, delta_chars: int = DELTA_CHARS) -> DataFrame:
+    """The event log that could have led to finished conversations(conv_id, turn, role, text).
+
+    Each row opens a message. An assistant's text breaks off after its first delta and is
+    regenerated (with its role, as its opening is taken back too); any other's first delta is
+    replaced by an edit; then the text is streamed in
+    deltas of at most ``delta_chars`` code points. Nothing follows an empty text's opening but
+    the regeneration or edit.
 
     Rows go by turn, nulls first; rows of one turn are messages of their own, by role and text.
+    Null roles and texts are empty.
     """
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    steps = F.array(
-        F.struct(F.lit("open").alias("event"), F.coalesce("role", F.lit("")).alias("role"), F.lit(None).cast("string").alias("text")),
-        F.struct(F.lit("delta").alias("event"), F.lit(None).cast("string").alias("role"), F.col("text").alias("text")),
+
+    def event(kind: Column, role: Column, text: Column) -> Column:
+        return F.struct(kind.alias("event"), role.cast("string").alias("role"), text.cast("string").alias("text"))
+
+    none, deltas = F.lit(None), F.regexp_extract_all("text", F.lit(f"(?s).{{1,{delta_chars}}}"), F.lit(0))
+    again = F.when(F.col("role") == "assistant", F.lit("regenerate")).otherwise(F.lit("edit"))
+    who = F.coalesce("role", F.lit(""))
+    steps = F.concat(
+        F.array(event(F.lit("open"), who, none)),
+        F.transform(F.slice("deltas", 1, 1), lambda d: event(F.lit("delta"), none, d)),
+        F.array(event(again, who, none)),
+        F.transform("deltas", lambda d: event(F.lit("delta"), none, d)),
     )
     return (
         rows.select("conv_id", "turn", "role", "text")
         .withColumn("message", F.row_number().over(order).cast("long"))
+        .withColumn("deltas", F.coalesce(deltas, F.array().cast("array<string>")))
         .select("conv_id", "message", F.posexplode(steps).alias("step", "e"))
-        .select("conv_id", (F.col("message") * 2 + F.col("step")).alias("seq"), "e.event", "message", "e.role", "e.text")
+        .select("conv_id", (F.col("message") * (1 << 32) + F.col("step")).alias("seq"), "e.event", "message", "e.role", "e.text")
     )

@@ -56,3 +56,15 @@ def test_tables(spark):
         turns = [(r or "", t or "") for k, n, r, t in sorted((r for r in rows if r[0] == c), key=str if c is None else lambda r: (r[1] or 0))]
         assert got[c] == digest(c, turns)
     assert read_back(format_conversations(as_events(table.limit(0)))).count() == 0
+
+
+def test_made_logs_hold_every_kind_of_event(spark):
+    texts = ["", None, "a" * 7, "b\n" * 6, "é😀<|x" * 5, "\\<|im_end|>"]
+    rows = [(i // 4, i, role, t) for i, (role, t) in enumerate((r, t) for t in texts for r in ("user", "assistant", None))]
+    log = as_events(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), delta_chars=4).cache()
+    assert {r.event for r in log.select("event").distinct().collect()} == {"open", "delta", "edit", "regenerate"}
+    assert max(len(r.text or "") for r in log.collect()) == 4 and log.select("conv_id", "seq").distinct().count() == log.count()
+    got = {r.conv_id: tuple(r) for r in read_back(format_conversations(log)).collect()}
+    assert got == {c: digest(c, [(r or "", t or "") for k, _, r, t in rows if k == c]) for c in {r[0] for r in rows}}
+    events = [tuple(r) for r in log.select("conv_id", "seq", "event", "message", "role", "text").collect()]
+    assert all(fold([e for e in events if e[0] == c]) == [(r or "", t or "") for k, _, r, t in rows if k == c] for c in got)
