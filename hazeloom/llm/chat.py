@@ -149,17 +149,16 @@ def read_back(turns: DataFrame) -> DataFrame:
     return turns.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
-#: Code points of text that an event of as_events() carries.
-DELTA_CHARS = 1024
+#: Code points of text that an event of as_events() carries, and those that are taken back.
+DELTA_CHARS, DRAFT_CHARS = 1024, 16
 
 
 def as_events(rows: DataFrame, *, delta_chars: int = DELTA_CHARS) -> DataFrame:
     """The event log that could have led to finished conversations(conv_id, turn, role, text).
 
-    Each row opens a message. An assistant's text breaks off after its first delta and is
-    regenerated (with its role, as its opening is taken back too); any other's first delta is
-    replaced by an edit; then the text is streamed in
-    deltas of at most ``delta_chars`` code points. Nothing follows an empty text's opening but
+    Each row opens a message with the text's beginning. An assistant's is then regenerated (with
+    its role, as its opening is taken back too), any other's replaced by an edit, and the text
+    streamed in deltas of at most ``delta_chars`` code points. Nothing follows an empty text's opening but
     the regeneration or edit.
 
     Rows go by turn, nulls first; rows of one turn are messages of their own, by role and text.
@@ -175,7 +174,7 @@ def as_events(rows: DataFrame, *, delta_chars: int = DELTA_CHARS) -> DataFrame:
     who = F.coalesce("role", F.lit(""))
     steps = F.concat(
         F.array(event(F.lit("open"), who, none)),
-        F.transform(F.slice("deltas", 1, 1), lambda d: event(F.lit("delta"), none, d)),
+        F.transform(F.slice("deltas", 1, 1), lambda d: event(F.lit("delta"), none, F.substring(d, 1, DRAFT_CHARS))),
         F.array(event(again, who, none)),
         F.transform("deltas", lambda d: event(F.lit("delta"), none, d)),
     )
