@@ -62,15 +62,16 @@ def sets_of(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
     rolled = np.zeros(len(h), np.uint64)
     for k in range(words):
         rolled *= MULTIPLIER
-        rolled[: len(h) - k] += h[k:]
+        rolled[: max(0, len(h) - k)] += h[k:]
     text = np.repeat(np.arange(len(n)), n)
     place = np.arange(len(h)) - at[text]
     full = place <= n[text] - words
-    for i in np.flatnonzero((n > 0) & (n < words)).tolist():  # the sequence of a short text, with its length
-        one = np.uint64(n[i])
-        for x in h[at[i] : at[i + 1]]:
-            one = one * MULTIPLIER + x
-        rolled[at[i]], full[at[i]] = one, True
+    short = np.flatnonzero((n > 0) & (n < words))  # the sequence of a short text, with its length
+    first, one = at[short], n[short].astype(np.uint64)
+    for k in range(words - 1):
+        more = np.flatnonzero(n[short] > k)
+        one[more] = one[more] * MULTIPLIER + h[first[more] + k]
+    rolled[first], full[first] = one, True
     rolled, text = mix(rolled[full]), text[full]
     bounds = np.searchsorted(text, np.arange(len(n) + 1))
     for i in range(len(n)):
