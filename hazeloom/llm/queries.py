@@ -12,6 +12,7 @@ from hazeloom.llm.licenses import scan_licenses
 from hazeloom.llm.mixing import mix_sources, words_taken
 from hazeloom.llm.ngram_join import ngram_join
 from hazeloom.llm.packing import pack
+from hazeloom.llm.periodic import run_rows
 from hazeloom.llm.quality import quality_rules
 from hazeloom.llm.tokens import token_counts
 from hazeloom.llm.urls import judge_urls
@@ -201,3 +202,28 @@ def op3_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op3_nearest_vectors"] = op3_nearest_vectors
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = run_rows(table(spark, sf_dir, "documents"), dealt=True)
+    lines = F.transform(F.arrays_zip("starts", "lengths", "periods"), lambda r: F.concat(F.concat_ws(",", r["starts"], r["lengths"], r["periods"]), F.lit("\n")))
+
+    def greater(best, i):
+        """The run with the greater exact length / period; the earlier one (by start, then period) of equals."""
+        length, period = F.element_at("lengths", i), F.element_at("periods", i)
+        return F.when(length * F.element_at("periods", best) > F.element_at("lengths", best) * period, i).otherwise(best)
+
+    best = F.when(F.size("starts") > 0, F.aggregate(F.sequence(F.lit(1), F.size("starts")), F.lit(1), greater))
+    rows = rows.withColumn("best", best)
+    one = {name: F.when(F.col("best").isNotNull(), F.element_at(many, F.coalesce("best", F.lit(1)))) for name, many in (("start", "starts"), ("length", "lengths"), ("period", "periods"))}
+    return rows.select(
+        "doc_id",
+        F.size("starts").cast("long").alias("n_runs"),
+        *(c.alias(name) for name, c in one.items()),
+        F.expr("if(best IS NULL, NULL, 1000 * element_at(lengths, coalesce(best, 1)) div element_at(periods, coalesce(best, 1)))").alias("exponent_milli"),
+        F.sha2(F.concat_ws("", lines), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+QUERIES["op11_periodic_runs"] = op11_periodic_runs
