@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from hazeloom.llm.ann import nearest
 from hazeloom.llm.chat import as_events, format_conversations, read_back
 from hazeloom.llm.html import extract_pages
+from hazeloom.llm.lexical import lexical_search
 from hazeloom.llm.licenses import scan_licenses
 from hazeloom.llm.mixing import mix_sources, words_taken
 from hazeloom.llm.ngram_join import ngram_join
@@ -227,3 +228,32 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op11_periodic_runs"] = op11_periodic_runs
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP12_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts
+  FROM documents),
+tf AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(ts) AS term FROM d) GROUP BY ALL),
+whole AS (SELECT count(*) AS docs, sum(len(ts))::BIGINT AS terms FROM d WHERE len(ts) > 0),
+w AS (SELECT term, floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM tf, whole GROUP BY term, docs),
+m AS (SELECT r, doc_id, 25 + (75 * len(ts)::BIGINT * docs) // terms AS m FROM d, whole WHERE len(ts) > 0),
+i AS (
+  SELECT row_number() OVER () AS i, item_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts
+  FROM benchmark),
+q AS (SELECT i, item_id, term, count(*) AS k FROM (SELECT i, item_id, unnest(ts) AS term FROM i) GROUP BY ALL),
+s AS (
+  SELECT i, item_id, r, doc_id, sum(k * w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+  FROM q JOIN tf USING (term) JOIN w USING (term) JOIN m USING (r) GROUP BY ALL),
+n AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id, r) AS rank FROM s WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM n WHERE rank <= 10
+"""
+
+QUERIES["op12_ranked_search"] = op12_ranked_search
+ORACLE_SQL["op12_ranked_search"] = OP12_SQL
