@@ -10,6 +10,7 @@ from hazeloom.llm.chat import as_events, format_conversations, read_back
 from hazeloom.llm.html import extract_pages
 from hazeloom.llm.lexical import lexical_search
 from hazeloom.llm.licenses import scan_licenses
+from hazeloom.llm.lm import language_model_scores
 from hazeloom.llm.mixing import mix_sources, words_taken
 from hazeloom.llm.ngram_join import ngram_join
 from hazeloom.llm.packing import pack
@@ -257,3 +258,10 @@ SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM n WHERE rank <= 10
 
 QUERIES["op12_ranked_search"] = op12_ranked_search
 ORACLE_SQL["op12_ranked_search"] = OP12_SQL
+
+
+def op13_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model_scores(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op13_lm_scores"] = op13_lm_scores
