@@ -7,6 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from hazeloom.operators import calibration as cal
+from hazeloom.operators import panels as pn
 from hazeloom.operators import spatial as sp
 from hazeloom.operators import statistics as st
 from hazeloom.operators import timeseries as ts
@@ -120,36 +121,51 @@ def c24(spark, sf_dir):
     return sp.nearest_widening(sites, points(spark, sf_dir, "supplier", "r_id"), 100.0, 1500.0).select("l_id", "r_id").where("r_id IS NOT NULL")
 
 
-#: Edges of exposure for the dose bins, open upwards.
+#: Edges of exposure for the dose bins, open upwards; days around an event, the first ones after it.
 BINS = (40, 60, 80, 120)
-REFERENCE = -7
+REFERENCE, BEFORE, AFTER = -7, -21, 21
+
+
+def stacked_panel(spark, sf_dir):
+    """(pairs, outcomes) of stacked_poisson(): each quarter's heaviest day is an event, a supplier's quantity on it the dose.
+
+    Treated are the units from the least edge on; the others that sell at all are the event's controls. A day before the event
+    that lies in the days after another event that treats the unit is left out of the pair.
+    """
+    d = daily(spark, sf_dir)
+    totals = d.groupBy("day").agg(F.sum("v").alias("total"))
+    order = Window.partitionBy(F.year("day"), F.quarter("day")).orderBy(F.desc("total"), "day")
+    span = d.agg(F.min("day").alias("a"), F.max("day").alias("b")).first()
+    events = totals.withColumn("k", F.row_number().over(order)).where("k = 1")
+    events = events.where((F.col("day") >= F.date_sub(F.lit(span["a"]), BEFORE)) & (F.col("day") <= F.date_sub(F.lit(span["b"]), AFTER))).select("day")
+    at = sorted(r["day"] for r in events.collect())  # one a quarter
+    list_of = F.array(*[F.lit(x) for x in at]) if at else F.array().cast("array<date>")
+    dose = d.where(F.col("day").isin(at) if at else F.lit(False)).select("unit", F.col("day").alias("event"), "v")
+    bin_of = sum((F.when(F.col("v") >= a, 1).otherwise(0) for a in BINS), F.lit(0))
+    treated = dose.where(F.col("v") >= BINS[0]).select("unit", "event", bin_of.alias("class"))
+    pairs = d.select("unit").distinct().withColumn("event", F.explode(list_of)).join(treated, ["unit", "event"], "left")
+    hits = treated.groupBy("unit").agg(F.collect_list("event").alias("hits"))
+    rel = F.sequence(F.lit(BEFORE), F.lit(AFTER))
+    ok = F.filter(rel, lambda k: (k >= 0) | ~F.exists(F.coalesce("hits", F.array().cast("array<date>")), lambda h: F.datediff(F.date_add(F.col("event"), k), h).between(0, AFTER)))
+    pairs = pairs.join(hits, "unit", "left").select("event", "unit", F.coalesce("class", F.lit(0)).alias("class"), ok.alias("days"))
+    around = d.select("unit", "day", F.col("n").alias("y")).withColumn("event", F.explode(F.filter(list_of, lambda e: F.datediff(F.col("day"), e).between(BEFORE, AFTER))))
+    outcomes = around.select("event", "unit", F.datediff("day", "event").alias("rel"), "y").join(pairs.select("event", "unit", "days"), ["event", "unit"])
+    return pairs, outcomes.where(F.array_contains("days", F.col("rel"))).drop("days")
 
 
 @register("T13_stacked_event_study")
 def t13(spark, sf_dir):
-    """Four events' windows stacked: Poisson fits with effects of event x unit and event x day.
+    """Events' days -21 to 21 stacked: Poisson fits with effects of event x unit and event x day.
 
-    Treated are the units over the least exposure in the event's week; the others of the event
-    are the controls. One fit has an effect for each week relative to the event but the
-    reference, the other one for each bin of exposure from the event on. Errors are clustered by
-    unit and event.
+    One fit has an effect of the treated for each day relative to the event but the reference, the other one for each bin of
+    exposure from the event on. Errors are clustered by unit and event.
     """
-    weekly = daily(spark, sf_dir).groupBy("unit", F.floor(ts.days_number("day") / 7).alias("week")).agg(F.sum("v").alias("v"), F.sum("n").alias("n"))
-    totals = weekly.groupBy("week").agg(F.sum("v").alias("total"))
-    events = totals.withColumn("k", F.row_number().over(Window.partitionBy(F.pmod("week", F.lit(4))).orderBy(F.desc("total"), "week"))).where("k = 1").select(F.col("week").alias("event"))
-    exposed = events.join(weekly, F.col("event") == F.col("week")).select("event", "unit", F.col("v").alias("dose"))
-    spine = events.join(weekly.select("unit").distinct().hint("broadcast"), how="full").withColumn("rel", F.explode(F.sequence(F.lit(-8), F.lit(5))))  # four events
-    rows = kept(
-        spine.withColumn("week", F.col("event") + F.col("rel")).join(weekly.select("unit", "week", "n"), ["unit", "week"], "left").join(exposed, ["event", "unit"], "left")
-        .select("event", "unit", "rel", F.coalesce("n", F.lit(0)).alias("y"), F.coalesce("dose", F.lit(0.0)).alias("dose"))
-        .withColumn("pair", F.concat_ws(" ", "event", "unit")).withColumn("time", F.concat_ws(" ", "event", "rel"))
-    )
-    treated = F.col("dose") >= BINS[0]
-    one = lambda c: c.cast("double")
-    weeks = {f"k{k:+d}": one(treated & (F.col("rel") == k)) for k in range(-8, 6) if k != REFERENCE}
-    bins = {f"dose {a}": one((F.col("dose") >= a) & (F.col("dose") < (b or 1e9)) & (F.col("rel") >= 0)) for a, b in zip(BINS, (*BINS[1:], None), strict=True)}
-    fits = [st.poisson_effects(rows.withColumns(x), list(x), "y", "pair", "time", clusters=["unit", "event"]).table(spark) for x in (weeks, bins)]
-    both = fits[0].unionByName(fits[1])
+    pairs, outcomes = (kept(x) for x in stacked_panel(spark, sf_dir))
+    classes = range(1, len(BINS) + 1)
+    days = {f"k{k:+d}": [(c, k) for c in classes] for k in range(BEFORE, AFTER + 1) if k != REFERENCE}
+    bins = {f"dose {BINS[c - 1]}": [(c, k) for k in range(AFTER + 1)] for c in classes}
+    fits = [pn.stacked_poisson(pairs, outcomes, x).table(spark) for x in (days, bins)]
+    both = fits[0].unionByName(fits[1]).select("term", *[F.nanvl(c, F.lit(None).cast("double")).alias(c) for c in ("beta", "se")])
     return both.select("term", F.round("beta", 5).alias("beta"), F.round("se", 5).alias("se"), F.round(F.exp("beta"), 5).alias("times"))
 
 

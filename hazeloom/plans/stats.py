@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from hazeloom.operators import panels as pn
 from hazeloom.operators import statistics as st
 from hazeloom.operators import summary as sm
 from hazeloom.operators import timeseries as ts
@@ -214,28 +215,51 @@ def with_p(spark, fit, sums: dict[str, list[float]]):
     return got.select("term", F.round("beta", 6).alias("beta"), F.round("se", 6).alias("se"), F.round(st.t_tail(F.try_divide("beta", "se"), F.col("df")), 6).alias("p"))
 
 
-FIRST, LAST, CLEAN = -7, 7, 7
+FIRST, LAST, CLEAN = -14, 14, 30
 
 
-@register("T11_event_study")
-def t11(spark, sf_dir):
-    """Effects by day relative to isolated onsets, with unit and month effects; their sums before and after.
+def onset_panel(spark, sf_dir):
+    """(rows, isolated onsets): unit, region, month, day, rel, y, size of the days inside an isolated onset's window or far from any flagged day.
 
-    An onset is a flagged day more than two days after the unit's last; it is isolated if no
-    other flagged day lies within CLEAN days but those that follow it day by day. Days near other
-    flagged days are left out. Errors are clustered by unit and day, the sums' with all covariances.
+    An onset is a flagged day more than two days after the unit's last; it is isolated if the flagged days within
+    CLEAN days are no more than those of the ten days that it begins. y is per item of a supplier's mean day (size).
     """
-    d = daily(spark, sf_dir).select("unit", "day", (F.col("price") / 1000).alias("y"), "v")
-    w = Window.partitionBy("unit").orderBy("day")
-    hit = d.where("v > 80").select("unit", "day", F.datediff("day", F.lag("day").over(w)).alias("gap"), F.datediff(F.lead("day").over(w), "day").alias("next"))
-    onsets = hit.where("(gap IS NULL OR gap > %d) AND (next IS NULL OR next > %d OR next = 1)" % (CLEAN, CLEAN)).select("unit", "day")
+    d = daily(spark, sf_dir)
+    size = d.groupBy("unit").agg(F.avg("n").alias("size"))
+    suppliers = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    units = size.join(suppliers.select(F.col("s_suppkey").alias("unit"), F.col("n_regionkey").alias("region")), "unit")
+    w = Window.partitionBy("unit").orderBy("at")
+    hit = d.where("v > 80").select("unit", "day", ts.days_number("day").alias("at"))
+    hit = hit.withColumns({"gap": F.col("at") - F.lag("at").over(w), "near": F.count("*").over(w.rangeBetween(-CLEAN, CLEAN)), "spell": F.count("*").over(w.rangeBetween(0, 9))})
+    onsets = hit.where("(gap IS NULL OR gap > 2) AND near <= spell").select("unit", "day")
     inside = event_window(onsets, FIRST, LAST).groupBy("unit", "day").agg(F.max("rel").alias("rel"))
     near = event_window(hit.select("unit", "day"), -CLEAN, CLEAN).select("unit", "day", F.lit(True).alias("near")).distinct()
-    rows = d.join(inside, ["unit", "day"], "left").join(near, ["unit", "day"], "left").where("rel IS NOT NULL OR near IS NULL")
+    rows = d.join(units, "unit").join(inside, ["unit", "day"], "left").join(near, ["unit", "day"], "left").where("rel IS NOT NULL OR near IS NULL")
+    return rows.select("unit", "region", F.month("day").alias("month"), "day", "rel", (F.col("price") / 1000 / F.col("size")).alias("y"), "size"), onsets.join(size, "unit")
+
+
+@register("T11_event_study")
+def t11(spark, sf_dir):
+    """Effects by day relative to isolated onsets, with unit-month and region-day effects; their sums before and after.
+
+    Errors are clustered by unit and day, the sums' with all covariances. attributable: the sum after times the size of
+    all isolated onsets, and as a percentage of all that was observed; identifying: the share of days inside a window
+    whose region and day has a unit outside one as well.
+    """
+    rows, onsets = onset_panel(spark, sf_dir)
     names = {f"k{k:+d}": k for k in range(FIRST, LAST + 1)}
-    rows = rows.select("unit", "day", "y", F.date_format("day", "yyyy-MM").alias("month"), *[F.coalesce((F.col("rel") == k).cast("double"), F.lit(0.0)).alias(n) for n, k in names.items()])
-    fit = st.two_way_effects(rows, list(names), "y", "unit", "month", clusters=["unit", "day"])
-    return with_p(spark, fit, {"before": [float(k < 0) for k in names.values()], "after": [float(k >= 0) for k in names.values()]})
+    fit, _ = pn.panel_fit(
+        rows.withColumns({n: F.coalesce((F.col("rel") == k).cast("double"), F.lit(0.0)) for n, k in names.items()}),
+        list(names), "y", [["unit", "month"], ["region", "day"]], clusters=["unit", "day"],
+    )
+    exposed = onsets.agg(F.sum("size")).first()[0] or 0.0
+    observed = daily(spark, sf_dir).agg(F.sum("price") / 1000).first()[0]
+    sides = rows.groupBy("region", "day").agg(F.count("rel").alias("inside"), F.count_if(F.col("rel").isNull()).alias("outside"))
+    shared = sides.agg(F.sum(F.when(F.col("outside") > 0, F.col("inside"))) / F.sum("inside")).first()[0]
+    after = [float(k >= 0) for k in names.values()]
+    sums = {"before": [1 - x for x in after], "after": after, "attributable": [x * exposed for x in after], "attributable_percent": [100 * x * exposed / observed for x in after]}
+    one = spark.createDataFrame([("identifying", float(shared))], "term string, beta double").select("term", F.round("beta", 6).alias("beta"), *[F.lit(None).cast("double").alias(c) for c in ("se", "p")])
+    return with_p(spark, fit, sums).unionByName(one)
 
 
 def monthly(spark, sf_dir):
