@@ -1,4 +1,4 @@
-"""Statistical jobs. Replicates are rows; draws come from hashes of (seed, replicate, id), so results do not depend on partitions.
+"""Statistical jobs. Draws come from hashes of (seed, replicate, id), so results do not depend on partitions.
 
 Panels are absorbed by effects per group, found on sums per pair of groups. Only small systems
 (k x k, k terms) are solved on the driver.
@@ -28,54 +28,10 @@ def draw_sql(seed: int, *parts: str) -> str:
     return f"(('0x' || substr(md5(concat_ws('|', '{seed}', {', '.join(parts)})), 1, 8))::BIGINT / 4294967296.0)"
 
 
-def permutation_test(df: DataFrame, group: str, value: str, key: str, *, replicates: int, seed: int = 1) -> DataFrame:
-    """diff, p: difference of means of group 1 and 0, two-sided by ``replicates`` shuffles of the labels; (c + 1) / (B + 1).
-
-    Each replicate is ranked by itself, so the work is dealt by replicate; the totals are one row.
-    """
-    one = df.agg(F.sum(group), F.count("*"), F.sum(value), F.sum(F.when(F.col(group) == 1, F.col(value)))).first()
-    n1, n, total, own = (float(x or 0) for x in one)
-    diff = own / n1 - (total - own) / (n - n1)
-    reps = df.select(F.col(key).alias("_k"), F.col(value).cast("double").alias("_v"), F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("_r"))
-    text = F.concat_ws("|", F.lit(str(seed)), F.col("_r").cast("string"), F.col("_k").cast("string"))
-    rank = F.row_number().over(Window.partitionBy("_r").orderBy(F.md5(text), "_k"))
-    sums = reps.withColumn("_in", rank <= n1).groupBy("_r").agg(F.sum(F.when(F.col("_in"), F.col("_v"))).alias("_s"))
-    shuffled = sums.select(F.abs(F.col("_s") / n1 - (total - F.col("_s")) / (n - n1)).alias("d"))
-    return shuffled.agg(F.lit(diff).alias("diff"), ((F.count_if(F.col("d") >= abs(diff) - 1e-9) + 1) / (F.count("*") + 1)).alias("p"))
-
-
-#: Distribution function of Poisson(1) at 0, 1, 2, ...
-POISSON = [sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) for k in range(8)]
-
-
-def poisson_weight(u: Column) -> Column:
-    """A Poisson(1) count from a uniform number, by its distribution function."""
-    return sum((F.when(u >= c, 1).otherwise(0) for c in POISSON), F.lit(0))
-
-
-def poisson_weight_sql(u: str) -> str:
-    return "(" + " + ".join(f"({u} >= {c!r})::INT" for c in POISSON) + ")"
-
-
 def interval(df: DataFrame, value: str, points: Sequence[float] = (0.05, 0.5, 0.95), names: Sequence[str] = ("lo", "mid", "hi")) -> DataFrame:
     return df.agg(F.percentile(value, list(points)).alias("q")).select(*[F.col("q")[i].alias(n) for i, n in enumerate(names)])
 
 
-def bootstrap_ratio(df: DataFrame, group: str, value: str, key: str, *, replicates: int, seed: int = 2) -> DataFrame:
-    """lo, mid, hi: 5, 50 and 95 % of the ratio of group means over Poisson resamples; one pass adds weighted sums per replicate."""
-    reps = df.withColumn("_r", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("_w", poisson_weight(draw(seed, "_r", key)))
-    mean = lambda g: F.try_divide(F.sum(F.when(F.col(group) == g, F.col("_w") * F.col(value))), F.sum(F.when(F.col(group) == g, F.col("_w"))))
-    return interval(reps.groupBy("_r").agg(F.try_divide(mean(1), mean(0)).alias("x")), "x")
-
-
-def cluster_bootstrap_mean(df: DataFrame, cluster: str, value: str, *, replicates: int, seed: int = 3) -> DataFrame:
-    """lo, mid, hi of the mean over resampled clusters, from per-cluster sums."""
-    sums = df.groupBy(cluster).agg(F.sum(value).alias("_s"), F.count(value).alias("_c"))
-    reps = sums.withColumn("_r", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("_w", poisson_weight(draw(seed, "_r", cluster)))
-    means = reps.groupBy("_r").agg(F.try_divide(F.sum(F.col("_w") * F.col("_s")), F.sum(F.col("_w") * F.col("_c"))).alias("x"))
-    return interval(means, "x")
-
-
 def benjamini_hochberg(df: DataFrame, family: str, p: str, *, q: float) -> DataFrame:
     """Rows with rejected: ranks up to the largest that passes p <= q * rank / m within the family; rows without p are not tested."""
     w = Window.partitionBy(family)
@@ -84,23 +40,13 @@ def benjamini_hochberg(df: DataFrame, family: str, p: str, *, q: float) -> DataF
     return ranked.withColumn("rejected", F.coalesce((F.col("_k") <= last) & F.col(p).isNotNull(), F.lit(False))).drop("_k", "_m")
 
 
-def shift_null(df: DataFrame, *, unit: str, place: str, value: str, tag: str, shifts: Sequence[int]) -> DataFrame:
-    """unit, shift, mean: the mean of the tagged places after the unit's series is turned by each shift (0: as it is).
-
-    Places are 0, 1, ... within a unit. Tagged rows are copied once per shift and joined by (unit, place).
-    """
-    sized = df.join(df.groupBy(unit).agg(F.count("*").alias("_n")), unit)
-    turned = sized.where(tag).select(unit, F.explode(F.array(*[F.lit(s) for s in (0, *shifts)])).alias("shift"), place, "_n")
-    turned = turned.select(unit, "shift", F.pmod(F.col(place) - F.col("shift"), F.col("_n")).alias(place))
-    return turned.join(df.select(unit, place, value), [unit, place]).groupBy(unit, "shift").agg(F.avg(value).alias("mean"))
-
-
 def field_significance(means: DataFrame, *, unit: str) -> DataFrame:
-    """unit, obs, centre, p, local, field_obs, field_95 from shift_null().
+    """unit, obs, centre, p, local, field_obs, field_95 from resampling.shift_means().
 
     p is two-sided around the null's mean; local: further from it than 95 % of the shifts;
     field_obs and field_95 count local rejections of the data, and their 95th percentile over shifts.
     """
+    means = kept(means)
     null = means.where("shift <> 0")
     centre = null.groupBy(unit).agg(F.avg("mean").alias("centre"), F.count("*").alias("_b"))
     far = null.join(centre, unit).withColumn("_d", F.abs(F.col("mean") - F.col("centre")))

@@ -10,6 +10,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from hazeloom.operators import panels as pn
+from hazeloom.operators import resampling as rs
 from hazeloom.operators import statistics as st
 from hazeloom.operators import summary as sm
 from hazeloom.operators import timeseries as ts
@@ -26,16 +27,18 @@ def units(spark, sf_dir):
     return daily(spark, sf_dir).groupBy("unit").agg(F.avg("v").alias("v"), F.avg("price").alias("price"), F.avg("n").alias("n")).withColumn("g", F.col("unit") % 2)
 
 
+REPLICATES = 20_000
+
+
 @register(
     "T1_permutation_test",
-    f"""WITH {UNITS}, one AS (SELECT sum(g) AS n1, count(*) AS n, sum(v) AS total, sum(v) FILTER (g = 1) AS own FROM units),
-    r AS (SELECT r, v, row_number() OVER (PARTITION BY r ORDER BY md5(concat_ws('|', '1', r, unit)), unit) AS k FROM units, range(1, 20001) t(r)),
-    s AS (SELECT r, sum(v) FILTER (k <= n1) AS s, any_value(n1) AS n1, any_value(n) AS n, any_value(total) AS total FROM r, one GROUP BY r),
-    d AS (SELECT own / n1 - (total - own) / (n - n1) AS diff FROM one)
+    f"""WITH RECURSIVE {UNITS}, one AS (SELECT sum(g) AS n1, count(*) AS n, sum(v) AS total, sum(v) FILTER (g = 1) AS own FROM units),
+    vals AS (SELECT v, g FROM units), {rs.permutation_sql("vals", REPLICATES)},
+    d AS (SELECT own / n1 - (total - own) / (n - n1) AS diff, n1, n, total FROM one)
     SELECT round(any_value(diff), 6) AS diff, (count(*) FILTER (abs(s / n1 - (total - s) / (n - n1)) >= abs(diff) - 1e-9) + 1) / (count(*) + 1) AS p FROM s, d""",
 )
 def t1(spark, sf_dir):
-    got = st.permutation_test(units(spark, sf_dir), "g", "v", "unit", replicates=20_000)
+    got = rs.permutation_test(units(spark, sf_dir), "g", "v", replicates=REPLICATES)
     return got.select(F.round("diff", 6).alias("diff"), "p")
 
 
@@ -49,42 +52,42 @@ def rounded(df, digits: int = 6):
 
 @register(
     "T2_bootstrap_ratio",
-    f"""WITH {UNITS}, w AS (SELECT r, g, price, {st.poisson_weight_sql(st.draw_sql(2, "r", "unit"))} AS w FROM units, range(1, 2001) t(r)),
+    f"""WITH {UNITS}, u AS (SELECT r, g, price, {rs.uniform_sql("k", "r")} AS u FROM (SELECT *, {rs.key_number_sql(2, "unit")} AS k FROM units), range(1, {REPLICATES + 1}) t(r)),
+    w AS (SELECT r, g, price, {rs.poisson_sql("u")} AS w FROM u),
     x AS (SELECT (sum(w * price) FILTER (g = 1) / nullif(sum(w) FILTER (g = 1), 0)) / (sum(w * price) FILTER (g = 0) / nullif(sum(w) FILTER (g = 0), 0)) AS x FROM w GROUP BY r)
     {interval_sql("x")}""",
 )
 def t2(spark, sf_dir):
-    return rounded(st.bootstrap_ratio(units(spark, sf_dir), "g", "price", "unit", replicates=2000))
+    return rounded(rs.bootstrap_ratio(units(spark, sf_dir), "g", "price", "unit", replicates=REPLICATES))
 
 
 @register(
     "T3_moving_block_bootstrap",
-    f"""WITH {DAILY}, days AS (SELECT day, sum(v) AS v FROM daily GROUP BY 1), s AS (SELECT min(day) AS a, max(day) - min(day) + 1 AS n FROM days),
-    b AS (SELECT r, a + floor({st.draw_sql(4, "r", "k")} * (n - 10))::INT AS start FROM range(0, 1000) t(r), s, range(0, 4000) u(k) WHERE k < n // 10),
-    m AS (SELECT r, avg(v) AS m FROM b, range(0, 10) t(i), days WHERE day = start + i::INT GROUP BY r)
+    f"""WITH {DAILY}, days AS (SELECT day, sum(v) AS v FROM daily GROUP BY 1), s AS (SELECT min(day) AS a, (max(day) - min(day) + 1)::BIGINT AS n FROM days),
+    every AS (SELECT pos, sum(v) AS v, count(v) AS c FROM (SELECT unnest(range(0, n)) AS pos, a FROM s) LEFT JOIN days ON day = a + pos::INT GROUP BY 1),
+    block AS (SELECT pos, sum(v) OVER w AS v, sum(c) OVER w AS c FROM every WINDOW w AS (ORDER BY pos ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING)),
+    keys AS (SELECT {rs.key_number_sql(4, "i")} AS k FROM (SELECT unnest(range(0, n // 10)) AS i FROM s)),
+    b AS (SELECT r, floor({rs.uniform_sql("k", "r")} * (n - 10))::BIGINT AS pos FROM range(0, {REPLICATES}) t(r), s, keys),
+    m AS (SELECT r, sum(v) / sum(c) AS m FROM b JOIN block ON block.pos = b.pos GROUP BY r)
     {interval_sql("m", "m")}""",
 )
 def t3(spark, sf_dir):
-    """Blocks of 10 days drawn per replicate, each joined to its days."""
+    """The mean day's total over blocks of 10 days."""
     days = daily(spark, sf_dir).groupBy("day").agg(F.sum("v").alias("v"))
-    span = days.agg(F.min("day").alias("a"), F.max("day").alias("b")).first()
-    n = (span["b"] - span["a"]).days + 1
-    blocks = spark.range(1000).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(n // 10 - 1))))
-    starts = blocks.withColumn("start", F.date_add(F.lit(span["a"]), F.floor(st.draw(4, "id", "k") * (n - 10)).cast("int")))
-    picked = starts.withColumn("day", F.explode(F.expr("sequence(start, date_add(start, 9))"))).join(days, "day")
-    return rounded(st.interval(picked.groupBy("id").agg(F.avg("v").alias("m")), "m"))
+    return rounded(rs.block_bootstrap_mean(spark, days, "day", "v", length=10, replicates=REPLICATES))
 
 
 @register(
     "T4_cluster_bootstrap",
     f"""WITH s AS (SELECT strftime(o_orderdate, '%Y-%m') AS c, sum(o_totalprice) AS s, count(*) AS c_n FROM orders GROUP BY 1),
-    w AS (SELECT r, s, c_n, {st.poisson_weight_sql(st.draw_sql(3, "r", "c"))} AS w FROM s, range(1, 2001) t(r)),
+    u AS (SELECT r, s, c_n, {rs.uniform_sql("k", "r")} AS u FROM (SELECT *, {rs.key_number_sql(3, "c")} AS k FROM s), range(1, {REPLICATES + 1}) t(r)),
+    w AS (SELECT r, s, c_n, {rs.poisson_sql("u")} AS w FROM u),
     x AS (SELECT sum(w * s) / nullif(sum(w * c_n), 0) AS x FROM w GROUP BY r) {interval_sql("x", digits=3)}""",
 )
 def t4(spark, sf_dir):
     """The mean order over resampled months."""
     o = table(spark, sf_dir, "orders").select(F.date_format("o_orderdate", "yyyy-MM").alias("month"), "o_totalprice")
-    return rounded(st.cluster_bootstrap_mean(o, "month", "o_totalprice", replicates=2000), 3)
+    return rounded(rs.cluster_bootstrap_mean(o, "month", "o_totalprice", replicates=REPLICATES), 3)
 
 
 P_VALUES = f"{DAILY}, p AS (SELECT unit, unit % 5 AS family, ((unit * 7919) % 1000 + 1) / 4000.0 * (1 + unit % 3) AS p FROM daily GROUP BY unit)"
@@ -121,7 +124,7 @@ SHIFTS = [round(365.25 * k) + j for k in range(1, 40) for j in (-14, -7, 0, 7, 1
 def t6(spark, sf_dir):
     w = Window.partitionBy("unit").orderBy("day")
     o = daily(spark, sf_dir).select("unit", F.col("price").alias("a"), (F.col("v") > 60).alias("tag"), (F.row_number().over(w) - 1).alias("place"))
-    got = st.field_significance(st.shift_null(o, unit="unit", place="place", value="a", tag="tag", shifts=SHIFTS), unit="unit")
+    got = st.field_significance(rs.shift_means(o, unit="unit", place="place", value="a", tag="tag", shifts=SHIFTS), unit="unit")
     return got.select("unit", F.round("obs", 4).alias("obs"), F.round("centre", 4).alias("centre"), F.round("p", 6).alias("p"), "local", "field_95", "field_obs")
 
 
@@ -342,7 +345,8 @@ def t17(spark, sf_dir):
     t AS (SELECT e.*, s_acctbal AS z FROM e JOIN supplier ON s_suppkey = unit WHERE post IS NOT NULL AND pre IS NOT NULL),
     q AS (SELECT quantile_cont(z, 1 / 3.0) AS a, quantile_cont(z, 2 / 3.0) AS b FROM t),
     l AS (SELECT t.*, CASE WHEN z < a THEN 'low' WHEN z < b THEN 'middle' ELSE 'high' END AS tercile FROM t, q),
-    r AS (SELECT tercile, r, sum(CASE WHEN {st.draw_sql(5, "r", "unit")} < 0.5 THEN -1 ELSE 1 END * post * w) / sum(w) AS flip FROM l, range(1, 1000) t(r) GROUP BY ALL),
+    r AS (SELECT tercile, r, sum(CASE WHEN {rs.uniform_sql("k", "r")} < 0.5 THEN -1 ELSE 1 END * post * w) / sum(w) AS flip
+      FROM (SELECT *, {rs.key_number_sql(5, "unit")} AS k FROM l), range(1, 1000) t(r) GROUP BY ALL),
     o AS (SELECT tercile, count(*) AS n, sum(post * w) / sum(w) AS effect, sum(pre * w) / sum(w) AS placebo FROM l GROUP BY 1),
     f AS (SELECT o.tercile, any_value(n) AS n, any_value(effect) AS effect, stddev_pop(flip) AS se, avg((abs(flip) >= abs(effect) - 1e-9)::INT) AS p, any_value(placebo) AS placebo FROM o JOIN r ON o.tercile = r.tercile GROUP BY 1)
     SELECT tercile, n::BIGINT AS n, round(effect, 6) AS effect, round(se, 6) AS se, round(p, 6) AS p, round(placebo, 6) AS placebo FROM f
@@ -355,8 +359,7 @@ def t19(spark, sf_dir):
     t = e.where("post IS NOT NULL AND pre IS NOT NULL").join(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("unit"), F.col("s_acctbal").alias("z")), "unit")
     a, b = sm.quantile_edges(t, "z", 3)
     labelled = t.withColumn("tercile", F.when(F.col("z") < a, "low").when(F.col("z") < b, "middle").otherwise("high"))
-    sign = F.when(st.draw(5, "r", "unit") < 0.5, -1).otherwise(1)
-    flips = labelled.withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(999)))).groupBy("tercile", "r").agg((F.sum(sign * F.col("post") * F.col("w")) / F.sum("w")).alias("flip"))
+    flips = rs.sign_flips(labelled, "tercile", "post", "w", "unit", replicates=999)
     own = labelled.groupBy("tercile").agg(F.count("*").alias("n"), F.expr("sum(post * w) / sum(w)").alias("effect"), F.expr("sum(pre * w) / sum(w)").alias("placebo"))
     share = F.avg((F.abs("flip") >= F.abs("effect") - 1e-9).cast("int"))
     f = flips.join(own, "tercile").groupBy("tercile").agg(F.any_value("n").alias("n"), F.any_value("effect").alias("effect"), F.stddev_pop("flip").alias("se"), share.alias("p"), F.any_value("placebo").alias("placebo"))
