@@ -30,14 +30,20 @@ SKIP = frozenset("head script style textarea title noscript iframe noembed nofra
 #: What a class, id or role says an element is: its last word, after words that only say that it is a part of the page.
 SKIP_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies disqus footer header "
-    "masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo promoted related search share sharing sidebar signup social sponsor sponsored subscribe widget".split()
+    "masthead menu modal nav navbar navigation newsletter pagination popup promo promoted sidebar signup social sponsor sponsored subscribe".split()
 )
+#: Words that page builders and authors use for text as well: they count for elements that are mostly links, as a role, or after one of the words above.
+USED_WORDS = frozenset("notice notices related search share sharing widget".split())
+NOTICES = frozenset("notice notices".split())
+COMMENTS = frozenset("comment comments disqus".split())
 PART_WORDS = frozenset(
     "area articles bar block body box button buttons col container content form group holder inner item items link links list outer panel posts row section slot stories text thread unit wrap wrapper".split()
 )
 #: A header of these is the head of the text, not of the page.
 TEXT_WORDS = frozenset("article chapter content entry post section story".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements that group others, whose ids name them.
+GROUPS = frozenset("article aside center details div dl fieldset figure li main ol section span table tbody td tr ul".split())
 #: What a start tag closes if it is open: (open element, at most up to).
 CLOSES = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr", "table tbody thead tfoot"), "td": ("td th", "tr"), "th": ("td th", "tr"), "option": ("option", "select")}
 CLOSES = {k: (a.split(), b.split()) for k, (a, b) in CLOSES.items()}
@@ -52,16 +58,40 @@ RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*+>|\Z", re.I) for t in RAW}
 HUMP = re.compile(r"([a-z])([A-Z])")
 
 
+#: What an element's names come to: nothing, no main text, no main text where it is mostly links, a notice, no main text unless its id is that of its own heading.
+NOTHING, SKIPPED, IF_LINKS, NOTICE, ANCHOR = range(5)
+
+
+def last_words(name: str) -> list[str]:
+    """The words of a class, id or role, without those at the end that only say that it is a part of the page."""
+    words = re.findall(r"[a-z]+", HUMP.sub(r"\1-\2", name).lower())
+    while len(words) > 1 and words[-1] in PART_WORDS:
+        words.pop()
+    return words
+
+
 @lru_cache(100_000)
-def says_skip(tag: str, names: str) -> bool:
-    """Whether classes, ids or roles name a part of the page that is no main text."""
-    for name in names.split():
-        words = re.findall(r"[a-z]+", HUMP.sub(r"\1-\2", name).lower())
-        while len(words) > 1 and words[-1] in PART_WORDS:
-            words.pop()
-        if words and words[-1] in SKIP_WORDS and not (words[-1] == "header" and (tag in HEADINGS or TEXT_WORDS & set(words[:-1]))):
-            return True
-    return False
+def says(tag: str, classes: str, roles: str, ids: str) -> tuple[int, bool]:
+    """(what the names say that an element is, whether that is readers' comments).
+
+    Ids count on containers only: on headings and paragraphs they are places to link to.
+    """
+    found, comments = NOTHING, False
+    for kind, names in (("role", roles), ("class", classes), ("id", ids if tag in GROUPS else "")):
+        for name in names.split():
+            words = last_words(name)
+            last = words[-1] if words else ""
+            if last == "header" and (tag in HEADINGS or TEXT_WORDS & set(words[:-1])):
+                continue
+            if last in SKIP_WORDS or (last in USED_WORDS and (kind == "role" or SKIP_WORDS & set(words[:-1]))):
+                now = SKIPPED if kind != "id" else ANCHOR
+            elif last in USED_WORDS:
+                now = NOTICE if last in NOTICES and kind == "class" else IF_LINKS
+            else:
+                continue
+            comments |= last in COMMENTS
+            found = now if found == NOTHING or now == SKIPPED else found
+    return found, comments
 
 
 def tag_end(html: str, at: int) -> tuple[str, str, bool]:
@@ -103,8 +133,10 @@ class Page:
         self.tag, self.parent, self.path = [""], [-1], [0]
         self.paths: dict[tuple[int, str], int] = {}
         self.steps: list[tuple[int, str]] = [(-1, "")]
-        self.raw_blocks: list[tuple[list[tuple[str, int, bool]], int]] = []
-        self.marks: list[tuple[int, bool]] = [(0, False)]
+        self.raw_blocks: list[tuple[list[tuple[str, int, bool]], int, str]] = []
+        #: Of each marked element: the marked one around it, what it is, if it is comments, its id, its names, whether inside an article or main.
+        self.marks: list[tuple[int, int, bool, str, tuple, bool]] = [(0, NOTHING, False, "", (), False)]
+        self.holds = [False]
         self._read(html)
         self._settle()
 
@@ -118,7 +150,7 @@ class Page:
 
         def flush() -> None:
             if parts:
-                self.raw_blocks.append((parts.copy(), stack[-1][4]))
+                self.raw_blocks.append((parts.copy(), stack[-1][4], stack[blocks_at[-1]][0]))
                 parts.clear()
 
         def add(raw: str) -> None:
@@ -191,9 +223,14 @@ class Page:
             skip = skip or tag in SKIP
             if tag in ("article", "main"):
                 self._holds_text(mark)
-            elif marks and tag not in ("html", "body") and says_skip(tag, " ".join(v for _, v in marks)):
-                self.marks.append((mark, False))
-                mark = len(self.marks) - 1
+            elif marks and tag not in ("html", "body"):
+                names = tuple(" ".join(v for k, v in marks if k == kind) for kind in ("class", "role", "id"))
+                what, comments = says(tag, *names)
+                if what:
+                    inside = bool(open_at["article"] or open_at["main"])
+                    self.marks.append((mark, what, comments, names[2], (tag, *names[:2], re.sub(r"\d+", "#", names[2])), inside))
+                    self.holds.append(False)
+                    mark = len(self.marks) - 1
             if tag in CONTAINER:
                 first = next((v.split() for k, v in marks if k == "class"), [])[:1]
                 step = re.sub(r"\d+", "#", ".".join([tag, *first])).replace(">", "")
@@ -213,30 +250,56 @@ class Page:
         flush()
 
     def _holds_text(self, mark: int) -> None:
-        while mark and not self.marks[mark][1]:
-            self.marks[mark] = (self.marks[mark][0], True)
+        while mark and not self.holds[mark]:
+            self.holds[mark] = True
             mark = self.marks[mark][0]
 
     def _settle(self) -> None:
         """Blocks without the elements that their names mark as no main text.
 
-        A mark does not count where the element holds an `article` or `main`, or more than half
-        of the page's characters outside links.
+        A mark does not count where the element holds an `article` or `main`, or where all elements of its
+        names hold more than half of the page's characters outside links. Names that are used for text as
+        well count where more than half of the element is links; a notice also where it
+        is outside of an `article` or `main`. An id does not count where the element begins with a heading
+        of the same words, unless elements in it are marked as comments.
         """
-        weight = [0] * len(self.marks)
-        for parts, _ in self.raw_blocks:
+        n = len(self.marks)
+        weight, links = [0] * n, [0] * n
+        first: list[tuple[str, str] | None] = [None] * n
+        for parts, _, tag in self.raw_blocks:
             for raw, mark, link in parts:
-                weight[mark] += 0 if link else len(raw)
+                if link:
+                    links[mark] += len(raw)
+                else:
+                    weight[mark] += len(raw)
+            text, mark = "".join(raw for raw, _, _ in parts), parts[0][1]
+            while mark and first[mark] is None and not text.isspace():
+                first[mark] = (tag, text)
+                mark = self.marks[mark][0]
         total = sum(weight)
-        for i in range(len(weight) - 1, 0, -1):
-            weight[self.marks[i][0]] += weight[i]
-        gone = [False] * len(weight)
-        for i in range(1, len(weight)):
-            up, holds = self.marks[i]
-            gone[i] = gone[up] or not (holds or 2 * weight[i] > total)
+        answered = [False] * n
+        for i in range(n - 1, 0, -1):
+            up = self.marks[i][0]
+            weight[up] += weight[i]
+            links[up] += links[i]
+            answered[up] |= answered[i] or (self.marks[i][2] and self.marks[i][1] == SKIPPED)
+        alike: dict[tuple, int] = defaultdict(int)
+        for i in range(1, n):
+            if self.marks[self.marks[i][0]][4] != self.marks[i][4]:  # one inside another of its names counts once
+                alike[self.marks[i][4]] += weight[i]
+        gone = [False] * n
+        for i in range(1, n):
+            up, what, _, own_id, names, inside = self.marks[i]
+            if what == ANCHOR and not answered[i] and first[i] and first[i][0] in HEADINGS and words_of_anchor(first[i][1]) == words_of_anchor(own_id):
+                what = NOTHING
+            elif what == NOTICE and not inside:
+                what = SKIPPED
+            if what in (IF_LINKS, NOTICE):
+                what = SKIPPED if links[i] > weight[i] else NOTHING
+            gone[i] = gone[up] or (what != NOTHING and not self.holds[i] and 2 * max(weight[i], alike[names]) <= total)
         #: (text, characters in links, container)
         self.blocks: list[tuple[str, int, int]] = []
-        for parts, container in self.raw_blocks:
+        for parts, container, _ in self.raw_blocks:
             kept = [(raw, link) for raw, mark, link in parts if not gone[mark]]
             if words := " ".join("".join(raw for raw, _ in kept).split()):
                 self.blocks.append((words, sum(len(raw) for raw, link in kept if link), container))
@@ -322,6 +385,11 @@ class Page:
         return "\n".join(text for text, _, container in self.blocks if inside[container])
 
 
+def words_of_anchor(name: str) -> list[str]:
+    """The words of a heading, without a number like `2.` or `2.1` before them, or of the id made from it."""
+    return re.findall(r"[^\W_]+", re.sub(r"^\s*(?:\d+\.)+\d*(?=\s)", "", name).lower())
+
+
 def own_score(text: str, linked: int) -> int:
     return max(0, len(text) - 2 * linked)
 

@@ -75,6 +75,50 @@ def test_odd_markup(html, want):
     assert text(html) == want
 
 
+LONG = " ".join(f"word{i}" for i in range(30))
+
+
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        ("<main>" + "".join(f"<div class='elementor-element elementor-widget elementor-widget-text'><p>{i} {LONG}</p></div>" for i in range(4)) + "</main>", "\n".join(f"{i} {LONG}" for i in range(4))),
+        ("<main>" + "".join(f"<div class='sidebar box'><p>{i} {LONG}</p></div>" for i in range(4)) + "</main>", "\n".join(f"{i} {LONG}" for i in range(4))),
+        (f"<main><section id='intro'><h2>Intro</h2><p>{LONG}</p></section><section id='comments'><h2>Comments</h2><p>{LONG} a</p></section><section id=search><h2>Search \u00b6</h2><p>b</p></section></main>",
+         f"Intro\n{LONG}\nComments\n{LONG} a\nSearch \u00b6\nb"),
+        (f"<article><h2 id='comments'>Comments on theory</h2><p id='share'>A share of it.</p><p>{LONG}</p></article>", f"Comments on theory\nA share of it.\n{LONG}"),
+        (f"<article><p>{LONG}</p><section id=comments><h2>Comments</h2><div class='comment'>me too</div></section></article>", LONG),
+        (f"<article><p>{LONG}</p><section id=comments><h2>3 comments</h2><p>me too</p></section></article>", LONG),
+        (f"<article><p>{LONG}</p><div class='widget related'><a href=x>some other story to read</a> now</div><div class='share'><a href=y>tell all your friends</a></div></article>", LONG),
+        (f"<article><p>{LONG}</p><div class='related work'><p>Others did this before.</p></div><div class='notice'>Mind the gap.</div></article>", f"{LONG}\nOthers did this before.\nMind the gap."),
+        (f"<div class=notice>We moved.</div><main><p>{LONG}</p><div class='cookie-notice'>We use them.</div></main>", LONG),
+    ],
+    ids=range(9),
+)
+def test_names_that_text_has_as_well(html, want):
+    assert text(html) == want
+
+
+def test_random_pages_of_builders_boxes():
+    """Every block in a box that a page builder made, some boxes of one class; ids made from headings; page parts between."""
+    rng = random.Random(8)
+    classes = ["elementor-widget", "wp-block-group", "widget", "related", "share", "search", "notice", "e-con box widget-container", "sharing"]
+    for k in range(200):
+        want, inside, same = [], [], rng.choice(classes)
+        for i in range(rng.randrange(3, 9)):
+            line = " ".join(f"w{rng.randrange(999)}" for _ in range(rng.randrange(12, 40)))
+            if rng.random() < 0.4:
+                head = rng.choice(["Comments", "Search", "Menu", "Related work", "Social ads", "Sidebar"])
+                inside.append(f"<section id='{head.lower().replace(' ', '-')}'><h2>{i}. {head}</h2><p>{line}</p></section>")
+                want += [f"{i}. {head}", line]
+            else:
+                inside.append(f"<div class='{rng.choice([same, rng.choice(classes)])}' id='b{i}'><p id={rng.choice(['share', 'menu', 'x'])}>{line}</p></div>")
+                want.append(line)
+            if rng.random() < 0.3:
+                inside.append(rng.choice(["<div class='ad'>buy it</div>", "<div class='widget'><a href=/a>all of our stories</a></div>", "<div class='comments'><p>me too</p></div>", "<div class='cookie notice'>we use</div>"]))
+        page = rng.choice(["<body><main>{x}</main></body>", "<article>{x}</article>", "<body><div id=page><main>{x}</main></div></body>"]).format(x="".join(inside))
+        assert text(page) == "\n".join(want), (k, page)
+
+
 def test_random_pages_of_known_blocks():
     """Pages built from blocks and page parts in random frames; what comes back is the blocks, no more, no less."""
     rng = random.Random(3)
