@@ -87,11 +87,13 @@ def parse_expression(text: str) -> list[str]:
 def leading_expression(text: str) -> tuple[list[str], int]:
     """The licence expression that a text begins with, in postfix order (empty if it has none), and where it ends.
 
+    The longest complete one is taken, so that an operator or bracket without its second part takes nothing away.
     It ends before a word that is no operator, where none is due, before a bracket that closes nothing, and before a
     WITH that follows no single licence: only an identifier takes an exception, and only one.
     """
     out: list[str] = []
     wait: list[str] = []
+    whole: tuple[list[str], int] = ([], 0)
     operand, at, last = True, 0, ""  # operand: one is due next; last: the token before, "exception" after WITH's operand
     while m := TOKEN.match(text, at):
         word = m[1]
@@ -115,9 +117,9 @@ def leading_expression(text: str) -> tuple[list[str], int]:
         else:
             break
         at, last = m.end(), op
-    if operand or "(" in wait:
-        return [], at
-    return out + wait[::-1], at
+        if not operand and "(" not in wait:
+            whole = (out + wait[::-1], at)
+    return whole
 
 
 def permits(postfix: list[str], allowed: frozenset[str]) -> bool | None:

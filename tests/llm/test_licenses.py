@@ -1,6 +1,6 @@
 import re
 
-from hazeloom.llm.licenses import BASE_PHRASES, identifiers, label_of, parse_expression, permits, scan_licenses
+from hazeloom.llm.licenses import BASE_PHRASES, identifiers, label_of, leading_expression, parse_expression, permits, scan_licenses
 
 ALLOWED = frozenset(["mit", "apache-2.0"])
 TEXTS = [
@@ -68,5 +68,11 @@ def test_tags_followed_by_words(spark):
     ]
     got = scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
     assert [(r.labels, r.expressions, r.permitted) for r in sorted(got)] == [
-        ("mit", ["MIT"], True), ("mit", ["MIT"], True), ("apache-2,mit", ["(MIT OR x) AND Apache-2.0"], True), ("gpl-2", ["GPL-2.0-only"], False), ("", [], None), ("", [], None), ("mit", ["MIT"], True),
+        ("mit", ["MIT"], True), ("mit", ["MIT"], True), ("apache-2,mit", ["(MIT OR x) AND Apache-2.0"], True), ("gpl-2", ["GPL-2.0-only"], False), ("", [], None), ("mit", ["MIT"], True), ("mit", ["MIT"], True),
     ]
+
+
+def test_longest_complete_expression():
+    for text, want in (("MIT AND", ["MIT"]), ("MIT OR (Apache-2.0", ["MIT"]), ("(MIT OR", []), ("MIT WITH", ["MIT"]), ("(MIT OR ISC) AND (", ["MIT", "ISC", "OR"]), ("MIT AND Zlib OR )", ["MIT", "Zlib", "AND"]), ("AND MIT", []), ("", [])):
+        assert leading_expression(text)[0] == want, text
+        assert parse_expression(text) == []
