@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hazeloom.llm.common import cut
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -41,8 +43,8 @@ def judge_urls(
     Rules are broadcast only up to ``broadcast_rows`` of them; beyond that the join is
     shuffled, with the rules copied to ``salts`` salts so that a hot host is split.
 
-    Null or unusual URLs have an empty host and path and fall to ``default``. Repeated
-    pages keep a row each. Rules with a null host, path or action are ignored. Other
+    Null or unusual URLs have an empty host and path and fall to ``default``. Null and repeated ids and repeated
+    pages keep a row each; empty tables give no rows. Rules with a null host, path or action are ignored. Other
     columns of either table are not read.
     """
     rule = (
@@ -62,11 +64,14 @@ def judge_urls(
     shape = rule.agg(F.collect_set("labels"), F.collect_set("p_len"), F.count("*")).first()  # distinct lengths only
     labels, lengths, n_rules = sorted(shape[0]), sorted(shape[1]), shape[2]
 
-    urls = pages.select(
-        F.monotonically_increasing_id().alias("row"),
-        F.col(id_col).alias("id"),
-        url_host(F.col(url_col)).alias("host"),
-        url_path(F.col(url_col)).alias("path"),
+    # Row numbers are written before they are grouped by: a scan that is done again could split otherwise.
+    urls = cut(
+        pages.select(
+            F.monotonically_increasing_id().alias("row"),
+            F.col(id_col).alias("id"),
+            url_host(F.col(url_col)).alias("host"),
+            url_path(F.col(url_col)).alias("path"),
+        )
     )
     n_labels = F.size(F.split("host", "\\."))
     cuts = [
