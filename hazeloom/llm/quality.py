@@ -146,6 +146,8 @@ def quality_rules(
     keep_row: bool = False,
     min_words: int = 20,
     max_repeat_percent: int = 30,
+    broadcast_groups: int = 100_000,
+    salts: int = 16,
 ) -> DataFrame:
     """doc_id, the features, base_failed and kept per document; with keep_row also the whole row as a struct.
 
@@ -153,7 +155,7 @@ def quality_rules(
     repeated windows. Else a document is kept if no measure lies beyond the fences that the
     sketches of such documents give for its language and source; these replace fixed cutoffs.
     Fences are joined by (language, source), nulls being groups of their own, and filter after
-    that join. A hot source costs one count per bucket and task, as counts are added up before
+    that join: up to ``broadcast_groups`` groups are broadcast, more are copied to ``salts`` salts so that a hot group is split. A hot source costs one count per bucket and task, as counts are added up before
     the shuffle.
 
     Null or blank texts fail by having no words. Empty tables give no rows. Repeated rows and ids are judged each for
@@ -168,8 +170,16 @@ def quality_rules(
     above = measures()["length"] < F.col("min_length")
     for name, value in measures(forgive=True).items():
         above = above | (value > F.col(f"max_{name}"))
+    same = F.col("_lang").eqNullSafe(F.col("l_lang")) & F.col("_source").eqNullSafe(F.col("l_source"))
+    limits = cut(limits)
+    if limits.count() <= broadcast_groups:
+        limits = F.broadcast(limits)
+    else:
+        scored = scored.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "n_words", "word_chars"), F.lit(salts)))
+        limits = limits.withColumn("l_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        same = same & (F.col("_salt") == F.col("l_salt"))
     return (
-        scored.join(limits, F.col("_lang").eqNullSafe(F.col("l_lang")) & F.col("_source").eqNullSafe(F.col("l_source")), "left")
+        scored.join(limits, same, "left")
         .withColumn("kept", ~F.col("base_failed") & ~F.coalesce(above, F.lit(False)))
         .select(
             "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
