@@ -24,6 +24,25 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def with_copies(df: DataFrame, *, many: int = 8192, broadcast_rows: int = 10_000) -> DataFrame:
+    """df with copy (long): 0, but for rows that occur over ``many`` times, whose copies are numbered by the ``many``.
+
+    Equal rows cannot be told apart, so they are counted and made anew, ``many`` to a task: the numbers depend on no
+    order, and a hash of a row and its copy deals out a row that a third of all rows equal.
+    """
+    names = df.columns
+    often = cut(df.groupBy(*names).agg(F.count("*").alias("_n")).where(F.col("_n") > many))
+    found = often.count()
+    if not found:
+        return df.withColumn("copy", F.lit(0).cast("long"))
+    keys = often.select(*[F.col(n).alias(f"_k_{n}") for n in names])
+    same = [F.col(n).eqNullSafe(F.col(f"_k_{n}")) for n in names]
+    others = df.join(F.broadcast(keys) if found <= broadcast_rows else keys, same, "left_anti").withColumn("copy", F.lit(0).cast("long"))
+    parts = often.withColumn("copy", F.explode(F.sequence(F.lit(0), F.expr(f"(_n - 1) div {many}")))).repartition(F.xxhash64(*names, "copy"))
+    made = parts.withColumn("_one", F.explode(F.sequence(F.lit(1), F.least(F.lit(many), F.col("_n") - F.col("copy") * many).cast("int"))))
+    return others.unionByName(made.select(*names, F.col("copy").cast("long").alias("copy")))
+
+
 def words_of(text: Column) -> Column:
     """The words `[^\\x20\\x09-\\x0D]+` of a text as an array; empty for null or blank texts."""
     trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACES))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hazeloom.llm.common import cut, n_words_of
+from hazeloom.llm.common import cut, n_words_of, with_copies
 
 #: Golden-ratio steps on a circle of 2^31 points: the i-th point is i * STEP mod RING, in whole numbers.
 RING, STEP = 2**31, 1_327_217_885
@@ -121,13 +121,15 @@ def mix_sources(
     block_words: int = 1024,
     buckets: int = 1024,
     seed: int = 17,
+    copies_together: int = 8192,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(sized, sources, parts): the documents' sizes, the sources' targets and the mix itself.
 
     parts has a row per document and slot that takes words from it: doc_id, source, start
     (the document's place in its source), slot, lo, hi (the words taken, from 0).
 
-    Each source's documents are shuffled by a seeded hash of their id and laid end to end;
+    Each source's documents are shuffled by a seeded hash of their id and size (and a copy's number, where
+    over ``copies_together`` rows are equal) and laid end to end;
     every ``block_words`` words are a block, and slots of the schedule take blocks. The
     places are running sums within (source, hash bucket) plus the sums of the buckets
     before, so a source with a third of all rows is spread over ``buckets`` groups.
@@ -138,7 +140,8 @@ def mix_sources(
     """
     sized = cut(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words_of(F.col(text_col)).alias("size")))
     sources = cut(source_targets(sized, weights=weights, max_repeat=max_repeat))
-    place = sized.where("size > 0").withColumn("order", F.xxhash64(F.lit(seed), F.col("doc_id"))).withColumn("bucket", F.pmod("order", F.lit(buckets)))
+    place = with_copies(sized.where("size > 0"), many=copies_together)
+    place = place.withColumn("order", F.xxhash64(F.lit(seed), "doc_id", "size", "copy")).withColumn("bucket", F.pmod("order", F.lit(buckets)))
     before = Window.partitionBy("b_source").orderBy("b_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         place.groupBy(F.col("source").alias("b_source"), F.col("bucket").alias("b_bucket"))
@@ -182,6 +185,8 @@ def words_taken(sized: DataFrame, sources: DataFrame, parts: DataFrame) -> DataF
         .select("doc_id", "source", "size", F.explode(F.array_repeat(F.lit(0).cast("long"), F.col("missing"))).alias("taken"))
     )
     target = sources.select(F.col("source").alias("t_source"), "source_size", "target")
+    if target.count() <= 10_000:
+        target = F.broadcast(target)
     return taken.unionByName(rest).join(target, F.col("source").eqNullSafe(F.col("t_source"))).select("doc_id", "source", "size", "source_size", "target", "taken")
 
 

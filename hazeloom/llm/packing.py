@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hazeloom.llm.common import cut
+from hazeloom.llm.common import cut, with_copies
 
 #: Words kept with their ids in a task; beyond that the table starts anew.
 CACHE_WORDS = 500_000
@@ -176,9 +176,9 @@ def pack(
 ) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids with keep_ids), a row per piece.
 
-    Pieces are dealt by a hash of (doc_id, piece, crc) to as many shards as hold about
-    ``shard_pieces`` each, and each shard is packed by itself: a task never holds more, and a
-    shard wastes at most about one part-filled sequence. sequence_id = shard * 2^32 + bin.
+    Pieces are dealt by a hash of (doc_id, piece, crc, and a copy's number where an eighth of a shard
+    or more rows are equal) to as many shards as hold about ``shard_pieces`` each, and each shard is
+    packed by itself: a task never holds more, and a shard wastes at most about one part-filled sequence. sequence_id = shard * 2^32 + bin.
 
     Null or blank texts are one end id. Repeated rows and ids are packed each for itself.
     Equal lengths go by (doc_id, piece), so that reruns agree. Empty tables give no rows;
@@ -196,6 +196,7 @@ def pack(
         return out.select(placed.names).cast(placed)
 
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
-    dealt = pieces.select(*names, F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(shards)).cast("int").alias("shard"), *["ids"] * keep_ids)
+    copies = with_copies(pieces.select(*names, *["ids"] * keep_ids), many=max(1, shard_pieces // 8))
+    dealt = copies.select(*names, F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "copy"), F.lit(shards)).cast("int").alias("shard"), *["ids"] * keep_ids)
     kind = "doc_id long, piece int, start long, length long, ids_crc32 long, shard int, sequence_id long, offset long" + ", ids binary" * keep_ids
     return dealt.groupBy("shard").applyInArrow(run, kind).drop("shard")

@@ -1,4 +1,4 @@
-from hazeloom.llm.mixing import mix_sources, mixed_documents, slot_schedule, source_targets, words_taken
+from hazeloom.llm.mixing import RING, STEP, mix_sources, mixed_documents, slot_schedule, source_targets, words_taken
 
 
 def fill(sizes, weights, most):
@@ -60,3 +60,48 @@ def test_mixed_documents(spark):
     n = {s: sum(r.source == s for r in got.collect()) for s in ("a", "b", None)}
     assert n[None] == 3 and 18 <= n["a"] <= 21 and 38 <= n["b"] <= 41
     assert mixed_documents(docs.limit(0)).count() == 0
+
+
+def test_schedule_slot_by_slot(spark):
+    """Points of the golden ratio, arcs, ranks and blocks dealt one by one in plain lines."""
+    sizes, targets = {"a": 700, "b": 90, None: 400}, {"a": 500.0, "b": 270.0, None: 420.0}
+    sources = spark.createDataFrame([(s, sizes[s], targets[s]) for s in sizes], "source string, source_size long, target double")
+    got = sorted((tuple(r) for r in slot_schedule(sources, block_words=16).select("slot", "source", "epoch", "block", "words").collect()), key=str)
+    names = sorted(s for s in sizes if s) + [None]
+    ends, total = {}, 0.0
+    goal = {s: int(g) for s, g in targets.items()}
+    blocks = {s: -(-sizes[s] // 16) for s in names}
+    need = {s: goal[s] // sizes[s] * blocks[s] + -(-(goal[s] % sizes[s]) // 16) for s in names}
+    for s in names:
+        low = total
+        total += targets[s]
+        ends[s] = (int(low / sum(targets.values()) * RING), int(total / sum(targets.values()) * RING))
+    slots, ranks, want = sum(need.values()), dict.fromkeys(names, 0), []
+
+    def deal(slot, s):
+        k, ranks[s] = ranks[s], ranks[s] + 1
+        if k < need[s]:
+            epoch, block = divmod(k, blocks[s])
+            want.append((slot, s, epoch, block, min(16, sizes[s] - block * 16, goal[s] - epoch * sizes[s] - block * 16)))
+
+    for slot in range(slots):
+        point = slot * STEP % RING
+        deal(slot, next(s for s in names if ends[s][0] <= point < ends[s][1]))
+    for s in names:
+        while ranks[s] < need[s]:
+            deal(slots, s)
+    assert got == sorted(want, key=str)
+
+
+def test_equal_rows_and_many_sources(spark):
+    rows = [(None, "w " * 7, "hot")] * 900 + [(i, "w " * (i % 20), f"s{i % 400}") for i in range(1600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    options = {"block_words": 16, "buckets": 64, "copies_together": 10}
+    got = words_taken(*mix_sources(docs, **options)).collect()
+    assert len(got) == len(rows) and all(0 <= r.taken <= 3 * r.size for r in got)
+    taken = {}
+    for r in got:
+        taken.setdefault(r.source, [r.target, 0])[1] += r.taken
+    assert len(taken) == 401 and all(abs(a - b) <= 1 for a, b in taken.values())
+    again = words_taken(*mix_sources(docs.repartition(7), **options)).collect()
+    assert sorted(map(str, got)) == sorted(map(str, again))

@@ -76,3 +76,14 @@ def test_every_plain_character_as_the_library():
     rng = random.Random(6)
     for t in plain + ["".join(rng.choice(plain) for _ in range(rng.randrange(1, 12))) for _ in range(6000)] + ["don'tell", "'S'LL", "<|ENDOFTEXT|>", "x<|endoftext|>'s"]:
         assert np.frombuffer(own.ids(t.encode()), "<u4").tolist() == library.encode(t, add_special_tokens=False).ids, repr(t)
+
+
+def test_equal_rows_are_dealt_to_many_shards(spark):
+    rows = [(7, "same text in a third of the rows")] * 1500 + [(None, "thee")] * 300 + [(i, "a nd " * (i % 50)) for i in range(2500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = pack(docs, PATH, shard_pieces=100).collect()
+    shards = {}
+    for r in got:
+        shards[r.sequence_id >> 32] = shards.get(r.sequence_id >> 32, 0) + 1
+    assert len(got) == len(rows) and len(shards) == 43 and max(shards.values()) < 300
+    assert sorted(map(str, got)) == sorted(map(str, pack(docs.repartition(2), PATH, shard_pieces=100).collect()))
