@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hazeloom.operators.scans import carried
+from hazeloom.operators.summary import PARTS, in_tied_ranges
+
 
 def calendar_spine(df: DataFrame, *, unit: str = "unit", day: str = "day") -> DataFrame:
     """Every unit with every day between the table's first and last, and whether it was reported.
@@ -32,30 +35,25 @@ def event_window(events: DataFrame, first: int, last: int, *, unit: str = "unit"
     return events.withColumn("rel", F.explode(F.sequence(F.lit(first), F.lit(last)))).withColumn(day, F.date_add(day, F.col("rel")))
 
 
-def as_of(left: DataFrame, right: DataFrame, *, by: str, at: str, value: str) -> DataFrame:
-    """left with the latest value of right at or before ``at``: a union and one window, no range join."""
-    both = left.withColumn("_v", F.lit(None).cast(right.schema[value].dataType)).withColumn("_left", F.lit(1)).unionByName(
-        right.select(by, at, F.col(value).alias("_v")).withColumn("_left", F.lit(0)), allowMissingColumns=True
-    )
-    w = Window.partitionBy(by).orderBy(at, "_left").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn(value, F.last("_v", ignorenulls=True).over(w)).where("_left = 1").drop("_v", "_left")
-
-
 def nearest_controls(events: DataFrame, controls: DataFrame, *, by: str, key: str, value: str, k: int) -> DataFrame:
     """event, control, k: the k controls of the same group whose value is nearest (ties to the smaller key).
 
-    Controls are numbered upwards and downwards by value within the group, and an event meets only
-    the k that follow its own place in either order, so no group's pairs are formed.
+    Controls are numbered upwards and downwards by value within the group, range of values by range, and an event meets
+    only the k that follow its own place in either order, so no group's pairs are formed and no task holds a group.
     """
     both = controls.select(by, key, value, F.lit(1).alias("_c")).unionByName(events.select(by, key, value, F.lit(0).alias("_c")))
-    numbered = None
-    for up in (True, False):
-        order = F.col(value).asc() if up else F.col(value).desc()
-        # Upwards an event stands before the controls of its own value, downwards behind them.
-        tie = F.col("_c").asc() if up else F.col("_c").desc()
-        n = F.sum("_c").over(Window.partitionBy(by).orderBy(order, tie, key).rowsBetween(Window.unboundedPreceding, 0))
-        part = both.withColumn("_n", n).withColumn("_up", F.lit(up))
-        numbered = part if numbered is None else numbered.unionByName(part)
+    both, numbered = in_tied_ranges(both, value, key, "_range"), None
+    base, part = F.floor(F.col("_range") / PARTS) * PARTS, F.pmod("_range", F.lit(PARTS))
+    half, one = F.lit(PARTS // 2), F.col("_c") == 1
+    # A hot value's parts by key lie above its range's other values; upwards its events come first, downwards its controls.
+    chunks = {
+        True: base + F.when(part == 0, 0).otherwise(part + F.when(one, half).otherwise(0)),
+        False: -base + F.when(part == 0, PARTS - 1).otherwise(part + F.when(one, 0).otherwise(half)),
+    }
+    for up, chunk in chunks.items():
+        order = [F.col(value).asc(), F.col("_c").asc(), key] if up else [F.col(value).desc(), F.col("_c").desc(), key]
+        counted = carried(both, unit=by, order=order, chunk=chunk, sums={"_n": F.col("_c")}).withColumn("_up", F.lit(up))
+        numbered = counted if numbered is None else numbered.unionByName(counted)
     held = numbered.where("_c = 1").select(by, "_up", "_n", F.col(key).alias("control"), F.col(value).alias("_y"))
     asked = numbered.where("_c = 0").select(by, "_up", F.explode(F.sequence(F.col("_n") + 1, F.col("_n") + k)).alias("_n"), F.col(key).alias("event"), F.col(value).alias("_x"))
     place = F.row_number().over(Window.partitionBy("event").orderBy(F.abs(F.col("_x") - F.col("_y")), "control"))

@@ -45,31 +45,6 @@ def with_doy(df: DataFrame, by_doy: DataFrame, *, unit: str = "unit", day: str =
     return df.withColumn("doy", clipped_doy(F.col(day))).join(by_doy, [unit, "doy"], "left")
 
 
-def runs(df: DataFrame, *, unit: str = "unit", day: str = "day", flag: str = "flag") -> DataFrame:
-    """Flagged rows with run (its first day) and run_days; days of a run follow one another in the calendar."""
-    order = Window.partitionBy(unit).orderBy(day)
-    flagged = df.where(F.col(flag)).withColumn("_island", F.date_sub(day, F.row_number().over(order)))
-    island = Window.partitionBy(unit, "_island")
-    return flagged.withColumn("run", F.min(day).over(island)).withColumn("run_days", F.count("*").over(island)).drop("_island")
-
-
-def persistent(df: DataFrame, k: int, **names: str) -> DataFrame:
-    """Only days in runs of at least k flagged days."""
-    return runs(df, **names).where(F.col("run_days") >= k)
-
-
-def run_table(df: DataFrame, *, unit: str = "unit", day: str = "day", flag: str = "flag") -> DataFrame:
-    """A row per run: unit, run (first day), last, run_days."""
-    return runs(df, unit=unit, day=day, flag=flag).groupBy(unit, "run").agg(F.max(day).alias("last"), F.count("*").alias("run_days"))
-
-
-def onsets(df: DataFrame, gap: int, *, unit: str = "unit", day: str = "day", flag: str = "flag") -> DataFrame:
-    """Flagged rows with event, a number per unit that rises where more than ``gap`` days lie before a flagged day."""
-    order = Window.partitionBy(unit).orderBy(day)
-    new = F.when(F.datediff(day, F.lag(day).over(order)) <= gap, 0).otherwise(1)
-    return df.where(F.col(flag)).withColumn("_new", new).withColumn("event", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
-
-
 def days_number(day: str | Column) -> Column:
     return F.datediff(day, F.lit("1970-01-01").cast("date"))
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from hazeloom.operators import calibration as cal
 from hazeloom.operators import panels as pn
+from hazeloom.operators import scans as sc
 from hazeloom.operators import spatial as sp
 from hazeloom.operators import statistics as st
 from hazeloom.operators import timeseries as ts
@@ -80,7 +81,7 @@ def w34(spark, sf_dir):
     share = p.groupBy("t").agg(F.avg(F.coalesce(F.expr(BLOCKED), F.lit(False)).cast("int")).alias("share"))
     no = (F.year("t") * 12 + F.month("t")).cast("int")
     flags = share.select(F.lit(0).alias("sector"), "t", F.date_add(F.lit("1900-01-01").cast("date"), no).alias("day"), (F.col("share") >= 0.2).alias("flag"))  # months numbered as days
-    return ts.persistent(flags, 2, unit="sector").select(F.date_format("t", "yyyy-MM-dd").alias("day"), F.col("run_days").alias("run"))
+    return sc.persistent(flags, 2, unit="sector").select(F.date_format("t", "yyyy-MM-dd").alias("day"), F.col("run_days").alias("run"))
 
 
 C5_POINTS = "[" + ", ".join(map(repr, cal.quantile_points(28))) + "]"

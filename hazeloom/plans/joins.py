@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from hazeloom.functions.physics import quadrant
 from hazeloom.operators import matching as mt
+from hazeloom.operators import scans as sc
 from hazeloom.operators import spatial as sp
 from hazeloom.operators import timeseries as ts
 from hazeloom.plans.registry import register
@@ -244,7 +245,7 @@ def j26(spark, sf_dir):
 def j27(spark, sf_dir):
     right = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("unit"), F.col("o_orderdate").alias("at")).agg(F.max("o_totalprice").alias("price"))
     left = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_suppkey").alias("unit"), F.col("l_shipdate").alias("at"))
-    return mt.as_of(left, right, by="unit", at="at", value="price").select("l_orderkey", "l_linenumber", "unit", "price")
+    return sc.as_of(left, right, by="unit", at="at", value="price").select("l_orderkey", "l_linenumber", "unit", "price")
 
 
 @register("P1_code_normalisation", "SELECT c_custkey, lpad(CAST(c_custkey AS VARCHAR), 5, '0') AS fips, substring(lpad(CAST(c_custkey AS VARCHAR), 5, '0'), 1, 2) AS state FROM customer")
@@ -389,7 +390,7 @@ def p25(spark, sf_dir):
 
 @register("W22_pre_event_baseline", f"WITH {ONSET}, e AS (SELECT unit, event, min(day) AS a0 FROM ev GROUP BY 1, 2), p AS (SELECT e.unit, event, d.day - e.a0 AS rel, v FROM e JOIN daily d ON d.unit = e.unit AND d.day BETWEEN e.a0 - 14 AND e.a0 + 7) SELECT unit, event::BIGINT AS event, round(avg(v) FILTER (rel BETWEEN 0 AND 7) / avg(v) FILTER (rel BETWEEN -14 AND -5) - 1, 7) AS change FROM p GROUP BY 1, 2")
 def w22(spark, sf_dir):
-    e = ts.onsets(flagged(spark, sf_dir), 2).groupBy("unit", "event").agg(F.min("day").alias("day"))
+    e = sc.onsets(flagged(spark, sf_dir), 2).groupBy("unit", "event").agg(F.min("day").alias("day"))
     p = mt.event_window(e, -14, 7).join(daily(spark, sf_dir), ["unit", "day"])
     mean = lambda a, b: F.avg(F.when(F.col("rel").between(a, b), F.col("v")))
     return p.groupBy("unit", "event").agg(F.round(mean(0, 7) / mean(-14, -5) - 1, 7).alias("change"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from hazeloom.operators import scans as sc
 from hazeloom.operators import summary as sm
 from hazeloom.operators import timeseries as ts
 from hazeloom.plans.registry import register
@@ -66,12 +67,12 @@ def w3(spark, sf_dir):
 
 @register("W4_persistence", f"WITH {FLAGGED} SELECT unit, strftime(day, '%Y-%m-%d') AS day, run_days::BIGINT AS run_days FROM islands WHERE run_days >= 2")
 def w4(spark, sf_dir):
-    return ts.persistent(flagged(spark, sf_dir), 2).select("unit", text_day(), "run_days")
+    return sc.persistent(flagged(spark, sf_dir), 2).select("unit", text_day(), "run_days")
 
 
 @register("W5_spell_then_season", f"WITH {FLAGGED} SELECT unit, strftime(day, '%Y-%m-%d') AS day FROM islands WHERE run_days >= 2 AND month(day) IN (12, 1, 2)")
 def w5(spark, sf_dir):
-    return ts.persistent(flagged(spark, sf_dir), 2).where(F.month("day").isin(12, 1, 2)).select("unit", text_day())
+    return sc.persistent(flagged(spark, sf_dir), 2).where(F.month("day").isin(12, 1, 2)).select("unit", text_day())
 
 
 @register("W6_deficit", f"WITH {DAILY}, {SPREAD}, {CLIM} SELECT d.unit, year(day)::BIGINT AS yr, count(*)::BIGINT AS days FROM daily d JOIN clim c ON d.unit = c.unit AND {DOY} = c.doy WHERE v < 0.5 * clim GROUP BY 1, 2")
@@ -93,7 +94,7 @@ def w7(spark, sf_dir):
 
 @register("W8_longest_run", f"WITH {FLAGGED} SELECT unit, year(run)::BIGINT AS yr, max(run_days)::BIGINT AS longest FROM islands GROUP BY 1, 2")
 def w8(spark, sf_dir):
-    return ts.run_table(flagged(spark, sf_dir)).groupBy("unit", F.year("run").cast("long").alias("yr")).agg(F.max("run_days").alias("longest"))
+    return sc.run_table(flagged(spark, sf_dir)).groupBy("unit", F.year("run").cast("long").alias("yr")).agg(F.max("run_days").alias("longest"))
 
 
 @register("W9_return_levels", f"WITH {DAILY}, tops AS (SELECT unit, year(day) AS yr, max(v) AS top FROM daily GROUP BY 1, 2) SELECT unit, round(quantile_cont(top, 0.5), 3) AS median, round(quantile_cont(top, 0.9), 3) AS p90, count(*)::BIGINT AS years FROM tops GROUP BY 1")
@@ -114,7 +115,7 @@ def w9b(spark, sf_dir):
 
 @register("W10_event_objects", f"WITH {FLAGGED} SELECT unit, strftime(run, '%Y-%m-%d') AS run, count(*)::BIGINT AS duration, max(v) - 40 AS depth FROM islands GROUP BY unit, run")
 def w10(spark, sf_dir):
-    return ts.runs(flagged(spark, sf_dir)).groupBy("unit", "run").agg(F.count("*").alias("duration"), (F.max("v") - 40).alias("depth")).select("unit", text_day("run"), "duration", "depth")
+    return sc.runs(flagged(spark, sf_dir)).groupBy("unit", "run").agg(F.count("*").alias("duration"), (F.max("v") - 40).alias("depth")).select("unit", text_day("run"), "duration", "depth")
 
 
 ONSET = FLAGGED + ", lagged AS (SELECT *, CASE WHEN day - lag(day) OVER (PARTITION BY unit ORDER BY day) <= 2 THEN 0 ELSE 1 END AS new FROM flags WHERE flag), ev AS (SELECT *, sum(new) OVER (PARTITION BY unit ORDER BY day) AS event FROM lagged)"
@@ -122,7 +123,7 @@ ONSET = FLAGGED + ", lagged AS (SELECT *, CASE WHEN day - lag(day) OVER (PARTITI
 
 @register("W11_onsets", f"WITH {ONSET} SELECT unit, event::BIGINT AS event, strftime(min(day), '%Y-%m-%d') AS first, strftime(max(day), '%Y-%m-%d') AS last, count(*)::BIGINT AS days FROM ev GROUP BY 1, 2")
 def w11(spark, sf_dir):
-    e = ts.onsets(flagged(spark, sf_dir), 2).groupBy("unit", "event").agg(F.min("day").alias("first"), F.max("day").alias("last"), F.count("*").alias("days"))
+    e = sc.onsets(flagged(spark, sf_dir), 2).groupBy("unit", "event").agg(F.min("day").alias("first"), F.max("day").alias("last"), F.count("*").alias("days"))
     return e.select("unit", "event", text_day("first"), text_day("last"), "days")
 
 
@@ -131,7 +132,7 @@ def w11(spark, sf_dir):
     f"WITH {ONSET}, e AS (SELECT unit, event, min(day) AS a, max(day) AS b FROM ev GROUP BY 1, 2), g AS (SELECT *, a - lag(b) OVER (PARTITION BY unit ORDER BY a) AS before, lead(a) OVER (PARTITION BY unit ORDER BY a) - b AS after FROM e) SELECT unit, event::BIGINT AS event FROM g WHERE coalesce(before, 999) > 5 AND coalesce(after, 999) > 5",
 )
 def w12(spark, sf_dir):
-    e = ts.onsets(flagged(spark, sf_dir), 2).groupBy("unit", "event").agg(F.min("day").alias("a"), F.max("day").alias("b"))
+    e = sc.onsets(flagged(spark, sf_dir), 2).groupBy("unit", "event").agg(F.min("day").alias("a"), F.max("day").alias("b"))
     w = Window.partitionBy("unit").orderBy("a")
     gaps = e.withColumn("before", F.datediff("a", F.lag("b").over(w))).withColumn("after", F.datediff(F.lead("a").over(w), "b"))
     return gaps.where("coalesce(before, 999) > 5 AND coalesce(after, 999) > 5").select("unit", "event")
@@ -196,7 +197,7 @@ def w19(spark, sf_dir):
     d = daily(spark, sf_dir)
     q = d.groupBy("unit").agg(F.percentile("v", F.lit(0.6)).alias("lo"), F.percentile("price", F.lit(0.4)).alias("hi"))
     f = d.join(q, "unit").withColumn("flag", F.expr("v < lo AND price > hi"))
-    return ts.run_table(f.select("unit", "day", "flag")).groupBy("unit").agg(F.max("run_days").alias("longest"))
+    return sc.run_table(f.select("unit", "day", "flag")).groupBy("unit").agg(F.max("run_days").alias("longest"))
 
 
 @register("W20_lags_and_leads", f"WITH {DAILY} SELECT unit, strftime(day, '%Y-%m-%d') AS day, lag(v, 2) OVER w AS v_m2, v AS v_0, lead(v, 2) OVER w AS v_p2 FROM daily WINDOW w AS (PARTITION BY unit ORDER BY day)")
@@ -221,7 +222,7 @@ def w23(spark, sf_dir):
     hours = F.expr("cast((unix_timestamp(date_trunc('hour', cast(ts as timestamp))) - unix_timestamp(timestamp'2024-01-01')) / 3600 as long)")
     e = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("unit"), hours.alias("h")).agg(F.avg("value").alias("v"))
     spine = e.groupBy("unit").agg(F.min("h").alias("a"), F.max("h").alias("b")).select("unit", F.explode(F.sequence("a", "b")).alias("h"))
-    filled = spine.join(e, ["unit", "h"], "left").withColumn("x", ts.interpolated("v", "h"))
+    filled = sc.interpolated(spine.join(e, ["unit", "h"], "left"), "v", "x", at="h")
     return filled.groupBy("unit", F.expr("h div 24").alias("day_no")).agg(F.round(F.sum("x"), 5).alias("total"))
 
 
@@ -234,7 +235,7 @@ def w26(spark, sf_dir):
 @register("W27_gap_fill", f"WITH {DAILY}, g AS (SELECT unit, day, CASE WHEN day(day) % 5 = 0 THEN NULL ELSE v END AS x FROM daily) SELECT unit, strftime(day, '%Y-%m-%d') AS day, coalesce(last_value(x IGNORE NULLS) OVER (PARTITION BY unit ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), first_value(x IGNORE NULLS) OVER (PARTITION BY unit ORDER BY day ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS x FROM g")
 def w27(spark, sf_dir):
     g = daily(spark, sf_dir).withColumn("x", F.expr("CASE WHEN day(day) % 5 = 0 THEN NULL ELSE v END"))
-    return g.select("unit", text_day(), ts.fill_both_ways("x").alias("x"))
+    return sc.filled_both_ways(g.select("unit", "day", "x"), "x").select("unit", text_day(), "x")
 
 
 @register("W28_standardise_in_source", f"WITH {DAILY} SELECT unit, strftime(day, '%Y-%m-%d') AS day, round((v - avg(v) OVER w) / stddev_samp(v) OVER w, 4) AS z FROM daily WINDOW w AS (PARTITION BY unit)")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from hazeloom.operators import panels as pn
 from hazeloom.operators import resampling as rs
+from hazeloom.operators import scans as sc
 from hazeloom.operators import statistics as st
 from hazeloom.operators import summary as sm
 from hazeloom.operators import timeseries as ts
@@ -142,7 +143,7 @@ WELCH_DF = "pow(s1 + s0, 2) / (s1 * s1 / (n1 - 1) + s0 * s0 / (n0 - 1))"
 def t7(spark, sf_dir):
     """Each run of flagged days is one observation, its mean; against all other days; units with three runs at least."""
     d = flagged(spark, sf_dir)
-    a = ts.runs(d).groupBy("unit", "run").agg(F.avg("price").alias("x")).groupBy("unit").agg(F.avg("x").alias("m1"), F.count("*").alias("n1"), (F.var_samp("x") / F.count("*")).alias("s1"))
+    a = sc.runs(d).groupBy("unit", "run").agg(F.avg("price").alias("x")).groupBy("unit").agg(F.avg("x").alias("m1"), F.count("*").alias("n1"), (F.var_samp("x") / F.count("*")).alias("s1"))
     b = d.where("NOT flag").groupBy("unit").agg(F.avg("price").alias("m0"), F.count("*").alias("n0"), (F.var_samp("price") / F.count("*")).alias("s0"))
     t = a.where("n1 >= 3").join(b, "unit").select("unit", "n1", F.expr("(m1 - m0) / sqrt(s1 + s0)").alias("t"), F.expr(WELCH_DF).alias("df"))
     return t.select("unit", F.col("n1").alias("spells"), F.round("t", 5).alias("t"), F.round(st.t_tail(F.col("t"), F.col("df")), 6).alias("p"))

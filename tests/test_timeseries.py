@@ -9,6 +9,7 @@ from hazeloom.operators import matching as mt
 from hazeloom.operators import spatial as sp
 from hazeloom.operators import statistics as st
 from hazeloom.operators import summary as sm
+from hazeloom.operators import scans as sc
 from hazeloom.operators import timeseries as ts
 
 
@@ -19,14 +20,14 @@ def days(spark, flags, start="2020-12-28", unit=1):
 
 def test_runs_of_exactly_k_and_across_the_year(spark):
     df = days(spark, [True, True, False, True, True, True, None, True])
-    assert [r.run_days for r in ts.runs(df).orderBy("day").collect()] == [2, 2, 3, 3, 3, 1]
-    assert ts.persistent(df, 3).count() == 3 and ts.persistent(df, 4).count() == 0
-    assert ts.persistent(df, 3).agg(F.min("day")).first()[0] == dt.date(2020, 12, 31)
+    assert [r.run_days for r in sc.runs(df).orderBy("day").collect()] == [2, 2, 3, 3, 3, 1]
+    assert sc.persistent(df, 3).count() == 3 and sc.persistent(df, 4).count() == 0
+    assert sc.persistent(df, 3).agg(F.min("day")).first()[0] == dt.date(2020, 12, 31)
 
 
 def test_onsets_merge_gaps_of_two_days(spark):
     df = days(spark, [True, False, True, False, False, True, False, False, False, True])
-    assert [r.event for r in ts.onsets(df, 2).orderBy("day").collect()] == [1, 1, 2, 3]
+    assert [r.event for r in sc.onsets(df, 2).orderBy("day").collect()] == [1, 1, 2, 3]
 
 
 def test_day_of_year_window_wraps_and_clips(spark):
