@@ -43,6 +43,21 @@ def with_copies(df: DataFrame, *, many: int = 8192, broadcast_rows: int = 10_000
     return others.unionByName(made.select(*names, F.col("copy").cast("long").alias("copy")))
 
 
+def join_by_count(left: DataFrame, right: DataFrame, keys: dict[str, str], rows: str, *, how: str = "inner", many: int = 100_000, broadcast_rows: int = 500_000) -> DataFrame:
+    """left joined (inner or left) to right, which has one row a key and, as ``rows``, how many rows of left have it.
+
+    Keys of over ``many`` rows, of which there are few, are broadcast (up to ``broadcast_rows``), so that their rows
+    stay where they are; all others are shuffled. Both tables are read twice, and should be cut. Null keys match nothing.
+    """
+    on = [F.col(a) == F.col(b) for a, b in keys.items()]
+    hot = right.where(F.col(rows) > many)
+    if not 0 < hot.count() <= broadcast_rows:
+        return left.join(right, on, how)
+    names = F.broadcast(hot.select(*keys.values()))
+    there = left.join(F.broadcast(hot), on, "inner")
+    return there.unionByName(left.join(names, on, "left_anti").join(right.where(F.col(rows) <= many), on, how))
+
+
 def words_of(text: Column) -> Column:
     """The words `[^\\x20\\x09-\\x0D]+` of a text as an array; empty for null or blank texts."""
     trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACES))
