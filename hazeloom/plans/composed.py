@@ -7,6 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from hazeloom.operators import calibration as cal
+from hazeloom.operators import isotonic as iso
 from hazeloom.operators import panels as pn
 from hazeloom.operators import scans as sc
 from hazeloom.operators import spatial as sp
@@ -106,14 +107,17 @@ def c5(spark, sf_dir):
     return fixed.select("l_orderkey", "l_linenumber", "l_partkey", F.round(F.col("mapped") * F.cos("angle"), 4).alias("u"), F.round(F.col("mapped") * F.sin("angle"), 4).alias("v"))
 
 
-@register("C19_monotone_dose")
+@register(
+    "C19_monotone_dose",
+    """WITH bands AS (SELECT l_quantity AS x, sum(l_discount) AS t, count(*) AS w FROM lineitem GROUP BY 1),
+    upto AS (SELECT x, sum(t) OVER o AS t, sum(w) OVER o AS w, t AS own_t, w AS own_w FROM bands WINDOW o AS (ORDER BY x)),
+    means AS (SELECT a.x AS a, b.x AS b, (b.t - a.t + a.own_t) / (b.w - a.w + a.own_w) AS m FROM upto a JOIN upto b ON a.x <= b.x),
+    least AS (SELECT x, a, min(m) AS m FROM bands JOIN means ON a <= x AND b >= x GROUP BY ALL)
+    SELECT x, round(max(m), 6) AS dose FROM least GROUP BY x""",
+)
 def c19(spark, sf_dir):
-    """Pool-adjacent-violators over price by quantity bands."""
-    from pyspark.ml.regression import IsotonicRegression
-
-    bands = table(spark, sf_dir, "lineitem").groupBy(F.col("l_quantity").alias("x")).agg(F.avg("l_discount").alias("label"), F.count("*").cast("double").alias("weight"))
-    model = IsotonicRegression(featuresCol="x", labelCol="label", weightCol="weight").fit(bands)
-    return model.transform(bands).select("x", F.round("prediction", 6).alias("dose"))
+    """The rising profile of discounts by quantity."""
+    return iso.monotone_profile(table(spark, sf_dir, "lineitem"), "l_quantity", "l_discount").select("x", F.round("dose", 6).alias("dose"))
 
 
 @register("C24_site_union_and_template", f"WITH {PAIRS}, m AS (SELECT l_id, arg_min(r_id, (dist, r_id)) AS r_id FROM pairs WHERE dist <= 1500 GROUP BY 1), u AS (SELECT DISTINCT round(lat1, 6) AS lat, round(lon1, 6) AS lon, min(l_id) OVER (PARTITION BY round(lat1, 6), round(lon1, 6)) AS l_id FROM pairs) SELECT u.l_id, r_id FROM u JOIN m ON u.l_id = m.l_id")

@@ -72,7 +72,7 @@ def s9(spark, sf_dir):
     path = fl.scratch(spark, "records")
     per = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.sort_array(F.collect_list("o_orderkey")).alias("keys"))  # a customer's orders make a block
     per.select(F.concat(F.lit("H,"), F.col("o_custkey").cast("string"), F.lit("\n"), F.array_join("keys", "\n")).alias("value")).write.text(path)
-    detail = fl.carried_header(fl.numbered_lines(spark, path), F.col("line").startswith("H,"))
+    detail = fl.carried_header(fl.split_lines(spark, path), F.col("line").startswith("H,"))
     return detail.select(F.split("header", ",")[1].cast("long").alias("o_custkey"), F.col("line").cast("long").alias("o_orderkey"))
 
 
@@ -81,7 +81,7 @@ def s6(spark, sf_dir):
     path = fl.scratch(spark, "header")
     rows = table(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.array_join(F.sort_array(F.collect_list(F.concat_ws(",", "s_suppkey", "s_acctbal"))), "\n").alias("body"))
     rows.select(F.concat(F.lit("place,zone\n"), F.col("s_nationkey").cast("string"), F.lit(",UTC\nkey,value\n"), F.col("body")).alias("value")).repartition("value").write.text(path)
-    lines = fl.numbered_lines(spark, path)
+    lines = fl.split_lines(spark, path)
     named = fl.carried_header(lines, F.col("line").endswith(",UTC"))
     data = named.where(~F.col("line").isin("place,zone", "key,value")).withColumn("f", F.split("line", ","))
     return data.select(F.split("header", ",")[0].cast("long").alias("place"), F.col("f")[0].cast("long").alias("s_suppkey"), F.col("f")[1].cast("double").alias("s_acctbal"))
@@ -127,14 +127,20 @@ def s14(spark, sf_dir):
 
 @register("S16_restamped_table", f"WITH {DAILY} SELECT unit, count(*)::BIGINT AS days FROM daily WHERE v > 60 GROUP BY 1")
 def s16(spark, sf_dir):
-    """A first version with a pending step is refused; the step's own version in a new place is read."""
-    old, new = fl.scratch(spark, "old"), fl.scratch(spark, "new")
-    fl.write_stamped(daily(spark, sf_dir).where("v > 60").select("unit", "day"), old, DEFINITION, "flags", ["count"])
+    """A first version with a pending step is refused; the step commits the next one, which is then read, and a second step from the first version loses."""
+    path = fl.scratch(spark, "versioned")
+    first = fl.commit_version(daily(spark, sf_dir).where("v > 60").select("unit", "day"), path, DEFINITION, "flags", ["count"])
     try:
-        fl.read_stamped(spark, old, DEFINITION, "flags")
+        fl.read_version(spark, path, DEFINITION, "flags")
     except ValueError:
-        fl.restamp(spark.read.parquet(f"{old}/data").groupBy("unit").agg(F.count("*").alias("days")), old, new, DEFINITION, "flags")
-    return fl.read_stamped(spark, new, DEFINITION, "flags")
+        _, folder = fl.current_version(spark, path)
+        counts = spark.read.parquet(f"{folder}/data").groupBy("unit").agg(F.count("*").alias("days"))
+        fl.commit_version(counts, path, DEFINITION, "flags", after=first)
+        try:
+            fl.commit_version(counts.limit(0), path, DEFINITION, "flags", after=first)
+        except fl.Conflict:
+            pass
+    return fl.read_version(spark, path, DEFINITION, "flags")[1]
 
 
 @register("S17_descale", "SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE / 4)), 6) AS total FROM embeddings")

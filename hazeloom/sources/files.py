@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hazeloom.session import ensure_checkpoint_dir
+from hazeloom.operators.scans import carried
+from hazeloom.session import ensure_checkpoint_dir, kept
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -26,16 +27,19 @@ def with_path_key(df: DataFrame, pattern: str, name: str, group: int = 1) -> Dat
     return df.withColumn(name, F.regexp_extract(F.col("_metadata.file_path"), pattern, group))
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """file, no, line: lines in their order within each file (read whole by file, so files are the unit of work)."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    return whole.select("file", F.posexplode(F.split(F.regexp_replace("value", "\n$", ""), "\n")).alias("no", "line"))
+def split_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, block, no, line: lines with the byte where their split of the file begins, and a number that rises within a split.
+
+    A large file is read by many tasks. The numbers are written once, so that nothing later can deal them out anew.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").alias("line"))
+    return kept(lines.select("file", "block", F.monotonically_increasing_id().alias("no"), "line"))
 
 
 def carried_header(lines: DataFrame, is_header: Column) -> DataFrame:
-    """Detail lines with the last header line before them."""
-    order = Window.partitionBy("file").orderBy("no").rowsBetween(Window.unboundedPreceding, 0)
-    return lines.withColumn("header", F.last(F.when(is_header, F.col("line")), ignorenulls=True).over(order)).where(~is_header)
+    """Detail lines of split_lines() with the last header line before them in their file, also from an earlier split."""
+    told = carried(lines, unit="file", order=["block", "no"], chunk=F.col("block"), last={"header": F.when(is_header, F.col("line"))})
+    return told.where(~is_header)
 
 
 def range_midpoint(text: Column) -> Column:
@@ -70,12 +74,62 @@ def read_stamped(spark: SparkSession, path: str, definition: dict[str, str], pro
     return spark.read.parquet(f"{path}/data")
 
 
-def restamp(df: DataFrame, old: str, new: str, definition: dict[str, str], producer: str) -> str:
-    """A later step's version in a new place with nothing pending; the old one stays until readers have moved."""
-    if old == new:
-        raise ValueError("tables are not changed in place")
-    write_stamped(df, new, definition, producer)
-    return new
+class Conflict(RuntimeError):
+    """Another writer has made the next version."""
+
+
+def _files(spark: SparkSession, path: str):
+    """(Hadoop's path class, its file system of the path)."""
+    where = spark._jvm.org.apache.hadoop.fs.Path
+    return where, where(path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def current_version(spark: SparkSession, path: str) -> tuple[int, str] | None:
+    """(number, folder) of the table's last committed version; None before the first."""
+    where, files = _files(spark, path)
+    log = where(f"{path}/_versions")
+    if not files.exists(log):
+        return None
+    numbers = [int(s.getPath().getName()) for s in files.listStatus(log) if s.getPath().getName().isdigit()]
+    if not numbers:
+        return None
+    last = max(numbers)
+    return last, f"{path}/{spark.read.text(f'{path}/_versions/{last:010d}').first()[0]}"
+
+
+def commit_version(df: DataFrame, path: str, definition: dict[str, str], producer: str, pending: tuple[str, ...] | list[str] = (), *, after: int | None = None) -> int:
+    """Writes df with its stamp as the version that follows ``after`` (None: as the first one), and returns its number.
+
+    The data go to a folder of their own, which nobody reads yet. Then a pointer with the version's number is moved in
+    place, which fails where that number is there: of two writers that began from one version, one wins and
+    the other gets Conflict. Readers take the greatest number, so they see the old table or the new one.
+    """
+    spark, number = df.sparkSession, 0 if after is None else after + 1
+    folder, pointer = f"v-{uuid.uuid4().hex}", f"_versions/{number:010d}"
+    write_stamped(df, f"{path}/{folder}", definition, producer, pending)
+    where, files = _files(spark, path)
+    made = f"{path}/{folder}/_pointer"
+    stream = files.create(where(made), False)
+    stream.write(bytearray(folder.encode()))
+    stream.close()
+    files.mkdirs(where(f"{path}/_versions"))
+    context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(where(path).toUri(), spark._jsc.hadoopConfiguration())
+    no_overwrite = spark._sc._gateway.new_array(getattr(spark._jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+    try:
+        context.rename(context.makeQualified(where(made)), context.makeQualified(where(f"{path}/{pointer}")), no_overwrite)
+    except Exception as error:
+        if "FileAlreadyExists" in str(error):
+            raise Conflict(f"{path}: version {number} is there already") from error
+        raise
+    return number
+
+
+def read_version(spark: SparkSession, path: str, definition: dict[str, str], producer: str) -> tuple[int, DataFrame]:
+    """(number, table) of the last version, if its stamp agrees (read_stamped)."""
+    found = current_version(spark, path)
+    if found is None:
+        raise ValueError(f"{path}: no version")
+    return found[0], read_stamped(spark, found[1], definition, producer)
 
 
 def gated(df: DataFrame, value: str, order: str, low: float, high: float) -> DataFrame:

@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -85,15 +86,61 @@ def test_registered_margins_are_met(spark, tmp_path):
         cal.proportional_fit(spark.createDataFrame([(1, 1, 1.0)], "i int, j int, x double"), one("r", 1.0), one("c", 2.0), sweeps=2)
 
 
-def test_monotone_dose_against_pooled_neighbours(spark, sf):
-    from hazeloom.plans import composed
+@pytest.mark.parametrize("ranges", [1, 7, 64])
+def test_monotone_dose_against_pooled_neighbours(spark, ranges):
+    from hazeloom.operators import isotonic as iso
 
-    got = {r.x: r.dose for r in composed.c19(spark, sf).collect()}
-    bands = spark.read.parquet(f"{sf}/lineitem.parquet").groupBy("l_quantity").agg(F.avg("l_discount"), F.count("*")).orderBy("l_quantity").collect()
+    rng = np.random.default_rng(ranges)
+    x = rng.integers(0, 300, 2000)
+    y, w = np.sin(x / 40) + x / 200 + rng.normal(size=2000), rng.uniform(0, 2, 2000)
+    rows = [(float(a), float(b), float(c)) for a, b, c in zip(x, y, w, strict=True)] + [(None, 1.0, 1.0), (5.0, None, 1.0), (5.0, 99.0, 0.0), (7.0, 1.0, None)]
+    got = {r.x: r.dose for r in iso.monotone_profile(spark.createDataFrame(rows, "x double, y double, w double"), "x", "y", "w", ranges=ranges).collect()}
     blocks = []
-    for x, y, w in bands:
-        blocks.append([y, w, [x]])
+    for v in np.unique(x):
+        blocks.append([np.average(y[x == v], weights=w[x == v]), w[x == v].sum(), [float(v)]])
         while len(blocks) > 1 and blocks[-2][0] >= blocks[-1][0]:
             b, a = blocks.pop(), blocks.pop()
             blocks.append([(a[0] * a[1] + b[0] * b[1]) / (a[1] + b[1]), a[1] + b[1], a[2] + b[2]])
-    assert all(abs(got[x] - y) < 1e-5 for y, _, xs in blocks for x in xs) and len(got) == len(bands)
+    assert len(got) == len(np.unique(x)) and all(abs(got[v] - m) < 1e-9 for m, _, xs in blocks for v in xs)
+
+
+def dense_poisson(p, x, pair, time, keys):
+    """(slopes, their covariance clustered by two keys) by Newton on all dummies."""
+    for _ in range(3):
+        keep = (p.groupby(pair).y.transform("sum") > 0) & (p.groupby(time).y.transform("sum") > 0)
+        p, x = p[keep].reset_index(drop=True), x[keep.to_numpy()]
+    design = np.hstack([x, dummies(pd.factorize(p[pair])[0], pd.factorize(p[time])[0])])
+    y = p.y.to_numpy(float)
+    b = np.linalg.lstsq(design, np.log(y + 0.1), rcond=None)[0]
+    for _ in range(100):
+        mu = np.exp(design @ b)
+        move = np.linalg.solve(design.T @ (mu[:, None] * design), design.T @ (y - mu))
+        b += move
+        if np.abs(move).max() < 1e-11:
+            break
+    mu = np.exp(design @ b)
+    bread = np.linalg.inv(design.T @ (mu[:, None] * design))
+    scores = pd.DataFrame(design * (y - mu)[:, None])
+    of = lambda *k: (lambda s: s.T @ s)(scores.groupby([p[c].astype(str) for c in k]).sum().to_numpy())
+    cov = bread @ (of(keys[0]) + of(keys[1]) - of(*keys)) @ bread
+    return b[: x.shape[1]], cov[: x.shape[1], : x.shape[1]]
+
+
+def test_registered_poisson_fits_against_dense_ones(spark, sf):
+    """T12 and T17 on their own tables."""
+    from hazeloom.plans import stats
+
+    p = stats.monthly(spark, sf).toPandas()
+    p["month"] = p.month.astype(str)
+    beta, cov = dense_poisson(p, p[["x"]].to_numpy(float), "unit", "month", ("unit", "month"))
+    got = stats.t12(spark, sf).first()
+    assert abs(got["beta"] - beta[0]) < 2e-5 and abs(got["se"] - np.sqrt(max(cov[0, 0], 0))) < 2e-5
+    trait = spark.read.parquet(f"{sf}/supplier.parquet").toPandas().set_index("s_suppkey").s_acctbal
+    a, b = np.percentile(trait, [100 / 3, 200 / 3])
+    z = p.unit.map(trait)
+    x = np.column_stack([p.x, p.x * (z <= a), p.x * (z > b)]).astype(float)
+    beta, cov = dense_poisson(p, x, "unit", "month", ("unit", "month"))
+    rows = {r.term: r for r in stats.t17(spark, sf).collect()}
+    assert np.allclose([rows[t].beta for t in ("x", "x_low", "x_high", "gap")], [*beta, beta[1] - beta[2]], atol=2e-5)
+    w = np.array([0, 1, -1.0])
+    assert abs(rows["gap"].se - np.sqrt(max(w @ cov @ w, 0))) < 2e-5
