@@ -177,10 +177,10 @@ def event_files(spark, sf_dir, parts=6):
     return path, "user_id long, ts timestamp, value double"
 
 
-def late_files(spark, sf_dir, parts=6):
-    """The events as files in the order they arrive in, up to two hours late, with a last row of unit -1 a day later, which closes the record."""
+def late_files(spark, sf_dir):
+    """The events as files of a million rows at most (six at least) in the order they arrive in, up to two hours late, with a last row of unit -1 a day later, which closes the record."""
     e = table(spark, sf_dir, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"), "value")
-    path = fl.scratch(spark, "late")
+    path, parts = fl.scratch(spark, "late"), max(6, e.count() // 1_000_000 + 1)
     arrived = F.unix_micros("ts") + F.pmod(F.xxhash64("user_id", "ts", "value"), F.lit(7_200_000_000))
     dealt = kept(e.withColumn("_at", arrived).repartitionByRange(parts, "_at").withColumn("_part", F.spark_partition_id()).drop("_at"))
     for k in range(parts):  # one after another, as the source takes files by their age

@@ -11,7 +11,7 @@ from typing import Any
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 
 def arrivals(spark: SparkSession, folder: str, schema: str, *, files_per_trigger: int = 4) -> DataFrame:
@@ -45,70 +45,141 @@ def enriched(stream: DataFrame, fixed: DataFrame, key: str) -> DataFrame:
     return stream.join(fixed, key, "left")
 
 
+#: Rows of a unit wait together for so many microseconds of event time.
+SLOT = 3_600_000_000
+HOUR = 3_600_000_000
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def _in_order(stream: DataFrame, unit: str, ts: str, value: str, late: str) -> DataFrame:
     at = F.col(ts).cast("timestamp")
-    marked = stream.select(F.col(unit).cast("long").alias("unit"), at.alias("_ts"), F.unix_micros(at).alias("_t"), F.col(value).cast("double").alias("_v"))
-    return marked.withWatermark("_ts", late)
+    marked = stream.select(F.col(unit).cast("long").alias("unit"), at.alias("at"), F.unix_micros(at).alias("t"), F.col(value).cast("double").alias("v"))
+    return marked.withWatermark("at", late)
 
 
-def _due(frames: Iterator[pd.DataFrame], state: GroupState, wait_t: list[int], wait_v: list[float]) -> tuple[list[tuple[int, float]], list[tuple[int, float]]]:
-    """(rows up to the watermark in time order, rows that wait): no row older than the watermark comes any more."""
-    rows = list(zip(wait_t, wait_v, strict=True))
-    if not state.hasTimedOut:
-        for frame in frames:
-            rows += zip(frame["_t"].tolist(), frame["_v"].tolist(), strict=True)
-    rows.sort()
-    limit = state.getCurrentWatermarkMs() * 1000
-    n = sum(1 for t, _ in rows if t <= limit)
-    return rows[:n], rows[n:]
+class InOrder(StatefulProcessor):
+    """A unit's rows in time order, however they come.
 
+    Rows wait in slots of event time, a state entry for each slot; a timer at the slot's end gives them to
+    ``feed`` in order and removes the entry, so a batch touches only the slots that its rows fall in. What
+    is carried from row to row is one value (``kind``). A further timer ends a unit's state ``idle_ms`` after
+    its last row has been fed, by way of ``end``, in the first batch after the watermark has passed it; a later row begins anew.
+    """
 
-def _wait(state: GroupState, rows: list[tuple[int, float]]) -> None:
-    """Wakes the unit when the watermark has passed its oldest waiting row."""
-    if rows:
-        state.setTimeoutTimestamp(max(rows[0][0] // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+    kind, columns, types = "", (), {}
+
+    def __init__(self, idle_ms: int):
+        self.idle_ms = idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getValueState("open", self.kind)
+        self.waiting = handle.getMapState("waiting", "slot long", "t array<long>, v array<double>")
+        self.ends = handle.getValueState("ends", "at long")
+
+    def feed(self, key: Any, open_: tuple | None, t: int, v: float, out: list[tuple]) -> tuple:
+        """The value carried on after a row; what is done goes to out."""
+        raise NotImplementedError
+
+    def end(self, key: Any, open_: tuple, out: list[tuple]) -> None:
+        """What a unit that stays idle leaves."""
+
+    def frame(self, out: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(out, columns=list(self.columns)).astype(self.types)
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        slots: dict[int, tuple[list[int], list[float]]] = {}
+        for frame in rows:
+            for t, v in zip(frame["t"].tolist(), frame["v"].tolist(), strict=True):
+                if t > passed:  # what is older has had its turn
+                    ts, vs = slots.setdefault(t // SLOT, ([], []))
+                    ts.append(t)
+                    vs.append(v)
+        for slot, (ts, vs) in slots.items():
+            if self.waiting.containsKey((slot,)):
+                had = self.waiting.getValue((slot,))
+                ts, vs = [*had[0], *ts], [*had[1], *vs]
+            else:
+                self.handle.registerTimer((slot + 1) * SLOT // 1000)
+            self.waiting.updateValue((slot,), (ts, vs))
+        yield self.frame([])
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        at, out = expiredTimerInfo.getExpiryTimeInMs(), []
+        slot = at * 1000 // SLOT - 1
+        if at * 1000 % SLOT == 0 and self.waiting.containsKey((slot,)):
+            ts, vs = self.waiting.getValue((slot,))
+            self.waiting.removeKey((slot,))
+            now = self.open.get() if self.open.exists() else None
+            for t, v in sorted(zip(ts, vs, strict=True)):
+                now = self.feed(key[0], now, t, v, out)
+            self.open.update(now)
+            if self.ends.exists():
+                self.handle.deleteTimer(self.ends.get()[0])
+            ends = at + self.idle_ms + 1  # never a slot's end
+            self.ends.update((ends,))
+            self.handle.registerTimer(ends)
+        elif self.ends.exists() and self.ends.get()[0] == at:
+            self.end(key[0], self.open.get(), out)
+            self.open.clear()
+            self.ends.clear()
+        yield self.frame(out)
+
+    def close(self) -> None:
+        pass
+
+
+class Runs(InOrder):
+    kind, columns, types = "first long, last long, n long", ("unit", "first", "last", "n"), "int64"
+
+    def __init__(self, idle_ms: int, cut: float):
+        super().__init__(idle_ms)
+        self.cut = cut
+
+    def feed(self, key, open_, t, v, out):
+        first, last, n = open_ or (0, 0, 0)
+        if v > self.cut:
+            return (t if n == 0 else first), t, n + 1
+        if n:
+            out.append((key, first, last, n))
+        return 0, 0, 0
+
+    def end(self, key, open_, out):
+        if open_[2]:
+            out.append((key, *open_))
+
+
+class Hours(InOrder):
+    kind, columns, types = "at long, v double", ("unit", "hour", "v"), {"unit": "int64", "hour": "int64", "v": "float64"}
+
+    def feed(self, key, open_, t, v, out):
+        if open_:
+            out += [(key, h * HOUR, open_[1]) for h in range(-(-open_[0] // HOUR), -(-t // HOUR))]
+        return t, v
+
+
+def _processed(stream: DataFrame, processor: InOrder, schema: str) -> DataFrame:
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)  # the only one with maps and timers
+    return stream.groupBy("unit").transformWithStateInPandas(statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="EventTime")
+
+
+def _milliseconds(span: str) -> int:
+    n, what = span.split()
+    return int(n) * {"minute": 60, "hour": 3600, "day": 86_400}[what.rstrip("s")] * 1000
+
+
+def run_events(stream: DataFrame, *, unit: str, ts: str, value: str, cut: float, late: str = "2 hours", idle: str = "60 days") -> DataFrame:
+    """unit, first, last, n: runs of rows over the cut, given out when a row at or under it closes them, or the unit stays idle.
+
+    Rows may come out of order by up to ``late``, in whatever batches (``InOrder``).
+    """
+    return _processed(_in_order(stream, unit, ts, value, late), Runs(_milliseconds(idle), cut), "unit long, first long, last long, n long")
 
 
-def run_events(stream: DataFrame, *, unit: str, ts: str, value: str, cut: float, late: str = "2 hours") -> DataFrame:
-    """unit, first, last, n: runs of rows over the cut, given out when a row at or under it closes them.
+def fill_forward(stream: DataFrame, *, unit: str, ts: str, value: str, late: str = "2 hours", idle: str = "60 days") -> DataFrame:
+    """unit, hour, v: the latest value at or before each hour between a unit's rows; order as in run_events().
 
-    A unit's state is its open run and the rows that the watermark has not passed yet, so rows may
-    come out of order by up to ``late``, in whatever batches.
+    A unit that stays idle is forgotten: hours up to its next row have no value.
     """
-
-    def step(key: tuple[Any, ...], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        first, last, n, wait_t, wait_v = state.get if state.exists else (0, 0, 0, [], [])
-        now, later = _due(frames, state, wait_t, wait_v)
-        done = []
-        for t, v in now:
-            if v > cut:
-                first, last, n = (t if n == 0 else first), t, n + 1
-            elif n:
-                done.append((key[0], first, last, n))
-                first, last, n = 0, 0, 0
-        state.update((first, last, n, [t for t, _ in later], [v for _, v in later]))
-        _wait(state, later)
-        yield pd.DataFrame(done, columns=["unit", "first", "last", "n"]).astype("int64")
-
-    kind = "first long, last long, n long, wait_t array<long>, wait_v array<double>"
-    return _in_order(stream, unit, ts, value, late).groupBy("unit").applyInPandasWithState(step, "unit long, first long, last long, n long", kind, "append", GroupStateTimeout.EventTimeTimeout)
-
-
-def fill_forward(stream: DataFrame, *, unit: str, ts: str, value: str, late: str = "2 hours") -> DataFrame:
-    """unit, hour, v: the latest value at or before each hour between a unit's rows; state as in run_events(), with the last row."""
-    hour = 3_600_000_000
-
-    def step(key: tuple[Any, ...], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        at, v, wait_t, wait_v = state.get if state.exists else (-1, 0.0, [], [])
-        now, later = _due(frames, state, wait_t, wait_v)
-        out = []
-        for t, x in now:
-            if at >= 0:
-                out += [(key[0], h * hour, v) for h in range(-(-at // hour), -(-t // hour))]
-            at, v = t, x
-        state.update((at, v, [t for t, _ in later], [x for _, x in later]))
-        _wait(state, later)
-        yield pd.DataFrame(out, columns=["unit", "hour", "v"]).astype({"unit": "int64", "hour": "int64", "v": "float64"})
-
-    kind = "at long, v double, wait_t array<long>, wait_v array<double>"
-    return _in_order(stream, unit, ts, value, late).groupBy("unit").applyInPandasWithState(step, "unit long, hour long, v double", kind, "append", GroupStateTimeout.EventTimeTimeout)
+    return _processed(_in_order(stream, unit, ts, value, late), Hours(_milliseconds(idle)), "unit long, hour long, v double")
