@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from hazeloom.llm.common import cut, with_copies
 
 #: Words kept with their ids in a task; beyond that the table starts anew.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 200_000
 
 
 #: Words of plain letters, digits and signs, whose lower case and composed form need no library.

@@ -277,7 +277,7 @@ def run_rows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
     Null, empty and blank texts have no words, no runs and an empty text. Rows are read where they
     lie, with no shuffle; repeated rows and ids keep a row each, a null id is never made periodic,
-    and other columns are not read. Empty tables give no rows. A task holds 2 MB of text at once,
+    and other columns are not read. Empty tables give no rows. A task holds 1 MB of text at once,
     or one longer text.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("starts", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("periods", pa.list_(pa.int64())), ("collapsed", pa.string())])

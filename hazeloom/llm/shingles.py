@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 #: Bytes of text that are hashed together.
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
