@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -58,6 +58,43 @@ def fit(sample: np.ndarray, *, lists: int, parts: int, rounds: int = 10, seed: i
     return Index(centres, [k_means(part, 256, rounds, seed) for part in np.array_split(rest, min(parts, sample.shape[1]), axis=1)])
 
 
+def normal_tail(z: np.ndarray) -> np.ndarray:
+    """The share of a normal distribution above z (Abramowitz and Stegun 7.1.26)."""
+    a = np.abs(z) / np.sqrt(2)
+    t = 1 / (1 + 0.3275911 * a)
+    half = t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429)))) * np.exp(-a * a) / 2
+    return np.where(z >= 0, half, 1 - half)
+
+
+def probed_lists(q: np.ndarray, centres: np.ndarray, counts: np.ndarray, spread: np.ndarray, k: int, cover: float) -> np.ndarray:
+    """Whether each query probes each list, from what lists are expected to hold.
+
+    Products of a query with a list's rows lie around its product with the centre, with the query's length times
+    the list's spread (root mean square of a residual's components) as their deviation. The score that k rows are expected
+    to reach is found by halving; lists are probed by their rows' chance to reach it, until they hold ``cover`` of these k.
+    So a query of a cluster stops after a few lists, and one that is near to nothing goes on.
+    """
+    out = np.zeros((len(q), len(centres)), bool)
+    step = max(1, 4_000_000 // len(centres))
+    for i in range(0, len(q), step):
+        part = q[i : i + step]
+        mean = part @ centres.T
+        deviation = np.sqrt((part * part).sum(1))[:, None] * spread + 1e-12 * (1 + np.abs(mean))
+        low, high = (mean - 8 * deviation).min(1), (mean + 8 * deviation).max(1)
+        for _ in range(40):
+            middle = (low + high) / 2
+            more = (counts * normal_tail((middle[:, None] - mean) / deviation)).sum(1) > k
+            low, high = np.where(more, middle, low), np.where(more, high, middle)
+        chance = normal_tail((low[:, None] - mean) / deviation)
+        order = np.lexsort((np.broadcast_to(-np.arange(len(centres)), mean.shape), mean, chance))[:, ::-1]
+        held = np.take_along_axis(counts * chance, order, 1)
+        before = np.cumsum(held, 1) - held
+        rows = np.cumsum(counts[order], 1) - counts[order]
+        hit = (before < cover * held.sum(1, keepdims=True)) | (rows < 2 * k)
+        np.put_along_axis(out[i : i + step], order, hit, 1)
+    return out
+
+
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """vec_id, v: vectors as doubles, without null, empty, zero and non-finite ones."""
     v = F.transform(F.col(vector_col), lambda x: x.cast("double"))
@@ -100,7 +137,7 @@ def nearest(
     k: int = 20,
     lists: int | None = None,
     parts: int = 16,
-    probe_share: float = 0.65,
+    cover: float = 0.97,
     shortlist: int = 128,
     sample_rows: int = 20_000,
     block_rows: int = 8192,
@@ -111,8 +148,8 @@ def nearest(
     Queries are the rows whose id is divisible by ``query_every``. Centres and codebooks are
     fitted on the ``sample_rows`` rows of least hashed id; every row is indexed. There are as
     many lists as the root of the number of rows, unless ``lists`` says otherwise, but at most one
-    for 16 rows of the sample. Each query probes the lists of largest inner product with it until
-    they hold ``probe_share`` of all rows. Lists are gathered into (or, where larger, split over)
+    for 16 rows of the sample. Each query probes the lists that are expected to hold ``cover`` of its k nearest rows
+    (``probed_lists``), however many or few rows that are. Lists are gathered into (or, where larger, split over)
     blocks of about ``block_rows`` rows. Queries go to the blocks they probe; only a block that
     more than ``block_queries`` of them probe has its rows copied, once for each so many. Every
     block with such a part of its queries is a task of bounded size that scores by asymmetric tables, keeps each query's ``shortlist``
@@ -138,13 +175,16 @@ def nearest(
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            near, codes = index.value.encode(stacked(batch.column(1), d))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(near, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary())], names=["vec_id", "v", "list", "codes"])
+            x = stacked(batch.column(1), d)
+            near, codes = index.value.encode(x)
+            rest = x - index.value.centres[near]
+            columns = [pa.array(near, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array((rest * rest).sum(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["vec_id", "v", "list", "codes", "rest"])
 
-    held = cut(rows.where(F.size("v") == d).mapInArrow(encode, "vec_id long, v array<double>, list int, codes binary"))
-    counts = np.zeros(n_lists, np.int64)
-    for r in held.groupBy("list").count().collect():  # a number per list
-        counts[r["list"]] = r["count"]
+    held = cut(rows.where(F.size("v") == d).mapInArrow(encode, "vec_id long, v array<double>, list int, codes binary, rest double"))
+    counts, deviation = np.zeros(n_lists, np.int64), np.zeros(n_lists)
+    for r in held.groupBy("list").agg(F.count("*").alias("n"), F.avg("rest").alias("rest")).collect():  # two numbers per list
+        counts[r["list"]], deviation[r["list"]] = r["n"], (r["rest"] / d) ** 0.5
 
     # Blocks: list i lies in blocks first[i] .. first[i] + split[i] - 1.
     first, split, block, room = np.zeros(n_lists, np.int64), np.ones(n_lists, np.int64), 0, block_rows
@@ -157,32 +197,26 @@ def nearest(
             block, room = block + int(split[i]), block_rows
         else:
             room -= int(counts[i])
-    need = probe_share * counts.sum()
-
-    def probed(q: np.ndarray) -> np.ndarray:
-        """Whether each query probes each list."""
-        order = np.argsort(-(q @ index.value.centres.T), 1, kind="stable")
-        before = np.cumsum(counts[order], 1) - counts[order]
-        out = np.zeros(order.shape, bool)
-        np.put_along_axis(out, order, before < need, 1)
-        return out
-
     asked = held.where(F.pmod("vec_id", F.lit(query_every)) == 0).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("v").alias("q"))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hits = probed(stacked(batch.column(1), d))
-            rows_, blocks = [], []
+            hits = probed_lists(stacked(batch.column(1), d), index.value.centres, counts, deviation, k, cover)
+            rows_, blocks, lists_ = [], [], []
             for i, hit in enumerate(hits):
-                of = {int(first[j]) + s for j in np.flatnonzero(hit & (counts > 0)) for s in range(int(split[j]))}
+                of: dict[int, list[int]] = defaultdict(list)
+                for j in np.flatnonzero(hit & (counts > 0)).tolist():
+                    for s in range(int(split[j])):
+                        of[int(first[j]) + s].append(j)
                 rows_ += [i] * len(of)
-                blocks += sorted(of)
+                blocks += of
+                lists_ += of.values()
             taken = batch.take(pa.array(rows_, pa.int64()))
-            yield pa.RecordBatch.from_arrays([taken.column(0), taken.column(1), pa.array(blocks, pa.int64())], names=["query_id", "q", "block"])
+            yield pa.RecordBatch.from_arrays([taken.column(0), taken.column(1), pa.array(blocks, pa.int64()), pa.array(lists_, pa.list_(pa.int32()))], names=["query_id", "q", "block", "lists"])
 
-    probing = cut(asked.mapInArrow(spread, "query_id long, q array<double>, block long"))
+    probing = cut(asked.mapInArrow(spread, "query_id long, q array<double>, block long, lists array<int>"))
     busy = probing.groupBy(F.col("block").alias("b_block")).agg(F.ceil(F.count("*") / block_queries).alias("q_parts"))
-    queries = probing.join(busy, F.col("block") == F.col("b_block")).select("query_id", "q", "block", F.pmod(F.xxhash64("query_id"), "q_parts").alias("part"))
+    queries = probing.join(busy, F.col("block") == F.col("b_block")).select("query_id", "q", "block", "lists", F.pmod(F.xxhash64("query_id"), "q_parts").alias("part"))
     where = spark.createDataFrame([(i, int(first[i]), int(split[i])) for i in range(n_lists)], "list int, first long, split long")
     stored = (
         held.join(F.broadcast(where), "list")  # a row per list
@@ -221,13 +255,16 @@ def nearest(
             return pa.table([np.repeat(q_ids, ok.sum(1)), of[ok], exact[ok]], schema=kept)
 
         q_ids, q = theirs["query_id"].to_numpy(), stacked(theirs["q"].combine_chunks(), d)
+        lists_ = theirs["lists"].combine_chunks()
+        allowed = np.zeros((len(q), n_lists), bool)
+        allowed[np.repeat(np.arange(len(q)), lists_.value_lengths().to_numpy(zero_copy_only=False)), lists_.flatten().to_numpy()] = True
         out = []
         for at in range(0, len(q), 256):
             part, part_ids = q[at : at + 256], q_ids[at : at + 256]
             score = (part @ index.value.centres.T).astype(np.float32)[:, of_list]
             for m, t in enumerate(index.value.tables(part)):
                 score += t[:, codes[:, m]]
-            score[~probed(part)[:, of_list]] = -np.inf
+            score[~allowed[at : at + 256][:, of_list]] = -np.inf
             score[(first == part_ids[:, None]) & ~has_second] = -np.inf  # the query's own rows only
             n = min(shortlist, len(x))
             best = np.argpartition(-score, n - 1, 1)[:, :n]

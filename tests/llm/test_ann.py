@@ -1,7 +1,8 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from hazeloom.llm.ann import nearest
+from hazeloom.llm.ann import fit, nearest, nearest_centre, probed_lists
 
 
 def brute(ids, x, every, k):
@@ -83,7 +84,7 @@ def test_more_ties_than_the_shortlist_in_one_block(spark):
     ids = rng.permutation(900).tolist()
     table = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<double>")
     want, got = brute(ids, x, 20, 20), {}
-    for r in nearest(table, probe_share=1.0).collect():
+    for r in nearest(table, cover=2.0).collect():
         got.setdefault(r.query_id, []).append((r.rank, r.vec_id))
     copied = {i: sorted(j for j in ids[300:700] if j != i)[:20] for i in ids[300:700] if i % 20 == 0}
     for q, first in copied.items():
@@ -91,3 +92,43 @@ def test_more_ties_than_the_shortlist_in_one_block(spark):
             assert [v for _, v in sorted(got[q])] == first
     for q in (i for i in ids[700:] if i % 20 == 0):
         assert len({v for _, v in got[q]} & {w[0] for w in want[q]}) >= 18
+
+
+def clustered(seed, n=6000, spread=0.4, heavy=False):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(40, 32))
+    width = spread if not heavy else rng.gamma(2, 0.25, n)[:, None]
+    return centres[rng.integers(0, 40, n)] + rng.normal(size=(n, 32)) * width
+
+
+@pytest.mark.parametrize("heavy", [False, True])
+def test_clustered_rows_need_few_lists(spark, heavy):
+    """Recall of 0.9 from at most a quarter of the rows."""
+    x = clustered(5, heavy=heavy)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    got = {}
+    for r in nearest(table).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = 0
+    for i in range(0, len(x), 20):
+        s = x @ x[i]
+        s[i] = -np.inf
+        hits += len(got[i] & set(np.argsort(-s)[:20].tolist()))
+    assert hits >= 0.9 * 20 * len(got) and len(got) == 300
+    index = fit(x, lists=77, parts=16)
+    near = nearest_centre(x, index.centres)
+    counts = np.bincount(near, minlength=len(index.centres))
+    rest = ((x - index.centres[near]) ** 2).mean(1)
+    deviation = np.sqrt(np.bincount(near, rest, len(counts)) / np.maximum(counts, 1))
+    share = (probed_lists(x[::20], index.centres, counts, deviation, 20, 0.97) * counts).sum(1) / len(x)
+    assert share.mean() < 0.25, share.mean()
+
+
+def test_one_list_that_holds_everything(spark):
+    x = np.random.default_rng(4).normal(size=(300, 6))
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    want = brute(list(range(300)), x, 20, 20)
+    got = {}
+    for r in nearest(table, lists=1, block_rows=40, shortlist=300).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id))
+    assert {q: [v for _, v in sorted(f)] for q, f in got.items()} == {q: [v for v, _ in w] for q, w in want.items()}
