@@ -105,13 +105,16 @@ def _harmonic(g: Column, terms: list[tuple[float, str, int]]) -> Column:
     return sum((c * (F.cos(k * g) if f == "cos" else F.sin(k * g)) for c, f, k in terms), F.lit(0.0))
 
 
-#: Fourier series of the sun's position by the year's angle (fixed values): equation of time in radians-like units, declination in radians.
+#: Spencer's Fourier series of the sun's position by the year's angle (fixed values): equation of time and declination, both in radians.
 TIME_TERMS = [(0.001868, "cos", 1), (-0.032077, "sin", 1), (-0.014615, "cos", 2), (-0.040849, "sin", 2)]
 DECLINATION_TERMS = [(-0.399912, "cos", 1), (0.070257, "sin", 1), (-0.006758, "cos", 2), (0.000907, "sin", 2), (-0.002697, "cos", 3), (0.00148, "sin", 3)]
 
 
 def sun(day_of_year: Column, hour_utc: Column, lat: Column, lon: Column) -> dict[str, Column]:
-    """Equation of time (minutes), declination (radians) and cosine of the zenith angle, by Fourier series of the year's angle."""
+    """Equation of time (minutes), declination (radians) and cosine of the zenith angle.
+
+    By the series of J. W. Spencer, Fourier series representation of the position of the sun, Search 2 (5), 1971; 229.18 minutes are a radian.
+    """
     g = 2 * 3.141592653589793 / 365.0 * (day_of_year - 1 + (hour_utc - 12) / 24.0)
     eot = 229.18 * (0.000075 + _harmonic(g, TIME_TERMS))
     decl = 0.006918 + _harmonic(g, DECLINATION_TERMS)
@@ -138,9 +141,9 @@ def polynomial(x: Column, terms: list[float]) -> Column:
 
 
 def direct_normal(ghi: Column, cos_zenith: Column, day_of_year: Column, pressure_hpa: Column) -> Column:
-    """Direct normal irradiance from global irradiance by Maxwell's quasi-physical model.
+    """Direct normal irradiance from global irradiance by E. L. Maxwell, A quasi-physical model, SERI/TR-215-3087, 1987 (DISC).
 
-    Clearness index against the distance-corrected solar constant; relative air mass, corrected
+    Air mass by F. Kasten, A new table and approximation formula for the relative optical air mass, 1965. Clearness index against the distance-corrected solar constant; relative air mass, corrected
     for pressure, at most 12; 0 from a zenith angle of 87 degrees on and without irradiance.
     """
     zenith = F.degrees(F.acos(cos_zenith))
