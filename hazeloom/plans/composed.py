@@ -233,13 +233,16 @@ def r6(spark, sf_dir):
 
 @register("S19_arrivals_ingest", "SELECT user_id, count(*)::BIGINT AS n, round(sum(value), 2) AS v FROM events GROUP BY 1")
 def s19(spark, sf_dir):
-    """A drop folder polled twice: each complete file is taken once, one still being written (a name that begins with _) only when it has its own name."""
+    """A drop folder polled four times: a file is handed over once its size stays; one that still grows waits, one being written under a hidden name is left."""
     path, schema = event_files(spark, sf_dir, parts=4)
-    landing, out, at = fl.scratch(spark, "drop"), fl.scratch(spark, "ingested"), fl.scratch(spark, "progress")
-    rows = spark.read.schema(schema).parquet(path)
+    drop, landing, out, at = (fl.scratch(spark, n) for n in ("drop", "landing", "ingested", "progress"))
+    rows, sizes = spark.read.schema(schema).parquet(path), {}
     for k in range(2):
-        rows.where(F.pmod("user_id", F.lit(2)) == k).write.mode("append").parquet(landing)
+        rows.where(F.pmod("user_id", F.lit(2)) == k).write.mode("append").parquet(drop)
         if not k:
-            rows.where("user_id % 2 = 1").write.parquet(f"{landing}/_writing")
-        sd.finish(sd.arrivals(spark, landing, schema, files_per_trigger=2), out, at)
+            rows.where("user_id % 2 = 1").write.parquet(f"{drop}/_writing")
+        for _ in range(2):  # the first poll only notes the new files' sizes
+            ready, sizes = fl.settled(spark, drop, sizes, seconds=0, now=2e10)
+            fl.hand_over(spark, ready, landing)
+            sd.finish(sd.arrivals(spark, landing, schema, files_per_trigger=2), out, at)
     return spark.read.parquet(out).groupBy("user_id").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("v"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -132,6 +133,30 @@ def read_version(spark: SparkSession, path: str, definition: dict[str, str], pro
     return found[0], read_stamped(spark, found[1], definition, producer)
 
 
+def settled(spark: SparkSession, folder: str, before: dict[str, int], *, seconds: float = 25.0, now: float | None = None) -> tuple[list[str], dict[str, int]]:
+    """(files that may be taken, sizes of all files now) of a drop folder whose writers do not rename.
+
+    A file is settled if its size is what it was at the poll before (``before``, empty at first) and it
+    was last changed ``seconds`` ago or earlier. Hidden files (``_`` or ``.`` first) are never taken.
+    """
+    where, files = _files(spark, folder)
+    if not files.exists(where(folder)):
+        return [], {}
+    found = [s for s in files.listStatus(where(folder)) if s.isFile() and s.getPath().getName()[0] not in "_."]
+    sizes = {s.getPath().toString(): s.getLen() for s in found}
+    limit = ((time.time() if now is None else now) - seconds) * 1000
+    return sorted(p for s in found if before.get(p := s.getPath().toString()) == s.getLen() and s.getModificationTime() <= limit), sizes
+
+
+def hand_over(spark: SparkSession, paths: list[str], landing: str) -> None:
+    """Moves settled files into the folder that a stream watches; a move is seen at once or not at all."""
+    where, files = _files(spark, landing)
+    files.mkdirs(where(landing))
+    for p in paths:
+        if not files.exists(where(p)) or not files.rename(where(p), where(f"{landing}/{where(p).getName()}")):
+            raise OSError(f"{p} could not be moved to {landing}")
+
+
 def gated(df: DataFrame, value: str, order: str, low: float, high: float) -> DataFrame:
     """df, unless its last value over its first is outside the band."""
     row = df.agg((F.max_by(value, order) / F.min_by(value, order)).alias("ratio")).first()

@@ -85,3 +85,32 @@ def test_headers_over_splits(spark):
     assert split.select("block").distinct().count() > 8
     got = sorted((int(r.line.split()[0]), r.header, r.line) for r in fl.carried_header(split, F.col("line").startswith("H,")).collect())
     assert [g[1:] for g in got] == want
+
+
+def test_only_settled_files_are_taken(spark, tmp_path):
+    import os
+
+    folder, landing = str(tmp_path / "drop"), str(tmp_path / "landing")
+    assert fl.settled(spark, folder, {}) == ([], {})
+    os.makedirs(folder)
+
+    def write(name, text, age):
+        with open(f"{folder}/{name}", "w") as f:
+            f.write(text)
+        os.utime(f"{folder}/{name}", (1000 - age, 1000 - age))
+
+    names = lambda paths: [p.rsplit("/", 1)[-1] for p in paths]
+    for name, age in (("old", 60), ("fresh", 5), ("grows", 60), ("_hidden", 60), (".hidden", 60)):
+        write(name, "x", age)
+    ready, sizes = fl.settled(spark, folder, {}, now=1000)
+    assert not ready and len(sizes) == 3
+    write("grows", "xx", 30)
+    ready, sizes = fl.settled(spark, folder, sizes, now=1000)
+    assert names(ready) == ["old"]
+    fl.hand_over(spark, ready, landing)
+    ready, sizes = fl.settled(spark, folder, sizes, now=1021)
+    assert names(ready) == ["fresh", "grows"]
+    fl.hand_over(spark, ready, landing)
+    assert sorted(x for x in os.listdir(landing) if x[0] != ".") == ["fresh", "grows", "old"]
+    with pytest.raises(OSError):
+        fl.hand_over(spark, [f"{folder}/nothing"], landing)
