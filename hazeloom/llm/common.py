@@ -21,7 +21,16 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_folder = path
+    return out
+
+
+def forget(tables: list[DataFrame]) -> None:
+    """Removes the folders of cut() tables that nothing will read any more."""
+    for df in tables:
+        where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._cut_folder)
+        where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def with_copies(df: DataFrame, *, many: int = 8192, broadcast_rows: int = 10_000) -> DataFrame:
