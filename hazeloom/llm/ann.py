@@ -52,6 +52,10 @@ class Index:
         return [(queries[:, c] @ b.T).astype(np.float32) for c, b in zip(self.cuts(), self.books, strict=True)]
 
 
+    def decode(self, near: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        return self.centres[near] + np.concatenate([b[codes[:, m]] for m, b in enumerate(self.books)], 1)
+
+
 def fit(sample: np.ndarray, *, lists: int, parts: int, rounds: int = 10, seed: int = 5) -> Index:
     centres = k_means(sample, lists, rounds, seed)
     rest = sample - centres[nearest_centre(sample, centres)]
@@ -66,11 +70,19 @@ def normal_tail(z: np.ndarray) -> np.ndarray:
     return np.where(z >= 0, half, 1 - half)
 
 
-def probed_lists(q: np.ndarray, centres: np.ndarray, counts: np.ndarray, spread: np.ndarray, k: int, cover: float) -> np.ndarray:
+def shape_of(rest: np.ndarray) -> np.ndarray:
+    """A root of the residuals' covariance, its mean variance as one: a query times it is as long as products with residuals vary."""
+    values, vectors = np.linalg.eigh(rest.T @ rest)
+    values = np.maximum(values, 0)
+    return vectors * np.sqrt(values / values.mean()) if values.any() else np.eye(len(values))
+
+
+def probed_lists(q: np.ndarray, centres: np.ndarray, counts: np.ndarray, spread: np.ndarray, k: int, cover: float, shape: np.ndarray | None = None) -> np.ndarray:
     """Whether each query probes each list, from what lists are expected to hold.
 
     Products of a query with a list's rows lie around its product with the centre, with the query's length times
-    the list's spread (root mean square of a residual's components) as their deviation. The score that k rows are expected
+    the list's spread (root mean square of a residual's components) as their deviation; its length along ``shape`` where
+    residuals vary more in some directions than in others. The score that k rows are expected
     to reach is found by halving; lists are probed by their rows' chance to reach it, until they hold ``cover`` of these k.
     So a query of a cluster stops after a few lists, and one that is near to nothing goes on.
     """
@@ -79,7 +91,7 @@ def probed_lists(q: np.ndarray, centres: np.ndarray, counts: np.ndarray, spread:
     for i in range(0, len(q), step):
         part = q[i : i + step]
         mean = part @ centres.T
-        deviation = np.sqrt((part * part).sum(1))[:, None] * spread + 1e-12 * (1 + np.abs(mean))
+        deviation = np.linalg.norm(part if shape is None else part @ shape, axis=1)[:, None] * spread + 1e-12 * (1 + np.abs(mean))
         low, high = (mean - 8 * deviation).min(1), (mean + 8 * deviation).max(1)
         for _ in range(40):
             middle = (low + high) / 2
@@ -95,6 +107,40 @@ def probed_lists(q: np.ndarray, centres: np.ndarray, counts: np.ndarray, spread:
     return out
 
 
+def truly_nearest(held: DataFrame, queries: np.ndarray, ids: np.ndarray, index, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """query, list, error of the k rows of largest product of a few queries, among all rows but their own ids'.
+
+    error is what the product exceeds that with the row's code by, over the query's length times the code's distance from the row.
+    Every task keeps k rows a query.
+    """
+    lengths = np.linalg.norm(queries, axis=1)
+    every = np.arange(len(queries))[:, None]
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score = np.full((len(queries), k), -np.inf)
+        near, error = np.zeros((len(queries), k), np.int64), np.zeros((len(queries), k))
+        for batch in batches:
+            x, lists = stacked(batch.column(1), queries.shape[1]), batch.column(2).to_numpy()
+            codes = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(len(x), -1)
+            got = queries @ x.T
+            got[ids[:, None] == batch.column(0).to_numpy()] = -np.inf
+            best = np.argpartition(-got, min(k, len(x)) - 1, 1)[:, :k]
+            off = x[best] - index.value.decode(lists[best].ravel(), codes[best].reshape(-1, codes.shape[1])).reshape(x[best].shape)
+            scale = lengths[:, None] * np.linalg.norm(off, axis=2)
+            over = np.divide(np.einsum("qnd,qd->qn", off, queries), scale, out=np.zeros_like(scale), where=scale > 0)
+            score, near, error = (np.concatenate(two, 1) for two in ((score, got[every, best]), (near, lists[best]), (error, over)))
+            first = np.argpartition(-score, k - 1, 1)[:, :k]
+            score, near, error = score[every, first], near[every, first], error[every, first]
+        at, _ = np.nonzero(np.isfinite(score))
+        some = np.isfinite(score)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(score[some]), pa.array(near[some]), pa.array(error[some])], names=["q", "score", "list", "error"])
+
+    found = held.select("vec_id", "v", "list", "codes").mapInArrow(scan, "q long, score double, list long, error double")
+    place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "list", "error"))
+    rows = found.withColumn("_k", place).where(F.col("_k") <= k).select("q", "list", "error").toArrow()  # k rows for each of a few queries
+    return tuple(rows[c].to_numpy() for c in ("q", "list", "error"))
+
+
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """vec_id, v: vectors as doubles, without null, empty, zero and non-finite ones."""
     v = F.transform(F.col(vector_col), lambda x: x.cast("double"))
@@ -140,6 +186,7 @@ def nearest(
     cover: float = 0.97,
     shortlist: int = 128,
     sample_rows: int = 20_000,
+    tried_queries: int = 256,
     block_rows: int = 8192,
     block_queries: int = 8192,
 ) -> DataFrame:
@@ -149,11 +196,14 @@ def nearest(
     fitted on the ``sample_rows`` rows of least hashed id; every row is indexed. There are as
     many lists as the root of the number of rows, unless ``lists`` says otherwise, but at most one
     for 16 rows of the sample. Each query probes the lists that are expected to hold ``cover`` of its k nearest rows
-    (``probed_lists``), however many or few rows that are. Lists are gathered into (or, where larger, split over)
+    (``probed_lists``), however many or few rows that are. What is expected is checked on other rows than those it was made
+    for: ``tried_queries`` queries (of least hashed id) are compared with every row, and spreads are widened, up to all
+    lists, until these queries' lists hold ``cover`` of what is truly nearest to them. Lists are gathered into (or, where larger, split over)
     blocks of about ``block_rows`` rows. Queries go to the blocks they probe; only a block that
     more than ``block_queries`` of them probe has its rows copied, once for each so many. Every
     block with such a part of its queries is a task of bounded size that scores by asymmetric tables, keeps each query's ``shortlist``
-    best vectors with all that tie with the last of them, and ranks those by exact products
+    best vectors with all that tie with the last of them and all whose codes are so far from them that they may be as near
+    as the k-th of these (by the errors that the tried queries' nearest rows have), and ranks those by exact products
     of the original vectors in double precision. Rows with equal vectors are scored as one.
 
     Null ids and vectors that are null, empty, zero, or hold nulls or non-finite numbers take no
@@ -178,10 +228,11 @@ def nearest(
             x = stacked(batch.column(1), d)
             near, codes = index.value.encode(x)
             rest = x - index.value.centres[near]
-            columns = [pa.array(near, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array((rest * rest).sum(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["vec_id", "v", "list", "codes", "rest"])
+            off = np.linalg.norm(x - index.value.decode(near, codes), axis=1)
+            columns = [pa.array(near, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array((rest * rest).sum(1)), pa.array(off)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["vec_id", "v", "list", "codes", "rest", "off"])
 
-    held = cut(rows.where(F.size("v") == d).mapInArrow(encode, "vec_id long, v array<double>, list int, codes binary, rest double"))
+    held = cut(rows.where(F.size("v") == d).mapInArrow(encode, "vec_id long, v array<double>, list int, codes binary, rest double, off double"))
     counts, deviation = np.zeros(n_lists, np.int64), np.zeros(n_lists)
     for r in held.groupBy("list").agg(F.count("*").alias("n"), F.avg("rest").alias("rest")).collect():  # two numbers per list
         counts[r["list"]], deviation[r["list"]] = r["n"], (r["rest"] / d) ** 0.5
@@ -198,10 +249,23 @@ def nearest(
         else:
             room -= int(counts[i])
     asked = held.where(F.pmod("vec_id", F.lit(query_every)) == 0).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("v").alias("q"))
+    shape = shape_of(sample - index.value.centres[nearest_centre(sample, index.value.centres)])
+    tried = asked.orderBy(F.xxhash64("query_id"), "query_id").limit(tried_queries).toArrow()
+    error = 0.0
+    if tried.num_rows:
+        q = stacked(tried["q"].combine_chunks(), d)
+        of, near, errors = truly_nearest(held, q, tried["query_id"].to_numpy(), index, k)
+        error = max(0.0, float(np.quantile(errors, 0.995))) if len(errors) else 0.0
+        for _ in range(24):
+            if not len(of) or probed_lists(q, index.value.centres, counts, deviation, k, cover, shape)[of, near].mean() >= min(cover, 1):
+                break
+            deviation = deviation * 1.25
+        else:
+            cover = 2.0  # all lists
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hits = probed_lists(stacked(batch.column(1), d), index.value.centres, counts, deviation, k, cover)
+            hits = probed_lists(stacked(batch.column(1), d), index.value.centres, counts, deviation, k, cover, shape)
             rows_, blocks, lists_ = [], [], []
             for i, hit in enumerate(hits):
                 of: dict[int, list[int]] = defaultdict(list)
@@ -220,9 +284,9 @@ def nearest(
     where = spark.createDataFrame([(i, int(first[i]), int(split[i])) for i in range(n_lists)], "list int, first long, split long")
     stored = (
         held.join(F.broadcast(where), "list")  # a row per list
-        .select("vec_id", "v", "list", "codes", (F.col("first") + F.pmod(F.xxhash64("vec_id"), "split")).alias("block"))
+        .select("vec_id", "v", "list", "codes", "off", (F.col("first") + F.pmod(F.xxhash64("vec_id"), "split")).alias("block"))
         .join(busy, F.col("block") == F.col("b_block"))
-        .select("vec_id", "v", "list", "codes", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("q_parts") - 1)).alias("part"))
+        .select("vec_id", "v", "list", "codes", "off", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("q_parts") - 1)).alias("part"))
     )
     kept = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
@@ -238,6 +302,7 @@ def nearest(
         has_second, second = differs.any(1), copies[np.arange(len(copies)), differs.argmax(1)]
         x, of_list = x[one], mine["list"].to_numpy()[one]
         codes = np.frombuffer(b"".join(mine["codes"].to_pylist()), np.uint8).reshape(mine.num_rows, -1)[one]
+        off = (error * mine["off"].to_numpy()[one]).astype(np.float32)
 
         def ranked(q: np.ndarray, q_ids: np.ndarray, best: np.ndarray, score: np.ndarray) -> pa.Table:
             """The k rows of largest exact product, least id first on ties, of each query's best vectors."""
@@ -268,6 +333,15 @@ def nearest(
             score[(first == part_ids[:, None]) & ~has_second] = -np.inf  # the query's own rows only
             n = min(shortlist, len(x))
             best = np.argpartition(-score, n - 1, 1)[:, :n]
+            exact = np.where(np.isfinite(np.take_along_axis(score, best, 1)), np.einsum("qnd,qd->qn", x[best], part), -np.inf)
+            reached = -np.partition(-exact, min(k, n) - 1, 1)[:, min(k, n) - 1]
+            may = np.isfinite(score) & (score + np.linalg.norm(part, axis=1).astype(np.float32)[:, None] * off >= reached[:, None])
+            np.put_along_axis(may, best, np.isfinite(exact), 1)
+            more = np.flatnonzero(may.sum(1) > n)
+            if len(more):  # by products in place of codes
+                score = score.astype(np.float64)
+                score[more] = np.where(may[more], part[more] @ x.T, -np.inf)
+                best[more] = np.argpartition(-score[more], n - 1, 1)[:, :n]
             last = np.take_along_axis(score, best, 1).min(1)
             tied = np.isfinite(last) & ((score >= last[:, None]).sum(1) > n)
             out.append(ranked(part[~tied], part_ids[~tied], best[~tied], score[~tied]))

@@ -132,3 +132,30 @@ def test_one_list_that_holds_everything(spark):
     for r in nearest(table, lists=1, block_rows=40, shortlist=300).collect():
         got.setdefault(r.query_id, []).append((r.rank, r.vec_id))
     assert {q: [v for _, v in sorted(f)] for q, f in got.items()} == {q: [v for v, _ in w] for q, w in want.items()}
+
+
+def uneven(kind, n=6000):
+    rng = np.random.default_rng(11)
+    if kind == "few directions":
+        return rng.normal(size=(n, 4)) @ rng.normal(size=(4, 48)) + 0.01 * rng.normal(size=(n, 48))
+    if kind == "heavy tails":
+        return rng.standard_t(2, (n, 48))
+    if kind == "sparse":
+        return np.where(rng.random((n, 48)) < 0.05, rng.normal(size=(n, 48)), 0) + 1e-9 * rng.normal(size=(n, 48))
+    return rng.normal(size=(n, 384))
+
+
+@pytest.mark.parametrize("kind", ["few directions", "heavy tails", "sparse", "long vectors"])
+def test_recall_on_uneven_rows(spark, kind):
+    """Residuals that vary by direction or have heavy tails, and codes too coarse for a shortlist of fixed length."""
+    x = uneven(kind)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    got = {}
+    for r in nearest(table).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = 0
+    for i in range(0, len(x), 20):
+        s = x @ x[i]
+        s[i] = -np.inf
+        hits += len(got[i] & set(np.argsort(-s)[:20].tolist()))
+    assert len(got) == 300 and hits >= 0.95 * 20 * len(got), hits / 20 / len(got)
