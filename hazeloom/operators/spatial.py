@@ -25,8 +25,8 @@ def around(cell: Column) -> Column:
     return F.explode(F.array(cell - 1, cell, cell + 1))
 
 
-def within_km(left: DataFrame, right: DataFrame, km: float) -> DataFrame:
-    """Pairs of left(l_id, lat, lon) and right(r_id, lat, lon) at most km apart, with dist.
+def places_within_km(left: DataFrame, right: DataFrame, km: float) -> DataFrame:
+    """Pairs of rows of left(_l, lat, lon) and right(_r, lat, lon) at most km apart, with dist.
 
     Cells are bands of latitude as high as the radius, cut by longitude into parts at least as
     wide as the radius reaches there; right points are copied to the cells around theirs, so cells
@@ -40,32 +40,69 @@ def within_km(left: DataFrame, right: DataFrame, km: float) -> DataFrame:
         return F.greatest(F.lit(1), F.floor(360.0 / F.greatest(reach * 1.001, F.lit(1e-6))).cast("int"))
 
     part = lambda lon, n: F.least(F.floor(F.pmod(lon + 180.0, F.lit(360.0)) / 360.0 * n).cast("int"), n - 1)
-    a = left.select("l_id", F.col("lat").alias("lat1"), F.col("lon").alias("lon1"), F.floor(F.col("lat") / band).alias("band"))
+    a = left.select("_l", F.col("lat").alias("lat1"), F.col("lon").alias("lon1"), F.floor(F.col("lat") / band).alias("band"))
     a = a.withColumn("part", part(F.col("lon1"), parts(F.col("band"))))
-    b = right.select("r_id", F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), around(F.floor(F.col("lat") / band)).alias("band")).withColumn("_n", parts(F.col("band")))
+    b = right.select("_r", F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), around(F.floor(F.col("lat") / band)).alias("band")).withColumn("_n", parts(F.col("band")))
     here = part(F.col("lon2"), F.col("_n"))
     b = b.withColumn("part", F.explode(F.array_distinct(F.array(*[F.pmod(here + k, F.col("_n")) for k in (-1, 0, 1)])))).drop("_n")
     dist = great_circle(F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2"))
-    return a.join(b, ["band", "part"]).withColumn("dist", dist).where(F.col("dist") <= km).select("l_id", "r_id", "dist", "lat1", "lon1", "lat2", "lon2")
+    return a.join(b, ["band", "part"]).withColumn("dist", dist).where(F.col("dist") <= km).select("_l", "_r", "dist", "lat1", "lon1", "lat2", "lon2")
 
 
-def nearest_within(left: DataFrame, right: DataFrame, km: float) -> DataFrame:
-    """l_id, r_id, dist: the nearest right point within km (the smaller id on ties), null beyond."""
-    best = within_km(left, right, km).groupBy("l_id").agg(F.min(F.struct("dist", "r_id")).alias("m")).select("l_id", "m.r_id", "m.dist")
-    return left.select("l_id").join(best, "l_id", "left")
+#: So many ids of one place lie in a row.
+IDS = 512
+
+
+def places(points: DataFrame, key: str, ids: str) -> DataFrame:
+    """lat, lon, and as ``ids`` what lies there: a row for each place, for one with over IDS ids a row for each about so many."""
+    points = points.select(key, "lat", "lon")
+    often = points.groupBy(F.col("lat").alias("_lat"), F.col("lon").alias("_lon")).agg(F.count("*").alias("_n")).where(F.col("_n") > IDS)
+    dealt = points.join(often, (F.col("lat") == F.col("_lat")) & (F.col("lon") == F.col("_lon")), "left")
+    deal = F.coalesce(F.pmod(F.xxhash64(key), F.ceil(F.col("_n") / IDS)), F.lit(0))
+    return dealt.groupBy("lat", "lon", deal.alias("_deal")).agg(F.collect_list(key).alias(ids)).select("lat", "lon", ids)
+
+
+def within_km(left: DataFrame, right: DataFrame, km: float, digits: int | None = None) -> DataFrame:
+    """l_id, r_id, dist: pairs of left(l_id, lat, lon) and right(r_id, lat, lon) at most km apart, measured (and rounded) once for all that share their places."""
+    pairs = places_within_km(places(left, "l_id", "_l"), places(right, "r_id", "_r"), km)
+    return apart(pairs.select("_l", "_r", "dist" if digits is None else F.round("dist", digits).alias("dist")))
+
+
+def apart(pairs: DataFrame) -> DataFrame:
+    """Pairs of places as pairs of what lies there: l_id, r_id and the other columns."""
+    return pairs.withColumn("r_id", F.explode("_r")).drop("_r").withColumn("l_id", F.explode("_l")).drop("_l")
 
 
-def nearest_widening(left: DataFrame, right: DataFrame, km: float, most: float) -> DataFrame:
-    """nearest_within() of ``most``, by rings: only points without one within km go on to the double."""
-    found, rest = None, left
+def spacing(points: DataFrame) -> float:
+    """How far apart places would be, in km, if they lay evenly in their box."""
+    r = points.agg(F.count("*").alias("n"), *[f(c).alias(f"{k}_{c}") for c in ("lat", "lon") for k, f in (("a", F.min), ("b", F.max))]).first()
+    if not r["n"] or r["a_lat"] is None or r["a_lon"] is None:
+        return math.inf
+    degree = KM_RADIUS * math.pi / 180
+    high, wide = (r["b_lat"] - r["a_lat"]) * degree, (r["b_lon"] - r["a_lon"]) * degree * math.cos(math.radians((r["a_lat"] + r["b_lat"]) / 2))
+    return math.sqrt(max(high, 1.0) * max(wide, 1.0) / r["n"])
+
+
+def nearest_within(left: DataFrame, right: DataFrame, km: float) -> DataFrame:
+    """l_id, r_id, dist: the nearest right point within km (the smaller id on ties), null beyond.
+
+    Places are met once, whatever lies there. Rings begin at the spacing of right's places; only places without one within a ring go
+    on to its double, so a place meets few others however many lie within km.
+    """
+    here = kept(right.groupBy("lat", "lon").agg(F.min("r_id").alias("_r")))
+    rest = kept(left.select("lat", "lon").distinct().withColumn("_l", F.struct("lat", "lon")))
+    ring, found = min(km, max(km / 1024, spacing(here))), None
     while True:
-        near = kept(nearest_within(rest, right, km))
-        last = km >= most
-        done = near if last else near.where("r_id IS NOT NULL")
-        found = done if found is None else found.unionByName(done)
-        if last:
-            return found
-        rest, km = kept(rest.join(near.where("r_id IS NULL").select("l_id"), "l_id", "left_semi")), min(most, 2 * km)
+        pairs = places_within_km(rest, here, ring)
+        near = kept(pairs.groupBy("lat1", "lon1").agg(F.min(F.struct("dist", "_r")).alias("m")).select("lat1", "lon1", F.col("m._r").alias("r_id"), "m.dist"))
+        found = near if found is None else found.unionByName(near)
+        if ring >= km:
+            break
+        rest = kept(rest.join(near.select(F.col("lat1").alias("lat"), F.col("lon1").alias("lon")), ["lat", "lon"], "left_anti"))
+        if rest.isEmpty():
+            break
+        ring = min(km, 2 * ring)
+    return left.join(found, (F.col("lat") == F.col("lat1")) & (F.col("lon") == F.col("lon1")), "left").select("l_id", "r_id", "dist")
 
 
 def in_ring(x: Column, y: Column, ring: Column) -> Column:
@@ -82,3 +119,14 @@ def in_ring(x: Column, y: Column, ring: Column) -> Column:
         ).otherwise(0),
     )
     return crossings % 2 == 1
+
+
+def inside_ring(points: DataFrame, areas: DataFrame, cell: float) -> DataFrame:
+    """area, _l: places() of the points(l_id, lat, lon) inside each of areas(area, ring), by cells of ``cell`` degrees of the ring's box; a ray cast for each place in the box."""
+    edge = lambda axis, f: f(F.transform("ring", lambda p: p[axis]))
+    box = areas.select("area", "ring", *[edge(axis, f).alias(f"_{k}_{axis}") for axis in ("x", "y") for k, f in (("a", F.array_min), ("b", F.array_max))])
+    cells = lambda axis: F.explode(F.sequence(F.floor(F.col(f"_a_{axis}") / cell), F.floor(F.col(f"_b_{axis}") / cell)))
+    keyed = box.withColumn("_row", cells("y")).withColumn("_col", cells("x"))
+    at = places(points, "l_id", "_l").withColumns({"_row": F.floor(F.col("lat") / cell), "_col": F.floor(F.col("lon") / cell)})
+    met = at.join(keyed, ["_row", "_col"]).where("lat >= _a_y AND lat <= _b_y AND lon >= _a_x AND lon <= _b_x")
+    return met.where(in_ring(F.col("lon"), F.col("lat"), F.col("ring"))).select("area", "_l")

@@ -13,7 +13,7 @@ from hazeloom.operators import timeseries as ts
 from hazeloom.plans.registry import register
 from hazeloom.plans.scalars import haversine_sql
 from hazeloom.plans.series import DAILY, DOY, ONSET, daily, flagged, text_day
-from hazeloom.session import table
+from hazeloom.session import kept, table
 
 LATS = {"customer": ("c_custkey", "(25 + ((c_custkey * 37) % 2400) / 100.0)", "(-120 + ((c_custkey * 53) % 5000) / 100.0)"), "supplier": ("s_suppkey", "(25 + ((s_suppkey * 41) % 2400) / 100.0)", "(-120 + ((s_suppkey * 59) % 5000) / 100.0)")}
 
@@ -103,10 +103,7 @@ def j10(spark, sf_dir):
 @register("J11_nearest_fallback", f"WITH {PAIRS}, m AS (SELECT l_id, arg_min(r_id, (dist, r_id)) FILTER (dist <= 100) AS near, arg_min(r_id, (dist, r_id)) FILTER (dist <= 1200) AS far FROM pairs GROUP BY 1) SELECT l_id, coalesce(near, far) AS r_id, near IS NULL AS fallback FROM m")
 def j11(spark, sf_dir):
     left, right = points(spark, sf_dir, "customer", "l_id"), points(spark, sf_dir, "supplier", "r_id")
-    near = sp.nearest_within(left, right, 100.0)
-    missed = left.join(near.where("r_id IS NULL").select("l_id"), "l_id", "left_semi")
-    far = sp.nearest_widening(missed, right, 200.0, 1200.0).select("l_id", "r_id", F.lit(True).alias("fallback"))
-    return near.where("r_id IS NOT NULL").select("l_id", "r_id", F.lit(False).alias("fallback")).unionByName(far)
+    return sp.nearest_within(left, right, 1200.0).select("l_id", "r_id", F.coalesce(F.col("dist") > 100.0, F.lit(True)).alias("fallback"))
 
 
 @register(
@@ -117,21 +114,18 @@ def j11(spark, sf_dir):
     SELECT area, l_id, false AS fallback FROM i UNION ALL SELECT n.area, n.l_id, true FROM n WHERE n.area NOT IN (SELECT area FROM i)""",
 )
 def j12(spark, sf_dir):
-    """Customers inside each supplier's polygon (cells of its box are the equi-join key, then a ray cast); an area without any takes its nearest."""
+    """Customers inside each supplier's polygon (cells of its box are the equi-join key, then a ray cast for each place); an area without any takes its nearest."""
     a = points(spark, sf_dir, "supplier", "area").withColumn("r", 0.3037 + (F.col("area") % 5) * 0.1011)
     ring = F.expr("array(struct(lon - 2 * r as x, lat as y), struct(lon as x, lat + r as y), struct(lon + 2 * r as x, lat as y), struct(lon as x, lat - r as y), struct(lon - 2 * r as x, lat as y))")
-    box = lambda c, w: F.explode(F.sequence(F.floor(F.col(c) - w).cast("int"), F.floor(F.col(c) + w).cast("int")))
-    cells = a.withColumn("ring", ring).withColumn("row", box("lat", F.col("r"))).withColumn("col", box("lon", 2 * F.col("r"))).select("area", "ring", "row", "col")
-    c = points(spark, sf_dir, "customer", "l_id").withColumns({"row": F.floor("lat").cast("int"), "col": F.floor("lon").cast("int")})
-    inside = c.join(cells, ["row", "col"]).where(sp.in_ring(F.col("lon"), F.col("lat"), F.col("ring"))).select("area", "l_id")
-    empty = a.join(inside, "area", "left_anti").select(F.col("area").alias("l_id"), "lat", "lon")
-    near = sp.nearest_widening(empty, points(spark, sf_dir, "customer", "r_id"), 100.0, 1600.0).where("r_id IS NOT NULL").select(F.col("l_id").alias("area"), F.col("r_id").alias("l_id"))
-    return inside.withColumn("fallback", F.lit(False)).unionByName(near.withColumn("fallback", F.lit(True)))
+    inside = kept(sp.inside_ring(points(spark, sf_dir, "customer", "l_id"), a.select("area", ring.alias("ring")), 0.25))
+    empty = a.join(inside.select("area").distinct(), "area", "left_anti").select(F.col("area").alias("l_id"), "lat", "lon")
+    near = sp.nearest_within(empty, points(spark, sf_dir, "customer", "r_id"), 1600.0).where("r_id IS NOT NULL").select(F.col("l_id").alias("area"), F.col("r_id").alias("l_id"))
+    return inside.select("area", F.explode("_l").alias("l_id"), F.lit(False).alias("fallback")).unionByName(near.withColumn("fallback", F.lit(True)))
 
 
 @register("J13_distance_join", f"WITH {PAIRS} SELECT l_id, r_id, round(dist, 3) AS dist FROM pairs WHERE dist <= 150")
 def j13(spark, sf_dir):
-    return sp.within_km(points(spark, sf_dir, "customer", "l_id"), points(spark, sf_dir, "supplier", "r_id"), 150.0).select("l_id", "r_id", F.round("dist", 3).alias("dist"))
+    return sp.within_km(points(spark, sf_dir, "customer", "l_id"), points(spark, sf_dir, "supplier", "r_id"), 150.0, digits=3).select("l_id", "r_id", "dist")
 
 
 @register(
@@ -139,10 +133,12 @@ def j13(spark, sf_dir):
     f"WITH {PAIRS}, q AS (SELECT *, CASE WHEN lat1 - lat2 >= 0 AND (lon1 - lon2) * cos(radians(lat2)) >= 0 THEN 1 WHEN lat1 - lat2 < 0 AND (lon1 - lon2) * cos(radians(lat2)) >= 0 THEN 2 WHEN lat1 - lat2 < 0 THEN 3 ELSE 4 END AS quad FROM pairs) SELECT l_id, r_id, quad::BIGINT AS quad FROM q WHERE dist <= ([200.0, 150.0, 80.0, 120.0])[quad]",
 )
 def j14(spark, sf_dir):
-    near = sp.within_km(points(spark, sf_dir, "customer", "l_id"), points(spark, sf_dir, "supplier", "r_id"), 200.0)
+    left, right = sp.places(points(spark, sf_dir, "customer", "l_id"), "l_id", "_l"), sp.places(points(spark, sf_dir, "supplier", "r_id"), "r_id", "_r")
+    near = sp.places_within_km(left, right, 200.0)
     name = quadrant(F.col("lat1") - F.col("lat2"), F.col("lon1") - F.col("lon2"), F.col("lat2"))
     place = F.array_position(F.array(*map(F.lit, ("NE", "SE", "SW", "NW"))), name)
-    return near.withColumn("quad", place).where(F.col("dist") <= F.element_at(F.array(*map(F.lit, (200.0, 150.0, 80.0, 120.0))), F.col("quad").cast("int"))).select("l_id", "r_id", "quad")
+    reached = near.withColumn("quad", place).where(F.col("dist") <= F.element_at(F.array(*map(F.lit, (200.0, 150.0, 80.0, 120.0))), F.col("quad").cast("int")))
+    return sp.apart(reached.select("_l", "_r", "quad")).select("l_id", "r_id", "quad")
 
 
 @register("J15_event_lag_window", "WITH e AS (SELECT o_custkey AS unit, CAST(o_orderdate AS DATE) AS day, o_totalprice AS v FROM orders), x AS (SELECT unit, day + k::INT AS day, v FROM e, range(-1, 4) t(k)) SELECT unit, strftime(day, '%Y-%m-%d') AS day, round(sum(v), 2) AS v FROM x GROUP BY 1, 2")
