@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from hazeloom.operators.scans import carried
 from hazeloom.operators.summary import PARTS, in_tied_ranges
+from hazeloom.session import kept
 
 
 def calendar_spine(df: DataFrame, *, unit: str = "unit", day: str = "day") -> DataFrame:
@@ -68,10 +69,12 @@ def fuzzy_match(left: DataFrame, right: DataFrame, *, block: str, name: str, key
     changes at most ``gram`` of its distinct substrings of that length. So two such names share one
     of their first gram * d + 1 substrings in any fixed order (rare ones first), which is the
     equi-join key; names with no more substrings than that also meet by block alone, with all.
+    Equal names of a block are compared once, however many rows have them.
     """
     clean = lambda c: F.trim(F.regexp_replace(F.regexp_replace(F.lower(c), "[^a-z0-9 ]", " "), " +", " "))
-    a = left.select("l_key", block, clean(F.col(name)).alias("_a"))
-    b = right.select(block, key, clean(F.col(name)).alias("_b"))
+    named = kept(left.select("l_key", block, clean(F.col(name)).alias("_a")))
+    a = kept(named.select(block, "_a").distinct())
+    b = kept(right.groupBy(block, clean(F.col(name)).alias("_b")).agg(F.min(key).alias(key)))
 
     def grams(df: DataFrame, text: str) -> DataFrame:
         starts = F.sequence(F.lit(1), F.greatest(F.length(text) - gram + 1, F.lit(1)))
@@ -86,7 +89,7 @@ def fuzzy_match(left: DataFrame, right: DataFrame, *, block: str, name: str, key
         ordered = rare.groupBy(block, *own, text, "_first").agg(F.sort_array(F.collect_list(F.struct("_often", "_g"))).alias("_ts"))
         return ordered.withColumn("_few", F.size("_ts") < F.col("_first")).withColumn("_g", F.explode(F.slice("_ts", F.lit(1), F.col("_first")))).withColumn("_g", F.col("_g._g")).drop("_ts", "_first")
 
-    fa, fb = first(a, "_a", ["l_key"]), first(b, "_b", [key])
+    fa, fb = first(a, "_a", []), first(b, "_b", [key])
     pairs = fa.drop("_few").join(fb.drop("_few"), [block, "_g"]).drop("_g")
     short_a, short_b = fa.where("_few").drop("_few", "_g").distinct(), fb.where("_few").drop("_few", "_g").distinct()
     pairs = pairs.unionByName(short_a.join(b.drop("_gs"), block)).unionByName(a.drop("_gs").join(short_b, block)).distinct()
@@ -94,4 +97,6 @@ def fuzzy_match(left: DataFrame, right: DataFrame, *, block: str, name: str, key
     fits = F.least(F.length("_a"), F.length("_b")) >= longest * cut - 1e-9
     ratio = F.when(F.col("_a") == F.col("_b"), 1.0).otherwise(1 - F.levenshtein("_a", "_b") / longest)
     scored = pairs.where(fits).withColumn("ratio", ratio).where(F.col("ratio") >= cut)
-    return scored.groupBy("l_key").agg(F.max(F.struct("ratio", (-F.col(key)).alias("k"))).alias("m")).select("l_key", (-F.col("m.k")).alias(key), F.col("m.ratio").alias("ratio"))
+    best = F.max(F.struct("ratio", (-F.col(key)).alias("k"))).alias("m")
+    by_name = scored.groupBy(block, "_a").agg(best).select(block, "_a", (-F.col("m.k")).alias(key), F.col("m.ratio").alias("ratio"))
+    return named.join(by_name, [block, "_a"]).groupBy("l_key").agg(best).select("l_key", (-F.col("m.k")).alias(key), F.col("m.ratio").alias("ratio"))
