@@ -45,8 +45,6 @@ def enriched(stream: DataFrame, fixed: DataFrame, key: str) -> DataFrame:
     return stream.join(fixed, key, "left")
 
 
-#: Rows of a unit wait together for so many microseconds of event time.
-SLOT = 3_600_000_000
 HOUR = 3_600_000_000
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -60,22 +58,21 @@ def _in_order(stream: DataFrame, unit: str, ts: str, value: str, late: str) -> D
 class InOrder(StatefulProcessor):
     """A unit's rows in time order, however they come.
 
-    Rows wait in slots of event time, a state entry for each slot; a timer at the slot's end gives them to
-    ``feed`` in order and removes the entry, so a batch touches only the slots that its rows fall in. What
-    is carried from row to row is one value (``kind``). A further timer ends a unit's state ``idle_ms`` after
-    its last row has been fed, by way of ``end``, in the first batch after the watermark has passed it; a later row begins anew.
+    A unit has one state value and one timer. Rows above the watermark wait in the value; those that it has passed are given to
+    ``feed`` in order, in the unit's next batch or when the timer, set to the last row that waits, rings. So a row is written to state
+    once or twice, and calls to the state go by units of a batch, not by rows. What is carried from row to row are the
+    fields of ``kind``. A unit without a row for over ``idle_ms`` ends, by way of ``end``: before its next row, or in the first
+    batch after the watermark has passed that time.
     """
 
     kind, columns, types = "", (), {}
 
     def __init__(self, idle_ms: int):
-        self.idle_ms = idle_ms
+        self.idle = idle_ms * 1000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.open = handle.getValueState("open", self.kind)
-        self.waiting = handle.getMapState("waiting", "slot long", "t array<long>, v array<double>")
-        self.ends = handle.getValueState("ends", "at long")
+        self.state = handle.getValueState("unit", f"waiting_t array<long>, waiting_v array<double>, fed long, timer long, {self.kind}")
 
     def feed(self, key: Any, open_: tuple | None, t: int, v: float, out: list[tuple]) -> tuple:
         """The value carried on after a row; what is done goes to out."""
@@ -87,44 +84,56 @@ class InOrder(StatefulProcessor):
     def frame(self, out: list[tuple]) -> pd.DataFrame:
         return pd.DataFrame(out, columns=list(self.columns)).astype(self.types)
 
+    def advance(self, key: Any, waiting: list[tuple[int, float]], fed: int | None, timer: int | None, open_: tuple | None, passed: int, out: list[tuple]) -> None:
+        """Feeds what waits up to the watermark, and keeps the rest, the open value and the timer to come."""
+        waiting.sort()
+        n = 0
+        for t, v in waiting:
+            if t > passed:
+                break
+            if open_ is not None and t > fed + self.idle:
+                self.end(key, open_, out)
+                open_ = None
+            open_, fed, n = self.feed(key, open_, t, v, out), t, n + 1
+        waiting = waiting[n:]
+        if open_ is not None and passed >= fed + self.idle:  # no row within reach can come any more
+            self.end(key, open_, out)
+            open_ = None
+        due = None
+        if waiting or open_ is not None:
+            due = -(-(waiting[-1][0] if waiting else fed + self.idle) // 1000)
+        if timer is not None and timer != due:
+            self.handle.deleteTimer(timer)
+        if due is None:
+            self.state.clear()
+            return
+        if timer != due:
+            self.handle.registerTimer(due)
+        carried = open_ if open_ is not None else (None,) * (self.kind.count(",") + 1)
+        self.state.update(([t for t, _ in waiting], [v for _, v in waiting], fed if open_ is not None else None, due, *carried))
+
+    def held(self) -> tuple[list[tuple[int, float]], int | None, int | None, tuple | None]:
+        had = self.state.get() if self.state.exists() else None
+        if had is None:
+            return [], None, None, None
+        return list(zip(had[0], had[1], strict=True)), had[2], had[3], None if had[2] is None else tuple(had[4:])
+
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        passed = timerValues.getCurrentWatermarkInMs() * 1000
-        slots: dict[int, tuple[list[int], list[float]]] = {}
-        for frame in rows:
-            for t, v in zip(frame["t"].tolist(), frame["v"].tolist(), strict=True):
-                if t > passed:  # what is older has had its turn
-                    ts, vs = slots.setdefault(t // SLOT, ([], []))
-                    ts.append(t)
-                    vs.append(v)
-        for slot, (ts, vs) in slots.items():
-            if self.waiting.containsKey((slot,)):
-                had = self.waiting.getValue((slot,))
-                ts, vs = [*had[0], *ts], [*had[1], *vs]
-            else:
-                self.handle.registerTimer((slot + 1) * SLOT // 1000)
-            self.waiting.updateValue((slot,), (ts, vs))
-        yield self.frame([])
+        passed, out = timerValues.getCurrentWatermarkInMs() * 1000, []
+        waiting, fed, timer, open_ = self.held()
+        for frame in rows:  # what is older than the watermark has had its turn
+            waiting += [(t, v) for t, v in zip(frame["t"].tolist(), frame["v"].tolist(), strict=True) if t > passed]
+        self.advance(key[0], waiting, fed, timer, open_, passed, out)
+        if out:
+            yield self.frame(out)
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        at, out = expiredTimerInfo.getExpiryTimeInMs(), []
-        slot = at * 1000 // SLOT - 1
-        if at * 1000 % SLOT == 0 and self.waiting.containsKey((slot,)):
-            ts, vs = self.waiting.getValue((slot,))
-            self.waiting.removeKey((slot,))
-            now = self.open.get() if self.open.exists() else None
-            for t, v in sorted(zip(ts, vs, strict=True)):
-                now = self.feed(key[0], now, t, v, out)
-            self.open.update(now)
-            if self.ends.exists():
-                self.handle.deleteTimer(self.ends.get()[0])
-            ends = at + self.idle_ms + 1  # never a slot's end
-            self.ends.update((ends,))
-            self.handle.registerTimer(ends)
-        elif self.ends.exists() and self.ends.get()[0] == at:
-            self.end(key[0], self.open.get(), out)
-            self.open.clear()
-            self.ends.clear()
-        yield self.frame(out)
+        passed, out = timerValues.getCurrentWatermarkInMs() * 1000, []
+        waiting, fed, timer, open_ = self.held()
+        if timer == expiredTimerInfo.getExpiryTimeInMs():  # it is gone as it rings
+            self.advance(key[0], waiting, fed, None, open_, passed, out)
+        if out:
+            yield self.frame(out)
 
     def close(self) -> None:
         pass

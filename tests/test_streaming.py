@@ -90,3 +90,13 @@ def test_hours_filled_forward(spark):
         for (_, a, v), (_, b, _) in zip(own, own[1:], strict=False):
             want += [(u, h * HOUR, v) for h in range(-(-a // HOUR), -(-b // HOUR))]
     assert sorted(tuple(r) for r in spark.read.parquet(out).select("unit", "hour", "v").collect()) == sorted(want)
+
+
+def test_rows_of_many_hours_wait_in_one_entry(spark):
+    """Calls to the state go by units of a batch, not by hours or rows."""
+    folder, out, at = fl.scratch(spark, "in"), fl.scratch(spark, "out"), fl.scratch(spark, "at")
+    arrive(spark, folder, [(1, h * HOUR + 7, float(h % 5 > 0)) for h in range(300)])
+    arrive(spark, folder, [(99, 400 * HOUR, 0.0)])
+    assert max(run(spark, sd.run_events, folder, out, at, cut=0.5)) <= 16
+    got = sorted(tuple(r) for r in spark.read.parquet(out).select("unit", "first", "n").collect())
+    assert got == [(1, h * HOUR + 7, 4) for h in range(1, 296, 5)]
