@@ -321,8 +321,7 @@ CLIMATE = f"spread AS (SELECT unit, (({DOY} - 1 + k + 365) % 365) + 1 AS doy, v
 
 @register("A49_flag_composite", f"WITH {DAILY}, {CLIMATE}, a AS (SELECT d.unit, day, 100 * (v - clim) / clim AS pct, v > 60 AS flag, price FROM daily d JOIN clim c ON d.unit = c.unit AND {DOY} = c.doy) SELECT unit, round(count(*) FILTER (flag) / 7.0, 4) AS per_year, round(CASE WHEN count(*) FILTER (flag) >= 20 THEN avg(pct) FILTER (flag) END, 3) AS anomaly, round(CASE WHEN count(*) FILTER (flag) >= 20 THEN avg(price) FILTER (flag) END, 2) AS price FROM a GROUP BY 1")
 def a49(spark, sf_dir):
-    d = daily(spark, sf_dir)
-    a = ts.with_doy(d, ts.doy_mean(d)).withColumn("pct", F.expr("100 * (v - clim) / clim")).withColumn("flag", F.col("v") > 60)
+    a = ts.with_doy_mean(daily(spark, sf_dir)).withColumn("pct", F.expr("100 * (v - clim) / clim")).withColumn("flag", F.col("v") > 60)
     n = F.count_if("flag")
     mean = lambda c: F.when(n >= 20, F.avg(F.when(F.col("flag"), F.col(c))))
     return a.groupBy("unit").agg(F.round(n / 7.0, 4).alias("per_year"), F.round(mean("pct"), 3).alias("anomaly"), F.round(mean("price"), 2).alias("price"))

@@ -288,11 +288,10 @@ def c20(spark, sf_dir):
 
 @register("C21_hazard_days_by_scenario", f"WITH {DAILY}, spread AS (SELECT unit, (({DOY} - 1 + k + 365) % 365) + 1 AS doy, v FROM (SELECT * FROM daily WHERE year(day) <= 1997), range(-15, 16) t(k)), q AS (SELECT unit, doy, round(quantile_cont(v, 0.9), 6) AS p FROM spread GROUP BY ALL) SELECT d.unit, count(*) FILTER (v > p AND year(day) <= 1997)::BIGINT AS historic, count(*) FILTER (v > p AND year(day) >= 1999)::BIGINT AS future FROM daily d JOIN q ON d.unit = q.unit AND {DOY} = q.doy GROUP BY 1")
 def c21(spark, sf_dir):
-    d = daily(spark, sf_dir)
-    hot = ts.with_doy(d, ts.doy_percentile(d, 0.9, base=(1995, 1997))).where("v > round(threshold, 6)")
-    got = hot.groupBy("unit").agg(F.count_if(F.year("day") <= 1997).alias("historic"), F.count_if(F.year("day") >= 1999).alias("future"))
-    units = d.where(F.year("day").between(1995, 1997)).select("unit").distinct()
-    return units.join(got, "unit", "left").na.fill(0)
+    hot = ts.with_doy_percentile(daily(spark, sf_dir), 0.9, base=(1995, 1997)).withColumn("hot", F.expr("v > round(threshold, 6)"))
+    of = lambda years: F.count_if(F.col("hot") & years)
+    got = hot.groupBy("unit").agg(of(F.year("day") <= 1997).alias("historic"), of(F.year("day") >= 1999).alias("future"), F.count_if(F.year("day").between(1995, 1997)).alias("_base"))
+    return got.where("_base > 0").drop("_base")
 
 
 @register("C22_base_window", f"WITH {DAILY}, y AS (SELECT DISTINCT unit, year(day)::BIGINT AS yr FROM daily) SELECT unit, yr FROM (SELECT *, dense_rank() OVER (PARTITION BY unit ORDER BY yr DESC) AS k FROM y) WHERE k <= 3")

@@ -61,8 +61,7 @@ def w2(spark, sf_dir):
 
 @register("W3_anomaly", f"WITH {DAILY}, {SPREAD}, {CLIM} SELECT d.unit, strftime(day, '%Y-%m-%d') AS day, round(v - clim, 4) AS anomaly, round(100 * v / clim, 3) AS percent FROM daily d JOIN clim c ON d.unit = c.unit AND {DOY} = c.doy")
 def w3(spark, sf_dir):
-    d = daily(spark, sf_dir)
-    return ts.with_doy(d, ts.doy_mean(d)).select("unit", text_day(), F.round(F.col("v") - F.col("clim"), 4).alias("anomaly"), F.round(100 * F.col("v") / F.col("clim"), 3).alias("percent"))
+    return ts.with_doy_mean(daily(spark, sf_dir)).select("unit", text_day(), F.round(F.col("v") - F.col("clim"), 4).alias("anomaly"), F.round(100 * F.col("v") / F.col("clim"), 3).alias("percent"))
 
 
 @register("W4_persistence", f"WITH {FLAGGED} SELECT unit, strftime(day, '%Y-%m-%d') AS day, run_days::BIGINT AS run_days FROM islands WHERE run_days >= 2")
@@ -77,8 +76,7 @@ def w5(spark, sf_dir):
 
 @register("W6_deficit", f"WITH {DAILY}, {SPREAD}, {CLIM} SELECT d.unit, year(day)::BIGINT AS yr, count(*)::BIGINT AS days FROM daily d JOIN clim c ON d.unit = c.unit AND {DOY} = c.doy WHERE v < 0.5 * clim GROUP BY 1, 2")
 def w6(spark, sf_dir):
-    d = daily(spark, sf_dir)
-    return ts.with_doy(d, ts.doy_mean(d)).where("v < 0.5 * clim").groupBy("unit", F.year("day").cast("long").alias("yr")).agg(F.count("*").alias("days"))
+    return ts.with_doy_mean(daily(spark, sf_dir)).where("v < 0.5 * clim").groupBy("unit", F.year("day").cast("long").alias("yr")).agg(F.count("*").alias("days"))
 
 
 @register(
@@ -88,7 +86,7 @@ def w6(spark, sf_dir):
 def w7(spark, sf_dir):
     d = daily(spark, sf_dir)
     high = d.where(F.year("day") < 1999).groupBy("unit").agg(F.percentile("price", F.lit(0.75)).alias("p75"))
-    both = ts.with_doy(d, ts.doy_mean(d)).join(high, "unit").where("v < 0.9 * clim AND price > p75")
+    both = ts.with_doy_mean(d).join(high, "unit").where("v < 0.9 * clim AND price > p75")
     return both.groupBy(F.year("day").cast("long").alias("yr")).agg(F.count("*").alias("days"))
 
 
