@@ -47,28 +47,30 @@ def carried(
     own = {f"_c_{n}": c for states in (last, before, after, sums) for n, c in states.items()}
     rows = rows.withColumns(own)
     w = Window.partitionBy(unit, "_chunk").orderBy(*order)
-    upto, earlier, later = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(0, Window.unboundedFollowing)
+    upto, earlier = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
     local = {f"_l_{n}": F.last(f"_c_{n}", ignorenulls=True).over(upto) for n in last}
     local |= {f"_l_{n}": F.last(f"_c_{n}", ignorenulls=True).over(earlier) for n in before}
-    local |= {f"_l_{n}": F.first(f"_c_{n}", ignorenulls=True).over(later) for n in after}
     local |= {f"_l_{n}": F.sum(f"_c_{n}").over(upto) for n in sums}
     local |= {f"_s_{n}": F.last(f"_c_{n}", ignorenulls=True).over(upto) for n in before}
+    local["_nth"] = F.row_number().over(w)
     rows = rows.withColumns(local)
+    if after:  # backwards, as a frame without an end is summed anew for each row
+        later = Window.partitionBy(unit, "_chunk").orderBy(F.desc("_nth")).rowsBetween(Window.unboundedPreceding, 0)
+        rows = rows.withColumns({f"_l_{n}": F.last(f"_c_{n}", ignorenulls=True).over(later) for n in after})
     # A chunk's summary is what its rows in order end (or begin) with.
     state = {n: f"_l_{n}" for n in [*last, *after, *sums]} | {n: f"_s_{n}" for n in before}
-    place = F.row_number().over(w)
-    ends = rows.withColumn("_place", place).groupBy(F.col(unit).alias("_unit"), F.col("_chunk").alias("_of"))
-    picked = ends.agg(*[(F.min_by if n in after else F.max_by)(F.struct(F.col(state[n]).alias("x")), "_place").alias(f"_e_{n}") for n in names])
+    ends = rows.groupBy(F.col(unit).alias("_unit"), F.col("_chunk").alias("_of"))
+    picked = ends.agg(*[(F.min_by if n in after else F.max_by)(F.struct(F.col(state[n]).alias("x")), "_nth").alias(f"_e_{n}") for n in names])
     over = Window.partitionBy("_unit").orderBy("_of")
-    past, future = over.rowsBetween(Window.unboundedPreceding, -1), over.rowsBetween(1, Window.unboundedFollowing)
+    past, future = over.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("_unit").orderBy(F.desc("_of")).rowsBetween(Window.unboundedPreceding, -1)
     come = {f"_i_{n}": F.last(F.col(f"_e_{n}.x"), ignorenulls=True).over(past) for n in [*last, *before]}
-    come |= {f"_i_{n}": F.first(F.col(f"_e_{n}.x"), ignorenulls=True).over(future) for n in after}
+    come |= {f"_i_{n}": F.last(F.col(f"_e_{n}.x"), ignorenulls=True).over(future) for n in after}
     come |= {f"_i_{n}": F.sum(F.col(f"_e_{n}.x")).over(past) for n in sums}
     summaries = picked.select("_unit", "_of", *[c.alias(n) for n, c in come.items()])
     both = rows.join(summaries, F.col(unit).eqNullSafe(F.col("_unit")) & (F.col("_chunk") == F.col("_of")))
     out = {n: F.coalesce(f"_l_{n}", f"_i_{n}") for n in [*last, *before, *after]}
     out |= {n: F.when(F.col(f"_l_{n}").isNull(), F.col(f"_i_{n}")).otherwise(F.col(f"_l_{n}") + F.coalesce(f"_i_{n}", F.lit(0))) for n in sums}
-    return both.withColumns(out).drop("_chunk", "_unit", "_of", *[f"_{x}_{n}" for n in names for x in "clsi"])
+    return both.withColumns(out).drop("_chunk", "_nth", "_unit", "_of", *[f"_{x}_{n}" for n in names for x in "clsi"])
 
 
 def runs(df: DataFrame, *, unit: str = "unit", day: str = "day", flag: str = "flag", span: int | None = None) -> DataFrame:
@@ -120,6 +122,20 @@ def interpolated(df: DataFrame, value: str, name: str, *, unit: str = "unit", at
     return both.withColumn(name, line).drop("_0", "_1")
 
 
+def interpolated_steps(df: DataFrame, value: str, name: str, *, unit: str = "unit", at: str = "at", span: int | None = None) -> DataFrame:
+    """unit, at, name: interpolated() at every whole number from the unit's first row to its last; ``at`` is a whole number, once a unit.
+
+    What lies around a gap is found on the rows there are, then the steps of the gap are made of it, so no scan or join sees a step.
+    """
+    known = F.when(F.col(value).isNotNull(), F.struct(F.col(at).alias("t"), F.col(value).alias("v")))
+    left = carried(df.select(unit, at, value), unit=unit, order=[at], chunk=chunk_of(df, at, span), last={"_0": known})
+    both = carried(left, unit=unit, order=[F.desc(at)], chunk=-chunk_of(df, at, span), before={"_1": known, "_next": F.col(at)})
+    t0, t1, v0, v1 = F.col("_0.t"), F.col("_1.t"), F.col("_0.v"), F.col("_1.v")
+    steps = both.select(unit, "_0", "_1", F.explode(F.sequence(F.col(at), F.coalesce(F.col("_next") - 1, F.col(at)))).alias(at))
+    line = F.when(F.col("_0").isNull(), v1).when(F.col("_1").isNull() | (t0 == F.col(at)), v0).otherwise(v0 + (v1 - v0) * (F.col(at) - t0) / (t1 - t0))
+    return steps.select(unit, at, line.alias(name))
+
+
 def as_of(left: DataFrame, right: DataFrame, *, by: str, at: str, value: str, span: int | None = None) -> DataFrame:
     """left with the latest value of right at or before ``at``: a union and one scan, no range join."""
     both = left.withColumn("_v", F.lit(None).cast(right.schema[value].dataType)).withColumn("_left", F.lit(1)).unionByName(

@@ -219,8 +219,7 @@ HOURLY = "hourly AS (SELECT user_id AS unit, date_trunc('hour', ts) AS hour, rou
 def w23(spark, sf_dir):
     hours = F.expr("cast((unix_timestamp(date_trunc('hour', cast(ts as timestamp))) - unix_timestamp(timestamp'2024-01-01')) / 3600 as long)")
     e = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("unit"), hours.alias("h")).agg(F.avg("value").alias("v"))
-    spine = e.groupBy("unit").agg(F.min("h").alias("a"), F.max("h").alias("b")).select("unit", F.explode(F.sequence("a", "b")).alias("h"))
-    filled = sc.interpolated(spine.join(e, ["unit", "h"], "left"), "v", "x", at="h")
+    filled = sc.interpolated_steps(e, "v", "x", at="h")
     return filled.groupBy("unit", F.expr("h div 24").alias("day_no")).agg(F.round(F.sum("x"), 5).alias("total"))
 
 

@@ -3,10 +3,12 @@
 import datetime as dt
 import random
 import statistics
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
+from hazeloom.operators import scans as sc
 from hazeloom.operators import timeseries as ts
 
 
@@ -72,3 +74,42 @@ def test_days_are_not_copied_to_every_day_near(plain_plans, what):
     got = what(df)
     got.collect()
     assert max(m.get("numOutputRows", 0) for _, m in nodes(got)) < 1.2 * 2400
+
+
+def test_long_units_are_filled_in_time_that_grows_with_their_rows(spark):
+    """A frame without an end is summed anew for each row: 2 * 10 ** 9 steps for these."""
+    n = 60_000
+    df = spark.range(n).select(F.lit(1).alias("unit"), F.col("id").alias("at"), F.when(F.col("id") % 7 == 3, F.col("id") * 2.0).alias("v")).repartition(3)
+    begun = time.monotonic()
+    lines = sc.interpolated(df, "v", "x", span=n).agg(F.sum("x")).first()[0]
+    assert ts_lines(df) == pytest.approx(lines)
+    assert lines == pytest.approx(sum(2.0 * min(max(i, 3), (n - 4) // 7 * 7 + 3) for i in range(n)))
+    assert sc.filled_both_ways(df, "v", at="at", span=1).where("v IS NULL").count() == 0
+    assert time.monotonic() - begun < 30
+
+
+def ts_lines(df):
+    return df.select(ts.interpolated("v", "at").alias("x")).agg(F.sum("x")).first()[0]
+
+
+def test_steps_between_rows_against_interpolation_on_a_spine(plain_plans):
+    rng, rows = random.Random(3), []
+    for unit, n, none in ((1, 90, 0.2), (2, 1, 0.0), (3, 5, 1.0), (None, 20, 0.5)):
+        rows += [(unit, h, None if rng.random() < none else float(rng.randrange(100))) for h in rng.sample(range(-200, 700), n)]
+    df = plain_plans.createDataFrame(rows, "unit long, at long, v double")
+    spine = df.groupBy("unit").agg(F.min("at").alias("a"), F.max("at").alias("b")).select(F.col("unit").alias("u"), F.explode(F.sequence("a", "b")).alias("t"))
+    whole = spine.join(df, F.col("u").eqNullSafe(F.col("unit")) & (F.col("t") == F.col("at")), "left").select(F.col("u").alias("unit"), F.col("t").alias("at"), "v")
+    want = {(r.unit, r.at): r.x for r in sc.interpolated(whole, "v", "x", span=50).collect()}
+    steps = sc.interpolated_steps(df, "v", "x", span=50)
+    got = {(r.unit, r.at): r.x for r in steps.collect()}
+    assert got.keys() == want.keys() and steps.count() == len(want)
+    assert all(got[k] == (None if x is None else pytest.approx(x)) for k, x in want.items())
+    seen = [m.get("numOutputRows", 0) for n, m in nodes(steps) if n not in ("Generate", "Project") and "Codegen" not in n]
+    assert max(seen) <= len(rows) + 10
+
+
+def test_unit_totals_copy_no_row_for_their_counts(plain_plans, sf):
+    from hazeloom.plans import registry
+
+    plan = registry.queries()["A5_unit_totals"](plain_plans, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "Expand" not in plan
