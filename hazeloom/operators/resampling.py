@@ -205,8 +205,8 @@ def permutation_test(df: DataFrame, group: str, value: str, *, replicates: int,
 
     A shuffle only matters by how many labels each distinct value gets, a multivariate hypergeometric
     draw. Distinct values in order are the leaves of a binary tree; a node's labels are split between its halves by the
-    distribution function at a hash of (seed, node, replicate). A task goes down the path to its 64 values, whose
-    sums over the replicates are one array; no row is made for a unit and a replicate.
+    distribution function at a hash of (seed, node, replicate). A task goes down the paths to its runs of 64 values, each half once, and
+    its sums over the replicates are one array; no row is made for a unit and a replicate.
     """
     rows = df.where(F.col(value).isNotNull() & F.col(group).isNotNull())
     one = rows.agg(F.sum(group), F.count("*"), F.sum(value), F.sum(F.when(F.col(group) == 1, F.col(value)))).first()
@@ -234,12 +234,15 @@ def permutation_test(df: DataFrame, group: str, value: str, *, replicates: int,
 
     def of_batch(batch: pa.RecordBatch) -> dict[int, np.ndarray]:
         total_ = np.zeros(replicates)
+        path: list[tuple[int, np.ndarray, np.ndarray]] = []  # halves above the last part and their labels; the next part shares most
         for part, values in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             drawn = np.full(replicates, int(n1))
             for level in range(depth - below):  # down from the root
                 counts, child = upper[depth - below - level - 1], part >> (depth - below - level - 1)
-                left = labels((1 << level) + (child >> 1), int(counts[child & ~1]), int(counts[child | 1]), drawn)
-                drawn = drawn - left if child & 1 else left
+                if level >= len(path) or path[level][0] != child >> 1:
+                    left = labels((1 << level) + (child >> 1), int(counts[child & ~1]), int(counts[child | 1]), drawn)
+                    path[level:] = [(child >> 1, left, drawn - left)]
+                drawn = path[level][1 + (child & 1)]
             counts, value_of = np.zeros(1 << below, np.int64), np.zeros(1 << below)
             for x in values:
                 counts[x["at"] & ((1 << below) - 1)], value_of[x["at"] & ((1 << below) - 1)] = x["c"], x["v"]
@@ -255,7 +258,9 @@ def permutation_test(df: DataFrame, group: str, value: str, *, replicates: int,
             total_ += value_of @ now
         return {0: total_} if batch.num_rows else {}
 
-    dealt = ranges.groupBy("part").agg(F.collect_list(F.struct("at", "c", "v")).alias("leaves"))
+    # Few bytes but much work: a number of tasks is named, as they would be put together into one by their bytes. Neighbours share their way down.
+    tasks = min(len(sizes), 64 + len(sizes) // 16)
+    dealt = ranges.groupBy("part").agg(F.collect_list(F.struct("at", "c", "v")).alias("leaves")).repartitionByRange(tasks, "part").sortWithinPartitions("part")
     sums = replicate_rows(merged(task_arrays(dealt, of_batch)), ["s"])
     shuffled = sums.select(F.abs(F.col("s") / n1 - (total - F.col("s")) / (n - n1)).alias("d"))
     return shuffled.agg(F.lit(diff).alias("diff"), ((F.count_if(F.col("d") >= abs(diff) - 1e-9) + 1) / (F.count("*") + 1)).alias("p"))

@@ -8,6 +8,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from hazeloom.operators import resampling as rs
 from hazeloom.operators import scans as sc
 from hazeloom.operators import timeseries as ts
 
@@ -113,3 +114,23 @@ def test_unit_totals_copy_no_row_for_their_counts(plain_plans, sf):
 
     plan = registry.queries()["A5_unit_totals"](plain_plans, sf)._jdf.queryExecution().executedPlan().toString()
     assert "Expand" not in plan
+
+
+def test_permutations_go_down_shared_paths_once_and_over_tasks(spark, monkeypatch):
+    """Tasks would be put together by their few bytes; the task of each part is seen on the way to the sums."""
+    rng = random.Random(5)
+    rows = [(rng.random(), rng.randrange(2)) for _ in range(1100)]
+    seen, calls = [], []
+    whole, draw = rs.task_arrays, rs.hypergeometric
+
+    def spied(df, of_batch):
+        seen.append(df.withColumn("task", F.spark_partition_id()).groupBy("task").count().count())
+        monkeypatch.setattr(rs, "hypergeometric", lambda *a: calls.append(a[0]) or draw(*a))
+        of_batch(df.coalesce(1).sortWithinPartitions("part").toArrow().to_batches()[0])
+        monkeypatch.setattr(rs, "hypergeometric", draw)
+        return whole(df, of_batch)
+
+    monkeypatch.setattr(rs, "task_arrays", spied)
+    rs.permutation_test(spark.createDataFrame(rows, "v double, g int"), "g", "v", replicates=50).collect()
+    assert seen[0] > 8
+    assert len(calls) == 1100 - 1  # a draw for each node that has two halves
