@@ -74,7 +74,7 @@ def scored_sql(last: int, year: int) -> str:
 )
 def c3(spark, sf_dir):
     """Quantile maps by month or season, or none: fitted on two years, chosen on the third, the raw values 0.1 % ahead on ties; the choice fitted again on three, tested on the fourth."""
-    p = pair(spark, sf_dir).withColumn("month", F.month("day"))
+    p = kept(pair(spark, sf_dir).withColumn("month", F.month("day")))  # read ten times
     rmse = lambda c: F.sqrt(F.avg((F.col(c) - F.col("obs")) * (F.col(c) - F.col("obs")))).alias("rmse")
 
     def scored(last: int, year: int):
