@@ -170,6 +170,31 @@ def discounts(numbers: np.ndarray) -> np.ndarray:
     return np.array([0.0, *(min(max(x, 0.05), k - 0.05) for k, x in zip((1, 2, 3), d, strict=True))])
 
 
+def node_sums(count: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """For each node (from its start to the next): the sum of its counts, and how many are 1, 2, and 3 or more."""
+    if not len(starts):
+        return np.zeros((4, 0), np.int64)
+    return np.add.reduceat(np.array([count, count == 1, count == 2, count >= 3], np.int64), starts, axis=1)
+
+
+class Given(NamedTuple):
+    """What holds of more trigrams than a trie's own: discounts, all counts of two words (context, word), and node_sums() of some nodes.
+
+    Nodes are in ascending order: contexts of the first level, (context, word before it) of the second.
+    """
+
+    off2: np.ndarray
+    off3: np.ndarray
+    context: np.ndarray
+    word: np.ndarray
+    count: np.ndarray
+    nodes2: np.ndarray
+    sums2: np.ndarray
+    nodes3_context: np.ndarray
+    nodes3_before: np.ndarray
+    sums3: np.ndarray
+
+
 class Trie:
     """Trigrams by (context, word before it, word): smoothed probabilities as multiples of one step of log10.
 
@@ -179,8 +204,11 @@ class Trie:
     word_codes gives those of single words.
     """
 
-    def __init__(self, context: np.ndarray, before: np.ndarray, word: np.ndarray, count: np.ndarray, word_codes, step: float):
-        """Distinct trigrams by (context, before, word), with their counts; codes3 has their codes in this order."""
+    def __init__(self, context: np.ndarray, before: np.ndarray, word: np.ndarray, count: np.ndarray, word_codes, step: float, given: Given | None = None):
+        """Distinct trigrams by (context, before, word), with their counts; codes3 has their codes in this order.
+
+        With ``given``, counts of 0 only mark that a node is there, and every (context, word) of a trigram is among the given ones.
+        """
         self.word_codes, self.step = word_codes, step
         # Two words: (context, word).
         order = np.lexsort((word, context))
@@ -190,9 +218,16 @@ class Trie:
         place[order] = np.cumsum(new) - 1
         first = np.flatnonzero(new)
         c, w, n = c[first], w[first], np.add.reduceat(count[order], first) if len(first) else count[:0]
+        if given:
+            ids = int(max(given.word.max(initial=0), w.max(initial=0))) + 1
+            place = np.searchsorted(given.context * ids + given.word, c * ids + w)[place]
+            c, w, n = given.context, given.word, given.count
         starts = np.append(np.flatnonzero(np.append(True, c[1:] != c[:-1])[: len(c)]), len(c))
         keys = c[starts[:-1]]
-        probability, back = self.smoothed(n, starts, self.probability(word_codes(w)))
+        sums = node_sums(n, starts[:-1])
+        if given:
+            sums[:, np.searchsorted(keys, given.nodes2)] = given.sums2
+        probability, back = self.smoothed(n, starts, self.probability(word_codes(w)), sums, given.off2 if given else None)
         codes2, back2 = self.codes(probability), self.codes(back)
         successors = Ranges.of(starts, w)
         relative = place - np.repeat(starts[:-1], np.diff(starts))[place] if len(place) else place
@@ -200,9 +235,12 @@ class Trie:
         c, b = context, before
         new = np.append(True, (c[1:] != c[:-1]) | (b[1:] != b[:-1]))[: len(c)]
         starts = np.append(np.flatnonzero(new), len(c))
-        probability, back = self.smoothed(count, starts, self.probability(codes2[place].astype(np.int64)))
+        heads, sums = starts[:-1], node_sums(count, starts[:-1])
+        if given:
+            ids = int(max(b.max(initial=0), given.nodes3_before.max(initial=0))) + 1
+            sums[:, np.searchsorted(c[heads] * ids + b[heads], given.nodes3_context * ids + given.nodes3_before)] = given.sums3
+        probability, back = self.smoothed(count, starts, self.probability(codes2[place].astype(np.int64)), sums, given.off3 if given else None)
         codes3, back3 = self.codes(probability), self.codes(back)
-        heads = starts[:-1]
         befores = Ranges.of(np.searchsorted(c[heads], np.append(keys, np.iinfo(np.int64).max)), b[heads])
         self.keys, self.successors, self.codes2, self.back2, self.befores, self.relative, self.codes3, self.back3 = in_one_map(
             [Sequence.of(keys), successors, codes2, back2, befores, Ranges.of(starts, relative), codes3, back3]
@@ -216,15 +254,14 @@ class Trie:
         return np.minimum(np.rint(-np.log10(np.maximum(probability, 1e-300)) / self.step), 65_535).astype(np.uint16)
 
     @staticmethod
-    def smoothed(count: np.ndarray, starts: np.ndarray, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(probability of each successor, what each node leaves to the lower level)."""
+    def smoothed(count: np.ndarray, starts: np.ndarray, lower: np.ndarray, sums: np.ndarray, off: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """(probability of each successor, what each node leaves to the lower level); sums: node_sums(), off: discounts if not these counts' own."""
         if not len(count):
             return np.empty(0), np.empty(0)
-        off = discounts(np.bincount(np.minimum(count, 5), minlength=6)[1:5])[np.minimum(count, 3)]
+        off = discounts(np.bincount(np.minimum(count, 5), minlength=6)[1:5]) if off is None else off
         node = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
-        total = np.add.reduceat(count, starts[:-1]).astype(float)
-        back = np.add.reduceat(off, starts[:-1]) / total
-        return (count - off) / total[node] + back[node] * lower, back
+        back = (off[1] * sums[1] + off[2] * sums[2] + off[3] * sums[3]) / sums[0]
+        return (count - off[np.minimum(count, 3)]) / sums[0][node] + back[node] * lower, back
 
     def query(self, context: np.ndarray, before: np.ndarray, word: np.ndarray) -> np.ndarray:
         """The code of each word after its two words, whether the trie has them or not."""

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hazeloom.llm.common import cut
-from hazeloom.llm.elias_fano import Trie, discounts
+from hazeloom.llm.elias_fano import Given, Trie, discounts, node_sums
 from hazeloom.llm.shingles import bytes_of, mix, slices, word_hashes
 from hazeloom.session import ensure_checkpoint_dir
 
@@ -83,6 +83,20 @@ class Vocabulary(NamedTuple):
         out[ids == self.words + 1] = self.hot_begin
         return out
 
+    @property
+    def ids(self) -> int:
+        """More than any number: words, the unknown one, the begin and one for none."""
+        return self.words + 3
+
+    def pieces(self, ids: np.ndarray, by: np.ndarray) -> np.ndarray:
+        """A number for each word, and one for each piece of a cut word, which are dealt by a second number."""
+        cuts, out = self.parts_of(ids), ids.copy()
+        wide = np.flatnonzero(cuts > 1)
+        first = np.append(np.cumsum(self.hot) - self.hot, self.hot.sum())
+        which = np.where(ids[wide] == self.words + 1, len(self.hot), ids[wide])
+        out[wide] = self.ids + first[which] + (mix(by[wide].astype(np.uint64) + np.uint64(1)) % cuts[wide].astype(np.uint64)).astype(np.int64)
+        return out
+
 
 def token_blocks(docs: DataFrame, id_col: str, text_col: str, block_tokens: int, held) -> DataFrame:
     """Documents in blocks of about block_tokens tokens: ids, sizes, tokens as places in the block's words, words as hashes by falling frequency."""
@@ -212,24 +226,16 @@ def vocabulary_of(totals: DataFrame, shard_bits: int, part_tokens: int, begins:
     return Vocabulary(tokens, words, np.append(start[kinds], words), codes, offsets, shard_bits, hot, max(1, math.ceil(2 * begins / part_tokens)))
 
 
-#: Rows between tasks: trigrams to a part, or sums to a block, and beside them what a block's documents have of their own.
-ROWS = pa.schema(
-    [("key", pa.int64()), ("block", pa.int64()), ("payload", pa.binary()), ("doc_ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_()))]
-    + [("sizes", pa.list_(pa.int64())), ("known", pa.list_(pa.int64())), ("base", pa.list_(pa.float64()))]
-)
-ROWS_SQL = "key long, block long, payload binary, doc_ids array<long>, held array<boolean>, sizes array<long>, known array<long>, base array<double>"
-
-
-def table_of(rows: list[tuple], schema: pa.Schema) -> pa.Table:
+def rows_of(rows: list[tuple], schema: pa.Schema) -> pa.Table:
     columns = zip(*rows, strict=True) if rows else [[]] * len(schema)
     return pa.Table.from_arrays([pa.array(v, f.type) for v, f in zip(columns, schema, strict=True)], schema=schema)
 
 
-def trigrams(blocks: DataFrame, totals: DataFrame, vocabulary: Vocabulary, parts: int) -> DataFrame:
-    """A block's trigrams dealt to parts by their middle word, and (key below 0) its documents with their base scores."""
+def numbered(blocks: DataFrame, totals: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """block, payload: the count and number of each of a block's words."""
+    back = pa.schema([("block", pa.int64()), ("payload", pa.binary())])
 
-    def send(own: pa.Table, got: pa.Table) -> pa.Table:
-        block = own["block"][0].as_py()
+    def number(own: pa.Table, got: pa.Table) -> pa.Table:
         words = np.frombuffer(own["words"][0].as_buffer(), np.uint64)
         order = np.argsort(words)
         count, number = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
@@ -240,79 +246,252 @@ def trigrams(blocks: DataFrame, totals: DataFrame, vocabulary: Vocabulary, parts
             kind = np.where(c > 0, class_of(c), MOST_CLASSES)
             count[order[a:b]] = c
             number[order[a:b]] = vocabulary.offsets[s, kind] + np.where(c > 0, within, 0)
-        token = unsqueezed(own["tokens"][0].as_py())[0]
-        sizes = np.array(own["sizes"][0].as_py(), np.int64)
-        starts = np.cumsum(sizes) - sizes
-        doc = np.repeat(np.arange(len(sizes)), sizes)
-        log = np.log10(count + 1.0) - math.log10(vocabulary.tokens + vocabulary.words + 1)
-        base = np.bincount(doc, log[token], len(sizes))
-        known = np.bincount(doc, count[token] > 0, len(sizes)).astype(np.int64)
-        begin = vocabulary.words + 1
-        word = number[token]
-        middle = np.append(begin, word[:-1])
-        middle[starts] = begin
-        before = np.append(begin, middle[:-1])
-        before[starts] = begin
-        held = own["held"][0].as_py()
-        # A frequent middle word is a context for each class of the word before it; where that is frequent too, for each class of documents.
-        cuts = vocabulary.parts_of(middle)
-        wide = np.flatnonzero(cuts > 1)
-        salt = mix(doc[wide].astype(np.uint64) + mix(np.uint64([block % 2**63]))[0])
-        by_word = vocabulary.parts_of(before[wide]) == 1
-        salt[by_word] = mix(before[wide][by_word].astype(np.uint64) + np.uint64(1))
-        context = middle.copy()
-        first = np.cumsum(vocabulary.hot) - vocabulary.hot
-        where = np.where(middle[wide] == begin, begin + 1 + int(vocabulary.hot.sum()), begin + 1 + first[np.minimum(middle[wide], max(0, len(first) - 1))] if len(first) else 0)
-        context[wide] = where + (salt % cuts[wide].astype(np.uint64)).astype(np.int64)
-        part = (mix(context.astype(np.uint64) + np.uint64(1)) % np.uint64(parts)).astype(np.int32)
-        order = np.argsort(part, kind="stable")
-        bounds = np.searchsorted(part[order], np.arange(parts + 1))
-        trained = ~np.array(held, bool)
+        return rows_of([(own["block"][0].as_py(), squeezed(count, number))], back)
+
+    left = blocks.select("block", "words").groupBy("block")
+    return left.cogroup(totals.filter("block >= 0").groupBy("block")).applyInArrow(number, "block long, payload binary")
+
+
+class Grams(NamedTuple):
+    """Distinct trigrams by (middle, before, word), with how often training has each."""
+
+    middle: np.ndarray
+    before: np.ndarray
+    word: np.ndarray
+    count: np.ndarray
+
+    @staticmethod
+    def of(middle: np.ndarray, before: np.ndarray, word: np.ndarray, count: np.ndarray, ids: int) -> tuple[Grams, np.ndarray]:
+        """The trigrams of rows whose numbers are below ids, and the place of each row's."""
+        pairs, pair = np.unique(middle * ids + before, return_inverse=True)
+        found, place = np.unique(pair * ids + word, return_inverse=True)
+        pair = pairs[found // ids]
+        return Grams(pair // ids, pair % ids, found % ids, summed(count, place, len(found))), place
+
+    def take(self, i: np.ndarray) -> Grams:
+        return Grams(*(x[i] for x in self))
+
+
+def summed(count: np.ndarray, place: np.ndarray, n: int) -> np.ndarray:
+    return np.bincount(place, count, n).astype(np.int64)
+
+
+class Block(NamedTuple):
+    """A block's documents and trigrams: the trigram of each token, and the trigrams of each part (order, bounds)."""
+
+    doc_ids: list
+    held: np.ndarray
+    sizes: np.ndarray
+    known: np.ndarray
+    base: np.ndarray
+    gram: np.ndarray
+    grams: Grams
+    order: np.ndarray
+    bounds: np.ndarray
+
+
+def block_of(own: pa.Table, vocabulary: Vocabulary, parts: int) -> Block:
+    count, number = unsqueezed(own["payload"][0].as_py())
+    token = unsqueezed(own["tokens"][0].as_py())[0]
+    sizes, held = np.array(own["sizes"][0].as_py(), np.int64), np.array(own["held"][0].as_py(), bool)
+    starts = np.cumsum(sizes) - sizes
+    doc = np.repeat(np.arange(len(sizes)), sizes)
+    log = np.log10(count + 1.0) - math.log10(vocabulary.tokens + vocabulary.words + 1)
+    base = np.bincount(doc, log[token], len(sizes))
+    known = np.bincount(doc, count[token] > 0, len(sizes)).astype(np.int64)
+    begin = vocabulary.words + 1
+    word = number[token]
+    middle = np.append(begin, word[:-1])
+    middle[starts] = begin
+    before = np.append(begin, middle[:-1])
+    before[starts] = begin
+    grams, gram = Grams.of(middle, before, word, ~held[doc], vocabulary.ids)
+    part = part_of(grams, vocabulary, parts)
+    order = np.argsort(part, kind="stable")
+    return Block(own["doc_ids"][0].as_py(), held, sizes, known, base, gram, grams, order, np.searchsorted(part[order], np.arange(parts + 1)))
+
+
+def part_of(grams: Grams, vocabulary: Vocabulary, parts: int) -> np.ndarray:
+    """Each trigram's part, by its middle word; one too frequent is cut by the word before it, and where that is as frequent, by the word itself."""
+    by = np.where(vocabulary.parts_of(grams.before) > 1, vocabulary.ids + grams.word, grams.before)
+    return (mix(vocabulary.pieces(grams.middle, by).astype(np.uint64) + np.uint64(1)) % np.uint64(parts)).astype(np.int64)
+
+
+#: Rows between tasks: trigrams to a part, or codes to a block.
+ROWS = pa.schema([("key", pa.int64()), ("block", pa.int64()), ("payload", pa.binary())])
+ROWS_SQL = "key long, block long, payload binary"
+
+
+def trigrams(whole: DataFrame, vocabulary: Vocabulary, parts: int) -> DataFrame:
+    """A block's distinct trigrams, dealt to parts."""
+
+    def send(own: pa.Table) -> pa.Table:
+        name, block = own["block"][0].as_py(), block_of(own, vocabulary, parts)
         rows = []
-        for p in np.flatnonzero(np.diff(bounds)).tolist():
-            i = order[bounds[p] : bounds[p + 1]]
-            d = doc[i]
-            rows.append((p, block, squeezed(np.diff(d, prepend=0), trained[d], context[i], before[i], word[i]), None, None, None, None, None))
-        rows.append((-1 - block, block, None, own["doc_ids"][0].as_py(), held, sizes.tolist(), known.tolist(), base.tolist()))
-        return table_of(rows, ROWS)
-
-    left = blocks.select("block", "doc_ids", "held", "sizes", "tokens", "words").groupBy("block")
-    return left.cogroup(totals.filter("block >= 0").groupBy("block")).applyInArrow(send, ROWS_SQL)
-
-
-def answers(dealt: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """Each part's trie, and what its trigrams add to each document of each block."""
-
-    def answer(group: pa.Table) -> pa.Table:
-        if group["key"][0].as_py() < 0:
-            return group
-        blocks = group["block"].to_pylist()
-        columns = [unsqueezed(x.as_py()) for x in group["payload"]]
-        sizes = [len(c[0]) for c in columns]
-        docs = [np.cumsum(c[0]) for c in columns]
-        trained, context, before, word = (np.concatenate([c[k] for c in columns]) for k in range(1, 5))
-        del columns
-        order = np.lexsort((word, before, context))
-        context, before, word = context[order], before[order], word[order]
-        new = np.append(True, (context[1:] != context[:-1]) | (before[1:] != before[:-1]) | (word[1:] != word[:-1]))
-        first = np.flatnonzero(new)
-        count = np.add.reduceat(trained[order], first)
-        context, before, word = context[first], before[first], word[first]
-        seen = count > 0
-        trie = Trie(context[seen], before[seen], word[seen], count[seen], vocabulary.word_codes, STEP)
-        code = np.empty(len(first), np.int64)
-        code[seen] = trie.codes3
-        code[~seen] = trie.query(context[~seen], before[~seen], word[~seen])
-        each = np.empty(len(order), np.int64)
-        each[order] = code[np.cumsum(new) - 1]
-        rows, at = [], 0
-        for block, n, d in zip(blocks, sizes, docs, strict=True):
-            starts = np.flatnonzero(np.append(True, d[1:] != d[:-1]))
-            rows.append((block, block, squeezed(np.diff(d[starts], prepend=0), np.add.reduceat(each[at : at + n], starts)), None, None, None, None, None))
-            at += n
-        return table_of(rows, ROWS)
+        for p in np.flatnonzero(np.diff(block.bounds)).tolist():
+            g = block.grams.take(block.order[block.bounds[p] : block.bounds[p + 1]])
+            rows.append((p, name, squeezed(np.diff(g.middle, prepend=0), g.before, g.word, g.count)))
+        return rows_of(rows, ROWS)
+
+    return whole.groupBy("block").applyInArrow(send, ROWS_SQL)
+
+
+def gathered(group: pa.Table, ids: int) -> tuple[Grams, np.ndarray, list[int]]:
+    """A part's trigrams, the place of each that a block sent, and how many each block sent."""
+    columns = [unsqueezed(x.as_py()) for x in group["payload"]]
+    sizes = [len(c[0]) for c in columns]
+    middle = np.concatenate([np.cumsum(c[0]) for c in columns])
+    return *Grams.of(middle, *(np.concatenate([c[k] for c in columns]) for k in range(1, 4)), ids), sizes
+
+
+class Shared(NamedTuple):
+    """What a part knows only a piece of: (words, sums, shards) of pairs whose first word is cut, and of nodes that are cut.
+
+    twos: pairs (middle, word) of cut middle words with their count; nodes: (middle, before) where both are cut, with node_sums().
+    """
+
+    twos: np.ndarray
+    twos_count: np.ndarray
+    twos_shard: np.ndarray
+    nodes: np.ndarray
+    nodes_sums: np.ndarray
+    nodes_shard: np.ndarray
+
+
+def two_words(grams: Grams, ids: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(middle, word, count) of a part's pairs."""
+    pairs, place = np.unique(grams.middle * ids + grams.word, return_inverse=True)
+    return pairs // ids, pairs % ids, summed(grams.count, place, len(pairs))
+
 
-    return dealt.groupBy("key").applyInArrow(answer, ROWS_SQL)
+def shared_of(grams: Grams, vocabulary: Vocabulary, parts: int) -> Shared:
+    ids = vocabulary.ids
+    of_cut = grams.take(np.flatnonzero(vocabulary.parts_of(grams.middle) > 1))
+    middle, word, count = two_words(of_cut, ids)
+    shard = lambda piece: (mix(piece.astype(np.uint64) + np.uint64(1)) % np.uint64(parts)).astype(np.int64)
+    both = of_cut.take(np.flatnonzero(vocabulary.parts_of(of_cut.before) > 1))
+    starts = np.flatnonzero(np.append(True, (both.middle[1:] != both.middle[:-1]) | (both.before[1:] != both.before[:-1]))[: len(both.middle)])
+    nodes = both.middle[starts] * ids + both.before[starts]
+    return Shared(middle * ids + word, count, shard(vocabulary.pieces(middle, word)), nodes, node_sums(both.count, starts), shard(mix(nodes.astype(np.uint64)) >> np.uint64(8)))
+
+
+def of_counts(count: np.ndarray) -> np.ndarray:
+    """How many counts are 1, 2, 3 and 4."""
+    return np.bincount(np.minimum(count, 5), minlength=6)[1:5]
+
+
+#: Sums between tasks: to a shard of what is shared, or (shard -1) to all.
+SUMS = pa.schema([("shard", pa.int64()), ("part", pa.int64()), ("kind", pa.int32()), ("payload", pa.binary())])
+SUMS_SQL = "shard long, part long, kind int, payload binary"
+
+
+def counted(dealt: DataFrame, vocabulary: Vocabulary, parts: int) -> DataFrame:
+    """What a part counts: (shard -1) how many counts of three and of two words are 1 to 4; and to shards the parts of what is shared."""
+
+    def count(group: pa.Table) -> pa.Table:
+        part = group["key"][0].as_py()
+        grams, _, _ = gathered(group, vocabulary.ids)
+        middle, _, twos = two_words(grams, vocabulary.ids)
+        rows = [(-1, part, 0, squeezed(of_counts(twos[vocabulary.parts_of(middle) == 1]), of_counts(grams.count)))]
+        own = shared_of(grams, vocabulary, parts)
+        for kind, keys, values, shard in ((2, own.twos, own.twos_count[None], own.twos_shard), (3, own.nodes, own.nodes_sums, own.nodes_shard)):
+            for s in np.unique(shard).tolist():
+                i = np.flatnonzero(shard == s)
+                rows.append((s, part, kind, squeezed(np.diff(keys[i], prepend=0), *values[:, i])))
+        return rows_of(rows, SUMS)
+
+    return dealt.groupBy("key").applyInArrow(count, SUMS_SQL)
+
+
+def totalled(sums: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """What is shared, added up over all parts and sent back to each; (part -1) sums of cut words over a shard, and how many of their counts are 1 to 4."""
+
+    def total(group: pa.Table) -> pa.Table:
+        shard, rows = group["shard"][0].as_py(), []
+        for kind in (2, 3):
+            mine = [(p, unsqueezed(x.as_py())) for p, k, x in zip(group["part"].to_pylist(), group["kind"].to_pylist(), group["payload"], strict=True) if k == kind]
+            if not mine:
+                continue
+            keys, place = np.unique(np.concatenate([np.cumsum(c[0]) for _, c in mine]), return_inverse=True)
+            values = np.array([summed(np.concatenate([c[v] for _, c in mine]), place, len(keys)) for v in range(1, len(mine[0][1]))])
+            at = 0
+            for p, c in mine:
+                rows.append((shard, p, kind, squeezed(*values[:, place[at : at + len(c[0])]])))
+                at += len(c[0])
+            if kind == 2:
+                middle = keys // vocabulary.ids
+                starts = np.flatnonzero(np.append(True, middle[1:] != middle[:-1]))
+                rows.append((shard, -1, 0, squeezed(of_counts(values[0]))))
+                rows.append((shard, -1, 2, squeezed(middle[starts], *node_sums(values[0], starts))))
+        return rows_of(rows, SUMS)
+
+    return sums.filter("shard >= 0").groupBy("shard").applyInArrow(total, SUMS_SQL)
+
+
+class Whole(NamedTuple):
+    """What all parts come to: discounts of two and three words, and the cut words with their node_sums()."""
+
+    off2: np.ndarray
+    off3: np.ndarray
+    words: np.ndarray
+    sums: np.ndarray
+
+
+def whole_of(sums: DataFrame, totals: DataFrame) -> Whole:
+    """A few numbers for each part and each piece of a cut word."""
+    two, three = np.zeros(4, np.int64), np.zeros(4, np.int64)
+    for r in sums.filter("shard = -1").select("payload").collect():
+        a, b = unsqueezed(bytes(r["payload"]))
+        two, three = two + a, three + b
+    words, values = [np.empty(0, np.int64)], [np.empty((4, 0), np.int64)]
+    for r in totals.filter("part = -1").select("kind", "payload").collect():
+        columns = unsqueezed(bytes(r["payload"]))
+        if r["kind"] == 0:
+            two = two + columns[0]
+        else:
+            words, values = [*words, columns[0]], [*values, np.array(columns[1:])]
+    own, place = np.unique(np.concatenate(words), return_inverse=True)
+    both = np.concatenate(values, axis=1)
+    return Whole(discounts(two), discounts(three), own, np.array([summed(v, place, len(own)) for v in both]))
+
+
+def answers(dealt: DataFrame, totals: DataFrame, vocabulary: Vocabulary, whole: Whole, parts: int) -> DataFrame:
+    """Each part's trie, and the code of each trigram that a block sent."""
+    ids, words = vocabulary.ids, vocabulary.words
+    nobody = words + 2  # follows each cut word and node, so that each has a place in the trie
+
+    def answer(group: pa.Table, got: pa.Table) -> pa.Table:
+        part = group["key"][0].as_py()
+        grams, place, sizes = gathered(group, ids)
+        own = shared_of(grams, vocabulary, parts)
+        for kind, values, shard in ((2, own.twos_count[None], own.twos_shard), (3, own.nodes_sums, own.nodes_shard)):
+            for s, k, x in zip(got["shard"].to_pylist(), got["kind"].to_pylist(), got["payload"], strict=True):
+                if k == kind:
+                    values[:, np.flatnonzero(shard == s)] = np.array(unsqueezed(x.as_py()))
+        seen = np.flatnonzero(grams.count > 0)
+        live = own.nodes_sums[0] > 0
+        nodes, nodes_sums = own.nodes[live], own.nodes_sums[:, live]
+        middle, word, count = two_words(grams.take(seen), ids)
+        whole_word = vocabulary.parts_of(middle) == 1
+        there = own.twos_count > 0
+        twos = np.concatenate((middle[whole_word] * ids + word[whole_word], own.twos[there], whole.words * ids + nobody))
+        twos_count = np.concatenate((count[whole_word], own.twos_count[there], np.zeros(len(whole.words), np.int64)))
+        order = np.argsort(twos)
+        twos, twos_count = twos[order], twos_count[order]
+        all_of = [np.concatenate(x) for x in zip(grams.take(seen), (nodes // ids, nodes % ids, np.full(len(nodes), nobody), np.zeros(len(nodes), np.int64)), strict=True)]
+        order = np.lexsort(all_of[2::-1])
+        given = Given(whole.off2, whole.off3, twos // ids, twos % ids, twos_count, whole.words, whole.sums, nodes // ids, nodes % ids, nodes_sums)
+        trie = Trie(*(x[order] for x in all_of), vocabulary.word_codes, STEP, given)
+        codes3 = np.empty(len(order), np.int64)
+        codes3[order] = trie.codes3
+        code = np.empty(len(grams.count), np.int64)
+        code[seen] = codes3[: len(seen)]
+        rest = np.flatnonzero(grams.count == 0)
+        code[rest] = trie.query(grams.middle[rest], grams.before[rest], grams.word[rest])
+        sent, at = code[place], np.cumsum([0, *sizes])
+        return rows_of([(part, b, squeezed(sent[x:y])) for b, x, y in zip(group["block"].to_pylist(), at, at[1:], strict=False)], ROWS)
+
+    return dealt.groupBy("key").cogroup(totals.filter("part >= 0").groupBy("part")).applyInArrow(answer, ROWS_SQL)
 
 
 def language_model_scores(
@@ -327,10 +506,12 @@ def language_model_scores(
     1/4096 of log10, so that sums are integers and reruns agree. Words of like count (nine percent)
     share one probability in the lowest level.
 
-    Trigrams are dealt by middle word to parts of about ``part_tokens`` tokens, each of which builds its trie, estimates its
-    discounts and answers for its own. A word too frequent for a part is cut into contexts by a hash of
-    the word before it, and where that is as frequent, by a hash of the document, so that no
-    word, pair or passage lands in one task. A task holds a block of ``block_tokens`` (or one longer text) or a part.
+    Blocks send their distinct trigrams, dealt by middle word to parts of about ``part_tokens`` tokens, and a word too frequent for a
+    part is cut into pieces by a hash of the word before it, and where that is as frequent, of the word itself, so that no
+    word, pair or passage lands in one task. Parts count first: discounts, the counts of two words whose first is cut and the
+    sums of cut nodes are added up over all parts. Then each part builds its trie with these and answers for its own, so
+    scores are those of one model, however many blocks and parts there are. A task holds a block of
+    ``block_tokens`` (or one longer text) or a part.
 
     Null, empty and blank texts have the end only. A null id is not held out. Repeated rows and
     ids are documents each for itself; other columns are not read. Empty tables give no rows.
@@ -346,19 +527,24 @@ def language_model_scores(
     bits = max(0, (words // 1_000_000).bit_length())
     totals = cut(word_totals(blocks, bits))
     vocabulary = vocabulary_of(totals, bits, part_tokens, begins)
-    summed = answers(trigrams(blocks, totals, vocabulary, max(1, -(-tokens // part_tokens))), vocabulary)
+    parts = max(1, -(-tokens // part_tokens))
+    whole = blocks.select("block", "doc_ids", "held", "sizes", "tokens").join(kept_by_block(numbered(blocks, totals, vocabulary), buckets), "block")
+    dealt = trigrams(whole, vocabulary, parts)
+    sums = cut(counted(dealt, vocabulary, parts))
+    shared = cut(totalled(sums, vocabulary))
+    codes = answers(dealt, shared, vocabulary, whole_of(sums, shared), parts)
     schema = pa.schema(
         [("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())]
     )
 
-    def finish(group: pa.Table) -> pa.Table:
-        own = [r for r in group.select(["doc_ids", "held", "sizes", "known", "base"]).to_pylist() if r["doc_ids"] is not None][0]
-        code = np.zeros(len(own["doc_ids"]), np.int64)
-        for x in group["payload"]:
-            if x.is_valid:
-                d, sums = unsqueezed(x.as_py())
-                code[np.cumsum(d)] += sums
-        columns = [own["doc_ids"], own["held"], own["sizes"], own["known"], [vocabulary.tokens] * len(code), own["base"], code * -STEP]
+    def finish(own: pa.Table, got: pa.Table) -> pa.Table:
+        block = block_of(own, vocabulary, parts)
+        code = np.empty(len(block.order), np.int64)
+        for p, x in zip(got["key"].to_pylist(), got["payload"], strict=True):
+            code[block.order[block.bounds[p] : block.bounds[p + 1]]] = unsqueezed(x.as_py())[0]
+        each = np.add.reduceat(code[block.gram], np.cumsum(block.sizes) - block.sizes)
+        columns = [block.doc_ids, block.held, block.sizes, block.known, [vocabulary.tokens] * len(each), block.base, each * -STEP]
         return pa.Table.from_arrays([pa.array(v, f.type) for v, f in zip(columns, schema, strict=True)], schema=schema)
 
-    return summed.groupBy("block").applyInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    done = whole.groupBy("block").cogroup(codes.groupBy("block"))
+    return done.applyInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -182,6 +182,14 @@ def test_many_parts(spark):
     assert sum(r[6] for r, _ in held) > sum(r[5] for r, _ in held)
 
 
+def test_scores_do_not_depend_on_parts(spark):
+    """Discounts and the counts of cut words are those of all parts, so many parts, cut words and blocks give one part's scores."""
+    docs = corpus(2)
+    one = rows(spark, docs, block_tokens=10**9)
+    for options in ({"block_tokens": 3000, "part_tokens": 2500}, {"block_tokens": 20_000, "part_tokens": 150}):
+        assert rows(spark, docs, **options) == one
+
+
 def test_only_held_out(spark):
     ids = [i for i in range(200) if zlib.crc32(str(i).encode()) % 7 == 2]
     got = rows(spark, [(i, "a b") for i in ids])
