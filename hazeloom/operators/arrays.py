@@ -7,11 +7,14 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from hazeloom.session import kept
 
 #: Arrays that one task adds.
 FAN_IN = 64
+#: Rows that a task holds as matrices at once (or one unit's, if these are more).
+SLICE = 200_000
 ARRAYS = pa.schema([("key", pa.int64()), ("task", pa.int64()), ("sums", pa.list_(pa.float64()))])
 
 
@@ -73,3 +76,21 @@ def gram(df: DataFrame, xs: Sequence[str], ys: Sequence[str] = (), weight: str |
     got = summed(df.select(*names, *([weight] if weight else [])), of_batch).get(0, np.zeros(k * len(names) + 1))
     both = got[:-1].reshape(k, len(names))
     return both[:, :k], both[:, k:], int(got[-1])
+
+
+def unit_rows(df: DataFrame, units: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """The units and _rows, an array of the columns of a unit's rows; kept, so that a task reads whole units without a shuffle."""
+    return kept(df.groupBy(*units).agg(F.collect_list(F.struct(*columns)).alias("_rows")))
+
+
+def unit_slices(batch: pa.RecordBatch, most_units: int = SLICE) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+    """(first row of each unit, columns) of unit_rows(), some whole units at a time."""
+    lists = batch.column(batch.num_columns - 1)
+    ends = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+    first = 0
+    while first < len(ends):
+        before = ends[first - 1] if first else 0
+        last = max(first + 1, min(first + most_units, int(np.searchsorted(ends, before + SLICE, "right"))))
+        part = lists.slice(first, last - first)
+        yield np.append(0, ends[first : last - 1] - before), [c.to_numpy(zero_copy_only=False) for c in part.flatten().flatten()]
+        first = last

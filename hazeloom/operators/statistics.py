@@ -11,9 +11,11 @@ from collections.abc import Sequence
 from typing import NamedTuple
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from hazeloom.operators.arrays import summed, unit_rows, unit_slices
 from hazeloom.session import kept
 
 
@@ -239,17 +241,113 @@ def two_way_effects(df: DataFrame, xs: Sequence[str], y: str, g1: str, g2: str,
     return Fit(list(xs), beta, cov, groups)
 
 
+#: Rows that a unit of poisson_by_unit() may have.
+MOST_UNIT_ROWS = 1_000_000
+
+
+def poisson_by_unit(df: DataFrame, xs: Sequence[str], y: str, unit: str, level: str, *, steps: int, tolerance: float) -> Fit | None:
+    """poisson_effects() with few levels, on units' rows as arrays; None if there are over SOLVED_GROUPS levels or MOST_UNIT_ROWS rows of a unit.
+
+    A unit's effect only scales its rows to its total, so the likelihood is one of slopes and levels, and each Newton step is a
+    pass over the units that adds up one gradient and one matrix a task.
+    """
+    k, number = len(xs), F.xxhash64(F.coalesce(F.concat(F.lit("="), F.col(level).cast("string")), F.lit("null")))
+    rows = df.select(unit, number.alias("_level"), *[F.col(x).cast("double").alias(f"_x{n}") for n, x in enumerate(xs)], F.col(y).cast("double").alias("_y"))
+    found = rows.groupBy("_level").agg(F.sum("_y").alias("_y")).where("_y > 0").limit(SOLVED_GROUPS + 1).collect()
+    if len(found) > SOLVED_GROUPS or (df.groupBy(unit).count().agg(F.max("count")).first()[0] or 0) > MOST_UNIT_ROWS:
+        return None
+    levels = np.sort(np.array([r["_level"] for r in found], np.int64))
+    j = len(levels)
+    panel = unit_rows(rows, [unit], ["_level", *[f"_x{n}" for n in range(k)], "_y"])
+
+    def shares(batch: pa.RecordBatch, theta: np.ndarray):
+        """Units that have an outcome: (first rows, unit and level of each row, x, y, each row's share of its unit, totals)."""
+        for starts, (number, *x, out) in unit_slices(batch, max(1, 4_000_000 // max(j, 1))):
+            own = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(out))))
+            there = np.isin(number, levels) & (np.bincount(own, out, len(starts)) > 0)[own]
+            own, x, out, at = own[there], np.column_stack(x)[there] if k else np.empty((there.sum(), 0)), out[there], np.searchsorted(levels, number[there])
+            if not len(out):
+                continue
+            first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+            own = np.cumsum(np.append(0, own[1:] != own[:-1]))
+            eta = x @ theta[:k] + theta[k:][at]
+            e = np.exp(eta - np.maximum.reduceat(eta, first)[own])
+            yield first, own, at, x, out, e / np.add.reduceat(e, first)[own], np.add.reduceat(out, first)
+
+    def curved(theta: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        def of_batch(batch: pa.RecordBatch) -> dict[int, np.ndarray]:
+            total = np.zeros(1 + (k + j) * (k + j + 1))
+            for first, own, at, x, out, share, totals in shares(batch, theta):
+                mean, n = share * totals[own], len(first)
+                sums = np.hstack((np.add.reduceat(mean[:, None] * x, first), np.bincount(own * j + at, mean, n * j).reshape(n, j)))
+                h = -(sums.T @ (sums / totals[:, None]))
+                cross = np.array([np.bincount(at, mean * c, j) for c in x.T]).reshape(k, j)
+                h[:k, :k] += x.T @ (mean[:, None] * x)
+                h[:k, k:] += cross
+                h[k:, :k] += cross.T
+                h[range(k, k + j), range(k, k + j)] += np.bincount(at, mean, j)
+                some = out > 0
+                value = (out[some] * np.log(np.maximum(share[some], 1e-300))).sum()
+                total += np.concatenate(([value], x.T @ (out - mean), np.bincount(at, out - mean, j), h.ravel()))
+            return {0: total}
+
+        got = summed(panel, of_batch).get(0, np.zeros(1 + (k + j) * (k + j + 1)))
+        return got[0], got[1 : 1 + k + j], got[1 + k + j :].reshape(k + j, k + j)
+
+    theta = np.zeros(k + j)
+    best, g, h = curved(theta)
+    for _ in range(steps):
+        move = np.linalg.pinv(h, rcond=1e-12, hermitian=True) @ g
+        for half in range(14):
+            to = theta + move / 2**half
+            value, g, h = curved(to)
+            if value >= best - 1e-12 * abs(best):
+                break
+        change, theta, best = np.abs(to - theta).max(initial=0.0), to, value
+        if change < min(tolerance, 1e-7) * max(1.0, np.abs(theta).max(initial=0.0)):
+            break
+    else:
+        raise RuntimeError(f"no convergence to {tolerance} in {steps} steps: {change}")
+    slope = np.linalg.pinv(h[k:, k:], rcond=1e-12, hermitian=True) @ h[k:, :k]
+    bread = np.linalg.pinv(h[:k, :k] - h[:k, k:] @ slope, rcond=1e-12, hermitian=True)
+
+    def scores(batch: pa.RecordBatch) -> dict[int, np.ndarray]:
+        by_unit, by_pair, by_level, units = np.zeros((k, k)), np.zeros((k, k)), np.zeros((j, k)), 0
+        for first, own, at, x, out, share, totals in shares(batch, theta):
+            x = x - slope[at]
+            x -= np.add.reduceat(share[:, None] * x, first)[own]
+            x *= (out - share * totals[own])[:, None]
+            order = np.lexsort((at, own))
+            pair = (own * j + at)[order]
+            s, p = np.add.reduceat(x, first), np.add.reduceat(x[order], np.flatnonzero(np.append(True, pair[1:] != pair[:-1])))
+            by_unit, by_pair, units = by_unit + s.T @ s, by_pair + p.T @ p, units + len(first)
+            by_level += np.array([np.bincount(at, c, j) for c in x.T]).reshape(k, j).T
+        return {0: np.concatenate((by_unit.ravel(), by_pair.ravel(), by_level.ravel(), [units]))}
+
+    got = summed(panel, scores).get(0, np.zeros(2 * k * k + j * k + 1))
+    by_level = got[2 * k * k : -1].reshape(j, k)
+    meat = (got[: k * k] - got[k * k : 2 * k * k]).reshape(k, k) + by_level.T @ by_level
+    return Fit(list(xs), theta[:k], bread @ meat @ bread, min(int(got[-1]), j))
+
+
 def poisson_effects(
     df: DataFrame, xs: Sequence[str], y: str, g1: str, g2: str, *, clusters: Sequence[str] | None = None, steps: int = 30, sweeps: int = 400, tolerance: float = 1e-5
 ) -> Fit:
     """Poisson pseudo-likelihood with both groupings absorbed, errors clustered by them or by the columns named.
 
-    Each step makes working response and weights by expression, takes weighted group effects
+    If a grouping has up to SOLVED_GROUPS groups and errors are clustered by the two, poisson_by_unit() does it. Else each step
+    makes working response and weights by expression, takes weighted group effects
     out, and solves the k x k system; the linear predictor is z less its residual. A step is
     halved while the deviance rises against the fit before. Steps end when the slopes change by
     less than ``tolerance``, after the fifth at the earliest; it is an error if ``steps`` do not
     get there. Groups without any outcome have no finite effect and are left out first.
     """
+    if clusters is None or set(clusters) == {g1, g2}:
+        df = kept(df.select(g1, g2, *xs, y))
+        few = df.agg(F.approx_count_distinct(g1).alias("a"), F.approx_count_distinct(g2).alias("b")).first()
+        fit = poisson_by_unit(df, xs, y, *((g2, g1) if few["a"] < few["b"] else (g1, g2)), steps=steps, tolerance=tolerance)
+        if fit is not None:
+            return fit
     clusters = list(clusters or (g1, g2))
     keys = list(dict.fromkeys([g1, g2, *clusters]))
     flats = [f"_x_{n}" for n in range(len(xs))]

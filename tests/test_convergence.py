@@ -61,6 +61,20 @@ def test_poisson_against_a_dense_fit(spark):
     assert np.allclose(fit.beta, b[:2], atol=1e-6) and np.allclose(fit.covariance, cov[:2, :2], atol=1e-6)
 
 
+def test_poisson_with_few_levels_joins_no_pairs_of_cells(spark, monkeypatch):
+    """Each step is a pass over units' rows: no join of cells with cells; both ways give the same fit, also with null groups and rows that share a cell."""
+    rng = np.random.default_rng(8)
+    rows = [(int(u) if u else None, int(t) if t else None, float(x), int(rng.poisson(np.exp(0.4 * x + 0.1 * u - 0.2 * t))) if u != 7 else 0) for u in range(30) for t in range(5) for x in rng.normal(size=3)]
+    df = spark.createDataFrame(rows, "unit long, t long, x double, y long")
+    plain = st.poisson_by_unit
+    monkeypatch.setattr(st, "poisson_by_unit", lambda *a, **k: None)
+    turned = st.poisson_effects(df, ["x"], "y", "t", "unit", tolerance=1e-8)
+    monkeypatch.setattr(st, "poisson_by_unit", plain)
+    monkeypatch.setattr(st, "absorbed", None)
+    fit = st.poisson_effects(df, ["x"], "y", "t", "unit")
+    assert np.allclose(fit.beta, turned.beta, atol=1e-6) and np.allclose(fit.covariance, turned.covariance, atol=1e-6) and fit.groups == turned.groups == 5
+
+
 def test_running_sums_and_ranks_over_ranges(spark):
     rng = np.random.default_rng(3)
     values = [None, *rng.integers(0, 40, 300).astype(float).tolist()]
