@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hazeloom.operators.arrays import gram
+from hazeloom.operators.arrays import gram, summed, unit_rows, unit_slices
 from hazeloom.operators.statistics import Fit, minus
 from hazeloom.session import kept
 
@@ -176,8 +176,24 @@ def clustered(scores: DataFrame, xs: Sequence[str], bread: np.ndarray, clusters:
     return bread @ meat @ bread, min(counts[: len(clusters)])
 
 
-def panel_fit(df: DataFrame, xs: Sequence[str], y: str, groupings: Sequence[Grouping], *, clusters: Sequence[str], **options) -> tuple[Fit, int]:
-    """(slopes with all groupings absorbed and errors clustered by one or two columns, free effects)."""
+#: Groups across units, groups of one component of these, and rows of a unit that fit_by_unit() takes.
+MOST_LEVELS, MOST_LINKED, MOST_UNIT_ROWS = 50_000, 2000, 1_000_000
+
+
+def panel_fit(df: DataFrame, xs: Sequence[str], y: str, groupings: Sequence[Grouping], *, clusters: Sequence[str], code: str | None = None, **options) -> tuple[Fit, int]:
+    """(slopes with all groupings absorbed and errors clustered by one or two columns, free effects).
+
+    With ``code`` (int) the xs are no columns but marks: the n-th is 1 where code is n. With two groupings, of which one has the
+    first clustering among its columns, fit_by_unit() then does it, unless the groups across units are too many for it.
+    """
+    if code is not None:
+        lists = [[g] if isinstance(g, str) else list(g) for g in groupings]
+        inside = [g for g in lists if clusters[0] in g]
+        if len(lists) == len(clusters) == 2 and len(inside) == 1 and not options:
+            got = fit_by_unit(df, xs, code, y, clusters[0], inside[0], next(g for g in lists if g is not inside[0]), clusters[1])
+            if got is not None:
+                return got
+        df = df.withColumns({x: F.coalesce((F.col(code) == n).cast("double"), F.lit(0.0)) for n, x in enumerate(xs)})
     keys = dict.fromkeys([c for g in groupings for c in ([g] if isinstance(g, str) else g)] + list(clusters))
     flat, freedom = absorb(df.select(*keys, *xs, y), [*xs, y], groupings, **options)
     flat = kept(flat)
@@ -189,6 +205,131 @@ def panel_fit(df: DataFrame, xs: Sequence[str], y: str, groupings: Sequence[Grou
     return Fit(list(xs), beta, cov, groups), freedom
 
 
+def linked(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least number that each of 0..n-1 is linked with by the pairs a, b."""
+    label = np.arange(n)
+    while True:
+        least = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, a, least)
+        np.minimum.at(new, b, least)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+def fit_by_unit(df: DataFrame, xs: Sequence[str], code: str, y: str, unit: str, within: Sequence[str], across: Sequence[str], second: str) -> tuple[Fit, int] | None:
+    """panel_fit() of marks, on units' rows as arrays; None if a bound is passed (MOST_LEVELS, MOST_LINKED, MOST_UNIT_ROWS).
+
+    Groups within units are taken out in the tasks; what they leave is one system for each component of the groups across units,
+    added up over tasks. No row is widened by the marks outside a task, and units, days and both lie whole in a task or are added up.
+    """
+    k = len(xs)
+    rows = df.select(unit, number_of(within).alias("_own"), number_of(across).alias("_level"), number_of(second).alias("_second"), F.coalesce(F.col(code).cast("int"), F.lit(-1)).alias("_code"), F.col(y).cast("double").alias("_y"))
+    levels, seconds = (np.sort(np.array([r[0] for r in rows.select(c).distinct().limit(MOST_LEVELS + 1).collect()], np.int64)) for c in ("_level", "_second"))
+    if max(len(levels), len(seconds)) > MOST_LEVELS or (rows.groupBy(unit).count().agg(F.max("count")).first()[0] or 0) > MOST_UNIT_ROWS:
+        return None
+    panel = unit_rows(rows, [unit], ["_own", "_level", "_second", "_code", "_y"])
+
+    def parts(batch: pa.RecordBatch):
+        """By unit and group within: unit and group of each row, first row of each group, level, second, code, y."""
+        for starts, (own, level, other, mark, out) in unit_slices(batch):
+            u = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(out))))
+            order = np.lexsort((own, u))
+            own, u = own[order], u[order]
+            new = np.append(True, (own[1:] != own[:-1]) | (u[1:] != u[:-1]))
+            at, to = np.searchsorted(levels, level[order]), np.searchsorted(seconds, other[order])
+            yield u, np.cumsum(new) - 1, np.flatnonzero(new), at, to, mark[order], out[order]
+
+    def links(batches):
+        for batch in batches:
+            for _, g, first, at, *_ in parts(batch):
+                pairs = np.unique(at[first][g] * len(levels) + at)
+                label = linked(len(levels), pairs // len(levels), pairs % len(levels))
+                there = np.unique(at)
+                yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(label[there])], ["a", "b"])
+
+    pairs = np.array([tuple(r) for r in panel.mapInArrow(links, "a long, b long").distinct().collect()], np.int64).reshape(-1, 2)
+    _, component, sizes = np.unique(linked(len(levels), pairs[:, 0], pairs[:, 1]), return_inverse=True, return_counts=True)
+    if sizes.max(initial=0) > MOST_LINKED:
+        return None
+    order = np.argsort(component, kind="stable")
+    place = np.empty(len(levels), np.int64)
+    place[order] = np.arange(len(levels)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+    def sums(n: int, at: np.ndarray, mark: np.ndarray, out: np.ndarray) -> np.ndarray:
+        """Sums of marks and y over the n values of at."""
+        some = mark >= 0
+        total = np.bincount(at[some] * (k + 1) + mark[some], minlength=n * (k + 1)).reshape(n, k + 1).astype(float)
+        total[:, k] += np.bincount(at, out, n)
+        return total
+
+    def systems(batch: pa.RecordBatch) -> dict[int, np.ndarray]:
+        found = {-1: np.zeros(1)}
+        for _, g, first, at, _, mark, out in parts(batch):
+            found[-1] = found[-1] + len(first)
+            of_row = component[at]
+            by = np.argsort(of_row, kind="stable")
+            bounds = np.searchsorted(of_row[by], np.arange(len(sizes) + 1))
+            for c in np.flatnonzero(np.diff(bounds)).tolist():
+                i, m = by[bounds[c] : bounds[c + 1]], int(sizes[c])
+                h, right = np.zeros((m, m)), np.zeros((m, k + 1))
+                group = np.cumsum(np.append(0, np.diff(g[i]) != 0))
+                step = max(1, 4_000_000 // m)
+                for low in range(0, int(group[-1]) + 1, step):
+                    rows_ = i[np.searchsorted(group, low) : np.searchsorted(group, low + step)]
+                    own = group[np.searchsorted(group, low) : np.searchsorted(group, low + step)] - low
+                    n, pos = int(own[-1]) + 1, place[at[rows_]]
+                    share = np.bincount(own * m + pos, minlength=n * m).reshape(n, m).astype(float)
+                    total = share.sum(1, keepdims=True)
+                    h += np.diag(share.sum(0)) - share.T @ (share / total)
+                    right += sums(m, pos, mark[rows_], out[rows_]) - share.T @ (sums(n, own, mark[rows_], out[rows_]) / total)
+                both = np.concatenate((h.ravel(), right.ravel()))
+                found[c] = found[c] + both if c in found else both
+        return found
+
+    effects, got = np.zeros((len(levels), k + 1)), summed(panel, systems)
+    freedom = int(got.pop(-1, np.zeros(1))[0])
+    for c, both in got.items():
+        m = int(sizes[c])
+        values, vectors = np.linalg.eigh(both[: m * m].reshape(m, m))
+        real = values > 1e-10 * max(1e-300, values.max(initial=0.0))
+        freedom += int(real.sum())
+        mine = np.flatnonzero(component == c)
+        effects[mine] = (vectors[:, real] / values[real]) @ (vectors[:, real].T @ both[m * m :].reshape(m, k + 1))  # place[] rises along mine
+
+    def flat(batch: pa.RecordBatch):
+        for u, g, first, at, to, mark, out in parts(batch):
+            z = -effects[at]
+            some = np.flatnonzero(mark >= 0)
+            z[some, mark[some]] += 1
+            z[:, k] += out
+            z -= (np.add.reduceat(z, first) / np.diff(np.append(first, len(z)))[:, None])[g]
+            yield u, to, z
+
+    square = summed(panel, lambda batch: {0: sum((z.T @ z for _, _, z in flat(batch)), np.zeros((k + 1, k + 1))).ravel()}).get(0, np.zeros((k + 1) ** 2)).reshape(k + 1, k + 1)
+    bread = np.linalg.pinv(square[:k, :k], rcond=1e-12, hermitian=True)
+    beta = bread @ square[:k, k]
+
+    def scores(batch: pa.RecordBatch) -> dict[int, np.ndarray]:
+        meat, of_second, units = np.zeros((k, k)), np.zeros((len(seconds), k)), 0
+        for u, to, z in flat(batch):
+            s = z[:, :k] * (z[:, k] - z[:, :k] @ beta)[:, None]
+            own = np.add.reduceat(s, np.flatnonzero(np.append(True, u[1:] != u[:-1])))
+            by = np.lexsort((to, u))
+            pair = np.add.reduceat(s[by], np.flatnonzero(np.append(True, (u[by][1:] != u[by][:-1]) | (to[by][1:] != to[by][:-1]))))
+            meat, units = meat + own.T @ own - pair.T @ pair, units + len(own)
+            by = np.argsort(to, kind="stable")
+            first = np.flatnonzero(np.append(True, np.diff(to[by]) != 0))
+            of_second[to[by][first]] += np.add.reduceat(s[by], first)
+        return {0: np.concatenate((meat.ravel(), of_second.ravel(), [units]))}
+
+    total = summed(panel, scores).get(0, np.zeros(k * k + len(seconds) * k + 1))
+    of_second = total[k * k : -1].reshape(len(seconds), k)
+    return Fit(list(xs), beta, bread @ (total[: k * k].reshape(k, k) + of_second.T @ of_second) @ bread, min(int(total[-1]), len(seconds))), freedom
+
+
 #: Patterns (event, class, days) times days that a stacked study may have on the driver.
 MOST_CELLS = 2_000_000
 

@@ -18,7 +18,7 @@ from hazeloom.operators import timeseries as ts
 from hazeloom.operators.matching import event_window
 from hazeloom.plans.registry import register
 from hazeloom.plans.series import DAILY, FLAGGED, daily, flagged
-from hazeloom.session import table
+from hazeloom.session import kept, table
 
 UNITS = f"{DAILY}, units AS (SELECT unit, unit % 2 AS g, avg(v) AS v, avg(price) AS price, avg(n) AS n FROM daily GROUP BY unit)"
 
@@ -222,13 +222,13 @@ def with_p(spark, fit, sums: dict[str, list[float]]):
 FIRST, LAST, CLEAN = -14, 14, 30
 
 
-def onset_panel(spark, sf_dir):
+def onset_panel(spark, sf_dir, d=None):
     """(rows, isolated onsets): unit, region, month, day, rel, y, size of the days inside an isolated onset's window or far from any flagged day.
 
     An onset is a flagged day more than two days after the unit's last; it is isolated if the flagged days within
     CLEAN days are no more than those of the ten days that it begins. y is per item of a supplier's mean day (size).
     """
-    d = daily(spark, sf_dir)
+    d = kept(daily(spark, sf_dir)) if d is None else d
     size = d.groupBy("unit").agg(F.avg("n").alias("size"))
     suppliers = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
     units = size.join(suppliers.select(F.col("s_suppkey").alias("unit"), F.col("n_regionkey").alias("region")), "unit")
@@ -250,14 +250,13 @@ def t11(spark, sf_dir):
     all isolated onsets, and as a percentage of all that was observed; identifying: the share of days inside a window
     whose region and day has a unit outside one as well.
     """
-    rows, onsets = onset_panel(spark, sf_dir)
+    d = kept(daily(spark, sf_dir))
+    rows, onsets = onset_panel(spark, sf_dir, d)
+    rows = kept(rows)
     names = {f"k{k:+d}": k for k in range(FIRST, LAST + 1)}
-    fit, _ = pn.panel_fit(
-        rows.withColumns({n: F.coalesce((F.col("rel") == k).cast("double"), F.lit(0.0)) for n, k in names.items()}),
-        list(names), "y", [["unit", "month"], ["region", "day"]], clusters=["unit", "day"],
-    )
+    fit, _ = pn.panel_fit(rows.withColumn("code", F.col("rel") - FIRST), list(names), "y", [["unit", "month"], ["region", "day"]], clusters=["unit", "day"], code="code")
     exposed = onsets.agg(F.sum("size")).first()[0] or 0.0
-    observed = daily(spark, sf_dir).agg(F.sum("price") / 1000).first()[0]
+    observed = d.agg(F.sum("price") / 1000).first()[0]
     sides = rows.groupBy("region", "day").agg(F.count("rel").alias("inside"), F.count_if(F.col("rel").isNull()).alias("outside"))
     shared = sides.agg(F.sum(F.when(F.col("outside") > 0, F.col("inside"))) / F.sum("inside")).first()[0]
     after = [float(k >= 0) for k in names.values()]

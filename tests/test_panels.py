@@ -59,6 +59,19 @@ def test_fit_against_dummies(spark):
     assert np.allclose(fit.beta, beta[:2]) and np.allclose(fit.covariance, cov[:2, :2]) and freedom == np.linalg.matrix_rank(z)
 
 
+@pytest.mark.parametrize("bound", [None, "MOST_LINKED"])
+def test_marks_are_fitted_on_units_rows(spark, monkeypatch, bound):
+    """Marks are no columns of any row outside a task, and give what their columns give; beyond a bound columns are made."""
+    p = skewed_panel(3)
+    df = spark.createDataFrame(p).withColumn("c", pn.F.expr("if(month = 3, null, (shop + month) % 3)")).withColumn("month", pn.F.expr("if(month = 3, null, month)"))
+    wide = df.withColumns({f"k{n}": pn.F.expr(f"if(c = {n}, 1D, 0D)") for n in range(2)})
+    groupings, clusters = [["unit", "month"], ["region", "shop"]], ["unit", "shop"]
+    want, free = pn.panel_fit(wide, ["k0", "k1"], "y", groupings, clusters=clusters)
+    monkeypatch.setattr(pn, bound or "absorb", 1 if bound else None)
+    got, own = pn.panel_fit(df.withColumn("c", pn.F.expr("if(c < 2, c, null)")), ["k0", "k1"], "y", groupings, clusters=clusters, code="c")
+    assert np.allclose(got.beta, want.beta) and np.allclose(got.covariance, want.covariance) and (own, got.groups) == (free, want.groups)
+
+
 def test_merged_arrays(spark, monkeypatch):
     monkeypatch.setattr(arrays, "FAN_IN", 3)
     df = spark.range(0, 1000, 1, 29)
