@@ -343,7 +343,13 @@ def solution(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return np.linalg.lstsq(a, b, rcond=1e-13)[0]
 
 
-def stacked_poisson(pairs: DataFrame, outcomes: DataFrame, terms: Mapping[str, Sequence[tuple[int, int]]]) -> Fit:
+def stacked_rows(pairs: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """The rows of stacked_poisson(): pairs with their outcomes in one array; kept, for several fits."""
+    own = outcomes.where("y > 0").groupBy("event", "unit").agg(F.sum("y").cast("double").alias("total"), F.collect_list(F.struct("rel", F.col("y").cast("double").alias("y"))).alias("ys"))
+    return kept(pairs.join(own, ["event", "unit"]).select("event", "unit", "class", "days", "total", "ys"))
+
+
+def stacked_poisson(pairs: DataFrame, outcomes: DataFrame, terms: Mapping[str, Sequence[tuple[int, int]]], rows: DataFrame | None = None) -> Fit:
     """Poisson pseudo-likelihood of stacked events with effects of event x unit and event x day, errors clustered by unit and event.
 
     pairs: event, unit, class (int, 0 for controls), days (ascending array of the relative days that
@@ -354,12 +360,11 @@ def stacked_poisson(pairs: DataFrame, outcomes: DataFrame, terms: Mapping[str, S
     days share their probabilities: the fit needs no more than counts per pattern and day, which
     reach the driver (at most MOST_CELLS), whatever the number of units. Newton steps on the terms and
     event-day effects end at machine precision. Scores are sums over days with outcome alone, added per
-    unit on the executors. From both clusterings' parts each row's own is taken off. Days of an event
+    unit within tasks, which multiply them out. ``rows`` are stacked_rows(), if there already. From both clusterings' parts each row's own is taken off. Days of an event
     without any outcome, pairs without any, and terms without outcome have no finite effect: the first two leave, the last are null.
     """
     spark = pairs.sparkSession
-    own = outcomes.where("y > 0").groupBy("event", "unit").agg(F.sum("y").cast("double").alias("total"), F.collect_list(F.struct("rel", F.col("y").cast("double").alias("y"))).alias("ys"))
-    rows = kept(pairs.join(own, ["event", "unit"]).select("event", "unit", "class", "days", "total", "ys"))
+    rows = stacked_rows(pairs, outcomes) if rows is None else rows
     pattern = rows.groupBy("event", "class", "days").agg(F.sum("total").alias("t1"), F.sum(F.col("total") * F.col("total")).alias("t2"))
     cells = rows.select("event", "class", "days", "total", F.explode("ys").alias("o")).groupBy("event", "class", "days", "o.rel")
     cells = cells.agg(F.sum("o.y").alias("y1"), F.sum(F.col("o.y") * F.col("o.y")).alias("y2"), F.sum(F.col("o.y") * F.col("total")).alias("yt"))
@@ -458,14 +463,22 @@ def stacked_poisson(pairs: DataFrame, outcomes: DataFrame, terms: Mapping[str, S
     own_part = np.where(there, y2 - 2 * share * yt + share**2 * t2[:, None], 0.0)
     meat = -np.einsum("pd,pdi,pdj->ij", own_part, x, x)
     kind = rows.schema["event"].dataType.simpleString()
-    keys = [(e, c, list(ds), d, x[p, place[d]].tolist()) for p, (e, c, ds) in enumerate(known) for d in ds]
-    table = spark.createDataFrame(keys, f"event {kind}, class int, days array<int>, rel int, x array<double>")
-    marked = rows.withColumn("class", F.col("class").cast("int")).select("event", "unit", "class", "days", F.explode("ys").alias("o")).select("event", "unit", "class", "days", "o.rel", "o.y")
-    scored = kept(marked.join(F.broadcast(table), ["event", "class", "days", "rel"]).select("event", "unit", *[(F.col("y") * F.col("x")[j]).alias(f"_s{j}") for j in range(k)]))
-    names, groups = [f"_s{j}" for j in range(k)], []
-    for way in ("unit", "event"):
-        part, _, count = gram(scored.groupBy(way).agg(*[F.sum(s).alias(s) for s in names]), names)
-        meat, groups = meat + part, [*groups, count]
+    keys = [(e, c, list(ds), d, p * len(days) + place[d]) for p, (e, c, ds) in enumerate(known) for d in ds]
+    table = spark.createDataFrame(keys, f"event {kind}, class int, days array<int>, rel int, _cell long")
+    marked = rows.withColumn("class", F.col("class").cast("int")).select("event", "unit", "class", "days", F.explode("ys").alias("o")).select("event", "unit", "class", "days", "o.rel", F.col("o.y").alias("_y"))
+    panel, flat = unit_rows(marked.join(F.broadcast(table), ["event", "class", "days", "rel"]), ["unit"], ["_cell", "_y"]), x.reshape(-1, k)
+
+    def by_unit(batch: pa.RecordBatch) -> dict[int, np.ndarray]:
+        total, units = np.zeros((k, k)), 0
+        for starts, (cell, out) in unit_slices(batch):
+            score = np.add.reduceat(flat[cell] * out[:, None], starts)
+            total, units = total + score.T @ score, units + len(starts)
+        return {0: np.append(total.ravel(), units)}
+
+    got = summed(panel, by_unit).get(0, np.zeros(k * k + 1))
+    by_event = np.zeros((len(events), k))
+    np.add.at(by_event, event, np.einsum("pd,pdi->pi", y1, x))
+    meat, groups = meat + got[:-1].reshape(k, k) + by_event.T @ by_event, [int(got[-1]), len(events)]
     beta, covariance = np.full(len(terms), np.nan), np.full((len(terms), len(terms)), np.nan)
     beta[real], covariance[np.ix_(real, real)] = theta[:k], bread @ meat @ bread
     return Fit(list(terms), beta, covariance, min(groups))

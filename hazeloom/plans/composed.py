@@ -137,7 +137,7 @@ def stacked_panel(spark, sf_dir):
     Treated are the units from the least edge on; the others that sell at all are the event's controls. A day before the event
     that lies in the days after another event that treats the unit is left out of the pair.
     """
-    d = daily(spark, sf_dir)
+    d = kept(daily(spark, sf_dir))
     totals = d.groupBy("day").agg(F.sum("v").alias("total"))
     order = Window.partitionBy(F.year("day"), F.quarter("day")).orderBy(F.desc("total"), "day")
     span = d.agg(F.min("day").alias("a"), F.max("day").alias("b")).first()
@@ -152,7 +152,7 @@ def stacked_panel(spark, sf_dir):
     hits = treated.groupBy("unit").agg(F.collect_list("event").alias("hits"))
     rel = F.sequence(F.lit(BEFORE), F.lit(AFTER))
     ok = F.filter(rel, lambda k: (k >= 0) | ~F.exists(F.coalesce("hits", F.array().cast("array<date>")), lambda h: F.datediff(F.date_add(F.col("event"), k), h).between(0, AFTER)))
-    pairs = pairs.join(hits, "unit", "left").select("event", "unit", F.coalesce("class", F.lit(0)).alias("class"), ok.alias("days"))
+    pairs = kept(pairs.join(hits, "unit", "left").select("event", "unit", F.coalesce("class", F.lit(0)).alias("class"), ok.alias("days")))
     around = d.select("unit", "day", F.col("n").alias("y")).withColumn("event", F.explode(F.filter(list_of, lambda e: F.datediff(F.col("day"), e).between(BEFORE, AFTER))))
     outcomes = around.select("event", "unit", F.datediff("day", "event").alias("rel"), "y").join(pairs.select("event", "unit", "days"), ["event", "unit"])
     return pairs, outcomes.where(F.array_contains("days", F.col("rel"))).drop("days")
@@ -165,11 +165,12 @@ def t13(spark, sf_dir):
     One fit has an effect of the treated for each day relative to the event but the reference, the other one for each bin of
     exposure from the event on. Errors are clustered by unit and event.
     """
-    pairs, outcomes = (kept(x) for x in stacked_panel(spark, sf_dir))
+    pairs, outcomes = stacked_panel(spark, sf_dir)
+    rows = pn.stacked_rows(pairs, outcomes)
     classes = range(1, len(BINS) + 1)
     days = {f"k{k:+d}": [(c, k) for c in classes] for k in range(BEFORE, AFTER + 1) if k != REFERENCE}
     bins = {f"dose {BINS[c - 1]}": [(c, k) for k in range(AFTER + 1)] for c in classes}
-    fits = [pn.stacked_poisson(pairs, outcomes, x).table(spark) for x in (days, bins)]
+    fits = [pn.stacked_poisson(pairs, outcomes, x, rows).table(spark) for x in (days, bins)]
     both = fits[0].unionByName(fits[1]).select("term", *[F.nanvl(c, F.lit(None).cast("double")).alias(c) for c in ("beta", "se")])
     return both.select("term", F.round("beta", 5).alias("beta"), F.round("se", 5).alias("se"), F.round(F.exp("beta"), 5).alias("times"))
 

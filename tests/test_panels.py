@@ -154,6 +154,18 @@ def test_stacked_poisson_against_a_dense_fit(spark):
         assert "none" not in design or np.isnan(fit.beta[-1])
 
 
+def test_stacked_scores_are_no_columns_of_rows(spark, monkeypatch):
+    """Scores are made and multiplied out within tasks: what is kept has no column for each term, and rows are kept once for several fits."""
+    wide, plain = [], pn.kept
+    monkeypatch.setattr(pn, "kept", lambda df: (wide.append(len(df.columns)), plain(df))[1])
+    pairs = spark.createDataFrame([(e, u, int(u > 3), [-1, 0, 1, 2]) for e in range(3) for u in range(8)], "event int, unit int, class int, days array<int>")
+    out = spark.createDataFrame([(e, u, d, 1 + (3 * e + 5 * u + 7 * d) % 4) for e in range(3) for u in range(8) for d in (-1, 0, 1, 2)], "event int, unit int, rel int, y int")
+    terms = {f"k{d}": [(1, d)] for d in (0, 1, 2)} | {f"none {n}": [(5, n)] for n in range(9)}
+    rows = pn.stacked_rows(pairs, out)
+    first, second = pn.stacked_poisson(pairs, out, terms), pn.stacked_poisson(pairs, out, terms, rows)
+    assert max(wide) <= 6 and len(wide) == 2 and np.allclose(first.beta[:3], second.beta[:3]) and first.groups == 3
+
+
 def test_registered_stacked_study_against_a_dense_fit(spark, sf):
     """T13's doses on its own panel, with every pair and day as a row."""
     pairs, outcomes = (x.toPandas() for x in composed.stacked_panel(spark, sf))
