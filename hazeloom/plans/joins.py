@@ -179,10 +179,12 @@ def j19(spark, sf_dir):
     f"WITH {DAILY}, t AS (SELECT unit, day, v FROM daily WHERE v > 110), c AS (SELECT unit, day, v FROM daily WHERE v < 60), m AS (SELECT t.unit, t.day, t.v, avg(c.v) AS mean, count(*) AS pool FROM t JOIN c ON t.unit = c.unit AND abs(((least(dayofyear(t.day), 365) - least(dayofyear(c.day), 365) + 182 + 365) % 365) - 182) <= 15 AND abs(year(t.day) - year(c.day)) <= 2 GROUP BY ALL) SELECT unit, strftime(day, '%Y-%m-%d') AS day, round(v - mean, 4) AS diff, pool::BIGINT AS pool FROM m WHERE pool >= 10",
 )
 def j20(spark, sf_dir):
-    d = daily(spark, sf_dir)
-    treated = d.where("v > 110").select("unit", "day", F.col("v").alias("tv"), F.year("day").alias("ty"), F.explode(ts.target_days(ts.clipped_doy(F.col("day")), 15)).alias("doy"))
-    clean = d.where("v < 60").select("unit", F.year("day").alias("cy"), ts.clipped_doy(F.col("day")).alias("doy"), F.col("v").alias("cv"))
-    pool = treated.join(clean, ["unit", "doy"]).where("abs(ty - cy) <= 2").groupBy("unit", "day", "tv").agg(F.avg("cv").alias("mean"), F.count("*").alias("pool"))
+    """Days of year meet by cells of eight days, so that a treated day is copied to five or six cells and not to its 31 days of year."""
+    d = daily(spark, sf_dir).select("unit", "day", F.year("day").alias("year"), ts.clipped_doy(F.col("day")).alias("doy"), "v")
+    treated = d.where("v > 110").select("unit", "day", F.col("year").alias("ty"), F.col("doy").alias("tdoy"), F.col("v").alias("tv"), F.explode(ts.doy_cells(F.col("doy"), 15)).alias("cell"))
+    clean = d.where("v < 60").select("unit", F.col("year").alias("cy"), "doy", F.col("v").alias("cv"), F.get(ts.doy_cells(F.col("doy"), 0), F.lit(0)).alias("cell"))
+    near = treated.join(clean, ["unit", "cell"]).where((ts.doys_apart(F.col("tdoy"), F.col("doy")) <= 15) & F.expr("abs(ty - cy) <= 2"))
+    pool = near.groupBy("unit", "day", "tv").agg(F.avg("cv").alias("mean"), F.count("*").alias("pool"))
     return pool.where("pool >= 10").select("unit", text_day(), F.round(F.expr("tv - mean"), 4).alias("diff"), "pool")
 
 

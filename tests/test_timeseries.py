@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import duckdb
 from pyspark.sql import functions as F
 
 from hazeloom.functions import physics as ph
@@ -38,6 +39,36 @@ def test_day_of_year_window_wraps_and_clips(spark):
     assert ts.doy_percentile(df, 0.5, base=(2021, 2021)).where("doy = 1").first().threshold == 3.0
 
 
+def test_cells_and_distances_of_days_of_year(spark):
+    days = spark.range(1, 366).select(F.col("id").cast("int").alias("doy"))
+    cell = F.get(ts.doy_cells(F.col("doy"), 0), F.lit(0))
+    here = {r.doy: r.cell for r in days.select("doy", cell.alias("cell")).collect()}
+    every = days.crossJoin(days.select(F.col("doy").alias("b"))).select("doy", "b", ts.doys_apart(F.col("doy"), F.col("b")).alias("k"))
+    apart = {(r.doy, r.b): r.k for r in every.where("doy in (1, 8, 170, 350, 365)").collect()}
+    for r in days.select("doy", ts.doy_cells(F.col("doy"), 15).alias("cells")).where("doy in (1, 8, 170, 350, 365)").collect():
+        near = {b for b in here if min(abs(r.doy - b), 365 - abs(r.doy - b)) <= 15}
+        assert len(r.cells) == len(set(r.cells)) <= 7 and set(r.cells) == {here[b] for b in near}
+        assert near == {b for b in here if apart[r.doy, b] <= 15}
+
+
+def test_analogues_of_the_turn_of_the_year(spark, tmp_path):
+    """J20 on a table of its own: pools reach over the year's end, take years two apart and leave others out, and need ten days."""
+    from hazeloom.plans import registry
+    from tests.helpers import same
+
+    first, rows = dt.date(1997, 1, 1), []
+    for unit in (1, 2):
+        rows += [(unit, first + dt.timedelta(k), 40.0 + k % 13) for k in range(0, 365 * 6, 1 + unit)]
+        rows += [(unit, dt.date(*d), 120.0) for d in ((1998, 12, 31), (2000, 1, 1), (2000, 12, 31), (2000, 2, 29), (2004, 1, 9), (2005, 6, 1))]
+    made = spark.createDataFrame(rows, "l_suppkey long, day date, l_quantity double")
+    made.selectExpr("l_suppkey", "timestamp(day) AS l_shipdate", "l_quantity", "1.0D AS l_extendedprice").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = registry.queries()["J20_analogue_match"](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    same(got, con.sql(registry.oracle_sql()["J20_analogue_match"]))
+    assert 0 < got.count() < 12
+
+
 def test_fill_interpolate_and_trim(spark):
     df = spark.createDataFrame([(1, 0, None), (1, 1, 2.0), (1, 2, None), (1, 4, 8.0), (1, 5, None)], "unit long, day int, v double")
     assert [r[0] for r in df.select(ts.fill_both_ways("v").alias("x"), "day").orderBy("day").collect()] == [2.0, 2.0, 2.0, 8.0, 8.0]
