@@ -178,16 +178,16 @@ def event_files(spark, sf_dir, parts=6):
 
 
 def late_files(spark, sf_dir):
-    """The events as files of a million rows at most (six at least) in the order they arrive in, up to two hours late, with a last row of unit -1 a day later, which closes the record."""
-    e = table(spark, sf_dir, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"), "value")
+    """The events as files of a million rows at most (six at least) in the order they arrive in, up to two hours late, with a last row of a unit of its own a day later, which closes the record and yields nothing."""
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"), "value")
     path, parts = fl.scratch(spark, "late"), max(6, e.count() // 1_000_000 + 1)
     arrived = F.unix_micros("ts") + F.pmod(F.xxhash64("user_id", "ts", "value"), F.lit(7_200_000_000))
     dealt = kept(e.withColumn("_at", arrived).repartitionByRange(parts, "_at").withColumn("_part", F.spark_partition_id()).drop("_at"))
     for k in range(parts):  # one after another, as the source takes files by their age
         dealt.where(F.col("_part") == k).drop("_part").coalesce(1).write.mode("append").parquet(path)
-    end = e.agg((F.max("ts") + F.expr("interval 1 day")).alias("ts")).select(F.lit(-1).cast("long").alias("user_id"), "ts", F.lit(0.0).alias("value"))
+    end = e.agg(F.lit(-1).cast("long").alias("event_id"), (F.coalesce(F.min("user_id"), F.lit(0)) - 1).alias("user_id"), (F.max("ts") + F.expr("interval 1 day")).alias("ts"), F.lit(0.0).alias("value"))
     end.coalesce(1).write.mode("append").parquet(path)
-    return path, "user_id long, ts timestamp, value double"
+    return path, "event_id long, user_id long, ts timestamp, value double"
 
 
 @register("R1_file_arrivals", "SELECT user_id, count(*)::BIGINT AS n, round(sum(value), 2) AS v FROM events GROUP BY 1")
@@ -223,16 +223,16 @@ def r3(spark, sf_dir):
 def r4(spark, sf_dir):
     path, schema = late_files(spark, sf_dir)
     out, at = fl.scratch(spark, "hours"), fl.scratch(spark, "progress")
-    sd.finish(sd.fill_forward(sd.arrivals(spark, path, schema, files_per_trigger=1), unit="user_id", ts="ts", value="value"), out, at)
-    return spark.read.parquet(out).where("unit >= 0").groupBy("unit").agg(F.count("*").alias("hours"), F.round(F.sum("v"), 2).alias("v"))
+    sd.finish(sd.fill_forward(sd.arrivals(spark, path, schema, files_per_trigger=1), unit="user_id", ts="ts", value="value", tie="event_id"), out, at)
+    return spark.read.parquet(out).groupBy("unit").agg(F.count("*").alias("hours"), F.round(F.sum("v"), 2).alias("v"))
 
 
 @register("R5_run_events", "WITH e AS (SELECT user_id AS unit, value > 20 AS f, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events), i AS (SELECT unit, k, k - row_number() OVER (PARTITION BY unit ORDER BY k) AS isl FROM e WHERE f), r AS (SELECT unit, isl, count(*) AS n, max(k) AS last FROM i GROUP BY ALL), m AS (SELECT unit, max(k) AS top FROM e GROUP BY 1) SELECT r.unit, count(*)::BIGINT AS runs, max(n)::BIGINT AS longest FROM r JOIN m ON r.unit = m.unit AND last < top GROUP BY 1")
 def r5(spark, sf_dir):
     path, schema = late_files(spark, sf_dir)
     out, at = fl.scratch(spark, "runs"), fl.scratch(spark, "progress")
-    sd.finish(sd.run_events(sd.arrivals(spark, path, schema, files_per_trigger=1), unit="user_id", ts="ts", value="value", cut=20.0), out, at)
-    return spark.read.parquet(out).where("unit >= 0").groupBy("unit").agg(F.count("*").alias("runs"), F.max("n").alias("longest"))
+    sd.finish(sd.run_events(sd.arrivals(spark, path, schema, files_per_trigger=1), unit="user_id", ts="ts", value="value", tie="event_id", cut=20.0), out, at)
+    return spark.read.parquet(out).groupBy("unit").agg(F.count("*").alias("runs"), F.max("n").alias("longest"))
 
 
 @register("R7_stream_static_join", "SELECT s_nationkey::BIGINT AS nation, count(*)::BIGINT AS n FROM events LEFT JOIN supplier ON user_id = s_suppkey GROUP BY 1")

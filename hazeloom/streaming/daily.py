@@ -6,12 +6,12 @@ Every query can run as availableNow with a checkpoint; started again, it goes on
 from __future__ import annotations
 
 from collections.abc import Iterator
-from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def arrivals(spark: SparkSession, folder: str, schema: str, *, files_per_trigger: int = 4) -> DataFrame:
@@ -46,131 +46,112 @@ def enriched(stream: DataFrame, fixed: DataFrame, key: str) -> DataFrame:
 
 
 HOUR = 3_600_000_000
-ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Stands for the unit of rows without one, in tasks.
+NO_UNIT = -(2**63)
+#: A row that waits: its unit, time, place among rows of that time, and value.
+ROW = np.dtype([("unit", "i8"), ("t", "i8"), ("k", "i8"), ("v", "f8")])
 
 
-def _in_order(stream: DataFrame, unit: str, ts: str, value: str, late: str) -> DataFrame:
-    at = F.col(ts).cast("timestamp")
-    marked = stream.select(F.col(unit).cast("long").alias("unit"), at.alias("at"), F.unix_micros(at).alias("t"), F.col(value).cast("double").alias("v"))
-    return marked.withWatermark("at", late)
+class InOrder:
+    """The rows of units in time order, however they come.
 
-
-class InOrder(StatefulProcessor):
-    """A unit's rows in time order, however they come.
-
-    A unit has one state value and one timer. Rows above the watermark wait in the value; those that it has passed are given to
-    ``feed`` in order, in the unit's next batch or when the timer, set to the last row that waits, rings. So a row is written to state
-    once or twice, and calls to the state go by units of a batch, not by rows. What is carried from row to row are the
-    fields of ``kind``. A unit without a row for over ``idle_ms`` ends, by way of ``end``: before its next row, or in the first
-    batch after the watermark has passed that time.
+    Units are dealt to buckets by hash; a bucket has one state and one timeout, and a batch's rows of all its units are worked on
+    at once, as arrays. So calls and their overhead go by buckets of a batch, not by units or rows. Rows above the watermark wait;
+    those that it has passed are given to ``feed`` in order, in the bucket's next batch or when it has passed the first that
+    waits. What is carried on from a unit's last row is one record of ``kind``, which begins with unit and t, the time of that
+    row. A unit without a row for over ``idle_ms`` ends: before its next row, or in the first batch after the watermark has passed
+    that time.
     """
 
-    kind, columns, types = "", (), {}
+    kind, out = np.dtype([]), ""
 
     def __init__(self, idle_ms: int):
         self.idle = idle_ms * 1000
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.state = handle.getValueState("unit", f"waiting_t array<long>, waiting_v array<double>, fed long, timer long, {self.kind}")
+    def taken(self, rows: np.ndarray) -> np.ndarray:
+        """Rows as records of ``kind``."""
+        raise NotImplementedError
 
-    def feed(self, key: Any, open_: tuple | None, t: int, v: float, out: list[tuple]) -> tuple:
-        """The value carried on after a row; what is done goes to out."""
+    def feed(self, steps: np.ndarray, passed: int) -> tuple[np.ndarray, pd.DataFrame]:
+        """(what is carried on, what is done) after records of units one after another, each in order, what was carried before them first."""
         raise NotImplementedError
 
-    def end(self, key: Any, open_: tuple, out: list[tuple]) -> None:
-        """What a unit that stays idle leaves."""
-
-    def frame(self, out: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame(out, columns=list(self.columns)).astype(self.types)
-
-    def advance(self, key: Any, waiting: list[tuple[int, float]], fed: int | None, timer: int | None, open_: tuple | None, passed: int, out: list[tuple]) -> None:
-        """Feeds what waits up to the watermark, and keeps the rest, the open value and the timer to come."""
-        waiting.sort()
-        n = 0
-        for t, v in waiting:
-            if t > passed:
-                break
-            if open_ is not None and t > fed + self.idle:
-                self.end(key, open_, out)
-                open_ = None
-            open_, fed, n = self.feed(key, open_, t, v, out), t, n + 1
-        waiting = waiting[n:]
-        if open_ is not None and passed >= fed + self.idle:  # no row within reach can come any more
-            self.end(key, open_, out)
-            open_ = None
-        due = None
-        if waiting or open_ is not None:
-            due = -(-(waiting[-1][0] if waiting else fed + self.idle) // 1000)
-        if timer is not None and timer != due:
-            self.handle.deleteTimer(timer)
-        if due is None:
-            self.state.clear()
-            return
-        if timer != due:
-            self.handle.registerTimer(due)
-        carried = open_ if open_ is not None else (None,) * (self.kind.count(",") + 1)
-        self.state.update(([t for t, _ in waiting], [v for _, v in waiting], fed if open_ is not None else None, due, *carried))
-
-    def held(self) -> tuple[list[tuple[int, float]], int | None, int | None, tuple | None]:
-        had = self.state.get() if self.state.exists() else None
-        if had is None:
-            return [], None, None, None
-        return list(zip(had[0], had[1], strict=True)), had[2], had[3], None if had[2] is None else tuple(had[4:])
-
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        passed, out = timerValues.getCurrentWatermarkInMs() * 1000, []
-        waiting, fed, timer, open_ = self.held()
-        for frame in rows:  # what is older than the watermark has had its turn
-            waiting += [(t, v) for t, v in zip(frame["t"].tolist(), frame["v"].tolist(), strict=True) if t > passed]
-        self.advance(key[0], waiting, fed, timer, open_, passed, out)
-        if out:
-            yield self.frame(out)
-
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        passed, out = timerValues.getCurrentWatermarkInMs() * 1000, []
-        waiting, fed, timer, open_ = self.held()
-        if timer == expiredTimerInfo.getExpiryTimeInMs():  # it is gone as it rings
-            self.advance(key[0], waiting, fed, None, open_, passed, out)
-        if out:
-            yield self.frame(out)
-
-    def close(self) -> None:
-        pass
+    def advance(self, key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        passed = state.getCurrentWatermarkMs() * 1000
+        held = state.get if state.exists else (b"", b"")
+        waiting, open_ = [np.frombuffer(bytes(held[0]), ROW)], np.frombuffer(bytes(held[1]), self.kind)
+        for frame in frames:  # what is older than the watermark has had its turn
+            come = np.empty(len(frame), ROW)
+            for name in ROW.names:
+                come[name] = frame[name].to_numpy()
+            waiting.append(come[come["t"] > passed])
+        rows = np.concatenate(waiting)
+        due = rows["t"] <= passed
+        now, rows = rows[due], rows[~due]
+        steps = np.concatenate((open_, self.taken(now[np.lexsort((now["v"], now["k"], now["t"]))])))
+        open_, done = self.feed(steps[np.argsort(steps["unit"], kind="stable")], passed)
+        rings = [int(rows["t"].min())] if len(rows) else []
+        rings += [int(open_["t"].min()) + self.idle] if len(open_) else []
+        if rings:
+            state.update((rows.tobytes(), open_.tobytes()))
+            state.setTimeoutTimestamp(-(-min(rings) // 1000))
+        elif state.exists:
+            state.remove()
+        if len(done):
+            yield done
+
+    def over(self, stream: DataFrame, *, unit: str, ts: str, value: str, tie: str | None, late: str, buckets: int) -> DataFrame:
+        """The stream of what is done. The number of buckets has to stay when a stream is started again."""
+        at, name = F.col(ts).cast("timestamp"), F.coalesce(F.col(unit).cast("long"), F.lit(NO_UNIT))
+        order = F.coalesce(F.col(tie).cast("long"), F.lit(0).cast("long")) if tie else F.lit(0).cast("long")
+        marked = stream.select(name.alias("unit"), at.alias("at"), F.unix_micros(at).alias("t"), order.alias("k"), F.col(value).cast("double").alias("v"))
+        dealt = marked.where("t IS NOT NULL").withWatermark("at", late).withColumn("bucket", F.pmod(F.xxhash64("unit"), F.lit(buckets)).cast("int"))
+        done = dealt.groupBy("bucket").applyInPandasWithState(self.advance, self.out, "waiting binary, open binary", "append", GroupStateTimeout.EventTimeTimeout)
+        return done.withColumn("unit", F.nullif("unit", F.lit(NO_UNIT)))
 
 
 class Runs(InOrder):
-    kind, columns, types = "first long, last long, n long", ("unit", "first", "last", "n"), "int64"
+    kind, out = np.dtype([(c, "i8") for c in ("unit", "t", "first", "last", "n")]), "unit long, first long, last long, n long"
 
     def __init__(self, idle_ms: int, cut: float):
         super().__init__(idle_ms)
         self.cut = cut
 
-    def feed(self, key, open_, t, v, out):
-        first, last, n = open_ or (0, 0, 0)
-        if v > self.cut:
-            return (t if n == 0 else first), t, n + 1
-        if n:
-            out.append((key, first, last, n))
-        return 0, 0, 0
+    def taken(self, rows):
+        steps = np.zeros(len(rows), self.kind)
+        steps["unit"], steps["n"] = rows["unit"], rows["v"] > self.cut
+        for name in ("t", "first", "last"):
+            steps[name] = rows["t"]
+        return steps
 
-    def end(self, key, open_, out):
-        if open_[2]:
-            out.append((key, *open_))
+    def feed(self, steps, passed):
+        unit, t, on = steps["unit"], steps["t"], steps["n"] > 0
+        parted = (unit[1:] != unit[:-1]) | (t[1:] - t[:-1] > self.idle) | ~on[1:] | ~on[:-1]
+        begin = np.flatnonzero(np.append(np.ones(min(1, len(steps)), bool), parted))
+        runs = steps[np.append(begin[1:], len(steps))[: len(begin)] - 1]  # their last rows
+        runs["first"], runs["n"] = steps["first"][begin], np.add.reduceat(steps["n"], begin) if len(begin) else 0
+        over = np.append(runs["unit"][1:] == runs["unit"][:-1], np.zeros(min(1, len(runs)), bool)) | (runs["t"] + self.idle <= passed)
+        done = runs[over & (runs["n"] > 0)]
+        return runs[~over & (runs["n"] > 0)], pd.DataFrame({c: done[c] for c in ("unit", "first", "last", "n")})
 
 
 class Hours(InOrder):
-    kind, columns, types = "at long, v double", ("unit", "hour", "v"), {"unit": "int64", "hour": "int64", "v": "float64"}
+    """Spans of hours with one value: from hour ``a`` on and before hour ``b``."""
 
-    def feed(self, key, open_, t, v, out):
-        if open_:
-            out += [(key, h * HOUR, open_[1]) for h in range(-(-open_[0] // HOUR), -(-t // HOUR))]
-        return t, v
+    kind, out = np.dtype([("unit", "i8"), ("t", "i8"), ("v", "f8")]), "unit long, a long, b long, v double"
 
+    def taken(self, rows):
+        steps = np.empty(len(rows), self.kind)
+        for name in self.kind.names:
+            steps[name] = rows[name]
+        return steps
 
-def _processed(stream: DataFrame, processor: InOrder, schema: str) -> DataFrame:
-    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)  # the only one with maps and timers
-    return stream.groupBy("unit").transformWithStateInPandas(statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="EventTime")
+    def feed(self, steps, passed):
+        unit, t, hour = steps["unit"], steps["t"], -(-steps["t"] // HOUR)
+        more = unit[1:] == unit[:-1]
+        spans = np.flatnonzero(more & (t[1:] - t[:-1] <= self.idle) & (hour[1:] > hour[:-1]))
+        last = np.append(~more, np.ones(min(1, len(steps)), bool))
+        return steps[last & (t + self.idle > passed)], pd.DataFrame({"unit": unit[spans], "a": hour[spans], "b": hour[spans + 1], "v": steps["v"][spans]})
 
 
 def _milliseconds(span: str) -> int:
@@ -178,17 +159,19 @@ def _milliseconds(span: str) -> int:
     return int(n) * {"minute": 60, "hour": 3600, "day": 86_400}[what.rstrip("s")] * 1000
 
 
-def run_events(stream: DataFrame, *, unit: str, ts: str, value: str, cut: float, late: str = "2 hours", idle: str = "60 days") -> DataFrame:
+def run_events(stream: DataFrame, *, unit: str, ts: str, value: str, cut: float, tie: str | None = None, late: str = "2 hours", idle: str = "60 days", buckets: int = 256) -> DataFrame:
     """unit, first, last, n: runs of rows over the cut, given out when a row at or under it closes them, or the unit stays idle.
 
-    Rows may come out of order by up to ``late``, in whatever batches (``InOrder``).
+    Rows may come out of order by up to ``late``, in whatever batches (``InOrder``); rows of a unit at the same time are in the order of
+    ``tie`` (a long), then of their values.
     """
-    return _processed(_in_order(stream, unit, ts, value, late), Runs(_milliseconds(idle), cut), "unit long, first long, last long, n long")
+    return Runs(_milliseconds(idle), cut).over(stream, unit=unit, ts=ts, value=value, tie=tie, late=late, buckets=buckets)
 
 
-def fill_forward(stream: DataFrame, *, unit: str, ts: str, value: str, late: str = "2 hours", idle: str = "60 days") -> DataFrame:
+def fill_forward(stream: DataFrame, *, unit: str, ts: str, value: str, tie: str | None = None, late: str = "2 hours", idle: str = "60 days", buckets: int = 256) -> DataFrame:
     """unit, hour, v: the latest value at or before each hour between a unit's rows; order as in run_events().
 
     A unit that stays idle is forgotten: hours up to its next row have no value.
     """
-    return _processed(_in_order(stream, unit, ts, value, late), Hours(_milliseconds(idle)), "unit long, hour long, v double")
+    spans = Hours(_milliseconds(idle)).over(stream, unit=unit, ts=ts, value=value, tie=tie, late=late, buckets=buckets)
+    return spans.select("unit", F.explode(F.expr("sequence(a, b - 1)")).alias("hour"), "v").withColumn("hour", F.col("hour") * HOUR)

@@ -100,3 +100,30 @@ def test_rows_of_many_hours_wait_in_one_entry(spark):
     assert max(run(spark, sd.run_events, folder, out, at, cut=0.5)) <= 16
     got = sorted(tuple(r) for r in spark.read.parquet(out).select("unit", "first", "n").collect())
     assert got == [(1, h * HOUR + 7, 4) for h in range(1, 296, 5)]
+
+
+def test_state_goes_by_buckets_and_not_by_units(spark):
+    """All units of a bucket wait in one entry, and rows that wait long there hold back no others."""
+    folder, out, at = fl.scratch(spark, "in"), fl.scratch(spark, "out"), fl.scratch(spark, "at")
+    rows = [(u, h * HOUR + u, float(h % 4 > 0)) for h in range(1, 10) for u in range(400)]
+    arrive(spark, folder, rows)
+    arrive(spark, folder, [(-1, 30 * HOUR, 0.0)])
+    assert max(run(spark, sd.run_events, folder, out, at, cut=0.5, buckets=4)) <= 4
+    assert sorted(tuple(r) for r in spark.read.parquet(out).select("unit", "first", "last", "n").collect()) == runs_of(rows)
+    out, at = fl.scratch(spark, "out"), fl.scratch(spark, "at")
+    assert max(run(spark, sd.fill_forward, folder, out, at, buckets=1)) <= 1
+    got = spark.read.parquet(out).groupBy("unit").count().collect()
+    assert {r["unit"]: r["count"] for r in got} == dict.fromkeys(range(400), 8)
+
+
+def test_rows_of_one_time_and_rows_without_unit(spark):
+    folder = fl.scratch(spark, "in")
+    rows = [(None, 5, HOUR, 9.0), (None, 6, HOUR, 1.0), (None, 7, 3 * HOUR, 5.0), (2, 9, HOUR, 0.0), (2, 8, HOUR, 4.0), (2, 10, 2 * HOUR, 0.0), (3, 1, 90 * HOUR, 0.0)]
+    spark.createDataFrame(rows, "unit long, id long, t long, value double").selectExpr("unit", "id", "timestamp_micros(t) AS ts", "value").coalesce(1).write.mode("append").parquet(folder)
+    got = []
+    for kind, options in ((sd.fill_forward, {}), (sd.run_events, {"cut": 0.5})):
+        stream, out = kind(sd.arrivals(spark, folder, "unit long, id long, ts timestamp, value double"), unit="unit", ts="ts", value="value", tie="id", **options), fl.scratch(spark, "out")
+        sd.finish(stream, out, fl.scratch(spark, "at"))
+        got.append(sorted((tuple(r) for r in spark.read.parquet(out).collect()), key=str))
+    assert got[0] == [(2, HOUR, 0.0), (None, HOUR, 1.0), (None, 2 * HOUR, 1.0)]
+    assert got[1] == [(2, HOUR, HOUR, 1)]
