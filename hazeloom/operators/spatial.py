@@ -25,6 +25,11 @@ def around(cell: Column) -> Column:
     return F.explode(F.array(cell - 1, cell, cell + 1))
 
 
+def unbroadcast(copies: DataFrame) -> DataFrame:
+    """Rows copied to cells, joined by a shuffle: Spark's estimate of their size is from before they were copied, and would have them broadcast by the driver."""
+    return copies.hint("merge")
+
+
 def places_within_km(left: DataFrame, right: DataFrame, km: float) -> DataFrame:
     """Pairs of rows of left(_l, lat, lon) and right(_r, lat, lon) at most km apart, with dist.
 
@@ -46,20 +51,25 @@ def places_within_km(left: DataFrame, right: DataFrame, km: float) -> DataFrame:
     here = part(F.col("lon2"), F.col("_n"))
     b = b.withColumn("part", F.explode(F.array_distinct(F.array(*[F.pmod(here + k, F.col("_n")) for k in (-1, 0, 1)])))).drop("_n")
     dist = great_circle(F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2"))
-    return a.join(b, ["band", "part"]).withColumn("dist", dist).where(F.col("dist") <= km).select("_l", "_r", "dist", "lat1", "lon1", "lat2", "lon2")
+    return a.join(unbroadcast(b), ["band", "part"]).withColumn("dist", dist).where(F.col("dist") <= km).select("_l", "_r", "dist", "lat1", "lon1", "lat2", "lon2")
 
 
-#: So many ids of one place lie in a row.
+#: So many ids of one place or shape lie in a row.
 IDS = 512
 
 
-def places(points: DataFrame, key: str, ids: str) -> DataFrame:
-    """lat, lon, and as ``ids`` what lies there: a row for each place, for one with over IDS ids a row for each about so many."""
-    points = points.select(key, "lat", "lon")
-    often = points.groupBy(F.col("lat").alias("_lat"), F.col("lon").alias("_lon")).agg(F.count("*").alias("_n")).where(F.col("_n") > IDS)
-    dealt = points.join(often, (F.col("lat") == F.col("_lat")) & (F.col("lon") == F.col("_lon")), "left")
+def shared_by(df: DataFrame, shape: list[str], key: str, ids: str) -> DataFrame:
+    """The columns of ``shape``, and as ``ids`` the keys of all rows that have them: a row for each shape, for one with over IDS ids a row for each about so many."""
+    df = df.select(key, *shape)
+    often = df.groupBy(*[F.col(c).alias(f"_o_{c}") for c in shape]).agg(F.count("*").alias("_n")).where(F.col("_n") > IDS)
+    dealt = df.join(often, [F.col(c) == F.col(f"_o_{c}") for c in shape], "left")
     deal = F.coalesce(F.pmod(F.xxhash64(key), F.ceil(F.col("_n") / IDS)), F.lit(0))
-    return dealt.groupBy("lat", "lon", deal.alias("_deal")).agg(F.collect_list(key).alias(ids)).select("lat", "lon", ids)
+    return dealt.groupBy(*shape, deal.alias("_deal")).agg(F.collect_list(key).alias(ids)).select(*shape, ids)
+
+
+def places(points: DataFrame, key: str, ids: str) -> DataFrame:
+    """lat, lon, and as ``ids`` what lies there, about IDS of them in a row at most."""
+    return shared_by(points, ["lat", "lon"], key, ids)
 
 
 def within_km(left: DataFrame, right: DataFrame, km: float, digits: int | None = None) -> DataFrame:
@@ -122,11 +132,14 @@ def in_ring(x: Column, y: Column, ring: Column) -> Column:
 
 
 def inside_ring(points: DataFrame, areas: DataFrame, cell: float) -> DataFrame:
-    """area, _l: places() of the points(l_id, lat, lon) inside each of areas(area, ring), by cells of ``cell`` degrees of the ring's box; a ray cast for each place in the box."""
+    """_r, _l: areas(area, ring) of one ring, and one of the places() of the points(l_id, lat, lon) inside it, by cells of ``cell`` degrees of the ring's box.
+
+    A ray is cast once for each ring and place in its box, whatever shares them.
+    """
     edge = lambda axis, f: f(F.transform("ring", lambda p: p[axis]))
-    box = areas.select("area", "ring", *[edge(axis, f).alias(f"_{k}_{axis}") for axis in ("x", "y") for k, f in (("a", F.array_min), ("b", F.array_max))])
+    box = shared_by(areas, ["ring"], "area", "_r").select("_r", "ring", *[edge(axis, f).alias(f"_{k}_{axis}") for axis in ("x", "y") for k, f in (("a", F.array_min), ("b", F.array_max))])
     cells = lambda axis: F.explode(F.sequence(F.floor(F.col(f"_a_{axis}") / cell), F.floor(F.col(f"_b_{axis}") / cell)))
     keyed = box.withColumn("_row", cells("y")).withColumn("_col", cells("x"))
     at = places(points, "l_id", "_l").withColumns({"_row": F.floor(F.col("lat") / cell), "_col": F.floor(F.col("lon") / cell)})
-    met = at.join(keyed, ["_row", "_col"]).where("lat >= _a_y AND lat <= _b_y AND lon >= _a_x AND lon <= _b_x")
-    return met.where(in_ring(F.col("lon"), F.col("lat"), F.col("ring"))).select("area", "_l")
+    met = at.join(unbroadcast(keyed), ["_row", "_col"]).where("lat >= _a_y AND lat <= _b_y AND lon >= _a_x AND lon <= _b_x")
+    return met.where(in_ring(F.col("lon"), F.col("lat"), F.col("ring"))).select("_r", "_l")

@@ -114,13 +114,13 @@ def j11(spark, sf_dir):
     SELECT area, l_id, false AS fallback FROM i UNION ALL SELECT n.area, n.l_id, true FROM n WHERE n.area NOT IN (SELECT area FROM i)""",
 )
 def j12(spark, sf_dir):
-    """Customers inside each supplier's polygon (cells of its box are the equi-join key, then a ray cast for each place); an area without any takes its nearest."""
+    """Customers inside each supplier's polygon (cells of its box are the equi-join key, then a ray cast for each polygon and place); an area without any takes its nearest."""
     a = points(spark, sf_dir, "supplier", "area").withColumn("r", 0.3037 + (F.col("area") % 5) * 0.1011)
     ring = F.expr("array(struct(lon - 2 * r as x, lat as y), struct(lon as x, lat + r as y), struct(lon + 2 * r as x, lat as y), struct(lon as x, lat - r as y), struct(lon - 2 * r as x, lat as y))")
     inside = kept(sp.inside_ring(points(spark, sf_dir, "customer", "l_id"), a.select("area", ring.alias("ring")), 0.25))
-    empty = a.join(inside.select("area").distinct(), "area", "left_anti").select(F.col("area").alias("l_id"), "lat", "lon")
+    empty = a.join(inside.select(F.explode("_r").alias("area")).distinct(), "area", "left_anti").select(F.col("area").alias("l_id"), "lat", "lon")
     near = sp.nearest_within(empty, points(spark, sf_dir, "customer", "r_id"), 1600.0).where("r_id IS NOT NULL").select(F.col("l_id").alias("area"), F.col("r_id").alias("l_id"))
-    return inside.select("area", F.explode("_l").alias("l_id"), F.lit(False).alias("fallback")).unionByName(near.withColumn("fallback", F.lit(True)))
+    return sp.apart(inside).select(F.col("r_id").alias("area"), "l_id", F.lit(False).alias("fallback")).unionByName(near.withColumn("fallback", F.lit(True)))
 
 
 @register("J13_distance_join", f"WITH {PAIRS} SELECT l_id, r_id, round(dist, 3) AS dist FROM pairs WHERE dist <= 150")

@@ -59,3 +59,22 @@ def test_inside_ring_with_shared_places(spark):
     areas = spark.createDataFrame([(7, ring)], "area long, ring array<struct<x: double, y: double>>")
     got = {r.l_id for r in sp.inside_ring(points, areas, 0.25).select(F.explode("_l").alias("l_id")).collect()}
     assert got == {r.l_id for r in points.where(sp.in_ring(F.col("lon"), F.col("lat"), F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in ring]))).collect()}
+
+
+def test_rings_that_very_many_share_are_cast_once(spark):
+    """Area by area and point by point these are 10 ** 7 pairs."""
+    ring = "array(struct(-1.0D AS x, 0.0D AS y), struct(0.0D AS x, 1.0D AS y), struct(1.0D AS x, 0.0D AS y), struct(0.0D AS x, -1.0D AS y), struct(-1.0D AS x, 0.0D AS y))"
+    areas = spark.range(5000).select(F.col("id").alias("area"), F.expr(ring).alias("ring"))
+    points = spark.range(2000).select(F.col("id").alias("l_id"), F.lit(0.25).alias("lat"), F.when(F.col("id") < 1000, 0.5).otherwise(0.9).alias("lon"))
+    got = sp.inside_ring(points, areas, 0.25).agg(F.count("*"), F.sum(F.size("_r") * F.size("_l")), F.max(F.size("_r"))).first()
+    assert got[0] <= 100 and got[1] == 5_000_000 and got[2] <= 2 * sp.IDS
+    assert sp.apart(sp.inside_ring(points, areas, 0.25)).agg(F.count_distinct("r_id"), F.count_distinct("l_id")).first() == (5000, 1000)
+
+
+def test_copies_to_cells_are_not_broadcast(spark):
+    """However small the tables are that they are copied from."""
+    points = frame(spark, "l_id", [(1, 0.0, 0.0)])
+    areas = spark.createDataFrame([(7, [(-1.0, 0.0), (0.0, 1.0), (1.0, 0.0), (-1.0, 0.0)])], "area long, ring array<struct<x: double, y: double>>")
+    for df, key in ((sp.inside_ring(points, areas, 0.25), "_row"), (sp.within_km(points, points.withColumnRenamed("l_id", "r_id"), 100.0), "band")):
+        assert f"SortMergeJoin [{key}" in df._jdf.queryExecution().toString()
+        assert df.count() == 1
