@@ -5,7 +5,7 @@ import numpy as np
 import hazeloom.llm.ngram_join as ngram_join_module
 from hazeloom.llm.components import connected_components
 from hazeloom.llm.ngram_join import in_blocks, keep_one_of_each, ngram_join
-from hazeloom.llm.regions import spanning_links
+from hazeloom.llm.regions import link_counts, spanning_links
 
 SPACES = " \t\n\x0b\x0c\r"
 
@@ -102,6 +102,34 @@ def test_regions_against_all_pairs():
         assert len(set(zip(want, got, strict=True))) == len(set(want)) == len(set(got))
 
 
+def linking(a, b, percent=80):
+    return bool(a and b) and 100 * len(a & b) >= percent * len(a | b)
+
+
+def test_all_links_are_counted(spark):
+    """Also those that connect nothing more; copies are one set."""
+    rows = corpus(5) + variants(6)
+    sets = {i: frozenset(shingles(t)) for i, t in rows}
+    every = set(sets.values())
+    want = {s: sum(linking(s, other) for other in every if other != s) for s in every}
+    assert max(want.values()) > 10
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for options in ({}, {"region_limit": 600, "broadcast_rows": 0}):  # components in a task, then in blocks
+        got = {r.doc_id: r.n_links for r in ngram_join(docs, **options).collect()}
+        assert got == {i: want[s] for i, s in sets.items()}
+
+
+def test_counts_of_links_against_all_pairs():
+    rng = np.random.default_rng(9)
+    for size, edits, percent in ((1, 3, 80), (3, 4, 80), (60, 12, 80), (100, 30, 60), (40, 2, 100)):
+        base = rng.integers(0, 2**63, 120, dtype=np.uint64)
+        sets = [np.unique(np.concatenate((base[: rng.integers(60, 120)][rng.integers(0, edits) :], rng.integers(0, 300, rng.integers(0, edits), dtype=np.uint64)))) for _ in range(size)]
+        block = rng.integers(0, 2, size)
+        links = np.array([[i != j and linking(set(a.tolist()), set(b.tolist()), percent) for j, b in enumerate(sets)] for i, a in enumerate(sets)])
+        assert link_counts(sets, percent).tolist() == links.sum(1).tolist()
+        assert link_counts(sets, percent, block).tolist() == (links & (block[:, None] != block)).sum(1).tolist()
+
+
 def test_null_and_repeated_ids_and_empty(spark):
     a, b = "one two three four five six seven", "eight nine ten eleven twelve thirteen"
     docs = spark.createDataFrame([(1, a), (1, a), (1, b), (None, b), (None, None), (2, None), (2, None)], "doc_id long, text string")
